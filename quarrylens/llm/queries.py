@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from quarrylens.llm.minhash_mih import minhash_near_dedup
+from quarrylens.llm.sentencepiece_nbest import encode_documents
 from quarrylens.llm.suffix_dedup import suffix_dedup
 
 
@@ -18,6 +19,10 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup(_table(spark, sf_dir, "documents"))
 
 
+def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_documents(_table(spark, sf_dir, "documents"), n=2)
+
+
 def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_near_dedup(_table(spark, sf_dir, "documents"))
 
@@ -25,6 +30,7 @@ def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_suffix_dedup": op1_suffix_dedup,
+        "op2_sentencepiece": op2_sentencepiece,
         "op7_minhash_near_dedup": op7_minhash_near_dedup,
     }
 
