@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from quarrylens.llm.minhash_mih import minhash_near_dedup
+from quarrylens.llm.pivot_topk import pivot_topk
 from quarrylens.llm.sentencepiece_nbest import encode_documents
+from quarrylens.llm.source_mix import source_mix
 from quarrylens.llm.suffix_dedup import suffix_dedup
 
 
@@ -23,6 +25,14 @@ def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(_table(spark, sf_dir, "documents"), n=2)
 
 
+def op3_pivot_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pivot_topk(_table(spark, sf_dir, "embeddings"))
+
+
+def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_near_dedup(_table(spark, sf_dir, "documents"))
 
@@ -31,6 +41,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_suffix_dedup": op1_suffix_dedup,
         "op2_sentencepiece": op2_sentencepiece,
+        "op3_pivot_topk": op3_pivot_topk,
+        "op6_source_mix": op6_source_mix,
         "op7_minhash_near_dedup": op7_minhash_near_dedup,
     }
 
