@@ -9,7 +9,8 @@ bucket.  (At the link threshold of 0.85 a pair misses all buckets with probabili
 Documents with equal shingle sets form one class first.  In a bucket the classes are held against the one
 nearest to the bucket's majority signature, so a group of n copies gives n candidate pairs, not n squared;
 buckets whose members are still in several components after that are opened again, and the pairs across
-components within the signature threshold become candidates too.  All candidates are confirmed on full
+components are tried inside the task: those within the signature threshold and an upper bound of their
+intersection become candidates too.  All candidates are confirmed on full
 shingle sets.  Components are found with joins; nothing is collected.
 
 Defined results: null or blank text: empty set, linked with nothing, component its own id; fewer words than
@@ -211,23 +212,40 @@ def _stars(percent):
 
 
 def _across(percent):
-    """Pairs of a bucket in different components within the signature threshold; the centre's pairs are known already."""
+    """Pairs of a bucket in different components that can reach the similarity; the centre's pairs are known already.
+
+    Besides the signature threshold each pair passes an upper bound of its intersection: shingle hashes cut to 16
+    bits, plus the number of shingles that share a cut hash.  Pairs are tried here and only the passing ones leave.
+    """
 
     def run(batches):
-        for rows, _ in _groups(batches, 6):
-            cid, center, n, root = (rows.column(k).to_numpy(zero_copy_only=False) for k in (1, 2, 3, 5))
-            sig = _nibbles(rows.column(4))
+        for rows, _ in _groups(batches, 8):
+            cid, center, n, root, lost = (rows.column(k).to_numpy(zero_copy_only=False) for k in (1, 2, 3, 5, 7))
             if (root == root[0]).all():
                 continue
+            sig = _nibbles(rows.column(4))
+            raw = rows.column(6).to_pylist()
+            sizes = np.array([len(r) // 2 for r in raw])
+            values = np.frombuffer(b"".join(raw), np.uint16)
+            ends = np.cumsum(sizes)
             keys, size = np.unique(root, return_counts=True)
             main = keys[size.argmax()]
             found = []
+            present = np.zeros(1 << 16, bool)
             for i in np.flatnonzero(root != main).tolist():  # every pair across components has an end outside the largest
-                other = (root != root[i]) & ((root == main) | (np.arange(len(cid)) > i)) & (cid != center[0])
                 if cid[i] == center[0]:
                     continue
-                j = np.flatnonzero(other)
+                j = np.flatnonzero((root != root[i]) & ((root == main) | (np.arange(len(cid)) > i)) & (cid != center[0]))
                 j = j[_near(sig[j], n[j], sig[i], n[i], percent)]
+                if not len(j):
+                    continue
+                own = values[ends[i] - sizes[i] : ends[i]]
+                present[own] = True
+                at = np.repeat(ends[j] - np.cumsum(sizes[j]), sizes[j]) + np.arange(sizes[j].sum())
+                common = np.add.reduceat(present[values[at]], np.cumsum(sizes[j]) - sizes[j], dtype=np.int64)
+                present[own] = False
+                most = np.minimum(common + np.minimum(lost[j], lost[i]), np.minimum(n[j], n[i]))
+                j = j[100 * most >= percent * (n[j] + n[i] - most)]
                 if len(j):
                     found.append((np.minimum(cid[j], cid[i]), np.maximum(cid[j], cid[i])))
             if found:
@@ -237,6 +255,19 @@ def _across(percent):
     return run
 
 
+def _cut_sets(batches):
+    """cid, its distinct shingle hashes cut to 16 bits, and how many shingles that merges."""
+    for batch in batches:
+        for row, buf, offs in text_chunks(batch):
+            sets, sizes = shingle_sets(buf, offs)
+            cid = set_ids(sets, sizes).view(np.int64)
+            ends = np.cumsum(sizes)
+            cut = (mix64(sets) & np.uint64(0xFFFF)).astype(np.uint16)
+            small = [np.unique(cut[e - s : e]) for e, s in zip(ends.tolist(), sizes.tolist())]
+            lost = sizes - np.array([len(x) for x in small], np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(cid), pa.array([x.tobytes() for x in small], pa.binary()), pa.array(lost)], names=["cid", "cut", "lost"])
+
+
 def _full_sets(batches):
     for batch in batches:
         for row, buf, offs in text_chunks(batch):
@@ -247,15 +278,20 @@ def _full_sets(batches):
             yield pa.RecordBatch.from_arrays([pa.array(cid), lists], names=["cid", "shingles"])
 
 
-def confirm(pairs: DataFrame, classes: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
-    """Those of pairs(a, b) whose full shingle sets reach the similarity; docs(doc_id, text) is read only for classes that occur in a pair."""
-    ends = pairs.select(F.col("a").alias("cid")).unionByName(pairs.select(F.col("b").alias("cid"))).distinct()
-    need = written(ends.join(classes, "cid").select(F.col("doc").alias("doc_id"), "cid"), "op7-need")
+def _sets_of(ends: DataFrame, classes: DataFrame, docs: DataFrame, make, schema: str) -> DataFrame:
+    """One row for each class in ends(cid), made from the whole text of one of its documents."""
+    need = written(ends.distinct().join(classes, "cid").select(F.col("doc").alias("doc_id"), "cid"), "op7-need")
     small = need.count() <= BROADCAST_ROWS
+    hint = F.broadcast if small else (lambda df: df)
     wanted = need.select("doc_id").distinct()
-    texts = docs.join(F.broadcast(wanted) if small else wanted, docs.doc_id.eqNullSafe(wanted.doc_id), "left_semi").select("text")
-    sets = texts.mapInArrow(_full_sets, "cid long, shingles array<long>")
-    sets = sets.join(F.broadcast(need.select("cid")) if small else need.select("cid"), "cid", "left_semi").dropDuplicates(["cid"])
+    texts = docs.join(hint(wanted), docs.doc_id.eqNullSafe(wanted.doc_id), "left_semi").select("text")
+    return texts.mapInArrow(make, schema).join(hint(need.select("cid")), "cid", "left_semi").dropDuplicates(["cid"])
+
+
+def confirm(pairs: DataFrame, classes: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+    """Those of pairs(a, b) whose full shingle sets reach the similarity."""
+    ends = pairs.select(F.col("a").alias("cid")).unionByName(pairs.select(F.col("b").alias("cid")))
+    sets = _sets_of(ends, classes, docs, _full_sets, "cid long, shingles array<long>")
     left = sets.select(F.col("cid").alias("a"), F.col("shingles").alias("sa"))
     right = sets.select(F.col("cid").alias("b"), F.col("shingles").alias("sb"))
     both = F.size(F.array_intersect("sa", "sb"))
@@ -282,7 +318,10 @@ def minhash_near_dedup(docs: DataFrame, percent: int = 85) -> DataFrame:
     members = met.filter("kind = 1").select("key", F.col("a").alias("cid"), F.col("b").alias("center"), "n", "sig")
     placed = members.join(roots.withColumnRenamed("node", "cid"), "cid", "left").select("key", "cid", "center", "n", "sig", F.coalesce("root", "cid").alias("root"))
     open_keys = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("key")
-    placed = placed.join(open_keys, "key").repartition(n, "key").sortWithinPartitions("key", "cid")
+    placed = written(placed.join(open_keys, "key"), "op7-open")
+    cuts = _sets_of(placed.select("cid"), classes, base, _cut_sets, "cid long, cut binary, lost long")
+    placed = placed.join(cuts, "cid").select("key", "cid", "center", "n", "sig", "root", "cut", "lost")
+    placed = placed.repartition(n, "key").sortWithinPartitions("key", "cid")
     more = written(placed.mapInArrow(_across(percent), "a long, b long").distinct().join(stars, ["a", "b"], "left_anti"), "op7-across")
     if more.limit(1).count():
         added = written(confirm(more, classes, base, percent), "op7-added")
