@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from quarrylens.llm.minhash_mih import minhash_near_dedup
 from quarrylens.llm.pivot_topk import pivot_topk
+from quarrylens.llm.quality_rules import quality_rules
 from quarrylens.llm.sentencepiece_nbest import encode_documents
 from quarrylens.llm.source_mix import source_mix
 from quarrylens.llm.suffix_dedup import suffix_dedup
@@ -37,6 +38,10 @@ def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_near_dedup(_table(spark, sf_dir, "documents"))
 
 
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_suffix_dedup": op1_suffix_dedup,
@@ -44,6 +49,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_pivot_topk": op3_pivot_topk,
         "op6_source_mix": op6_source_mix,
         "op7_minhash_near_dedup": op7_minhash_near_dedup,
+        "op8_quality_rules": op8_quality_rules,
     }
 
 
