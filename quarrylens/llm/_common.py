@@ -86,7 +86,7 @@ class PrefixHash:
     def __init__(self, buf: np.ndarray, seed: int):
         rng = np.random.default_rng(seed)
         table = rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-        base = int(rng.integers(2**40, 2**62)) * 8 + 5
+        base = (int(rng.integers(2**40, 2**62)) * 8 + 5) % (1 << 64)
         n = len(buf) + 1
         have = self._pow.get(seed)
         if have is None or len(have[0]) < n:
@@ -135,3 +135,18 @@ def word_bounds(buf: np.ndarray, offs: np.ndarray):
     ends = np.flatnonzero(inside & ~nxt) + 1
     counts = np.diff(np.searchsorted(starts, offs))
     return starts, ends, counts
+
+
+def hashed_grams(codes: np.ndarray, offs: np.ndarray, k: int, dims: int) -> np.ndarray:
+    """Counts of hashed k-grams of each document, as a documents x dims matrix; dims is a power of two."""
+    docs = len(offs) - 1
+    many = np.maximum(np.diff(offs) - k + 1, 0)
+    if not many.sum():
+        return np.zeros((docs, dims), np.float32)
+    gram = np.zeros(len(codes) - k + 1, np.uint32)
+    for j in range(k):
+        gram = gram * np.uint32(257) + codes[j : len(codes) - k + 1 + j]
+    gram = (gram * np.uint32(0x9E3779B1)) >> np.uint32(32 - dims.bit_length() + 1)
+    doc = np.repeat(np.arange(docs), many)
+    at = np.arange(len(doc)) + np.repeat(offs[:-1] - (np.cumsum(many) - many), many)
+    return np.bincount(doc * dims + gram[at], minlength=docs * dims).reshape(docs, dims).astype(np.float32)

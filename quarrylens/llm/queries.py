@@ -6,9 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from quarrylens.llm.langid import language_id
 from quarrylens.llm.minhash_mih import minhash_near_dedup
 from quarrylens.llm.pivot_topk import pivot_topk
 from quarrylens.llm.quality_rules import quality_rules
+from quarrylens.llm.quality_weak import quality_classifier
 from quarrylens.llm.sentencepiece_nbest import encode_documents
 from quarrylens.llm.source_mix import source_mix
 from quarrylens.llm.suffix_dedup import suffix_dedup
@@ -42,6 +44,14 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(_table(spark, sf_dir, "documents"))
 
 
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier(_table(spark, sf_dir, "documents"))
+
+
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_suffix_dedup": op1_suffix_dedup,
@@ -50,6 +60,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_source_mix": op6_source_mix,
         "op7_minhash_near_dedup": op7_minhash_near_dedup,
         "op8_quality_rules": op8_quality_rules,
+        "op9_quality_classifier": op9_quality_classifier,
+        "op10_language_id": op10_language_id,
     }
 
 
