@@ -11,6 +11,7 @@ from quarrylens.llm.minhash_mih import minhash_near_dedup
 from quarrylens.llm.pivot_topk import pivot_topk
 from quarrylens.llm.quality_rules import quality_rules
 from quarrylens.llm.quality_weak import quality_classifier
+from quarrylens.llm.secret_ledger import secret_scan
 from quarrylens.llm.sentencepiece_nbest import encode_documents
 from quarrylens.llm.source_mix import source_mix
 from quarrylens.llm.suffix_dedup import suffix_dedup
@@ -32,6 +33,10 @@ def op3_pivot_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pivot_topk(_table(spark, sf_dir, "embeddings"))
 
 
+def op5_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan(_table(spark, sf_dir, "documents"))
+
+
 def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -57,6 +62,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_suffix_dedup": op1_suffix_dedup,
         "op2_sentencepiece": op2_sentencepiece,
         "op3_pivot_topk": op3_pivot_topk,
+        "op5_secret_ledger": op5_secret_ledger,
         "op6_source_mix": op6_source_mix,
         "op7_minhash_near_dedup": op7_minhash_near_dedup,
         "op8_quality_rules": op8_quality_rules,
