@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from quarrylens.llm.langid import language_id
 from quarrylens.llm.minhash_mih import minhash_near_dedup
+from quarrylens.llm.pii_weak import pii_scan
 from quarrylens.llm.pivot_topk import pivot_topk
 from quarrylens.llm.quality_rules import quality_rules
 from quarrylens.llm.quality_weak import quality_classifier
@@ -33,6 +34,10 @@ def op3_pivot_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pivot_topk(_table(spark, sf_dir, "embeddings"))
 
 
+def op4_pii_weak(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii_scan(_table(spark, sf_dir, "documents"))
+
+
 def op5_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan(_table(spark, sf_dir, "documents"))
 
@@ -62,6 +67,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_suffix_dedup": op1_suffix_dedup,
         "op2_sentencepiece": op2_sentencepiece,
         "op3_pivot_topk": op3_pivot_topk,
+        "op4_pii_weak": op4_pii_weak,
         "op5_secret_ledger": op5_secret_ledger,
         "op6_source_mix": op6_source_mix,
         "op7_minhash_near_dedup": op7_minhash_near_dedup,
