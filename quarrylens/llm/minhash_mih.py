@@ -344,3 +344,13 @@ def minhash_near_dedup(docs: DataFrame, percent: int = 85) -> DataFrame:
     out = signed.select("doc_id", "n", "cid").join(named, "cid", "left")
     component = F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
+
+
+def near_dedup_filter(docs: DataFrame, percent: int = 85) -> DataFrame:
+    """The rows of docs that stay: the one with the smallest doc_id of each component, once.
+
+    Rows without a doc_id cannot be named as a copy's original and all stay.
+    """
+    kept = minhash_near_dedup(docs, percent).filter("kept").select(F.col("doc_id").alias("_keep")).distinct()
+    named = docs.join(kept, docs.doc_id.cast("long") == kept["_keep"], "left_semi").dropDuplicates(["doc_id"])
+    return named.unionByName(docs.filter("doc_id is null"))
