@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
+from quarrylens.llm import oracle
 from quarrylens.llm.langid import language_id
 from quarrylens.llm.minhash_mih import minhash_near_dedup
 from quarrylens.llm.pii_weak import pii_scan
@@ -80,8 +81,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    found = {
-    }
+    found = oracle.oracle_sql()
     if corpus_pipeline.ORACLE_SQL is not None:
         found["pipeline"] = corpus_pipeline.ORACLE_SQL
     return found
