@@ -69,13 +69,14 @@ def _repeat_words(pairs: F.Column) -> F.Column:
 def quality_measures(docs: DataFrame, *keep: str) -> DataFrame:
     """The kept columns and every measure of docs(text)."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    words = docs.select(*keep, text.alias("_text")).withColumn("_words", _words(F.col("_text")))
+    # explode of one element: a later filter cannot be pushed below it, which would evaluate these arrays anew inside lambdas
+    words = docs.select(*keep, text.alias("_text")).select("*", F.explode(F.array(_words(F.col("_text")))).alias("_words"))
     lines = F.filter(F.split("_text", "\n"), lambda s: s.rlike("[^ \\x09-\\x0D]"))
     one = words.select(
         *keep, "_text", F.size("_words").cast("long").alias("n_words"), F.array_join("_words", "").alias("_solid"), _windows(F.col("_words")).alias("_hashes"),
         lines.alias("_lines"), F.size(F.filter("_words", lambda w: F.lower(w).isin(*STOP_WORDS))).cast("long").alias("n_stop"),
     )
-    one = one.withColumn("_pairs", _sorted_windows(F.col("_hashes")))
+    one = one.select("*", F.explode(F.array(_sorted_windows(F.col("_hashes")))).alias("_pairs"))
     return one.select(
         *keep,
         "n_words",
