@@ -2,10 +2,133 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from quarrylens.operators import clusters, delta, edges, graph, imports, lookup, overview, search, usage
+from quarrylens.plans.oracle import oracle_sql
+from quarrylens.sources.facts import Derived
 
-def oracle_sql() -> dict:
-    return {}
+SINCE = 1705276800000000000  # 2024-01-15
+
+
+def _path(t: Derived, doc: int) -> str:
+    return t._files.filter(F.col("doc_id") == doc).first().path
+
+
+def _hunks(t: Derived) -> DataFrame:
+    return t._files.filter(F.col("doc_id").isin(1, 2, 3, 5)).select("path", F.lit(1).alias("start"), F.lit(6).alias("end"))
+
+
+def _disk(t: Derived) -> DataFrame:
+    """The tree as it is now: some files changed, some gone."""
+    size = F.when(F.col("doc_id") % 5 == 0, F.col("size") + 1).otherwise(F.col("size"))
+    return t._files.filter(F.col("doc_id") % 7 != 3).select("path", "mtime_ns", size.alias("size"))
+
+
+def _indexed(t: Derived) -> DataFrame:
+    return t._files.filter(F.col("doc_id") % 11 != 4).select("path", "mtime_ns", "size")
+
+
+def _first_unique(t: Derived) -> str:
+    return edges.definitions(t).filter("defs = 1").agg(F.min("callee_name")).first()[0] or ""
+
+
+def _joined(df: DataFrame, column: str, item=lambda s: s) -> DataFrame:
+    """Arrays as comma-joined text."""
+    return df.withColumn(column, F.array_join(F.transform(column, item), ","))
+
+
+def _upsert(t: Derived) -> DataFrame:
+    paths = delta.dirty(_disk(t), _indexed(t))
+    s = t.symbols.select(*lookup.COLUMNS, "visibility")
+    fresh = s.join(paths.withColumnRenamed("path", "file_path"), "file_path", "left_semi").withColumn("visibility", F.lit("fresh")).select(*s.columns)
+    return delta.replace_files(s, paths, fresh)
+
+
+def _overlapping(t: Derived) -> DataFrame:
+    s = t._symbols.withColumn("start_line", F.lit(0)).withColumn("end_line", (F.col("partkey") % 3).cast("int")).withColumn("end_column", F.lit(0))
+    return delta.dedupe_overlaps(s.withColumnRenamed("partkey", "seq")).select("file_path", "name", "kind", "start_line", "end_line", "seq")
+
+
+_QUERIES: dict[str, Callable[[Derived], DataFrame]] = {
+    "hotspots": edges.hotspots,
+    "counts": lookup.counts,
+    "files_per_language": lookup.files_per_language,
+    "symbol_counts_by_file": lookup.symbol_counts_by_file,
+    "symbols_substring": lambda t: lookup.symbols(t, "WIDGET"),
+    "symbols_substring_kind_lang": lambda t: lookup.symbols(t, "WIDGET", "function", "rust"),
+    "definition_exact": lambda t: lookup.definition(t, "red_widget"),
+    "definition_near_miss": lambda t: lookup.near_misses(t, "RED_WIDGET"),
+    "outline_file": lambda t: lookup.outline(t, _path(t, 0)),
+    "context_window": lambda t: lookup.context(t, "red_widget"),
+    "callers_of": lambda t: edges.callers(t, "red_widget"),
+    "callees_of": lambda t: edges.callees(t, "red_widget"),
+    "callers_resolved_only": lambda t: edges.callers(t, _first_unique(t), 0, True),
+    "callees_resolved_only": lambda t: edges.callees(t, "red_widget", resolved_only=True),
+    "resolved_pairs": edges.resolved_pairs,
+    "located_edges": edges.located_edges,
+    "deadcode": edges.dead_code,
+    "deadcode_lang": lambda t: edges.dead_code(t, "rust", 0),
+    "public_api": overview.public_api,
+    "public_api_by_dir": lambda t: _joined(overview.public_api_by_dir(t), "symbols"),
+    "entry_points": overview.entry_points,
+    "module_stats": overview.module_stats,
+    "deps_of": lambda t: imports.deps(t, _path(t, 1)),
+    "rdeps_of": lambda t: imports.rdeps(t, "pkg_"),
+    "imports_under": lambda t: imports.imports_under(t, "src1/"),
+    "boundary_raw": lambda t: imports.imports_under(t, "src1").join(imports.rdeps(t, "src2"), imports.COLUMNS, "left_semi"),
+    "boundary_union": lambda t: imports.boundary(t, "src1", "src2"),
+    "boundary_unresolved_count": lambda t: imports.boundary_unresolved(t, "src1"),
+    "resolve_imports": imports.resolve,
+    "external_import_count": imports.external_count,
+    "page_link_deps": lambda t: t.table("pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), 1)).alias("module")),
+    "import_scc": lambda t: graph.components(imports.file_graph(t)),
+    "cycle_nodes": graph.cycle_nodes,
+    "call_cycles": lambda t: _joined(graph.call_cycles(t), "cycle"),
+    "module_levels": lambda t: graph.module_levels(imports.file_graph(t).filter("source < target")),
+    "module_is_cyclic": graph.modules,
+    "callgraph_down": lambda t: graph.walk(t, "red_widget", 2, cap=None),
+    "callgraph_up": lambda t: graph.walk(t, "red_widget", 2, "up", cap=None),
+    "callgraph_both": lambda t: graph.walk(t, "red_widget", 1, "both", cap=None),
+    "impact": lambda t: graph.walk(t, "blue_bolt", 2, "up", cap=None),
+    "changed_symbols": lambda t: graph.changed_symbols(t, _hunks(t)),
+    "changed_impact": lambda t: graph.changed_impact(t, _hunks(t), None),
+    "edge_weights": clusters.edge_weights,
+    "degree_rank": clusters.god_nodes,
+    "node_degrees": clusters.degrees,
+    "communities": lambda t: _joined(clusters.communities(t), "members"),
+    "bridges": clusters.bridges,
+    "export_nodes": clusters.export_nodes,
+    "export_edges": clusters.export_edges,
+    "export_graph": clusters.export_graph,
+    "gain_totals": lambda t: usage.totals(t, SINCE),
+    "gain_per_command": usage.per_command,
+    "gain_top_saved": lambda t: usage.top(t, "saved", SINCE, 3),
+    "gain_top_ratio": lambda t: usage.top(t, "ratio", None, 3),
+    "gain_recent": lambda t: usage.recent(t).select("ts_unix_ns", "command", "candidate_bytes", "returned_tokens"),
+    "gain_history": lambda t: usage.history(t, 50, SINCE).select("ts_unix_ns", "command", "estimated_baseline_tokens", "returned_tokens", "saved", "reduction", "recorded_at"),
+    "gain_baseline": lambda t: usage.baseline(t, t.imports.select(F.col("file_path").alias("path"))),
+    "text_search": lambda t: search.text_hits(t, "with"),
+    "search_provenance": lambda t: search.search(t, "ing"),
+    "edge_groups": lambda t: search.callees_groups(t, t.symbols.select("name").distinct()),
+    "caller_groups": lambda t: _joined(search.callers_groups(t, t.calls.select(F.col("callee_name").alias("name")).distinct()), "internal", lambda s: F.concat(s["name"], F.lit("@"), s["path"], F.lit(":"), s["line"].cast("string"))),
+    "status_delta": lambda t: delta.status(_disk(t), _indexed(t)),
+    "index_delta": lambda t: delta.dirty(_disk(t), _indexed(t)),
+    "index_summary": lambda t: delta.summary(_disk(t), _indexed(t)),
+    "prune": lambda t: delta.prune(t.symbols.select(*lookup.COLUMNS, "visibility"), delta.reconcile(_disk(t), _indexed(t)).filter("state = 'deleted'")),
+    "upsert_merge": _upsert,
+    "minified_guard": lambda t: t.table("documents").join(t._files.select("doc_id", "path"), "doc_id").select("path", delta.is_minified(F.col("text")).alias("minified")),
+    "size_cap": lambda t: delta.under_size_cap(t.files, 2000).select("path"),
+    "language_detect": lambda t: delta.with_language(t.files.select("path")),
+    "dedupe_overlaps": _overlapping,
+}
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {name: (lambda spark, sf_dir, f=f: f(Derived(spark, sf_dir))) for name, f in _QUERIES.items()}
+
+
+__all__ = ["oracle_sql", "queries"]
