@@ -107,46 +107,82 @@ def _fields(loc: np.ndarray):
     return loc >> 20, (loc >> 10) & 1023, loc & 1023
 
 
+def _common(a: bytes, b: bytes) -> int:
+    """Length of the common prefix."""
+    m = min(len(a), len(b))
+    return m - ((int.from_bytes(a[:m], "big") ^ int.from_bytes(b[:m], "big")).bit_length() + 7 >> 3)
+
+
+def shared_bytes(strings: list, aoffs: list, gids: np.ndarray, key_len: int) -> tuple[np.ndarray, np.ndarray]:
+    """How many bytes left and right of the key each context shares with any other of its group.
+
+    The most common neighbour of a string is next to it in sorted order.
+    """
+    n = len(strings)
+    out = [0] * n, [0] * n
+    cuts = [0, *(np.flatnonzero(gids[1:] != gids[:-1]) + 1).tolist(), n]
+    for b, e in zip(cuts[:-1], cuts[1:]):
+        if e - b < 2:
+            continue
+        for side, most in enumerate(out):
+            parts = [s[a + key_len :] if side else s[:a][::-1] for s, a in zip(strings[b:e], aoffs[b:e])]
+            order = sorted(range(e - b), key=parts.__getitem__)
+            for x, y in zip(order, order[1:]):
+                k = _common(parts[x], parts[y])
+                if k > most[b + x]:
+                    most[b + x] = k
+                if k > most[b + y]:
+                    most[b + y] = k
+    return np.array(out[0], np.int64), np.array(out[1], np.int64)
+
+
 def repeated_in_groups(strings: list, aoffs: np.ndarray, plens: np.ndarray, counts: np.ndarray, gids: np.ndarray, length: int):
     """Which windows of each context repeat, by one suffix array over all of them.
 
-    strings: context bytes; gids: group number of each.  Returns a list of (context, first, last) runs.
+    strings: context bytes; gids: group number of each.  Bytes that a context shares with no other of its group cannot lie in a
+    repeated window and are cut off first.  Returns arrays: context, first window, last window of each run.
     """
     _, _, key_len = _plan(length)
-    seqs, begins, at = [], [], 0
-    for s, a, g in zip(strings, aoffs.tolist(), gids.tolist()):
-        raw = np.frombuffer(s, np.uint8).astype(np.int64) + 2
-        seq = np.concatenate([raw[:a], [300 + g], raw[a + key_len :], [1]])
-        begins.append(at)
-        at += len(seq)
-        seqs.append(seq)
-    text = np.concatenate(seqs)
-    begins = np.array(begins, np.int64)
-    span = length - key_len + 1
-    owner = np.repeat(np.arange(len(seqs)), np.diff(np.append(begins, at)))
-    inside = np.arange(at) - begins[owner]
-    valid = inside <= plens[owner]
-    sa = suffix_array(text)
-    sa = sa[valid[sa]]
-    equal = np.zeros(len(sa), bool)
-    if len(sa) > 1:
-        grams = np.lib.stride_tricks.sliding_window_view(np.append(text, np.zeros(span, np.int64)).astype(np.int32), span)
-        for b in range(0, len(sa) - 1, 20_000):
-            x, y = sa[b : b + 20_000], sa[b + 1 : b + 20_001]
-            m = min(len(x), len(y))
-            equal[b : b + m] = (grams[x[:m]] == grams[y[:m]]).all(axis=1)
-    hit = np.zeros(at, bool)
-    hit[sa[equal]] = True
-    hit[sa[1:][equal[:-1]]] = True
-    hit |= valid & (counts[owner] > 1)
-    hit &= valid
-    on = np.flatnonzero(hit)
-    if not len(on):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    new = np.append(True, (on[1:] != on[:-1] + 1) | (owner[on[1:]] != owner[on[:-1]]))
-    first = on[new]
-    final = on[np.append(np.flatnonzero(new)[1:], len(on)) - 1]
-    return owner[first], inside[first], inside[final]
+    left, right = shared_bytes(strings, aoffs.tolist(), gids, key_len)
+    whole = np.flatnonzero(counts > 1)
+    used = np.flatnonzero(left + key_len + right >= length)
+    # a group needs no suffix array once all its contexts are known to repeat
+    open_groups = np.unique(gids[used[counts[used] == 1]])
+    used = used[np.isin(gids[used], open_groups)]
+    results = [(whole, np.zeros(len(whole), np.int64), plens[whole])]
+    if len(used):
+        seqs = []
+        for k in used.tolist():
+            a = int(aoffs[k])
+            raw = np.frombuffer(strings[k], np.uint8)
+            lo, hi = a - int(left[k]), a + key_len + int(right[k])
+            seqs.append(np.concatenate([raw[lo:a].astype(np.int64) + 2, [300 + gids[k]], raw[a + key_len : hi].astype(np.int64) + 2, [1]]))
+        sizes = np.array([len(x) for x in seqs])
+        text = np.concatenate(seqs)
+        span = length - key_len + 1
+        owner = np.repeat(np.arange(len(used)), sizes)
+        inside = np.arange(len(text)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        shift = aoffs[used] - left[used]  # of a window's number, by the bytes cut off
+        valid = (inside + shift[owner] <= plens[used][owner]) & (inside + span <= sizes[owner] - 1)
+        sa = suffix_array(text)
+        sa = sa[valid[sa]]
+        equal = np.zeros(len(sa), bool)
+        if len(sa) > 1:
+            grams = np.lib.stride_tricks.sliding_window_view(np.append(text, np.zeros(span, np.int64)).astype(np.int32), span)
+            for b in range(0, len(sa) - 1, 20_000):
+                x, y = sa[b : b + 20_000], sa[b + 1 : b + 20_001]
+                m = min(len(x), len(y))
+                equal[b : b + m] = (grams[x[:m]] == grams[y[:m]]).all(axis=1)
+        hit = np.zeros(len(text), bool)
+        hit[sa[equal]] = True
+        hit[sa[1:][equal[:-1]]] = True
+        hit &= (counts[used] == 1)[owner]  # the others are whole already
+        on = np.flatnonzero(hit)
+        if len(on):
+            new = np.append(True, (on[1:] != on[:-1] + 1) | (owner[on[1:]] != owner[on[:-1]]))
+            first, final = on[new], on[np.append(np.flatnonzero(new)[1:], len(on)) - 1]
+            results.append((used[owner[first]], inside[first] + shift[owner[first]], inside[final] + shift[owner[final]]))
+    return tuple(np.concatenate(c).astype(np.int64) for c in zip(*results))
 
 
 def _sort_groups(length: int):
