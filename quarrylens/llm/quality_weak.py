@@ -165,15 +165,16 @@ def _training(batches):
 
 def train(x: np.ndarray, y: np.ndarray, rounds: int = 300) -> tuple[np.ndarray, float]:
     """Logistic regression on soft labels by full gradient steps with momentum."""
-    w, b = np.zeros(x.shape[1]), 0.0
+    y = y.astype(np.float32)
+    w, b = np.zeros(x.shape[1], np.float32), 0.0
     gw, gb = np.zeros_like(w), 0.0
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-(x @ w + b)))
-        e = (p - y) / len(y)
-        gw = 0.9 * gw + x.T @ e + 1e-5 * w
+        p = 1 / (1 + np.exp(-(x @ w + np.float32(b))))
+        e = (p - y) / np.float32(len(y))
+        gw = np.float32(0.9) * gw + e @ x + np.float32(1e-5) * w
         gb = 0.9 * gb + e.sum()
-        w -= 2.0 * gw
-        b -= 2.0 * gb
+        w -= np.float32(2.0) * gw
+        b -= 2.0 * float(gb)
     return w, float(b)
 
 
@@ -187,7 +188,8 @@ def _score(shared):
                     p = np.zeros(len(r))
                 else:
                     w, b = model
-                    p = np.where(r[:, 0] > 0, 1 / (1 + np.exp(-(features(buf, offs, r) @ w + b))), 0.0)
+                    logit = (features(buf, offs, r) @ w).astype(np.float64) + b
+                    p = np.where(r[:, 0] > 0, 1 / (1 + np.exp(-logit)), 0.0)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, len(p)), pa.array(r[:, 0].astype(np.int64)), pa.array(p), pa.array(p >= KEEP)], names=["doc_id", "n_words", "score", "kept"])
 
     return run
