@@ -105,13 +105,12 @@ def mix_documents(docs: DataFrame, weights=WEIGHTS, total: float = TOTAL, cap: f
     mixed = source_mix(docs, weights, total, cap)
     times = F.when(F.col("size") > 0, F.col("taken") / F.col("size")).otherwise(F.lit(1)).cast("int")
     # repeated rows share doc_id and text: each group of them takes as many copies as its rows were dealt
-    dealt = mixed.select(F.col("doc_id").alias("d"), "tie", times.alias("times")).groupBy("d", "tie").agg(F.sum("times").alias("times"), F.count(F.lit(1)).alias("rows"))
-    known = docs.withColumn("_tie", F.xxhash64(F.col("text").cast("string")))
-    place = F.row_number().over(Window.partitionBy("doc_id", "_tie").orderBy(F.lit(1)))
-    joined = known.join(dealt, known.doc_id.cast("long").eqNullSafe(dealt.d) & (known["_tie"] == dealt.tie))
-    alone = joined.filter("rows = 1").withColumn("_n", F.col("times"))
-    several = joined.filter("rows > 1").withColumn("_p", place)
-    share = F.floor(F.col("times") / F.col("rows")) + F.when(F.col("_p") <= F.col("times") % F.col("rows"), 1).otherwise(0)
-    several = several.withColumn("_n", share).drop("_p")
-    both = alone.unionByName(several)
-    return both.filter("_n > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_n").cast("int")))).select(*docs.columns)
+    dealt = mixed.select(F.col("doc_id").alias("_mix_id"), F.col("tie").alias("_mix_tie"), times.alias("_mix_n")).groupBy("_mix_id", "_mix_tie").agg(F.sum("_mix_n").alias("_mix_n"), F.count(F.lit(1)).alias("_mix_rows"))
+    known = docs.withColumn("_mix_text", F.xxhash64(F.col("text").cast("string")))
+    joined = known.join(dealt, known.doc_id.cast("long").eqNullSafe(dealt["_mix_id"]) & (known["_mix_text"] == dealt["_mix_tie"]))
+    alone = joined.filter("_mix_rows = 1").withColumn("_mix_copies", F.col("_mix_n"))
+    place = F.row_number().over(Window.partitionBy("_mix_id", "_mix_tie").orderBy(F.lit(1)))
+    several = joined.filter("_mix_rows > 1").withColumn("_mix_place", place)
+    share = F.floor(F.col("_mix_n") / F.col("_mix_rows")) + F.when(F.col("_mix_place") <= F.col("_mix_n") % F.col("_mix_rows"), 1).otherwise(0)
+    both = alone.unionByName(several.withColumn("_mix_copies", share).drop("_mix_place")).filter("_mix_copies > 0")
+    return both.withColumn("_mix_copy", F.explode(F.sequence(F.lit(1), F.col("_mix_copies").cast("int")))).select(*[f"`{c}`" for c in docs.columns])

@@ -67,6 +67,7 @@ def test_mixed_rows_hold_what_was_taken(spark):
     rows = corpus(2)
     df = spark.createDataFrame(rows, SCHEMA)
     taken = sum(r.taken for r in source_mix(df).collect())
+    df = df.selectExpr("*", "1 as times", "2 as rows", "3 as tie", "4 as d")
     mixed = mix_documents(df)
     assert mixed.columns == df.columns
     assert sum(sizes(r.text) for r in mixed.collect()) == taken
