@@ -35,6 +35,8 @@ CHUNK, CHUNKS, ERRORS = 5, 8, 1
 COMPONENTS = CHUNK * CHUNKS
 DISTANCE = CHUNKS * (ERRORS + 1) - 1
 BLOCK = 1 << 16
+OPEN_BLOCK = 2048
+HOT_BUCKET = 1 << 15
 BROADCAST_ROWS = 2_000_000
 _KEPT = [list(c) for c in itertools.combinations(range(CHUNK), CHUNK - ERRORS)]
 _rng = np.random.default_rng(7)
@@ -132,7 +134,7 @@ def _near(sig, n, center_sig, center_n, percent):
     return close & (100 * np.minimum(n, center_n) >= percent * np.maximum(n, center_n))
 
 
-def _groups(batches, width):
+def _groups(batches):
     """Runs of rows with equal first column, joined over batch ends, in blocks of at most BLOCK rows; (rows, same group as before)."""
     held, before = None, None
     for batch in batches:
@@ -143,9 +145,9 @@ def _groups(batches, width):
         key = batch.column(0).to_numpy(zero_copy_only=False)
         cuts = np.append(0, np.flatnonzero(key[1:] != key[:-1]) + 1)
         sizes = np.diff(np.append(cuts, len(key)))
-        closed = cuts[:-1][sizes[:-1] > 1]
-        for b, s in zip(closed.tolist(), sizes[:-1][sizes[:-1] > 1].tolist()):
-            yield batch.slice(b, s), key[b] == before
+        for b, s in zip(cuts[:-1].tolist(), sizes[:-1].tolist()):
+            if s > 1 or key[b] == before:
+                yield batch.slice(b, s), key[b] == before
         if len(cuts) > 1:
             before = None
         held = batch.slice(int(cuts[-1]))
@@ -179,7 +181,7 @@ def _stars(percent):
 
     def run(batches):
         out, center = _Out(), None
-        for rows, more in _groups(batches, 4):
+        for rows, more in _groups(batches):
             cid = rows.column(1).to_numpy(zero_copy_only=False)
             n = rows.column(2).to_numpy(zero_copy_only=False)
             sig = _nibbles(rows.column(3))
@@ -212,17 +214,19 @@ def _stars(percent):
 
 
 def _across(percent):
-    """Pairs of a bucket in different components that can reach the similarity; the centre's pairs are known already.
+    """Pairs of a bucket in different components that can reach the similarity; pairs with a centre are known already.
 
-    Besides the signature threshold each pair passes an upper bound of its intersection: shingle hashes cut to 16
+    A group with several blocks gives only pairs of different blocks (see `_block_pairs`).  Besides the signature
+    threshold each pair passes an upper bound of its intersection: shingle hashes cut to 16
     bits, plus the number of shingles that share a cut hash.  Pairs are tried here and only the passing ones leave.
     """
 
     def run(batches):
-        for rows, _ in _groups(batches, 8):
-            cid, center, n, root, lost = (rows.column(k).to_numpy(zero_copy_only=False) for k in (1, 2, 3, 5, 7))
+        for rows, _ in _groups(batches):
+            cid, center, n, root, lost, block = (rows.column(k).to_numpy(zero_copy_only=False) for k in (1, 2, 3, 5, 7, 8))
             if (root == root[0]).all():
                 continue
+            crossing = bool((block != block[0]).any())
             sig = _nibbles(rows.column(4))
             raw = rows.column(6).to_pylist()
             sizes = np.array([len(r) // 2 for r in raw])
@@ -233,9 +237,8 @@ def _across(percent):
             found = []
             present = np.zeros(1 << 16, bool)
             for i in np.flatnonzero(root != main).tolist():  # every pair across components has an end outside the largest
-                if cid[i] == center[0]:
-                    continue
-                j = np.flatnonzero((root != root[i]) & ((root == main) | (np.arange(len(cid)) > i)) & (cid != center[0]))
+                other = (root != root[i]) & ((root == main) | (np.arange(len(cid)) > i)) & (center != cid[i]) & (cid != center[i])
+                j = np.flatnonzero(other & (block != block[i]) if crossing else other)
                 j = j[_near(sig[j], n[j], sig[i], n[i], percent)]
                 if not len(j):
                     continue
@@ -255,6 +258,17 @@ def _across(percent):
     return run
 
 
+def _block_pairs(placed: DataFrame) -> DataFrame:
+    """Open buckets split for many tasks: members fall into blocks of about OPEN_BLOCK, and each pair of blocks is a group.
+
+    Every pair of members meets in exactly one group, and no group holds more than about two blocks.
+    """
+    size = placed.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / OPEN_BLOCK).cast("int").alias("blocks"))
+    rows = placed.join(size, "key").withColumn("block", F.pmod(F.xxhash64("cid", F.lit(5)), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return rows.withColumn("key", F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other"))).drop("blocks", "other")
+
+
 def _cut_sets(batches):
     """cid, its distinct shingle hashes cut to 16 bits, and how many shingles that merges."""
     for batch in batches:
@@ -299,6 +313,38 @@ def confirm(pairs: DataFrame, classes: DataFrame, docs: DataFrame, percent: int)
     return pairs.join(left, "a").join(right, "b").filter(100 * both >= percent * full).select("a", "b")
 
 
+_MET = "kind int, key long, a long, b long, n long, sig binary"
+
+
+def _met(classes: DataFrame, percent: int) -> DataFrame:
+    """Star pairs and members of all buckets.
+
+    A bucket of more than HOT_BUCKET classes is dealt to several tasks by salt; the centres of its parts then form a star of
+    their own, so that parts of one component are joined without a task that holds the bucket.
+    """
+    n = parts(classes.sparkSession)
+    bucketed = "key long, cid long, n long, sig binary"
+    rows = classes.select("cid", "n", "sig").mapInArrow(_buckets, bucketed)
+    salts = F.ceil(F.col("m") / HOT_BUCKET).cast("int")
+    hot = written(rows.groupBy("key").agg(F.count(F.lit(1)).alias("m")).filter(F.col("m") > HOT_BUCKET).select("key", salts.alias("salts")), "op7-hot")
+    many = hot.count()
+    if not many:
+        return written(rows.repartition(n, "key").sortWithinPartitions("key", "cid").mapInArrow(_stars(percent), _MET), "op7-met")
+    salted = rows.join(F.broadcast(hot) if many <= BROADCAST_ROWS else hot, "key", "left")
+    part = F.when(F.col("salts").isNotNull(), F.xxhash64("key", F.pmod(F.xxhash64("cid", F.lit(9)), F.col("salts")))).otherwise(F.col("key"))
+    salted = salted.select(part.alias("key"), "cid", "n", "sig")
+    first = written(salted.repartition(n, "key").sortWithinPartitions("key", "cid").mapInArrow(_stars(percent), _MET), "op7-met-parts")
+    whole = hot.select(F.col("key").alias("whole"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1).cast("array<bigint>")).alias("salt"))
+    whole = written(whole.select("whole", F.xxhash64("whole", "salt").alias("key")), "op7-hot-parts")
+    named = first.join(whole, "key", "left").select("kind", F.coalesce("whole", "key").alias("key"), "a", "b", "n", "sig", F.col("whole").isNotNull().alias("split"))
+    named = written(named, "op7-met-named")
+    centres = named.filter("split and kind = 1").select("key", F.col("b").alias("cid")).distinct()
+    small = named.filter("kind = 1").select(F.col("a").alias("cid"), "n", "sig").dropDuplicates(["cid"])
+    centres = centres.join(small, "cid").select("key", "cid", "n", "sig")
+    second = centres.repartition(n, "key").sortWithinPartitions("key", "cid").mapInArrow(_stars(percent), _MET).filter("kind = 0")
+    return written(named.drop("split").unionByName(second), "op7-met")
+
+
 def minhash_near_dedup(docs: DataFrame, percent: int = 85) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row of docs(doc_id, text)."""
     spark = docs.sparkSession
@@ -308,9 +354,7 @@ def minhash_near_dedup(docs: DataFrame, percent: int = 85) -> DataFrame:
     filled = signed.filter("n > 0")
     classes = written(filled.groupBy("cid").agg(F.min("doc_id").alias("doc"), F.first("n").alias("n"), F.first("sig").alias("sig")), "op7-classes")
 
-    rows = classes.select("cid", "n", "sig").mapInArrow(_buckets, "key long, cid long, n long, sig binary")
-    rows = rows.repartition(n, "key").sortWithinPartitions("key", "cid")
-    met = written(rows.mapInArrow(_stars(percent), "kind int, key long, a long, b long, n long, sig binary"), "op7-met")
+    met = _met(classes, percent)
     stars = written(met.filter("kind = 0").select("a", "b").distinct(), "op7-stars")
     links = written(confirm(stars, classes, base, percent), "op7-links")
     roots = components(links, "op7-one")
@@ -318,9 +362,9 @@ def minhash_near_dedup(docs: DataFrame, percent: int = 85) -> DataFrame:
     members = met.filter("kind = 1").select("key", F.col("a").alias("cid"), F.col("b").alias("center"), "n", "sig")
     placed = members.join(roots.withColumnRenamed("node", "cid"), "cid", "left").select("key", "cid", "center", "n", "sig", F.coalesce("root", "cid").alias("root"))
     open_keys = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("key")
-    placed = written(placed.join(open_keys, "key"), "op7-open")
+    placed = written(_block_pairs(placed.join(open_keys, "key")), "op7-open")
     cuts = _sets_of(placed.select("cid"), classes, base, _cut_sets, "cid long, cut binary, lost long")
-    placed = placed.join(cuts, "cid").select("key", "cid", "center", "n", "sig", "root", "cut", "lost")
+    placed = placed.join(cuts, "cid").select("key", "cid", "center", "n", "sig", "root", "cut", "lost", "block")
     placed = placed.repartition(n, "key").sortWithinPartitions("key", "cid")
     more = written(placed.mapInArrow(_across(percent), "a long, b long").distinct().join(stars, ["a", "b"], "left_anti"), "op7-across")
     if more.limit(1).count():

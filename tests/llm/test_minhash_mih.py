@@ -58,14 +58,18 @@ def corpus(seed):
     return rows
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_matches_brute_force(spark, seed):
+@pytest.mark.parametrize("seed,hot", [(1, 1 << 15), (2, 1 << 15), (3, 4)])
+def test_matches_brute_force(spark, seed, hot, monkeypatch):
+    monkeypatch.setattr(mm, "HOT_BUCKET", hot)
     rows = corpus(seed)
     got = mm.minhash_near_dedup(spark.createDataFrame(rows, SCHEMA)).collect()
     assert sorted((tuple(r) for r in got), key=str) == brute(rows)
 
 
-def test_copies_linked_only_through_their_source(spark):
+@pytest.mark.parametrize("hot,open_block", [(1 << 15, 2048), (1 << 15, 5), (7, 5)])
+def test_copies_linked_only_through_their_source(spark, hot, open_block, monkeypatch):
+    monkeypatch.setattr(mm, "OPEN_BLOCK", open_block)
+    monkeypatch.setattr(mm, "HOT_BUCKET", hot)
     rng = random.Random(9)
     base = ["b%d" % k for k in range(200)]
     rows = [(500, " ".join(base), None)]
@@ -78,5 +82,26 @@ def test_copies_linked_only_through_their_source(spark):
     assert sorted((tuple(r) for r in got), key=str) == brute(rows)
 
 
+def test_groups_keep_every_row_over_batches():
+    import numpy as np
+    import pyarrow as pa
+
+    rng = random.Random(3)
+    key = np.repeat(np.arange(60), [rng.choice([1, 1, 2, 3, 9, 20]) for _ in range(60)])
+    for block in (4, 8, 1000):
+        for step in (1, 3, 7, 500):
+            old, mm.BLOCK = mm.BLOCK, block
+            batches = [pa.RecordBatch.from_arrays([pa.array(key[b : b + step]), pa.array(np.arange(len(key))[b : b + step])], names=["key", "row"]) for b in range(0, len(key), step)]
+            got, fresh = [], []
+            for rows, more in mm._groups(iter(batches)):
+                assert len(set(rows.column(0).to_pylist())) == 1
+                got += rows.column(1).to_pylist()
+                fresh += [] if more else [rows.column(0)[0].as_py()]
+            mm.BLOCK = old
+            sizes = np.bincount(key)
+            assert got == [r for r in range(len(key)) if sizes[key[r]] > 1]
+            assert fresh == [k for k in range(60) if sizes[k] > 1]
+
+
 def test_empty_table(spark):
     assert mm.minhash_near_dedup(spark.createDataFrame([], SCHEMA)).collect() == []
