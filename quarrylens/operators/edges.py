@@ -53,8 +53,8 @@ def call_edges(t: Facts, calls: DataFrame, key: list[str] | None = None) -> Data
     e = c.join(caller, (caller.caller_file == c.file_path) & (caller.caller_sym == c.caller_name) & (caller.caller_line == c.caller_start_line))
     e = e.join(callee, (callee.callee_sym == c.callee_name) & callee_match(c.is_method, c.callee_name, callee.callee_kind), "left")
     places = F.when(F.col("callee_file").isNotNull(), F.struct("callee_file", "callee_line"))
-    many = F.size(F.collect_set(places).over(Window.partitionBy(*(key or []), "callee_name")))
-    e = e.withColumn("ambiguous", many > 1)
+    group = Window.partitionBy(*(key or []), "callee_name")
+    e = e.withColumn("ambiguous", F.coalesce(F.min(places).over(group) != F.max(places).over(group), F.lit(False)))
     return e.select(
         "caller_name", "caller_kind", "caller_file", "caller_line", "caller_end_line", "callee_name", "callee_kind", "callee_file", "callee_line", "site_line", "site_column",
         "resolution", "is_method", "ambiguous",

@@ -77,21 +77,35 @@ def changed_symbols(t: Facts, hunks: DataFrame) -> DataFrame:
     return near.groupBy("name", F.col("file_path").alias("path"), F.col("start_line").alias("line")).agg(F.min("kind").alias("kind"))
 
 
+def distances_up(t: Facts, names: DataFrame) -> DataFrame:
+    """(name, depth): how many calls lie between a name and the nearest of the given ones, at any depth."""
+    own = t.symbols.select(F.col("file_path"), F.col("name").alias("caller_name"), F.col("start_line").alias("caller_start_line"))
+    hops = t.calls.join(own, ["file_path", "caller_name", "caller_start_line"], "left_semi").select("caller_name", F.col("callee_name").alias("name"))
+    hops = cut(hops.distinct(), "hops")
+    levels = [cut(names.select("name").distinct().withColumn("depth", F.lit(0)), "level")]
+    while levels[-1].limit(1).count():
+        seen = levels[0]
+        for one in levels[1:]:
+            seen = seen.unionByName(one)
+        if len(levels) > 16:  # keeps the plan of a deep walk small
+            seen = cut(seen, "levels")
+            levels = [seen.filter(F.col("depth") < levels[-1].first().depth), levels[-1]]
+        depth = levels[-1].first().depth + 1
+        new = hops.join(levels[-1].select("name"), "name").select(F.col("caller_name").alias("name")).distinct().join(seen.select("name"), "name", "left_anti")
+        levels.append(cut(new.withColumn("depth", F.lit(depth)), "level"))
+    out = levels[0]
+    for one in levels[1:]:
+        out = out.unionByName(one)
+    return out
+
+
 def changed_impact(t: Facts, hunks: DataFrame, cap: int | None = MAX_IMPACTED) -> DataFrame:
     """Definitions that call the changed names, at any depth, with the first depth."""
-    frontier = cut(changed_symbols(t, hunks).select("name").distinct(), "changed")
-    visited, found, depth = frontier, None, 1
-    while frontier.limit(1).count():
-        e = _level(t, frontier, "up", False)
-        at = e.select(F.col("caller_name").alias("name"), "caller_kind", F.col("caller_file").alias("path"), F.col("caller_line").alias("line")).distinct().withColumn("depth", F.lit(depth))
-        at = cut(at, "impacted")
-        found = at if found is None else found.unionByName(at)
-        frontier = cut(at.select("name").distinct().join(visited, "name", "left_anti"), "frontier")
-        visited = cut(visited.unionByName(frontier), "visited")
-        depth += 1
-    if found is None:
-        return t.symbols.sparkSession.createDataFrame([], "name string, path string, line int, kind string, depth int")
-    rows = found.groupBy("name", "path", "line").agg(F.min("caller_kind").alias("kind"), F.min("depth").alias("depth"))
+    far = distances_up(t, changed_symbols(t, hunks))
+    calls = t.calls.join(far.withColumnRenamed("name", "callee_name"), "callee_name").select("file_path", "caller_name", "caller_start_line", "depth")
+    own = t.symbols.select("file_path", F.col("name").alias("caller_name"), F.col("start_line").alias("caller_start_line"), "kind")
+    at = calls.join(own, ["file_path", "caller_name", "caller_start_line"])
+    rows = at.groupBy(F.col("caller_name").alias("name"), F.col("file_path").alias("path"), F.col("caller_start_line").alias("line")).agg(F.min("kind").alias("kind"), (F.min("depth") + 1).alias("depth"))
     return rows.orderBy("depth", "path", "line", "name").limit(cap) if cap is not None else rows
 
 

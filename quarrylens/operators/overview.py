@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarrylens import schema
@@ -28,8 +28,10 @@ def public_api(t: Facts) -> DataFrame:
 def public_api_by_dir(t: Facts, shown: int = 12, limit: int = 20) -> DataFrame:
     """How many public symbols each directory has, and the first of them."""
     s = public_api(t).select(parent_dir("file_path").alias("dir"), F.concat_ws(":", "name", "kind").alias("entry"))
-    rows = s.groupBy("dir").agg(F.count(F.lit(1)).alias("count"), F.slice(F.sort_array(F.collect_list("entry")), 1, shown).alias("symbols"))
-    return rows.orderBy(F.desc("count"), "dir").limit(limit)
+    top = s.groupBy("dir").agg(F.count(F.lit(1)).alias("count")).orderBy(F.desc("count"), "dir").limit(limit)
+    first = F.row_number().over(Window.partitionBy("dir").orderBy("entry"))
+    kept = s.join(F.broadcast(top), "dir").withColumn("_n", first).filter(F.col("_n") <= shown)  # top has limit rows
+    return kept.groupBy("dir", "count").agg(F.sort_array(F.collect_list("entry")).alias("symbols")).orderBy(F.desc("count"), "dir")
 
 
 def entry_points(t: Facts) -> DataFrame:
