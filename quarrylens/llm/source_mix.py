@@ -36,9 +36,9 @@ def word_count(text: F.Column) -> F.Column:
     return F.when(text.isNull(), F.lit(0)).otherwise(F.size(pieces) - edges).cast("long")
 
 
-def quality_weight(text: F.Column, size: F.Column) -> F.Column:
-    """Weight between 0.5 and 1.5: higher the nearer the mean word length is to that of prose."""
-    mean = F.length(text) / F.greatest(size, F.lit(1))
+def quality_weight(length: F.Column, size: F.Column) -> F.Column:
+    """Weight between 0.5 and 1.5 of a text of so many characters and words: higher the nearer the mean word length is to that of prose."""
+    mean = length / F.greatest(size, F.lit(1))
     return F.when(size == 0, F.lit(1.0)).otherwise(0.5 + F.exp(-F.pow((mean - 6.0) / 4.0, 2)))
 
 
@@ -64,9 +64,7 @@ def _drawn(docs: DataFrame) -> DataFrame:
     size = word_count(F.col("text"))
     draw = (F.pmod(F.xxhash64(F.col("doc_id"), F.col("text"), F.lit(SEED)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
     sized = docs.select("doc_id", "source", size.alias("size"), draw.alias("u"), F.length("text").alias("length"), F.xxhash64("text").alias("tie"))
-    mean = F.col("length") / F.greatest(F.col("size"), F.lit(1))
-    weight = F.when(F.col("size") == 0, F.lit(1.0)).otherwise(0.5 + F.exp(-F.pow((mean - 6.0) / 4.0, 2)))
-    keyed = sized.withColumn("key", -F.log("u") / weight)
+    keyed = sized.withColumn("key", -F.log("u") / quality_weight(F.col("length"), F.col("size")))
     return keyed.select("doc_id", "source", "size", "tie", "key", F.least(F.floor((1 - F.exp(-F.col("key"))) * BINS), F.lit(BINS - 1)).cast("int").alias("bin"))
 
 
