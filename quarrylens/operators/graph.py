@@ -83,14 +83,15 @@ def distances_up(t: Facts, names: DataFrame) -> DataFrame:
     hops = t.calls.join(own, ["file_path", "caller_name", "caller_start_line"], "left_semi").select("caller_name", F.col("callee_name").alias("name"))
     hops = cut(hops.distinct(), "hops")
     levels = [cut(names.select("name").distinct().withColumn("depth", F.lit(0)), "level")]
+    depth = 0
     while levels[-1].limit(1).count():
         seen = levels[0]
         for one in levels[1:]:
             seen = seen.unionByName(one)
         if len(levels) > 16:  # keeps the plan of a deep walk small
             seen = cut(seen, "levels")
-            levels = [seen.filter(F.col("depth") < levels[-1].first().depth), levels[-1]]
-        depth = levels[-1].first().depth + 1
+            levels = [seen.filter(F.col("depth") < depth), levels[-1]]
+        depth += 1
         new = hops.join(levels[-1].select("name"), "name").select(F.col("caller_name").alias("name")).distinct().join(seen.select("name"), "name", "left_anti")
         levels.append(cut(new.withColumn("depth", F.lit(depth)), "level"))
     out = levels[0]
