@@ -3,7 +3,7 @@
 Components become floor(64 * x).  Each vector v gets one more component sqrt(M - |v|^2), M the greatest
 squared norm, so that for a query q (with 0 there) a higher inner product is a smaller distance:
 ``|q - v|^2 = |q|^2 + M - 2 q.v``.  Each vector is keyed by its nearest pivot and its distance to it.  A cell (pivot and
-salt; a pivot with many vectors has several cells) holds its vectors sorted by distance.
+salt; a pivot with many vectors has several cells) holds its vectors sorted by distance; queries meet it in blocks.
 
 A query first searches one cell of its nearest pivot, which bounds its k-th score.  It then goes to
 every pivot whose annulus can hold a nearer vector.  Inside a cell it expands rings around its own
@@ -29,6 +29,7 @@ K = 20
 PIVOTS = 48
 SAMPLE = 4096
 CELL = 8192
+QUERIES = 4096
 RING = 256
 BOUND = 1 << 20
 SLACK = 1e-6
@@ -213,6 +214,10 @@ def pivot_topk(vectors: DataFrame, every: int = 20, k: int = K) -> DataFrame:
     index = assigned.withColumn("salt", F.pmod(F.xxhash64("vec_id", F.lit(1)), salts).cast("int")).select("pivot", "salt", "vec_id", "q", "dist")
 
     asked = assigned.filter(F.pmod("vec_id", F.lit(every)) == 0).select(F.col("vec_id").alias("query_id"), "q", "norm").dropDuplicates(["query_id"])
+    # queries go in blocks, so that a task holds one cell and one block; each block meets every cell it is sent to
+    asked = written(asked, "op3-asked")
+    blocks = max(1, -(-asked.count() // QUERIES))
+    index = index.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))) if blocks > 1 else F.lit(0))
     routed = "pivot int, query_id long, q binary, norm long, bound double, dist double"
 
     def searched(queries: DataFrame, all_cells: bool) -> DataFrame:
@@ -221,7 +226,9 @@ def pivot_topk(vectors: DataFrame, every: int = 20, k: int = K) -> DataFrame:
             sent = sent.withColumn("salt", F.explode(F.sequence(F.lit(0), (salts - 1).cast("int"))))
         else:
             sent = sent.withColumn("salt", F.pmod(F.xxhash64("query_id", F.lit(2)), salts).cast("int"))
-        return index.groupBy("pivot", "salt").cogroup(sent.groupBy("pivot", "salt")).applyInArrow(_search(shared, k), _FOUND)
+        sent = sent.withColumn("block", F.pmod(F.xxhash64("query_id", F.lit(4)), F.lit(blocks)).cast("int"))
+        keys = ["pivot", "salt", "block"]
+        return index.groupBy(*keys).cogroup(sent.groupBy(*keys)).applyInArrow(_search(shared, k), _FOUND)
 
     first = searched(asked.withColumn("bound", F.lit(float("nan"))), False)
     ranked = first.withColumn("r", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))

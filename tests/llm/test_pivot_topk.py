@@ -29,6 +29,7 @@ def brute(rows, k=20, every=20):
 def test_matches_brute_force(spark, cell, monkeypatch):
     monkeypatch.setattr(pt, "CELL", cell)
     monkeypatch.setattr(pt, "RING", 16)
+    monkeypatch.setattr(pt, "QUERIES", 4096 if cell > 40 else 9)
     rng = random.Random(cell)
     rows = [(i, [rng.gauss(0, 0.3) for _ in range(6)], "x") for i in range(600)]
     rows += [(600 + i, [0.1, 0.2, 0.3, 0.1, 0.0, -0.4], None) for i in range(150)]
