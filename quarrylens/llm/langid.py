@@ -7,8 +7,8 @@ further from its centroid than training documents are (their 0.1 percentile, les
 ``rejected``; its nearest language is still given.
 
 Training takes documents with a text and a lang whose crc32 of the decimal doc_id is not 2 modulo 4: for
-each language about SAMPLE of them, chosen by hash (a bounded sample; all if there are fewer), and at most
-LANGUAGES languages, the most frequent ones.  lang, source and doc_id play no part in a prediction.
+each language about SAMPLE of them, chosen by hash (a bounded sample; all if there are fewer; in all about TOTAL,
+shared evenly by many languages), and at most LANGUAGES languages, the most frequent ones.  lang, source and doc_id play no part in a prediction.
 
 Defined results: null text, or no letter in it: `und`, score 0.0, rejected true; null doc_id: not held out, not
 trained on; whole texts are read, in slices where they are long; no training data: `und` for all; repeated rows: repeated
@@ -27,6 +27,7 @@ from quarrylens.llm._common import hashed_grams, lower_ascii, text_chunks
 DIMS = 4096
 CENTROIDS = 4
 SAMPLE = 400
+TOTAL = 12_000
 LANGUAGES = 400
 UNKNOWN = "und"
 _PART = 1 << 22
@@ -122,8 +123,8 @@ def fit(labelled: DataFrame) -> Model | None:
     sizes = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
     if not sizes:
         return None
-    space = 1 << 30
-    cut = F.create_map(*[F.lit(x) for r in sizes for x in (r["lang"], min(space, int(space * SAMPLE / r["count"]) + 1))])
+    space, each = 1 << 30, min(SAMPLE, TOTAL // len(sizes))
+    cut = F.create_map(*[F.lit(x) for r in sizes for x in (r["lang"], min(space, int(space * each / r["count"]) + 1))])
     draw = F.pmod(F.xxhash64("doc_id", "text", F.lit(17)), F.lit(space))
     chosen = rows.filter(draw < F.element_at(cut, F.col("lang"))).select("lang", "text")
     table = chosen.mapInArrow(_samples, "lang string, tf binary").toArrow()
