@@ -1,8 +1,6 @@
 import random
 import zlib
 
-import pytest
-
 from quarrylens.llm import langid
 from quarrylens.llm.langid import language_id
 
