@@ -10,8 +10,8 @@ that occur once are dropped after a map-side combined count.  Equal contexts (al
 occurrence) are merged before any text moves; keys whose contexts still differ are decided by suffix arrays
 (`gsaca`): the shared bytes become one symbol, so windows are equal exactly if neighbours in suffix order
 share ``length - key + 1`` symbols.  Keys with more than HOT contexts are cut finer: the same groups are made
-for every single window, where a group's strings are all of one length and equal strings merge before the
-shuffle, so no task holds an unbounded group.
+for ranges of STEP windows, and where these are still too many for every single window, where a group's strings are all
+equal and merge before the shuffle, so no task holds an unbounded group.
 
 Defined results: null or empty text: 0 bytes, nothing removed; repeated rows: each result row stands for one
 input row, and texts of ``length`` bytes or more that occur twice are removed whole; texts shorter than
@@ -24,6 +24,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,7 +33,8 @@ from quarrylens.llm.gsaca import suffix_array
 
 LENGTH = 200
 GRAM = 24
-HOT = 4096
+HOT = 2048
+STEP = 16
 SA_SYMBOLS = 150_000
 _POS = np.uint64((1 << 24) - 1)
 
@@ -247,23 +249,29 @@ def _pieces(out):
     return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out, kinds)], names=["key", "ctx", "n", "loc", "piece"])
 
 
-def _single_windows(length: int):
-    """Every window of hot contexts as (two hashes, row, place)."""
+def _parts(step: int, length: int):
+    """Contexts cut into ranges of ``step`` windows, by their distance from the anchor.
+
+    The key of a range is the bytes that all its windows share, so equal windows of any contexts stay in one group.
+    """
 
     def run(batches):
         for batch in batches:
-            loc = batch.column(batch.schema.get_field_index("loc")).to_numpy(zero_copy_only=False)
-            rid = batch.column(batch.schema.get_field_index("rid")).to_numpy(zero_copy_only=False)
-            for row, buf, offs in text_chunks(batch, "piece"):
-                many = np.maximum(np.diff(offs) - length + 1, 0)
-                d = np.repeat(np.arange(len(many)), many)
-                inside = np.arange(len(d)) - np.repeat(np.cumsum(many) - many, many)
-                at = inside + offs[d]
-                one, two = PrefixHash(buf, 11), PrefixHash(buf, 29)
-                first = (loc[row + d] >> 20) + inside
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(x) for x in (one.of(at, at + length).view(np.int64), two.of(at, at + length).view(np.int64), rid[row + d], first)], names=["h1", "h2", "rid", "at"]
-                )
+            tkey, tctx, shift, n, loc = (batch.column(k).to_pylist() for k in range(5))
+            raws = batch.column(5).to_pylist()
+            out: tuple[list, ...] = ([], [], [], [], [], [], [], [])
+            for k, raw in enumerate(raws):
+                plen, a = (loc[k] >> 10) & 1023, loc[k] & 1023
+                for q in range((a - plen) // step, a // step + 1):
+                    w0, w1 = a - min(a, q * step + step - 1), a - max(a - plen, q * step)
+                    shared = raw[a - q * step : a - q * step - step + 1 + length]
+                    piece = raw[w0 : w1 + length]
+                    key = xxhash.xxh64_intdigest(shared, tkey[k] + q & (1 << 64) - 1)
+                    ctx = xxhash.xxh64_intdigest(piece, (a - w0) * 1024 + w1 - w0)
+                    row = (tkey[k], tctx[k], shift[k] + w0, n[k], key - (1 << 63), ctx - (1 << 63), (w1 - w0) << 10 | (a - w0), piece)
+                    for c, v in zip(out, row):
+                        c.append(v)
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in out[:7]), pa.array(out[7], pa.binary())], names=["tkey", "tctx", "shift", "n", "key", "ctx", "loc", "piece"])
 
     return run
 
@@ -335,20 +343,30 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     whole = found.filter("not mixed").select("rid", F.shiftright("loc", 20).alias("s"), (F.shiftright("loc", 20) + F.shiftright("loc", 10).bitwiseAND(1023)).alias("e"))
     marks = places.unionByName(whole)
     if hot.limit(1).count():
-        marks = marks.unionByName(_hot_marks(mixed, hot, pieces, length))
+        marks = marks.unionByName(_hot_marks(mixed, pieces, length))
     marks = marks.groupBy("rid").agg(F.collect_list(F.struct("s", "e")).alias("marks"))
     return base.join(marks, "rid", "left").select("doc_id", "text", "marks").mapInArrow(_strip(length), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
-def _hot_marks(mixed: DataFrame, hot: DataFrame, pieces: DataFrame, length: int) -> DataFrame:
-    """Single-window groups for the keys with very many contexts; equal windows merge before the shuffle."""
-    hot_pieces = pieces.filter("n < 0").select("key", "ctx", "loc", "piece", (-F.col("n")).alias("n")).dropDuplicates(["key", "ctx"])
-    windows = hot_pieces.withColumn("rid", F.monotonically_increasing_id()).select("key", "ctx", "n", "loc", "piece", "rid")
-    windows = written(windows, "op1-hot-pieces")
-    places = written(windows.mapInArrow(_single_windows(length), "h1 long, h2 long, rid long, at long"), "op1-hot-windows")
-    many = (
-        places.join(windows.select("rid", "n", "key", "ctx", "loc"), "rid").groupBy("h1", "h2").agg(F.sum("n").alias("n")).filter("n > 1").select("h1", "h2")
-    )
-    hits = places.join(many, ["h1", "h2"]).join(windows.select("rid", "key", "ctx", "loc"), "rid")
-    hits = hits.select("key", "ctx", (F.col("at") - F.shiftright("loc", 20)).alias("w"))
-    return mixed.join(hits, ["key", "ctx"]).select("rid", (F.shiftright("loc", 20) + F.col("w")).alias("s"), (F.shiftright("loc", 20) + F.col("w")).alias("e"))
+def _hot_marks(mixed: DataFrame, pieces: DataFrame, length: int) -> DataFrame:
+    """Marks of the keys with very many contexts: ranges of STEP windows, which merge where they are equal and go through suffix
+    arrays in groups of their own; ranges that are still too many, window by window, where equal strings are all that is left."""
+    level = pieces.filter("n < 0").dropDuplicates(["key", "ctx"]).select(F.col("key").alias("tkey"), F.col("ctx").alias("tctx"), F.lit(0).cast("long").alias("shift"), (-F.col("n")).alias("n"), "loc", "piece")
+    hits = None
+    for step in (STEP, 1):
+        subs = written(level.mapInArrow(_parts(step, length), "tkey long, tctx long, shift long, n long, key long, ctx long, loc long, piece binary"), "op1-hot-parts")
+        merged = subs.groupBy("key", "ctx").agg(F.sum("n").alias("n"), F.first("loc").alias("loc"), F.first("piece").alias("piece"))
+        if step == 1:
+            runs = merged.filter("n > 1").select("key", "ctx", F.lit(0).cast("long").alias("first"), F.lit(0).cast("long").alias("last"))
+        else:
+            merged = written(merged, "op1-hot-merged")
+            big = written(merged.groupBy("key").agg(F.count(F.lit(1)).alias("m")).filter(F.col("m") > HOT).select("key"), "op1-hot-big")
+            grouped = merged.join(big, "key", "left_anti").select("key", "ctx", "n", "loc", "piece").repartition(parts(mixed.sparkSession), "key").sortWithinPartitions("key", "ctx")
+            runs = grouped.mapInArrow(_sort_groups(length), "key long, ctx long, first long, last long").distinct()
+        found = subs.join(runs, ["key", "ctx"]).select("tkey", "tctx", (F.col("shift") + F.col("first")).alias("from"), (F.col("shift") + F.col("last")).alias("to"))
+        hits = found if hits is None else hits.unionByName(found)
+        if step == 1 or not big.limit(1).count():
+            break
+        level = subs.join(big, "key", "left_semi").select("tkey", "tctx", "shift", "n", "loc", "piece")
+    places = mixed.join(hits.withColumnsRenamed({"tkey": "key", "tctx": "ctx"}), ["key", "ctx"])
+    return places.select("rid", (F.shiftright("loc", 20) + F.col("from")).alias("s"), (F.shiftright("loc", 20) + F.col("to")).alias("e"))

@@ -52,10 +52,17 @@ def corpus(seed):
     return rows
 
 
-@pytest.mark.parametrize("hot", [4096, 2])
-def test_matches_brute_force(spark, hot, monkeypatch):
-    monkeypatch.setattr(sd, "HOT", hot)
+@pytest.mark.parametrize("hot,again", [(4096, 4096), (2, 2), (2, 4096)])
+def test_matches_brute_force(spark, hot, again, monkeypatch):
+    made = sd._hot_marks
+
+    def second(*args):
+        monkeypatch.setattr(sd, "HOT", again)
+        return made(*args)
+
+    monkeypatch.setattr(sd, "_hot_marks", second)
     for length in (200, 60):
+        monkeypatch.setattr(sd, "HOT", hot)
         rows = corpus(length)
         got = sd.suffix_dedup(spark.createDataFrame(rows, SCHEMA), length).collect()
         assert sorted((tuple(r) for r in got), key=str) == brute(rows, length)
