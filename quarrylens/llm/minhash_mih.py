@@ -4,7 +4,9 @@ Each document's distinct word shingles give COMPONENTS min-hashes, kept as 16-bi
 split into CHUNKS chunks of CHUNK components.  Two signatures that differ in at most
 ``CHUNKS * (ERRORS + 1) - 1`` components have, by pigeonhole, a chunk with at most ERRORS differing components;
 each chunk is entered once for every choice of ERRORS components left out, so any such pair meets in a
-bucket.  (At the link threshold of 0.85 a pair misses all buckets with probability below 1e-6.)
+bucket.  (A pair at exactly the link threshold misses all buckets with probability 4e-10 at 0.85 and 1.1e-7 at
+0.80.)  Pairs of a bucket whose signatures differ in more components than such a pair does with probability
+TAIL are dropped unconfirmed; together the loss stays below 2e-9 at 0.85 and 1.2e-7 at 0.80.
 
 Documents with equal shingle sets form one class first.  In a bucket the classes are held against the one
 nearest to the bucket's majority signature, so a group of n copies gives n candidate pairs, not n squared;
@@ -21,6 +23,7 @@ component's id while another is there; empty table: empty result; extra columns
 from __future__ import annotations
 
 import itertools
+import math
 
 import numpy as np
 import pyarrow as pa
@@ -31,9 +34,9 @@ from quarrylens.llm._common import PrefixHash, lower_ascii, mix64, parts, text_c
 from quarrylens.llm.components import components
 
 WORDS = 5
-CHUNK, CHUNKS, ERRORS = 5, 8, 1
+CHUNK, CHUNKS, ERRORS = 5, 12, 1
 COMPONENTS = CHUNK * CHUNKS
-DISTANCE = CHUNKS * (ERRORS + 1) - 1
+TAIL = 1e-9
 BLOCK = 1 << 16
 OPEN_BLOCK = 2048
 HOT_BUCKET = 1 << 15
@@ -129,8 +132,18 @@ def _nibbles(packed):
     return out
 
 
-def _near(sig, n, center_sig, center_n, percent):
-    close = (sig != center_sig).sum(axis=1) <= DISTANCE
+def distance(percent: int) -> int:
+    """Components in which a pair at the similarity differs at most, but for a probability below TAIL."""
+    p = 1 - percent / 100
+    left, d = 1.0 - (1 - p) ** COMPONENTS, 0
+    while left >= TAIL and d < COMPONENTS:
+        d += 1
+        left = sum(math.comb(COMPONENTS, k) * p**k * (1 - p) ** (COMPONENTS - k) for k in range(d + 1, COMPONENTS + 1))
+    return d
+
+
+def _near(sig, n, center_sig, center_n, percent, most):
+    close = (sig != center_sig).sum(axis=1) <= most
     return close & (100 * np.minimum(n, center_n) >= percent * np.maximum(n, center_n))
 
 
@@ -179,6 +192,8 @@ class _Out:
 def _stars(percent):
     """kind 0: candidate pairs (a, b) of a bucket's centre and a member; kind 1: members (a) of a bucket left for the second look."""
 
+    most = distance(percent)
+
     def run(batches):
         out, center = _Out(), None
         for rows, more in _groups(batches):
@@ -197,7 +212,7 @@ def _stars(percent):
                     off = (sig != votes.argmax(axis=0).astype(np.uint8)).sum(axis=1)
                     at = int(np.lexsort((cid, off))[0])
                 c_id, c_n, c_sig = center = cid[at], n[at], sig[at]
-            hit = _near(sig, n, c_sig, c_n, percent) & (cid != c_id)
+            hit = _near(sig, n, c_sig, c_n, percent, most) & (cid != c_id)
             if hit.any():
                 m = int(hit.sum())
                 key = np.full(m, rows.column(0)[0].as_py(), np.int64)
@@ -221,6 +236,8 @@ def _across(percent):
     bits, plus the number of shingles that share a cut hash.  Pairs are tried here and only the passing ones leave.
     """
 
+    apart = distance(percent)
+
     def run(batches):
         for rows, _ in _groups(batches):
             cid, center, n, root, lost, block = (rows.column(k).to_numpy(zero_copy_only=False) for k in (1, 2, 3, 5, 7, 8))
@@ -239,7 +256,7 @@ def _across(percent):
             for i in np.flatnonzero(root != main).tolist():  # every pair across components has an end outside the largest
                 other = (root != root[i]) & ((root == main) | (np.arange(len(cid)) > i)) & (center != cid[i]) & (cid != center[i])
                 j = np.flatnonzero(other & (block != block[i]) if crossing else other)
-                j = j[_near(sig[j], n[j], sig[i], n[i], percent)]
+                j = j[_near(sig[j], n[j], sig[i], n[i], percent, apart)]
                 if not len(j):
                     continue
                 own = values[ends[i] - sizes[i] : ends[i]]

@@ -77,3 +77,16 @@ def test_run_reads_the_table(spark, tmp_path):
     spark.createDataFrame(corpus(), SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
     out = cp.run(spark, str(tmp_path))
     assert out.count() > 50 and out.filter("not round_trip").count() == 0
+
+
+def test_near_dedup_links_from_a_similarity_of_80(spark):
+    rng = random.Random(4)
+    rows = []
+    for k in range(40):
+        words = ["w%d" % rng.randrange(10**6) for _ in range(54)]
+        copy = list(words)
+        copy[rng.randrange(5, 49)] = "changed"  # 45 of 55 shingles in common: 0.818
+        rows += [(2 * k, " ".join(words), None), (2 * k + 1, " ".join(copy), None)]
+    docs = spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t, _ in rows], SCHEMA)
+    got = sorted(r.doc_id for r in cp.near_dedup(spark, docs, "").collect())
+    assert got == sorted(r[0] for r in near_brute(rows, 80) if r[3]) == list(range(0, 80, 2))
