@@ -35,7 +35,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of the best segmentation, with the scores of the two best."""
+    """Token ids of the best segmentation, with the scores and ids of the two best."""
     return encode_documents(docs, n=2, keep=("doc_id", "source"))
 
 
