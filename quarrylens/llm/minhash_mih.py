@@ -29,6 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from quarrylens.llm._common import PrefixHash, lower_ascii, mix64, parts, text_chunks, word_bounds, written
 from quarrylens.llm.components import components
@@ -364,6 +365,11 @@ def _met(classes: DataFrame, percent: int) -> DataFrame:
 
 def minhash_near_dedup(docs: DataFrame, percent: int = 85) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row of docs(doc_id, text)."""
+    return _linked(docs, percent).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def _linked(docs: DataFrame, percent: int) -> DataFrame:
+    """The same with cid, the id of the row's shingle set, and root, the least of its component (null for an empty set)."""
     spark = docs.sparkSession
     n = parts(spark)
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -401,17 +407,41 @@ def minhash_near_dedup(docs: DataFrame, percent: int = 85) -> DataFrame:
     owned = classes.select("cid", "doc").join(roots.withColumnRenamed("node", "cid"), "cid", "left").select("cid", "doc", F.coalesce("root", "cid").alias("root"))
     owned = written(owned, "op7-owned")
     lowest = owned.groupBy("root").agg(F.min("doc").alias("component"))
-    named = owned.join(lowest, "root").select("cid", "component")
+    named = owned.join(lowest, "root").select("cid", "component", "root")
     out = signed.select("doc_id", "n", "cid").join(named, "cid", "left")
     component = F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
+    kept = F.coalesce(F.col("doc_id") == component, F.lit(False))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), kept.alias("kept"), "cid", "root")
+
+
+def _with_cid(batches):
+    """The rows with the id of their text's shingle set at the end."""
+    for batch in batches:
+        for row, buf, offs in text_chunks(pa.RecordBatch.from_arrays([batch.column(batch.num_columns - 1)], names=["text"])):
+            cid = set_ids(*shingle_sets(buf, offs)).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*(c.slice(row, len(cid)) for c in batch.columns[:-1]), pa.array(cid)], names=[*batch.schema.names[:-1], "_cid"])
 
 
 def near_dedup_filter(docs: DataFrame, percent: int = 85) -> DataFrame:
-    """The rows of docs that stay: the one with the smallest doc_id of each component, once.
+    """The rows of docs that stay: one of each component, of its smallest doc_id.
 
-    Rows without a doc_id cannot be named as a copy's original and all stay.
+    Rows without a doc_id cannot be named as a copy's original and all stay.  Rows that share a doc_id are one document
+    where their shingle sets are equal, else each stands for itself: those in different components all stay.
     """
-    kept = minhash_near_dedup(docs, percent).filter("kept").select(F.col("doc_id").alias("_keep")).distinct()
-    named = docs.join(kept, docs.doc_id.cast("long") == kept["_keep"], "left_semi").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.filter("doc_id is null"))
+    found = _linked(docs, percent).filter("doc_id is not null")
+    sets = found.groupBy("doc_id").agg(F.min("cid").alias("lo"), F.max("cid").alias("hi"))
+    torn = written(sets.filter("lo <> hi").select("doc_id"), "op7-torn")
+    kept = found.filter("kept").select(F.col("doc_id").alias("_keep")).distinct()
+    some = torn.limit(1).count() > 0
+    if some:
+        kept = kept.join(torn, F.col("_keep") == torn.doc_id, "left_anti")
+    out = docs.join(kept, docs.doc_id.cast("long") == kept["_keep"], "left_semi").dropDuplicates(["doc_id"])
+    if some:
+        own = found.filter("kept").join(torn, "doc_id", "left_semi")
+        own = own.groupBy("doc_id", F.coalesce("root", "cid").alias("root")).agg(F.min("cid").alias("cid")).select(F.col("doc_id").alias("_keep"), F.col("cid").alias("_set"))
+        rows = docs.join(torn.select(F.col("doc_id").alias("_torn")), docs.doc_id.cast("long") == F.col("_torn"), "left_semi")
+        schema = StructType([*docs.schema.fields, StructField("_cid", LongType())])
+        rows = rows.select("*", F.col("text").cast("string").alias("_text")).mapInArrow(_with_cid, schema)
+        rows = rows.join(own, (F.col("doc_id").cast("long") == F.col("_keep")) & (F.col("_cid") == F.col("_set")), "left_semi")
+        out = out.unionByName(rows.dropDuplicates(["doc_id", "_cid"]).drop("_cid"))
+    return out.unionByName(docs.filter("doc_id is null"))

@@ -105,3 +105,15 @@ def test_groups_keep_every_row_over_batches():
 
 def test_empty_table(spark):
     assert mm.minhash_near_dedup(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def test_filter_with_texts_that_share_a_doc_id(spark):
+    rng = random.Random(5)
+    text = lambda n: " ".join("w%d" % rng.randrange(10**6) for _ in range(n))
+    a, b, c, d = text(80), text(80), text(80), text(80)
+    near = d + " end"
+    rows = [(3, a, 1), (5, a, 2), (5, b, 3), (5, b, 4), (6, b.upper(), 5), (7, c, 6), (7, d, 7), (7, near, 8), (8, near, 9), (9, "", 10), (9, c + " x", 11), (None, a, 12)]
+    for turn in (rows, rows[::-1]):
+        got = mm.near_dedup_filter(spark.createDataFrame(turn, SCHEMA)).collect()
+        sets = sorted((str(r.doc_id), {a: "a", b: "b", c: "c", d: "d", near: "d", "": ""}[r.text]) for r in got)
+        assert sets == [("3", "a"), ("5", "b"), ("7", "c"), ("7", "d"), ("9", ""), ("None", "a")]
