@@ -107,6 +107,16 @@ def test_empty_table(spark):
     assert mm.minhash_near_dedup(spark.createDataFrame([], SCHEMA)).collect() == []
 
 
+@pytest.mark.parametrize("percent", [80, 85])
+def test_loss_at_the_threshold(percent):
+    from math import comb
+
+    j, n = percent / 100, mm.COMPONENTS
+    chunk = sum(comb(mm.CHUNK, k) * (1 - j) ** k * j ** (mm.CHUNK - k) for k in range(mm.ERRORS + 1))
+    dropped = sum(comb(n, k) * (1 - j) ** k * j ** (n - k) for k in range(mm.distance(percent) + 1, n + 1))
+    assert (1 - chunk) ** mm.CHUNKS + dropped < {80: 1.2e-7, 85: 2e-9}[percent]
+
+
 def test_filter_with_texts_that_share_a_doc_id(spark):
     rng = random.Random(5)
     text = lambda n: " ".join("w%d" % rng.randrange(10**6) for _ in range(n))
