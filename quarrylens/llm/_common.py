@@ -1,8 +1,10 @@
-"""Helpers shared by the pipeline operators: shared-folder tables and chunked text access."""
+"""Helpers shared by the pipeline operators: shared-folder tables, joins past hot keys, chunked text access."""
 
 from __future__ import annotations
 
+import tempfile
 import uuid
+from weakref import WeakKeyDictionary
 
 import numpy as np
 import pyarrow as pa
@@ -11,30 +13,87 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CHUNK_BYTES = 1 << 20
+CHUNK_ROWS = 1024
+#: A table of keys is broadcast up to so many rows, which are counted first.
+BROADCAST_ROWS = 2_000_000
+SALTS = 16
+PART_BYTES = 64 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all nodes share: spark.checkpoint.dir, or a local one where that is unset (tests)."""
+    """The folder all nodes share: spark.checkpoint.dir.
+
+    Where it is unset, a temporary folder serves a local master, as in tests; on a cluster that is an error.
+    """
     path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        current = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if current.isDefined():
-            return current.get()
-        path = "/tmp/checkpoints"
-        spark.sparkContext.setCheckpointDir(path)
+    if path:
+        return path
+    current = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if current.isDefined():
+        return current.get()
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all nodes share")
+    path = tempfile.mkdtemp(prefix="quarry-")
+    spark.sparkContext.setCheckpointDir(path)
     return path
 
 
+_paths: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
+_open: list[list[DataFrame]] = []
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
     """Write df as Parquet in the shared folder and read it again: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/quarry-{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _paths[out] = path
+    for made in _open:
+        made.append(out)
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that `written` made.  Nothing that still reads them may run afterwards."""
+    for df in tables:
+        path = _paths.pop(df, None)
+        if path is not None:
+            hadoop = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            hadoop.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+
+class Scratch:
+    """Remembers the tables written inside the block; discard() deletes them, once their results are written themselves."""
 
+    def __enter__(self) -> Scratch:
+        self.made: list[DataFrame] = []
+        _open.append(self.made)
+        return self
 
-def parts(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+    def __exit__(self, *_) -> None:
+        _open[:] = [made for made in _open if made is not self.made]
+
+    def discard(self, *keep: DataFrame) -> None:
+        discard(*(df for df in self.made if all(df is not k for k in keep)))
+
+
+def parts(spark: SparkSession, size: int = 0) -> int:
+    """Shuffle partitions: those of the session, more where ``size`` bytes would not fit into them."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions", "200")), -(-size // PART_BYTES))
+
+
+def spread_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner", rows: int | None = None, most: int = BROADCAST_ROWS) -> DataFrame:
+    """left with right, a table of one row a key, so that no task holds all of a hot key's rows.
+
+    Up to ``most`` counted rows of right are broadcast; beyond that each goes to SALTS salts, over which left is dealt.
+    """
+    if (right.count() if rows is None else rows) <= most:
+        return left.join(F.broadcast(right), keys, how)
+    rest = [F.col(f"`{c}`") for c in left.columns if c not in keys]
+    dealt = left.withColumn("_salt", F.pmod(F.xxhash64(*rest, F.lit(11)), F.lit(SALTS)).cast("int"))
+    return dealt.join(right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), [*keys, "_salt"], how).drop("_salt")
 
 
 def row_key() -> F.Column:
@@ -42,8 +101,8 @@ def row_key() -> F.Column:
     return F.xxhash64(F.col("doc_id"), F.col("text"))
 
 
-def text_chunks(batch: pa.RecordBatch, column: str = "text", limit: int = CHUNK_BYTES):
-    """Yield (first row, uint8 bytes, int64 offsets) over slices of at most about ``limit`` bytes.
+def text_chunks(batch: pa.RecordBatch, column: str = "text", limit: int = CHUNK_BYTES, rows: int = CHUNK_ROWS):
+    """Yield (first row, uint8 bytes, int64 offsets) over slices of at most about ``limit`` bytes and ``rows`` rows.
 
     Nulls count as empty.  A text longer than the limit makes a slice of its own.
     """
@@ -60,7 +119,7 @@ def text_chunks(batch: pa.RecordBatch, column: str = "text", limit: int = CHUNK_
     row = 0
     while row < n:
         end = int(np.searchsorted(offs, offs[row] + limit, side="right")) - 1
-        end = min(n, max(end, row + 1))
+        end = min(n, row + rows, max(end, row + 1))
         yield row, buf[offs[row] : offs[end]], (offs[row : end + 1] - offs[row]).astype(np.int64)
         row = end
 
