@@ -6,13 +6,16 @@ rest of the target is a weighted sample without replacement: each document draws
 quality weight (`quality_weight`), documents are sorted within the source by key, and sizes are prefix-summed
 up to the token budget.  The document that crosses the budget is taken if that lands nearer to it.
 
-The prefix sums need no task that holds a source: keys fall into BINS bins of equal probability, bin totals are
-summed per source first, and only the documents of the one bin that a source's budget ends in are
-sorted.  Draws are hashes of the document, so reruns agree.
-
-Defined results: null or blank text has size 0 and is never counted; a null source is a source of its
-own, last in order; sources without words have target 0; repeated rows draw equal keys and are told apart by
-nothing but their order; an empty table gives an empty result; extra columns are ignored or kept by `mix_documents`.
+No task holds a source, nor all sources.  Sources are numbered by range partitions, the water level is found by
+aggregates over the source table, one row each.  Keys fall into BINS bins of equal probability, bin totals are summed per
+source first, and only the documents of the one bin that a source's budget ends in are sorted; equal rows of it
+count as one with a number, however many they are.  Draws are hashes of the document, so reruns agree.
+
+Defined results: null or blank text has size 0, is never counted and stays once in `mix_documents`; very long texts are counted
+whole; a null source is a source of its own, last in order; sources without words have target 0; rows of one source with
+equal key and text are told apart by a hash of the row (`mix_documents`), and rows that are equal altogether share what
+their group takes; an empty table gives an empty result; extra columns are ignored, or kept by `mix_documents` whatever
+their names.
 """
 
 from __future__ import annotations
@@ -20,13 +23,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarrylens.llm._common import written
+from quarrylens.llm._common import parts, spread_join, written
 
 WEIGHTS = (3.0, 1.0, 2.0)
 TOTAL = 1.5
 CAP = 2.0
 BINS = 4096
 SEED = 20240607
+BLOCK = 4096
 
 
 def word_count(text: F.Column) -> F.Column:
@@ -42,73 +46,145 @@ def quality_weight(length: F.Column, size: F.Column) -> F.Column:
     return F.when(size == 0, F.lit(1.0)).otherwise(0.5 + F.exp(-F.pow((mean - 6.0) / 4.0, 2)))
 
 
+def _numbered(sources: DataFrame) -> DataFrame:
+    """source, source_size and place, the number of the source in order of code points, null last."""
+    ranged = sources.repartitionByRange(parts(sources.sparkSession), F.col("source").asc_nulls_last()).withColumn("part", F.spark_partition_id())
+    ranged = written(ranged, "op6-sources")
+    many = ranged.groupBy("part").agg(F.count(F.lit(1)).alias("many"))  # one row a partition
+    before = F.coalesce(F.sum("many").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offset = many.select("part", before.alias("offset"))
+    inside = F.row_number().over(Window.partitionBy("part").orderBy(F.col("source").asc_nulls_last()))
+    return ranged.withColumn("inside", inside).join(F.broadcast(offset), "part").select("source", "source_size", (F.col("offset") + F.col("inside") - 1).alias("place"))
+
+
 def source_targets(sized: DataFrame, weights=WEIGHTS, total: float = TOTAL, cap: float = CAP) -> DataFrame:
-    """source, source_size, target: one row a source.  Its windows run over sources, not documents."""
+    """source, source_size, target: one row a source.
+
+    A source is full at the water level w if w times its weight exceeds its limit; what the others share is the
+    wanted total less the limits of the full ones, so the level rises with each round until none more is full.
+    """
     sums = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
-    named = sums.withColumn("place", F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1)
     weight = F.element_at(F.array(*map(F.lit, weights)), (F.pmod("place", F.lit(len(weights))) + 1).cast("int"))
-    named = named.withColumn("weight", weight).withColumn("limit", F.col("source_size") * F.lit(cap)).withColumn("ratio", F.col("limit") / F.col("weight"))
-    everything = Window.partitionBy()
-    up = Window.orderBy("ratio", "place")
-    before = up.rowsBetween(Window.unboundedPreceding, -1)
-    onward = up.rowsBetween(0, Window.unboundedFollowing)
-    filled = named.withColumn("wanted", F.sum("source_size").over(everything) * F.lit(total))
-    filled = filled.withColumn("level", (F.col("wanted") - F.coalesce(F.sum("limit").over(before), F.lit(0.0))) / F.sum("weight").over(onward))
-    level = F.max(F.when(F.col("level") <= F.col("ratio"), F.col("level"))).over(everything)
-    filled = filled.withColumn("water", level)
-    target = F.least(F.col("limit"), F.coalesce(F.col("water") * F.col("weight"), F.col("limit")))
-    return filled.select("source", "source_size", F.when(F.col("source_size") == 0, F.lit(0.0)).otherwise(target).alias("target"))
-
-
-def _drawn(docs: DataFrame) -> DataFrame:
-    size = word_count(F.col("text"))
-    draw = (F.pmod(F.xxhash64(F.col("doc_id"), F.col("text"), F.lit(SEED)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
-    sized = docs.select("doc_id", "source", size.alias("size"), draw.alias("u"), F.length("text").alias("length"), F.xxhash64("text").alias("tie"))
-    keyed = sized.withColumn("key", -F.log("u") / quality_weight(F.col("length"), F.col("size")))
-    return keyed.select("doc_id", "source", "size", "tie", "key", F.least(F.floor((1 - F.exp(-F.col("key"))) * BINS), F.lit(BINS - 1)).cast("int").alias("bin"))
-
-
-def source_mix(docs: DataFrame, weights=WEIGHTS, total: float = TOTAL, cap: float = CAP) -> DataFrame:
-    """doc_id, size, source_size, target, taken (and tie, the hash of the text) for each row of docs(doc_id, text, source)."""
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("source").cast("string").alias("source"))
-    drawn = written(_drawn(base), "op6-drawn")
+    named = _numbered(sums).withColumn("weight", weight).withColumn("limit", F.col("source_size") * F.lit(cap))
+    named = written(named.drop("place"), "op6-weights")
+    level, before = 0.0, -1
+    while True:
+        full = F.col("weight") * F.lit(level) >= F.col("limit")
+        row = named.agg(
+            F.sum(F.when(full, 1).otherwise(0)).alias("full"), F.sum("source_size").alias("size"), F.sum(F.when(full, F.col("limit"))).alias("spent"), F.sum(F.when(~full, F.col("weight"))).alias("open")
+        ).first()
+        if row.full is None or row.full == before:
+            break
+        if not row.open:
+            level = float("inf")
+            break
+        level, before = (row.size * total - (row.spent or 0.0)) / row.open, row.full
+    target = F.least(F.col("limit"), F.lit(level) * F.col("weight"))
+    return named.select("source", "source_size", F.when(F.col("source_size") == 0, F.lit(0.0)).otherwise(target).alias("target"))
+
+
+def _draws(doc_id: F.Column, text: F.Column, size: F.Column) -> F.Column:
+    """A document's key: exponential, divided by its weight."""
+    u = (F.pmod(F.xxhash64(doc_id, text, F.lit(SEED)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
+    return -F.log(u) / quality_weight(F.length(text), size)
+
+
+def _bin(key: F.Column) -> F.Column:
+    return F.least(F.floor((1 - F.exp(-key)) * BINS), F.lit(BINS - 1)).cast("int")
+
+
+def _drawn(docs: DataFrame, tie: F.Column) -> DataFrame:
+    """doc_id, source, size, key, bin and tie of each row of docs."""
+    doc_id, text = F.col("doc_id").cast("long"), F.col("text").cast("string")
+    sized = docs.select(doc_id.alias("doc_id"), F.col("source").cast("string").alias("source"), text.alias("text"), word_count(text).alias("size"), tie.alias("tie"))
+    keyed = sized.select("doc_id", "source", "size", _draws(F.col("doc_id"), F.col("text"), F.col("size")).alias("key"), "tie")
+    return keyed.select("doc_id", "source", "size", "key", _bin(F.col("key")).alias("bin"), "tie")
+
+
+def _goals(drawn: DataFrame, weights, total, cap) -> DataFrame:
+    """For each source: its size, target, complete epochs, the rest of the target, the bin the rest ends in, and the words below that bin."""
     targets = source_targets(drawn, weights, total, cap)
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
     targets = written(targets.withColumn("epochs", epochs).withColumn("rest", F.col("target") - F.col("epochs") * F.col("source_size")), "op6-targets")
-
     bins = drawn.groupBy("source", "bin").agg(F.sum("size").alias("bin_size"))
     running = F.sum("bin_size").over(Window.partitionBy("source").orderBy("bin").rowsBetween(Window.unboundedPreceding, Window.currentRow))
     bins = bins.withColumn("upto", running).withColumn("below", F.col("upto") - F.col("bin_size"))
     plan = bins.withColumnRenamed("source", "s").join(targets, F.col("s").eqNullSafe(F.col("source"))).drop("s")
     # the bin that the rest ends in: it begins below the rest and reaches it
     ends = plan.filter((F.col("below") < F.col("rest")) & (F.col("upto") >= F.col("rest"))).select(F.col("source").alias("s"), F.col("bin").alias("end_bin"), "below")
-    goals = written(targets.join(ends, F.col("source").eqNullSafe(F.col("s")), "left").select(F.col("source").alias("s"), "source_size", "target", "epochs", "rest", "end_bin", "below"), "op6-goals")
-
-    joined = drawn.join(goals, F.col("source").eqNullSafe(F.col("s"))).drop("s")
-    once = F.col("size") * F.col("epochs")
-    # rest = 0: no end bin and nothing more; rest not reached by rounding: everything once more
-    settled = joined.filter(F.col("end_bin").isNull() | (F.col("bin") != F.col("end_bin")))
-    more = F.when(F.col("rest") <= 0, 0).when(F.col("end_bin").isNull() | (F.col("bin") < F.col("end_bin")), F.col("size")).otherwise(0)
-    settled = settled.select("doc_id", "size", "source_size", "target", (once + more).cast("long").alias("taken"), "tie")
+    goals = targets.join(ends, F.col("source").eqNullSafe(F.col("s")), "left").select(F.col("source").alias("s"), "source_size", "target", "epochs", "rest", "end_bin", "below")
+    return written(goals, "op6-goals")
+
+
+def _aimed(drawn: DataFrame, goals: DataFrame) -> DataFrame:
+    """drawn with the goals of its source, and ``more``: what it takes beyond the epochs where its bin settles that (else null)."""
+    known = goals.withColumns({"_none": F.col("s").isNull(), "_named": F.coalesce("s", F.lit(""))}).drop("s")
+    joined = spread_join(drawn.withColumns({"_none": F.col("source").isNull(), "_named": F.coalesce("source", F.lit(""))}), known, ["_none", "_named"]).drop("_none", "_named")
+    # rest = 0: nothing more; no end bin: the rest is not reached by rounding, so everything once more
+    more = F.when(F.col("rest") <= 0, 0).when(F.col("end_bin").isNull() | (F.col("bin") < F.col("end_bin")), 1).when(F.col("bin") > F.col("end_bin"), 0)
+    return joined.withColumn("more", more)
+
+
+def _last(aimed: DataFrame) -> DataFrame:
+    """Groups of equal rows of the bins that budgets end in: source, doc_id, key, tie and size, how many rows, and how many of them are taken."""
+    same = ["source", "doc_id", "key", "tie", "size", "source_size", "target", "epochs", "rest", "below"]
+    groups = aimed.filter("more is null").groupBy(*same).agg(F.count(F.lit(1)).alias("many"))
     order = Window.partitionBy("source").orderBy("key", "doc_id", "tie").rowsBetween(Window.unboundedPreceding, -1)
-    c = F.col("below") + F.coalesce(F.sum("size").over(order), F.lit(0))
-    last = joined.filter(F.col("bin") == F.col("end_bin")).withColumn("c", c)
-    fits = (F.col("c") < F.col("rest")) & (2 * F.col("c") + F.col("size") <= 2 * F.col("rest"))
-    last = last.select("doc_id", "size", "source_size", "target", (once + F.when(fits, F.col("size")).otherwise(0)).cast("long").alias("taken"), "tie")
-    return settled.unionByName(last)
+    c = F.col("below") + F.coalesce(F.sum(F.col("many") * F.col("size")).over(order), F.lit(0))
+    # the j-th row begins at c + j * size and is taken if half of it at least lies below the rest
+    fit = F.floor((2 * F.col("rest") - 2 * F.col("c") - F.col("size")) / (2 * F.greatest(F.col("size"), F.lit(1)))) + 1
+    return groups.withColumn("c", c).withColumn("hits", F.least(F.greatest(fit, F.lit(0)), F.col("many")).cast("long")).drop("c", "rest", "below")
+
+
+def _repeated(rows: DataFrame, many: str) -> DataFrame:
+    """Each row as often as its column says; large numbers go to several tasks in blocks."""
+    blocks = F.ceil(F.col(many) / BLOCK).cast("int")
+    few = rows.filter(F.col(many) <= BLOCK).withColumn("_n", F.col(many).cast("int"))
+    split = rows.filter(F.col(many) > BLOCK).withColumn("_block", F.explode(F.sequence(F.lit(1), blocks)))
+    split = split.withColumn("_n", F.least(F.lit(BLOCK), F.col(many) - BLOCK * (F.col("_block") - 1)).cast("int"))
+    split = split.repartition("_block").drop("_block")
+    out = few.filter("_n > 0").unionByName(split)
+    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_n")))).drop("_copy", "_n")
+
+
+def source_mix(docs: DataFrame, weights=WEIGHTS, total: float = TOTAL, cap: float = CAP) -> DataFrame:
+    """doc_id, size, source_size, target, taken for each row of docs(doc_id, text, source)."""
+    drawn = written(_drawn(docs, F.lit(0)), "op6-drawn")
+    aimed = _aimed(drawn, _goals(drawn, weights, total, cap))
+    taken = lambda more: (F.col("size") * (F.col("epochs") + more)).cast("long").alias("taken")
+    settled = aimed.filter("more is not null").select("doc_id", "size", "source_size", "target", taken(F.col("more")))
+    last = written(_last(aimed), "op6-last")
+    hit = _repeated(last.withColumn("n", F.col("hits")), "n").select("doc_id", "size", "source_size", "target", taken(F.lit(1)))
+    left = _repeated(last.withColumn("n", F.col("many") - F.col("hits")), "n").select("doc_id", "size", "source_size", "target", taken(F.lit(0)))
+    return settled.unionByName(hit).unionByName(left)
+
+
+def _row_hash(docs: DataFrame) -> F.Column:
+    """A hash of the whole row; columns that cannot be hashed enter as JSON."""
+    plain = [c.name for c in docs.schema.fields if "map<" not in c.dataType.simpleString() and c.dataType.typeName() != "variant"]
+    rest = [c for c in docs.columns if c not in plain]
+    return F.xxhash64(*[F.col(f"`{c}`") for c in plain], *([F.to_json(F.struct(*[F.col(f"`{c}`") for c in rest]))] if rest else []))
 
 
 def mix_documents(docs: DataFrame, weights=WEIGHTS, total: float = TOTAL, cap: float = CAP) -> DataFrame:
-    """The mix itself: each row of docs as often as the mix takes it."""
-    mixed = source_mix(docs, weights, total, cap)
-    times = F.when(F.col("size") > 0, F.col("taken") / F.col("size")).otherwise(F.lit(1)).cast("int")
-    # repeated rows share doc_id and text: each group of them takes as many copies as its rows were dealt
-    dealt = mixed.select(F.col("doc_id").alias("_mix_id"), F.col("tie").alias("_mix_tie"), times.alias("_mix_n")).groupBy("_mix_id", "_mix_tie").agg(F.sum("_mix_n").alias("_mix_n"), F.count(F.lit(1)).alias("_mix_rows"))
-    known = docs.withColumn("_mix_text", F.xxhash64(F.col("text").cast("string")))
-    joined = known.join(dealt, known.doc_id.cast("long").eqNullSafe(dealt["_mix_id"]) & (known["_mix_text"] == dealt["_mix_tie"]))
-    alone = joined.filter("_mix_rows = 1").withColumn("_mix_copies", F.col("_mix_n"))
-    place = F.row_number().over(Window.partitionBy("_mix_id", "_mix_tie").orderBy(F.lit(1)))
-    several = joined.filter("_mix_rows > 1").withColumn("_mix_place", place)
-    share = F.floor(F.col("_mix_n") / F.col("_mix_rows")) + F.when(F.col("_mix_place") <= F.col("_mix_n") % F.col("_mix_rows"), 1).otherwise(0)
-    both = alone.unionByName(several.withColumn("_mix_copies", share).drop("_mix_place")).filter("_mix_copies > 0")
-    return both.withColumn("_mix_copy", F.explode(F.sequence(F.lit(1), F.col("_mix_copies").cast("int")))).select(*[f"`{c}`" for c in docs.columns])
+    """The mix itself: each row of docs as often as the mix takes it.
+
+    Whether a row is taken once more is known from its bin, so texts are not shuffled but for those of the bins that budgets end in.
+    """
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    held = docs.select(row.alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("source").cast("string").alias("source"), _row_hash(docs).alias("tie"))
+    drawn = written(_drawn(held.drop("row"), F.col("tie")), "op6-drawn")
+    goals = _goals(drawn, weights, total, cap)
+    last = written(_last(_aimed(drawn, goals)).select("source", "doc_id", "key", "tie", "many", "hits"), "op6-last")
+
+    sized = held.withColumn("size", word_count(F.col("text"))).withColumn("key", _draws(F.col("doc_id"), F.col("text"), F.col("size")))
+    sized = sized.select("row", "doc_id", "source", "size", "key", "tie", _bin(F.col("key")).alias("bin"))
+    aimed = _aimed(sized, goals)
+    blank = F.col("size") == 0
+    settled = aimed.filter(F.col("more").isNotNull() | blank)
+    settled = settled.select("row", F.when(blank, F.lit(1)).otherwise(F.col("epochs") + F.col("more")).cast("long").alias("n"))
+    groups = aimed.filter(F.col("more").isNull() & ~blank).groupBy("source", "doc_id", "key", "tie", "epochs").agg(F.first("row").alias("row"))
+    keys = ["source", "doc_id", "key", "tie"]
+    on = [groups[c].eqNullSafe(last[c]) for c in keys]
+    ended = groups.join(last, on).select("row", (F.col("many") * F.col("epochs") + F.col("hits")).alias("n"))
+    return _repeated(settled.filter("n > 0").unionByName(ended), "n").select("row.*")

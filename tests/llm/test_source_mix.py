@@ -2,7 +2,9 @@ import random
 import re
 from collections import defaultdict
 
-from quarrylens.llm.source_mix import mix_documents, source_mix
+import pytest
+
+from quarrylens.llm.source_mix import mix_documents, source_mix, source_targets
 
 SCHEMA = "doc_id long, text string, source string, size int, taken string"
 
@@ -76,3 +78,46 @@ def test_mixed_rows_hold_what_was_taken(spark):
 def test_empty_table(spark):
     empty = spark.createDataFrame([], SCHEMA)
     assert source_mix(empty).collect() == [] and mix_documents(empty).collect() == []
+
+
+@pytest.mark.parametrize("first", ["a", "b"])
+def test_one_text_in_two_sources(spark, first):
+    rows = [(k, f"w{k} " * 49, s, k, None) for s in (("a", "b") if first == "a" else ("b", "a")) for k in range(40)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    taken = defaultdict(int)
+    for r in mix_documents(df).collect():
+        taken[r.source] += sizes(r.text)
+    want = targets({"a": 40 * 49, "b": 40 * 49})
+    assert all(abs(taken[s] - want[s]) <= 49 / 2 for s in want)
+
+
+def test_a_group_of_equal_rows_ends_the_budget(spark):
+    rows = [(5, "one two three four", "a", 0, None)] * 9000 + [(6, "one two", "b", 0, None)] * 10_000
+    df = spark.createDataFrame(rows, SCHEMA)
+    want = targets({"a": 36_000, "b": 20_000})
+    got = defaultdict(int)
+    for r in source_mix(df).collect():
+        got[r.doc_id] += r.taken
+    assert len(source_mix(df).collect()) == len(rows)
+    assert abs(got[5] - want["a"]) <= 2 and abs(got[6] - want["b"]) <= 1
+    mixed = mix_documents(df).groupBy("doc_id").count().collect()
+    assert {r.doc_id: r["count"] * (4 if r.doc_id == 5 else 2) for r in mixed} == dict(got)
+
+
+def test_rows_that_differ_in_another_column_only(spark):
+    rows = [(1, "w " * 10, "a", k, None) for k in range(30)] + [(2, "x " * 10, "b", 0, None)] * 30
+    df = spark.createDataFrame(rows, SCHEMA).selectExpr("*", "map('k', size) as m")
+    once, again = (sorted(map(str, mix_documents(d).collect())) for d in (df, df.repartition(5)))
+    assert once == again
+    assert abs(len(once) * 10 - 1.5 * 600) <= 10
+
+
+def test_many_sources(spark):
+    rng = random.Random(4)
+    rows = [(k, "w " * rng.randint(1, 30), f"s{rng.randrange(300)}", k, None) for k in range(900)]
+    by_source = defaultdict(int)
+    for r in rows:
+        by_source[r[2]] += sizes(r[1])
+    want = targets(by_source)
+    got = {r.source: r.target for r in source_targets(spark.createDataFrame([(s, n) for s, n in by_source.items()], "source string, size long")).collect()}
+    assert set(got) == set(want) and all(abs(got[s] - want[s]) < 1e-6 * max(1, want[s]) for s in want)
