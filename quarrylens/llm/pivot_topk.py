@@ -1,72 +1,71 @@
 """Exact top-k by inner product over a pivot-distance index.
 
 Components become floor(64 * x).  Each vector v gets one more component sqrt(M - |v|^2), M the greatest
-squared norm, so that for a query q (with 0 there) a higher inner product is a smaller distance:
-``|q - v|^2 = |q|^2 + M - 2 q.v``.  Each vector is keyed by its nearest pivot and its distance to it.  A cell (pivot and
-salt; a pivot with many vectors has several cells) holds its vectors sorted by distance; queries meet it in blocks.
+squared norm, so that all lie on a sphere; a query q gets 0 and is stretched onto it by s, so that a higher inner product
+is a smaller distance: ``|s q - v|^2 = 2 M - 2 s q.v``.  Each vector is keyed by its nearest pivot and its distance to it.  The annuli of a pivot
+are cut into rings of distance, and a ring of many vectors into salts, so a cell holds about CELL vectors, sorted
+by distance.  There are more pivots the more vectors there are.
 
 A query first searches one cell of its nearest pivot, which bounds its k-th score.  It then goes to
-every pivot whose annulus can hold a nearer vector.  Inside a cell it expands rings around its own
-distance to the pivot and stops when the triangle inequality shows that nothing outside can reach the k-th score.
-Scores are exact integers; the pivots (k-means on a bounded sample) only steer the search.
+every ring that can hold a nearer vector by the triangle inequality, and to no other.  Inside a cell it
+expands annuli around its own distance to the pivot and stops when the triangle inequality shows that nothing outside can
+reach the k-th score.  Queries go to cells in blocks of QUERIES; a cell is copied for each block that it is asked by, so what
+moves is in proportion to the vectors and to the (query, cell) pairs that the bounds leave.  Scores are exact
+integers; the pivots (k-means on a bounded sample) only steer the search.
+
+Equal vectors are one point of the index with their smallest vec_ids, as many as any result can need, and equal queries
+are searched once; a vector that is a third of all rows costs what a single one costs.
 
 Defined results: vectors that are null or hold a null or non-finite component take no part, neither does a
-null vec_id; shorter vectors count as padded with zeros; fewer than k candidates: all of them; ties go to the
-smaller vec_id; the query's own row (its vec_id) is no candidate; repeated rows are candidates each; an empty table gives
-an empty result; extra columns are ignored.  Components beyond 2**20 in size are refused with an error.
+null vec_id; shorter vectors count as padded with zeros, very long ones are taken whole; components whose
+floor is beyond 64 bits count as the greatest or least such integer, scores as 2**63 - 1 or its negative; fewer than k candidates: all of them;
+ties go to the smaller vec_id; the query's own vec_id is no candidate, in whatever row; a vec_id with several
+vectors asks with the least of them; repeated rows are candidates each; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarrylens.llm._common import written
+from quarrylens.llm._common import discard, spread_join, written
 
 K = 20
-PIVOTS = 48
+PIVOTS = (16, 2048)
 SAMPLE = 4096
 CELL = 8192
 QUERIES = 4096
 RING = 256
-BOUND = 1 << 20
-SLACK = 1e-6
+#: Rows with a vector and its results are broadcast up to so many.
+WIDE_ROWS = 10_000
+EXACT = 2.0**52
+SLACK = 1e-9
+MOST = (1 << 63) - 1
 
 
 def _matrix(column, width: int) -> np.ndarray:
-    rows = column.to_pylist()
-    if rows and all(len(r) == 4 * width for r in rows):
-        return np.frombuffer(b"".join(rows), np.int32).reshape(len(rows), width)
-    out = np.zeros((len(rows), width), np.int32)
-    for k, r in enumerate(rows):
-        v = np.frombuffer(r, np.int32)
-        out[k, : len(v)] = v
+    """Rows of 64-bit integers, padded with zeros."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    values = column.flatten().to_numpy(zero_copy_only=False)
+    sizes = np.diff(column.offsets.to_numpy())
+    if len(sizes) and (sizes == width).all():
+        return values.reshape(len(sizes), width)
+    out = np.zeros((len(sizes), width), np.int64)
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    out[row, np.arange(len(values)) - np.repeat(np.cumsum(sizes) - sizes, sizes)] = values
     return out
 
 
-def _quantise(batches):
-    for batch in batches:
-        ids, raw, norm, dim = [], [], [], []
-        col = batch.column(1)
-        vec_id = batch.column(0).to_pylist()
-        for k in range(batch.num_rows):
-            values = col[k].values
-            if values is None or values.null_count or vec_id[k] is None:
-                continue
-            x = values.to_numpy(zero_copy_only=False).astype(np.float64)
-            if not np.isfinite(x).all():
-                continue
-            q = np.floor(64 * x)
-            if len(q) and np.abs(q).max() > BOUND:
-                raise ValueError(f"component beyond {BOUND} in vec_id {vec_id[k]}")
-            q = q.astype(np.int32)
-            ids.append(vec_id[k])
-            raw.append(q.tobytes())
-            norm.append(int((q.astype(np.int64) ** 2).sum()))
-            dim.append(len(q))
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(raw, pa.binary()), pa.array(norm, pa.int64()), pa.array(dim, pa.int32())], names=["vec_id", "q", "norm", "dim"])
+def _scores(vectors: np.ndarray, floats: np.ndarray, q: np.ndarray, exact: bool) -> np.ndarray:
+    """Inner products; floats hold them exactly while they are small, else whole numbers do, up to MOST in size."""
+    if exact:
+        return floats @ q.astype(np.float64)
+    return np.array([min(max(sum(map(int.__mul__, v, q.tolist())), -MOST), MOST) for v in vectors.tolist()], object)
 
 
 def fit_pivots(vectors: np.ndarray, count: int) -> np.ndarray:
@@ -83,159 +82,241 @@ def fit_pivots(vectors: np.ndarray, count: int) -> np.ndarray:
     return centres
 
 
-def _augment(q: np.ndarray, norm: np.ndarray, top: int) -> np.ndarray:
+def _augment(q: np.ndarray, norm: np.ndarray, top: float) -> np.ndarray:
     return np.hstack([q.astype(np.float64), np.sqrt(np.maximum(top - norm, 0))[:, None]])
 
 
-def _assign(shared):
+def _stretched(q: np.ndarray, norm: np.ndarray, top: float) -> np.ndarray:
+    return np.hstack([q * _stretch(norm, top)[:, None], np.zeros((len(q), 1))])
+
+
+def _distances(full: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+    return np.sqrt(np.maximum((full**2).sum(1)[:, None] - 2 * full @ pivots.T + (pivots**2).sum(1), 0))
+
+
+def _stretch(norm, top: float):
+    """Factor that brings a query onto the sphere of the augmented vectors; 0 for a query of zeros."""
+    return np.sqrt(np.divide(top, norm, out=np.zeros_like(norm), where=norm > 0))
+
+
+def _reach(stretch, top: float, score):
+    """Distance from the stretched query within which a vector of at least that score lies, with room for rounding."""
+    return np.sqrt(np.maximum(2 * top - 2 * stretch * score, 0) + 2 * SLACK * top) + 1e-7 * np.sqrt(top) + 1e-6
+
+
+def _assign(shared, augmented: bool):
+    """The nearest pivot and the distance to it, at the end of rows that begin with (id, q, norm)."""
+
     def run(batches):
         pivots, top, width = shared.value
         for batch in batches:
             if not batch.num_rows:
                 continue
-            q = _matrix(batch.column(1), width)
             norm = batch.column(2).to_numpy(zero_copy_only=False)
-            full = _augment(q, norm, top)
-            dist = np.sqrt(np.maximum((full**2).sum(1)[:, None] - 2 * full @ pivots.T + (pivots**2).sum(1), 0))
-            pivot = dist.argmin(1)
+            full = _matrix(batch.column(1), width)
+            full = _augment(full, norm, top) if augmented else _stretched(full, norm, top)
+            pivot = _distances(full, pivots).argmin(1)
             # exact distance to the chosen one, as the matrix form cancels
             own = np.sqrt(((full - pivots[pivot]) ** 2).sum(1))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(pivot.astype(np.int32)), pa.array(own)], names=["vec_id", "q", "norm", "pivot", "dist"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(pivot.astype(np.int32)), pa.array(own)], names=[*batch.schema.names, "pivot", "dist"])
 
     return run
 
 
-def _route(shared, cells, spans):
-    """Pivots that can still hold something for a query: (pivot, query, distance of the query to it, bound)."""
+def _route(shared, spans):
+    """For queries (asked, q, norm, bound): the pivots that can still hold something, the query's distance to each, and its reach."""
 
     def run(batches):
         pivots, top, width = shared.value
-        alive = np.array(sorted(cells), np.int64)
-        lo, hi = np.array([spans[p][0] for p in alive.tolist()]), np.array([spans[p][1] for p in alive.tolist()])
+        alive, lo, hi = spans
         for batch in batches:
-            if not batch.num_rows or not len(alive):
+            if not batch.num_rows:
                 continue
-            q = _matrix(batch.column(1), width)
             norm = batch.column(2).to_numpy(zero_copy_only=False)
             bound = batch.column(3).to_numpy(zero_copy_only=False)
-            full = np.hstack([q.astype(np.float64), np.zeros((len(q), 1))])
-            dist = np.sqrt(np.maximum((full**2).sum(1)[:, None] - 2 * full @ pivots[alive].T + (pivots[alive] ** 2).sum(1), 0))
-            first = np.isnan(bound)
-            reach = np.sqrt(np.maximum(norm + top - 2 * np.where(first, 0, bound), 0))[:, None] * (1 + SLACK) + SLACK + 1e-3
-            go = (lo <= dist + reach) & (hi >= dist - reach)
-            go[first] = False
-            nearest = np.where(np.isfinite(dist), dist, np.inf).argmin(1)
-            go[np.flatnonzero(first), nearest[first]] = True
-            row, col = np.nonzero(go)
-            take = pa.array(row)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(alive[col].astype(np.int32)), batch.column(0).take(take), batch.column(1).take(take), batch.column(2).take(take), batch.column(3).take(take), pa.array(dist[row, col])],
-                names=["pivot", "query_id", "q", "norm", "bound", "dist"],
-            )
+            full = _stretched(_matrix(batch.column(1), width), norm, top)
+            dist = _distances(full, pivots[alive])
+            bound = bound - SLACK * np.abs(bound) - 1  # of scores beyond the exact doubles
+            reach = np.where(np.isnan(bound), np.inf, _reach(_stretch(norm, top), top, np.where(np.isnan(bound), 0, bound)))
+            room = reach[:, None] + 1e-6 * np.sqrt(top)  # of the matrix form
+            row, col = np.nonzero((lo <= dist + room) & (hi >= dist - room))
+            exact = np.sqrt(((full[row] - pivots[alive[col]]) ** 2).sum(1))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), pa.array(alive[col]), pa.array(exact), pa.array(reach[row])], names=["asked", "pivot", "dist", "reach"])
 
     return run
 
 
 def _search(shared, k: int):
-    """One cell's vectors and the queries sent to it (cogrouped): the candidates of each query that reach its k-th score."""
+    """One cell's vectors and a block of the queries sent to it (cogrouped): the points of each query that reach its k-th score."""
 
     def run(left, right):
         _, top, width = shared.value
-        left = left.combine_chunks()
-        right = right.combine_chunks()
-        none = pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.int64())})
+        left, right = left.combine_chunks(), right.combine_chunks()
+        none = pa.table({"asked": pa.array([], pa.int64()), "point": pa.array([], pa.int64()), "score": pa.array([], pa.int64())})
         if not left.num_rows or not right.num_rows:
             return none
         dist = left["dist"].to_numpy()
-        order = np.lexsort((left["vec_id"].to_numpy(), dist))
-        dist, ids = dist[order], left["vec_id"].to_numpy()[order]
-        vectors = _matrix(left["q"], width)[order].astype(np.float64)
-        q = _matrix(right["q"], width).astype(np.float64)
-        qid, qnorm, bound, qdist = (right[c].to_numpy(zero_copy_only=False) for c in ("query_id", "norm", "bound", "dist"))
+        order = np.lexsort((left["point"].to_numpy(), dist))
+        dist, ids, many = dist[order], left["point"].to_numpy()[order], left["many"].to_numpy()[order]
+        vectors = _matrix(left["q"], width)[order]
+        floats = vectors.astype(np.float64)
+        q = _matrix(right["q"], width)
+        asked, qnorm, bound, qdist = (right[c].to_numpy(zero_copy_only=False) for c in ("asked", "norm", "bound", "dist"))
         out = []
-        for r in range(len(qid)):
-            floor = -np.inf if np.isnan(bound[r]) else bound[r]
+        for r in range(len(asked)):
+            stretch = _stretch(qnorm[r : r + 1], top)[0]
+            exact = math.sqrt(qnorm[r]) * math.sqrt(top) < EXACT
+            score = lambda a, b: _scores(vectors[a:b], floats[a:b], q[r], exact)  # noqa: B023, E731
+            floor = -math.inf if np.isnan(bound[r]) else bound[r] if exact else bound[r] - 1e-9 * abs(bound[r]) - 1
             mid = int(np.searchsorted(dist, qdist[r]))
             lo, hi = max(0, mid - RING), min(len(dist), mid + RING)
-            score, who = vectors[lo:hi] @ q[r], ids[lo:hi]
-            ring = RING
+            got, ring = score(lo, hi), RING
             while True:
-                rest = score[who != qid[r]]
-                if len(rest) >= k:
-                    floor = max(floor, np.partition(rest, len(rest) - k)[len(rest) - k])
-                if np.isfinite(floor):
-                    reach = np.sqrt(max(qnorm[r] + top - 2 * floor, 0)) * (1 + SLACK) + 1e-3
+                best = np.argsort(-got, kind="stable")
+                enough = np.searchsorted(np.cumsum(many[lo:hi][best]), k)  # equal vectors count as often as they occur
+                if enough < len(best):
+                    floor = max(floor, got[best[enough]])
+                if floor > -math.inf:
+                    reach = _reach(stretch, top, float(floor))
                     to_lo, to_hi = int(np.searchsorted(dist, qdist[r] - reach)), int(np.searchsorted(dist, qdist[r] + reach, side="right"))
                 else:
                     to_lo, to_hi = 0, len(dist)
                 if to_lo >= lo and to_hi <= hi:
                     break
                 ring *= 4
-                new_lo, new_hi = max(min(lo, to_lo), lo - ring) if to_lo < lo else lo, min(max(hi, to_hi), hi + ring) if to_hi > hi else hi
-                new_lo = max(new_lo, 0)
-                score = np.concatenate([vectors[new_lo:lo] @ q[r], score, vectors[hi:new_hi] @ q[r]])
-                who = np.concatenate([ids[new_lo:lo], who, ids[hi:new_hi]])
+                new_lo = max(to_lo, lo - ring, 0) if to_lo < lo else lo
+                new_hi = min(to_hi, hi + ring) if to_hi > hi else hi
+                got = np.concatenate([score(new_lo, lo), got, score(hi, new_hi)])
                 lo, hi = new_lo, new_hi
-            good = (score >= floor) & (who != qid[r])
-            s, w = score[good].astype(np.int64), who[good]
-            best = np.lexsort((w, -s))[:k]
-            out.append((np.full(len(best), qid[r]), w[best], s[best]))
+            good = np.flatnonzero(got >= floor)
+            out.append((np.full(len(good), asked[r]), ids[lo:hi][good], got[good].astype(np.int64)))
         cols = [np.concatenate(c) for c in zip(*out)]
-        return pa.table({"query_id": pa.array(cols[0], pa.int64()), "vec_id": pa.array(cols[1], pa.int64()), "score": pa.array(cols[2], pa.int64())})
+        return pa.table({"asked": pa.array(cols[0], pa.int64()), "point": pa.array(cols[1], pa.int64()), "score": pa.array(cols[2], pa.int64())})
 
     return run
 
 
-_FOUND = "query_id long, vec_id long, score long"
+def _norm(q: F.Column) -> F.Column:
+    return F.aggregate(q, F.lit(0.0), lambda acc, x: acc + x.cast("double") * x.cast("double"))
+
+
+def _quantised(vectors: DataFrame) -> DataFrame:
+    """vec_id, q and squared norm of the vectors that take part."""
+    kept = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("e")).filter("vec_id is not null and e is not null")
+    kept = kept.filter(~F.exists("e", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))))
+    q = kept.select("vec_id", F.transform("e", lambda x: F.floor(x * 64)).alias("q"))
+    return q.withColumn("norm", _norm(F.col("q")))
+
+
+def _points(quantised: DataFrame, k: int, most: int) -> DataFrame:
+    """Equal vectors as one point: its number, q, norm, the least vec_ids that a result can need, and how many those are.
+
+    A query passes over the rows of its own vec_id, ``most`` at most, and then takes k.  Both windows keep the first rows of a group
+    before they shuffle, so a vector of a third of all rows never meets in one task.
+    """
+    rows = quantised.withColumn("point", F.xxhash64("q"))
+    rows = rows.withColumn("r", F.row_number().over(Window.partitionBy("point", "q", "vec_id").orderBy("norm"))).filter(F.col("r") <= k)
+    rows = rows.withColumn("r", F.row_number().over(Window.partitionBy("point", "q").orderBy("vec_id"))).filter(F.col("r") <= k + most)
+    held = rows.groupBy("point", "q").agg(F.first("norm").alias("norm"), F.sort_array(F.collect_list("vec_id")).alias("ids"))
+    return _apart(written(held.select("point", "q", "norm", "ids", F.size("ids").alias("many")), "op3-points"), "point")
+
+
+def _apart(rows: DataFrame, number: str) -> DataFrame:
+    """Different vectors whose hashes are equal get numbers of their own."""
+    shared = rows.groupBy(number).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(number)
+    if not shared.limit(1).count():
+        return rows
+    place = F.row_number().over(Window.partitionBy(number).orderBy("q"))
+    moved = rows.join(shared, number, "left_semi").withColumn("_place", place).withColumn(number, F.when(F.col("_place") == 1, F.col(number)).otherwise(F.xxhash64(number, "_place")))
+    return written(rows.join(shared, number, "left_anti").unionByName(moved.drop("_place")), "op3-apart")
 
 
 def pivot_topk(vectors: DataFrame, every: int = 20, k: int = K) -> DataFrame:
     """query_id, rank, vec_id, score: the k best of all other rows for each row whose vec_id is divisible by ``every``."""
+    return _search_all(vectors, every, k)[0]
+
+
+def _search_all(vectors: DataFrame, every: int, k: int) -> tuple[DataFrame, DataFrame | None]:
+    """The result, and the (query, cell) pairs that were searched."""
     spark = vectors.sparkSession
-    kept = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
-    points = written(kept.mapInArrow(_quantise, "vec_id long, q binary, norm long, dim int"), "op3-points")
-    shape = points.agg(F.count(F.lit(1)).alias("n"), F.max("norm").alias("top"), F.max("dim").alias("width")).first()
-    if not shape.n:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    top, width = int(shape.top), int(shape.width)
-    share = min(1.0, SAMPLE / shape.n)
-    sample = points.filter(F.pmod(F.xxhash64("vec_id", F.lit(3)), F.lit(1 << 20)) < int(share * (1 << 20)) + 1).select("q", "norm").limit(2 * SAMPLE).toArrow()
+    nothing = spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    quantised = _quantised(vectors)
+    own = quantised.filter(F.pmod("vec_id", F.lit(every)) == 0).groupBy(F.col("vec_id").alias("query_id")).agg(F.min("q").alias("q"), F.count(F.lit(1)).alias("rows"))
+    own = written(own, "op3-queries")
+    most = own.agg(F.max("rows")).first()[0]
+    if not most:
+        return nothing, None
+    most = min(int(most), k)
+    points = _points(quantised, k, most)
+    shape = points.agg(F.count(F.lit(1)).alias("n"), F.max("norm").alias("top"), F.max(F.size("q")).alias("width")).first()
+    top, width, count = float(shape.top), int(shape.width), min(PIVOTS[1], max(PIVOTS[0], math.isqrt(shape.n) // 4))
+    share = int(min(1.0, max(SAMPLE, 4 * count) / shape.n) * (1 << 20)) + 1
+    sample = points.filter(F.pmod(F.xxhash64("point", F.lit(3)), F.lit(1 << 20)) < share).select("q", "norm").limit(2 * max(SAMPLE, 4 * count)).toArrow()
     if not sample.num_rows:
         sample = points.select("q", "norm").limit(SAMPLE).toArrow()
-    sample = sample.combine_chunks()
-    pivots = fit_pivots(_augment(_matrix(sample["q"], width), sample["norm"].to_numpy(), top), PIVOTS)
+    pivots = fit_pivots(_augment(_matrix(sample["q"], width), sample["norm"].to_numpy(), top), count)
     shared = spark.sparkContext.broadcast((pivots, top, width))
 
-    assigned = written(points.select("vec_id", "q", "norm").mapInArrow(_assign(shared), "vec_id long, q binary, norm long, pivot int, dist double"), "op3-assigned")
-    by_pivot = assigned.groupBy("pivot").agg(F.count(F.lit(1)).alias("n"), F.min("dist").alias("lo"), F.max("dist").alias("hi")).collect()  # PIVOTS rows at most
-    cells = {r.pivot: -(-r.n // CELL) for r in by_pivot}
-    spans = {r.pivot: (r.lo, r.hi) for r in by_pivot}
-    salts = F.create_map(*[F.lit(x) for p, m in sorted(cells.items()) for x in (p, m)])[F.col("pivot")]
-    index = assigned.withColumn("salt", F.pmod(F.xxhash64("vec_id", F.lit(1)), salts).cast("int")).select("pivot", "salt", "vec_id", "q", "dist")
-
-    asked = assigned.filter(F.pmod("vec_id", F.lit(every)) == 0).select(F.col("vec_id").alias("query_id"), "q", "norm").dropDuplicates(["query_id"])
-    # queries go in blocks, so that a task holds one cell and one block; each block meets every cell it is sent to
-    asked = written(asked, "op3-asked")
-    blocks = max(1, -(-asked.count() // QUERIES))
-    index = index.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))) if blocks > 1 else F.lit(0))
-    routed = "pivot int, query_id long, q binary, norm long, bound double, dist double"
-
-    def searched(queries: DataFrame, all_cells: bool) -> DataFrame:
-        sent = queries.select("query_id", "q", "norm", "bound").mapInArrow(_route(shared, cells, spans), routed)
-        if all_cells:
-            sent = sent.withColumn("salt", F.explode(F.sequence(F.lit(0), (salts - 1).cast("int"))))
-        else:
-            sent = sent.withColumn("salt", F.pmod(F.xxhash64("query_id", F.lit(2)), salts).cast("int"))
-        sent = sent.withColumn("block", F.pmod(F.xxhash64("query_id", F.lit(4)), F.lit(blocks)).cast("int"))
-        keys = ["pivot", "salt", "block"]
-        return index.groupBy(*keys).cogroup(sent.groupBy(*keys)).applyInArrow(_search(shared, k), _FOUND)
-
-    first = searched(asked.withColumn("bound", F.lit(float("nan"))), False)
-    ranked = first.withColumn("r", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
-    bounds = ranked.filter(F.col("r") == k).select("query_id", F.col("score").cast("double").alias("bound"))
-    # with too few candidates in its first cell a query has no bound yet and must see every cell
-    least = float(-(BOUND**2) * max(width, 1))
-    bounded = written(asked.join(bounds, "query_id", "left").withColumn("bound", F.coalesce("bound", F.lit(least))), "op3-bounds")
-    found = searched(bounded, True)
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return found.withColumn("rank", rank.cast("int")).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    head = "long, q array<bigint>, norm double"
+    assigned = written(points.select("point", "q", "norm", "many").mapInArrow(_assign(shared, True), f"point {head}, many int, pivot int, dist double"), "op3-assigned")
+    # one row a pivot: PIVOTS bounds them
+    by_pivot = written(assigned.groupBy("pivot").agg(F.ceil(F.count(F.lit(1)) / CELL).cast("int").alias("rings"), F.min("dist").alias("lo"), F.max("dist").alias("hi")), "op3-pivots")
+    spans = np.array(sorted((r.pivot, r.lo, r.hi) for r in by_pivot.collect()))
+    spans = (spans[:, 0].astype(np.int32), spans[:, 1], spans[:, 2])
+    wide = F.greatest(F.col("hi") - F.col("lo"), F.lit(1e-12))
+    ring = F.least(F.floor((F.col("dist") - F.col("lo")) / wide * F.col("rings")), F.col("rings") - 1).cast("int")
+    ringed = assigned.join(F.broadcast(by_pivot), "pivot").withColumn("ring", ring).drop("lo", "hi", "rings")
+    rings = ringed.groupBy("pivot", "ring").agg(F.ceil(F.count(F.lit(1)) / CELL).cast("int").alias("salts"), F.min("dist").alias("lo"), F.max("dist").alias("hi"))
+    rings = written(rings, "op3-rings")
+    many_rings = rings.count()
+    salts = rings.select("pivot", "ring", "salts")
+    cells = spread_join(ringed, salts, ["pivot", "ring"], rows=many_rings).withColumn("salt", F.pmod(F.xxhash64("point", F.lit(1)), F.col("salts")).cast("int")).drop("salts")
+    cells = written(cells, "op3-cells")
+    discard(assigned)
+
+    # equal queries are asked once
+    asked = own.groupBy(F.xxhash64("q").alias("asked"), "q").agg(F.count(F.lit(1)).alias("n"))
+    asked = _apart(written(asked.select("asked", "q", _norm(F.col("q")).alias("norm")), "op3-asked"), "asked")
+    asked = written(asked.mapInArrow(_assign(shared, False), f"asked {head}, pivot int, dist double"), "op3-asked")
+    cell = ["pivot", "ring", "salt"]
+
+    def searched(sent: DataFrame) -> DataFrame:
+        """sent(asked, pivot, ring, salt, dist, bound): every query against its cells."""
+        blocks = written(sent.groupBy(*cell).agg(F.ceil(F.count(F.lit(1)) / QUERIES).cast("int").alias("blocks")), "op3-blocks")
+        n = blocks.count()
+        index = spread_join(cells, blocks, cell, rows=n).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
+        right = spread_join(sent, blocks, cell, rows=n).withColumn("block", F.pmod(F.xxhash64("asked", F.lit(4)), F.col("blocks")).cast("int")).drop("blocks")
+        right = right.join(asked.select("asked", "q", "norm"), "asked")
+        return index.groupBy(*cell, "block").cogroup(right.groupBy(*cell, "block")).applyInArrow(_search(shared, k + most), "asked long, point long, score long")
+
+    # the first cell: the ring of the nearest pivot that lies nearest
+    gap = F.greatest(F.col("lo") - F.col("dist"), F.col("dist") - F.col("hi"), F.lit(0.0))
+    first = spread_join(asked.select("asked", "pivot", "dist"), rings.groupBy("pivot").agg(F.collect_list(F.struct("ring", "salts", "lo", "hi")).alias("all")), ["pivot"])
+    nearest = first.select("asked", "pivot", "dist", F.explode("all").alias("x")).select("asked", "pivot", "dist", "x.*")
+    nearest = nearest.groupBy("asked", "pivot", "dist").agg(F.min_by(F.struct("ring", "salts"), F.struct(gap, "ring")).alias("x"))
+    nearest = nearest.select("asked", "pivot", "dist", "x.ring", F.pmod(F.xxhash64("asked", F.lit(2)), F.col("x.salts")).cast("int").alias("salt"), F.lit(float("nan")).alias("bound"))
+    nearest = written(nearest, "op3-first")
+    found = written(searched(nearest), "op3-found-first")
+    # the score that k + most rows reach in the first cell
+    counted = found.join(points.select("point", "many"), "point")
+    upto = F.sum("many").over(Window.partitionBy("asked").orderBy(F.desc("score"), "point"))
+    bounds = counted.withColumn("upto", upto).filter(F.col("upto") >= k + most).groupBy("asked").agg(F.max("score").cast("double").alias("bound"))
+    bounded = written(asked.select("asked", "q", "norm").join(bounds, "asked", "left").withColumn("bound", F.coalesce("bound", F.lit(float("nan")))), "op3-bounds")
+
+    routed = written(bounded.mapInArrow(_route(shared, spans), "asked long, pivot int, dist double, reach double"), "op3-routed")
+    sent = routed.join(F.broadcast(rings) if many_rings <= 2_000_000 else rings, "pivot").filter((F.col("lo") <= F.col("dist") + F.col("reach")) & (F.col("hi") >= F.col("dist") - F.col("reach")))
+    sent = sent.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).select("asked", *cell, "dist")
+    sent = sent.join(nearest.select("asked", *cell), ["asked", *cell], "left_anti").join(bounded.select("asked", "bound"), "asked")
+    sent = written(sent, "op3-sent")
+    hits = found.unionByName(searched(sent)).join(points.select("point", "ids"), "point")
+
+    # the best rows of each query vector, enough for every query that has it, as one row
+    ranked = hits.select("asked", "score", F.explode("ids").alias("vec_id"))
+    ranked = ranked.withColumn("r", F.row_number().over(Window.partitionBy("asked").orderBy(F.desc("score"), "vec_id"))).filter(F.col("r") <= k + most)
+    best = ranked.groupBy("asked").agg(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("minus"), "vec_id", "score"))).alias("best"))
+    best = written(asked.select("asked", "q").join(best, "asked"), "op3-best")
+    discard(cells, found)
+    out = spread_join(own.withColumn("hash", F.xxhash64("q")), best.withColumn("hash", F.xxhash64("q")), ["hash", "q"], most=WIDE_ROWS)
+    others = F.slice(F.filter("best", lambda b: b["vec_id"] != F.col("query_id")), 1, k)
+    out = out.select("query_id", F.posexplode(others).alias("place", "b"))
+    return out.select("query_id", (F.col("place") + 1).cast("int").alias("rank"), "b.vec_id", "b.score"), sent
