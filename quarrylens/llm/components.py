@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarrylens.llm._common import written
+from quarrylens.llm._common import Scratch, discard, written
 
 MAX_ROUNDS = 100
 
@@ -16,16 +16,18 @@ def components(edges: DataFrame, label: str) -> DataFrame:
     Each round takes the smallest root among neighbours and then jumps to the root's root.
     """
     pairs = edges.select("a", "b").filter("a <> b")
-    both = written(pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), f"{label}-edges")
-    roots = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("root"))
-    roots = written(roots, f"{label}-roots")
-    for _ in range(MAX_ROUNDS):
-        near = both.join(roots, both.b == roots.node).groupBy("a").agg(F.min("root").alias("near"))
-        step = roots.join(near, roots.node == near.a).select("node", "root", F.least("root", "near").alias("to"))
-        jump = roots.select(F.col("node").alias("to"), F.col("root").alias("far"))
-        after = written(step.join(jump, "to", "left").select("node", "root", F.least("to", F.coalesce("far", "to")).alias("now")), f"{label}-roots")
-        moved = after.filter("now <> root").limit(1).count()
-        roots = after.select("node", F.col("now").alias("root"))
-        if not moved:
-            return roots
+    with Scratch() as scratch:
+        both = written(pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), f"{label}-edges")
+        held = written(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("now")), f"{label}-roots")
+        for _ in range(MAX_ROUNDS):
+            roots = held.select("node", F.col("now").alias("root"))
+            near = both.join(roots, both.b == roots.node).groupBy("a").agg(F.min("root").alias("near"))
+            step = roots.join(near, roots.node == near.a).select("node", "root", F.least("root", "near").alias("to"))
+            jump = roots.select(F.col("node").alias("to"), F.col("root").alias("far"))
+            after = written(step.join(jump, "to", "left").select("node", "root", F.least("to", F.coalesce("far", "to")).alias("now")), f"{label}-roots")
+            discard(held)
+            held = after
+            if not after.filter("now <> root").limit(1).count():
+                scratch.discard(after)
+                return after.select("node", F.col("now").alias("root"))
     raise RuntimeError("components did not settle")

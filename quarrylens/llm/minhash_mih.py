@@ -16,7 +16,7 @@ intersection become candidates too.  All candidates are confirmed on full
 shingle sets.  Components are found with joins; nothing is collected.
 
 Defined results: null or blank text: empty set, linked with nothing, component its own id; fewer words than
-a shingle: the whole sequence is the one shingle; repeated rows: one class; null doc_id: never chosen as a
+a shingle: the whole sequence is the one shingle; very long texts are taken whole, each a slice of its own; repeated rows: one class; null doc_id: never chosen as a
 component's id while another is there; empty table: empty result; extra columns are ignored.
 """
 
@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from quarrylens.llm._common import PrefixHash, lower_ascii, mix64, parts, text_chunks, word_bounds, written
+from quarrylens.llm._common import BROADCAST_ROWS, PrefixHash, Scratch, discard, lower_ascii, mix64, parts, spread_join, text_chunks, word_bounds, written
 from quarrylens.llm.components import components
 
 WORDS = 5
@@ -41,7 +41,7 @@ TAIL = 1e-9
 BLOCK = 1 << 16
 OPEN_BLOCK = 2048
 HOT_BUCKET = 1 << 15
-BROADCAST_ROWS = 2_000_000
+HUB = 256
 _KEPT = [list(c) for c in itertools.combinations(range(CHUNK), CHUNK - ERRORS)]
 _rng = np.random.default_rng(7)
 _MUL = _rng.integers(0, 2**62, COMPONENTS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -230,33 +230,33 @@ def _stars(percent):
 
 
 def _across(percent):
-    """Pairs of a bucket in different components that can reach the similarity; pairs with a centre are known already.
+    """Pairs of a group whose ends lie in different components and that can reach the similarity; pairs with a centre are known already.
 
-    A group with several blocks gives only pairs of different blocks (see `_block_pairs`).  Besides the signature
-    threshold each pair passes an upper bound of its intersection: shingle hashes cut to 16
-    bits, plus the number of shingles that share a cut hash.  Pairs are tried here and only the passing ones leave.
+    A group holds a block of the bucket's members outside its largest component (``left``) and a block of all its members
+    (see `_block_pairs`).  Besides the signature threshold each pair passes an upper bound of its intersection: shingle hashes
+    cut to 16 bits, plus the number of shingles that share a cut hash.  Pairs are tried here and only the passing ones leave.
     """
 
     apart = distance(percent)
 
     def run(batches):
         for rows, _ in _groups(batches):
-            cid, center, n, root, lost, block = (rows.column(k).to_numpy(zero_copy_only=False) for k in (1, 2, 3, 5, 7, 8))
-            if (root == root[0]).all():
+            cid, center, n, root, lost = (rows.column(k).to_numpy(zero_copy_only=False) for k in (1, 2, 3, 5, 7))
+            left, minor = (np.asarray(rows.column(k)).astype(bool) for k in (8, 9))
+            right = np.flatnonzero(~left)
+            if not len(right) or len(right) == len(cid):
                 continue
-            crossing = bool((block != block[0]).any())
             sig = _nibbles(rows.column(4))
             raw = rows.column(6).to_pylist()
             sizes = np.array([len(r) // 2 for r in raw])
             values = np.frombuffer(b"".join(raw), np.uint16)
             ends = np.cumsum(sizes)
-            keys, size = np.unique(root, return_counts=True)
-            main = keys[size.argmax()]
             found = []
             present = np.zeros(1 << 16, bool)
-            for i in np.flatnonzero(root != main).tolist():  # every pair across components has an end outside the largest
-                other = (root != root[i]) & ((root == main) | (np.arange(len(cid)) > i)) & (center != cid[i]) & (cid != center[i])
-                j = np.flatnonzero(other & (block != block[i]) if crossing else other)
+            for i in np.flatnonzero(left).tolist():
+                # both ends outside the largest component: the pair is met from either side, and tried from the lesser id
+                other = (root[right] != root[i]) & (center[right] != cid[i]) & (cid[right] != center[i]) & (~minor[right] | (cid[right] > cid[i]))
+                j = right[other]
                 j = j[_near(sig[j], n[j], sig[i], n[i], percent, apart)]
                 if not len(j):
                     continue
@@ -276,15 +276,25 @@ def _across(percent):
     return run
 
 
+def _open_buckets(placed: DataFrame) -> DataFrame:
+    """key, its most frequent root, and numbers of blocks, of the buckets whose members lie in several components."""
+    by_root = placed.groupBy("key", "root").agg(F.count(F.lit(1)).alias("m"))
+    whole = by_root.groupBy("key").agg(F.sum("m").alias("m"), F.max(F.struct("m", "root")).alias("most"))
+    blocks = lambda n: F.ceil(n / OPEN_BLOCK).cast("int")
+    return whole.filter(F.col("m") > F.col("most.m")).select("key", F.col("most.root").alias("main"), blocks(F.col("m") - F.col("most.m")).alias("lefts"), blocks(F.col("m")).alias("rights"))
+
+
 def _block_pairs(placed: DataFrame) -> DataFrame:
-    """Open buckets split for many tasks: members fall into blocks of about OPEN_BLOCK, and each pair of blocks is a group.
+    """Open buckets split for many tasks: each block of members outside the largest component meets each block of all members.
 
-    Every pair of members meets in exactly one group, and no group holds more than about two blocks.
+    Members of the largest component are copied once for each left block, and only the others once for each right block.
     """
-    size = placed.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / OPEN_BLOCK).cast("int").alias("blocks"))
-    rows = placed.join(size, "key").withColumn("block", F.pmod(F.xxhash64("cid", F.lit(5)), F.col("blocks")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    return rows.withColumn("key", F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other"))).drop("blocks", "other")
+    minor = F.col("root") != F.col("main")
+    block = lambda blocks: F.pmod(F.xxhash64("cid", F.lit(5)), F.col(blocks)).cast("int")
+    every = lambda blocks: F.sequence(F.lit(0), F.col(blocks) - 1)
+    one = placed.filter(minor).withColumn("l", block("lefts")).withColumn("r", F.explode(every("rights"))).withColumns({"left": F.lit(True), "minor": F.lit(True)})
+    two = placed.withColumn("r", block("rights")).withColumn("l", F.explode(every("lefts"))).withColumns({"left": F.lit(False), "minor": minor})
+    return one.unionByName(two).withColumn("key", F.xxhash64("key", "l", "r")).drop("l", "r", "main", "lefts", "rights")
 
 
 def _cut_sets(batches):
@@ -321,14 +331,29 @@ def _sets_of(ends: DataFrame, classes: DataFrame, docs: DataFrame, make, schema:
 
 
 def confirm(pairs: DataFrame, classes: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
-    """Those of pairs(a, b) whose full shingle sets reach the similarity."""
+    """Those of pairs(a, b) whose full shingle sets reach the similarity.
+
+    A class with more than HUB pairs has copies of its set, over which its pairs are dealt.
+    """
     ends = pairs.select(F.col("a").alias("cid")).unionByName(pairs.select(F.col("b").alias("cid")))
     sets = _sets_of(ends, classes, docs, _full_sets, "cid long, shingles array<long>")
-    left = sets.select(F.col("cid").alias("a"), F.col("shingles").alias("sa"))
-    right = sets.select(F.col("cid").alias("b"), F.col("shingles").alias("sb"))
-    both = F.size(F.array_intersect("sa", "sb"))
-    full = F.size("sa") + F.size("sb") - both
-    return pairs.join(left, "a").join(right, "b").filter(100 * both >= percent * full).select("a", "b")
+    hubs = ends.groupBy("cid").agg(F.ceil(F.count(F.lit(1)) / HUB).cast("int").alias("salts")).filter("salts > 1")
+    hubs = written(hubs, "op7-hubs")
+    many = hubs.count()
+    if many:
+        for end, far in (("a", "b"), ("b", "a")):
+            pairs = spread_join(pairs, hubs.select(F.col("cid").alias(end), "salts"), [end], "left", many)
+            pairs = pairs.withColumn(f"s{end}", F.coalesce(F.pmod(F.xxhash64(far, F.lit(3)), F.col("salts")), F.lit(0)).cast("int")).drop("salts")
+        copies = spread_join(sets, hubs, ["cid"], "left", many)
+        sets = copies.withColumn("s", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1)))
+    else:
+        pairs = pairs.withColumns({"sa": F.lit(0), "sb": F.lit(0)})
+        sets = sets.withColumn("s", F.lit(0))
+    left = sets.select(F.col("cid").alias("a"), F.col("s").alias("sa"), F.col("shingles").alias("one"))
+    right = sets.select(F.col("cid").alias("b"), F.col("s").alias("sb"), F.col("shingles").alias("two"))
+    both = F.size(F.array_intersect("one", "two"))
+    full = F.size("one") + F.size("two") - both
+    return pairs.join(left, ["a", "sa"]).join(right, ["b", "sb"]).filter(100 * both >= percent * full).select("a", "b")
 
 
 _MET = "kind int, key long, a long, b long, n long, sig binary"
@@ -340,7 +365,7 @@ def _met(classes: DataFrame, percent: int) -> DataFrame:
     A bucket of more than HOT_BUCKET classes is dealt to several tasks by salt; the centres of its parts then form a star of
     their own, so that parts of one component are joined without a task that holds the bucket.
     """
-    n = parts(classes.sparkSession)
+    n = parts(classes.sparkSession, classes.count() * CHUNKS * len(_KEPT) * (40 + COMPONENTS // 2))
     bucketed = "key long, cid long, n long, sig binary"
     rows = classes.select("cid", "n", "sig").mapInArrow(_buckets, bucketed)
     salts = F.ceil(F.col("m") / HOT_BUCKET).cast("int")
@@ -348,7 +373,7 @@ def _met(classes: DataFrame, percent: int) -> DataFrame:
     many = hot.count()
     if not many:
         return written(rows.repartition(n, "key").sortWithinPartitions("key", "cid").mapInArrow(_stars(percent), _MET), "op7-met")
-    salted = rows.join(F.broadcast(hot) if many <= BROADCAST_ROWS else hot, "key", "left")
+    salted = spread_join(rows, hot, ["key"], "left", many)
     part = F.when(F.col("salts").isNotNull(), F.xxhash64("key", F.pmod(F.xxhash64("cid", F.lit(9)), F.col("salts")))).otherwise(F.col("key"))
     salted = salted.select(part.alias("key"), "cid", "n", "sig")
     first = written(salted.repartition(n, "key").sortWithinPartitions("key", "cid").mapInArrow(_stars(percent), _MET), "op7-met-parts")
@@ -370,13 +395,22 @@ def minhash_near_dedup(docs: DataFrame, percent: int = 85) -> DataFrame:
 
 def _linked(docs: DataFrame, percent: int) -> DataFrame:
     """The same with cid, the id of the row's shingle set, and root, the least of its component (null for an empty set)."""
-    spark = docs.sparkSession
-    n = parts(spark)
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    signed = written(base.mapInArrow(_signatures, "doc_id long, n long, cid long, sig binary"), "op7-signed")
-    filled = signed.filter("n > 0")
-    classes = written(filled.groupBy("cid").agg(F.min("doc_id").alias("doc"), F.first("n").alias("n"), F.first("sig").alias("sig")), "op7-classes")
+    with Scratch() as scratch:
+        base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+        signed = written(base.mapInArrow(_signatures, "doc_id long, n long, cid long, sig binary"), "op7-signed")
+        filled = signed.filter("n > 0")
+        classes = written(filled.groupBy("cid").agg(F.min("doc_id").alias("doc"), F.first("n").alias("n"), F.first("sig").alias("sig")), "op7-classes")
+        signed = written(signed.drop("sig"), "op7-named")
+        named = written(_named(base, classes, percent), "op7-owned")
+        scratch.discard(signed, named)
+    out = signed.select("doc_id", "n", "cid").join(named, "cid", "left")
+    component = F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id"))
+    kept = F.coalesce(F.col("doc_id") == component, F.lit(False))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), kept.alias("kept"), "cid", "root")
+
 
+def _named(base: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """cid, component (least doc_id) and root (least cid) of every class."""
     met = _met(classes, percent)
     stars = written(met.filter("kind = 0").select("a", "b").distinct(), "op7-stars")
     links = written(confirm(stars, classes, base, percent), "op7-links")
@@ -384,12 +418,16 @@ def _linked(docs: DataFrame, percent: int) -> DataFrame:
 
     members = met.filter("kind = 1").select("key", F.col("a").alias("cid"), F.col("b").alias("center"), "n", "sig")
     placed = members.join(roots.withColumnRenamed("node", "cid"), "cid", "left").select("key", "cid", "center", "n", "sig", F.coalesce("root", "cid").alias("root"))
-    open_keys = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("key")
-    placed = written(_block_pairs(placed.join(open_keys, "key")), "op7-open")
-    cuts = _sets_of(placed.select("cid"), classes, base, _cut_sets, "cid long, cut binary, lost long")
-    placed = placed.join(cuts, "cid").select("key", "cid", "center", "n", "sig", "root", "cut", "lost", "block")
-    placed = placed.repartition(n, "key").sortWithinPartitions("key", "cid")
-    more = written(placed.mapInArrow(_across(percent), "a long, b long").distinct().join(stars, ["a", "b"], "left_anti"), "op7-across")
+    placed = written(placed, "op7-placed")
+    discard(met)
+    opened = written(_open_buckets(placed), "op7-opened")
+    open_rows = written(spread_join(placed, opened, ["key"]), "op7-open")
+    discard(placed)
+    cuts = _sets_of(open_rows.select("cid"), classes, base, _cut_sets, "cid long, cut binary, lost long")
+    tried = _block_pairs(open_rows.join(cuts, "cid")).select("key", "cid", "center", "n", "sig", "root", "cut", "lost", "left", "minor")
+    tried = tried.repartition("key").sortWithinPartitions("key", "cid")
+    more = written(tried.mapInArrow(_across(percent), "a long, b long").distinct().join(stars, ["a", "b"], "left_anti"), "op7-across")
+    discard(open_rows)
     if more.limit(1).count():
         added = written(confirm(more, classes, base, percent), "op7-added")
         if added.limit(1).count():
@@ -407,11 +445,7 @@ def _linked(docs: DataFrame, percent: int) -> DataFrame:
     owned = classes.select("cid", "doc").join(roots.withColumnRenamed("node", "cid"), "cid", "left").select("cid", "doc", F.coalesce("root", "cid").alias("root"))
     owned = written(owned, "op7-owned")
     lowest = owned.groupBy("root").agg(F.min("doc").alias("component"))
-    named = owned.join(lowest, "root").select("cid", "component", "root")
-    out = signed.select("doc_id", "n", "cid").join(named, "cid", "left")
-    component = F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id"))
-    kept = F.coalesce(F.col("doc_id") == component, F.lit(False))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), kept.alias("kept"), "cid", "root")
+    return owned.join(lowest, "root").select("cid", "component", "root")
 
 
 def _with_cid(batches):
