@@ -33,7 +33,9 @@ def _indexed(t: Derived) -> DataFrame:
 
 
 def _first_unique(t: Derived) -> str:
-    return edges.definitions(t).filter("defs = 1").agg(F.min("callee_name")).first()[0] or ""
+    """The least name that calls of either kind find one definition of."""
+    each = edges.definitions(t).groupBy("callee_name").agg(F.max("defs").alias("defs"))
+    return each.filter("defs = 1").agg(F.min("callee_name")).first()[0] or ""
 
 
 def _joined(df: DataFrame, column: str, item=lambda s: s) -> DataFrame:
@@ -90,10 +92,10 @@ _QUERIES: dict[str, Callable[[Derived], DataFrame]] = {
     "call_cycles": lambda t: _joined(graph.call_cycles(t), "cycle"),
     "module_levels": lambda t: graph.module_levels(imports.file_graph(t).filter("source < target")),
     "module_is_cyclic": graph.modules,
-    "callgraph_down": lambda t: graph.walk(t, "red_widget", 2, cap=None),
-    "callgraph_up": lambda t: graph.walk(t, "red_widget", 2, "up", cap=None),
-    "callgraph_both": lambda t: graph.walk(t, "red_widget", 1, "both", cap=None),
-    "impact": lambda t: graph.walk(t, "blue_bolt", 2, "up", cap=None),
+    "callgraph_down": lambda t: graph.walk(t, "red_widget", cap=None),
+    "callgraph_up": lambda t: graph.walk(t, "red_widget", direction="up", cap=None),
+    "callgraph_both": lambda t: graph.walk(t, "red_widget", direction="both", cap=None),
+    "impact": lambda t: graph.walk(t, "blue_bolt", direction="up", cap=None),
     "changed_symbols": lambda t: graph.changed_symbols(t, _hunks(t)),
     "changed_impact": lambda t: graph.changed_impact(t, _hunks(t), None),
     "edge_weights": clusters.edge_weights,

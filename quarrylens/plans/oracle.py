@@ -26,22 +26,22 @@ WITH RECURSIVE docs AS (
     doc_id * 1000000000 AS mtime_ns, CAST(strlen(text) AS BIGINT) AS size,
     CASE lang WHEN 'en' THEN 'rust' WHEN 'fr' THEN 'python' WHEN 'de' THEN 'go' ELSE 'bash' END AS language FROM docs
 ), files AS (SELECT path, mtime_ns, size, language FROM files_),
+spread AS (SELECT greatest(200, count(*) // 5) AS m FROM documents),
 symbols_ AS (
   SELECT p_partkey AS partkey, path AS file_path,
     CASE WHEN p_partkey % 500 = 1 THEN 'main' WHEN p_partkey % 3 = 0 THEN replace(p_name, ' ', '_') ELSE replace(p_name, ' ', '_') || '_' || p_partkey END AS name,
     CASE p_size % 8 WHEN 0 THEN 'method' WHEN 1 THEN 'class' WHEN 2 THEN 'macro' WHEN 3 THEN 'key' WHEN 4 THEN 'section' ELSE 'function' END AS kind,
-    CAST((p_partkey - p_partkey % 200) // 20 AS INTEGER) AS start_line, 0 AS start_column, CAST((p_partkey - p_partkey % 200) // 20 + p_size % 10 AS INTEGER) AS end_line,
+    CAST(p_partkey // m * 10 AS INTEGER) AS start_line, 0 AS start_column, CAST(p_partkey // m * 10 + p_size % 10 AS INTEGER) AS end_line,
     CAST(p_size AS INTEGER) AS end_column, CASE p_type WHEN 'ECONOMY' THEN 'public' WHEN 'SMALL' THEN 'unknown' ELSE 'private' END AS visibility
-  FROM part JOIN files_ ON doc_id = p_partkey % 200
+  FROM part CROSS JOIN spread JOIN files_ ON doc_id = p_partkey % m
 ), symbols AS (SELECT * EXCLUDE partkey FROM symbols_),
 calls AS (
-  SELECT a.file_path, a.name AS caller_name, a.start_line AS caller_start_line, CASE WHEN l_linenumber = 7 THEN 'ext_' || l_suppkey ELSE b.name END AS callee_name,
+  SELECT a.file_path, a.name AS caller_name, a.start_line AS caller_start_line, CASE WHEN l_linenumber = 7 OR l_quantity > 6 THEN 'ext_' || l_suppkey ELSE b.name END AS callee_name,
     CAST(a.start_line + l_linenumber AS INTEGER) AS site_line, CAST(l_suppkey % 80 AS INTEGER) AS site_column, 'syntactic' AS resolution, l_returnflag = 'R' AS is_method
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN symbols_ a ON a.partkey = l_partkey AND a.kind IN ('function', 'method') JOIN symbols_ b ON b.partkey = o_custkey
-  WHERE l_quantity <= 6
-), imports_ AS (SELECT e.*, CAST(CAST(floor(value * 100) AS BIGINT) % 200 AS VARCHAR) AS t, path AS file_path FROM events e JOIN files_ ON doc_id = user_id % 200 WHERE event_id % 4 = 0),
+), imports_ AS (SELECT e.*, CAST(floor(value * 100) AS BIGINT) % m AS t, path AS file_path FROM events e CROSS JOIN spread JOIN files_ ON doc_id = user_id % m),
 imports AS (
-  SELECT file_path, CASE event_type WHEN 'view' THEN './doc_' || t WHEN 'click' THEN '../../src' || user_id % 20 || '/src/doc_' || t WHEN 'purchase' THEN '@docs/src' || user_id % 20 || '/src/doc_' || t
+  SELECT file_path, CASE CASE WHEN event_id % 4 = 0 THEN event_type END WHEN 'view' THEN './doc_' || t WHEN 'click' THEN '../../src' || t % 20 || '/src/doc_' || t WHEN 'purchase' THEN '@docs/src' || t % 20 || '/src/doc_' || t
     WHEN 'signup' THEN 'crate::doc_' || t || '::item' ELSE 'pkg_' || user_id % 10 END AS module, CAST(event_id AS INTEGER) AS site_line, 0 AS site_column FROM imports_
 ), usage AS (
   SELECT epoch_ns(ts) AS ts_unix_ns, event_type AS command, CAST(user_id % 50 AS INTEGER) AS candidate_files, CAST(floor(value * 100) AS BIGINT) AS candidate_bytes,
@@ -166,7 +166,7 @@ def bodies() -> dict[str, str]:
           LEFT JOIN lines ON path = file_path AND line_no BETWEEN start_line - 5 AND end_line + 5 GROUP BY ALL""",
         "callers_of": f"SELECT {EDGE} FROM up_edges WHERE callee_name = 'red_widget' ORDER BY {EDGE_ORDER} LIMIT 50",
         "callees_of": f"SELECT {EDGE} FROM down_edges WHERE caller_name = 'red_widget' ORDER BY {EDGE_ORDER} LIMIT 50",
-        "callers_resolved_only": f"SELECT {EDGE} FROM up_edges WHERE callee_name = (SELECT min(callee_name) FROM defs WHERE defs = 1) AND NOT ambiguous AND callee_file IS NOT NULL",
+        "callers_resolved_only": f"SELECT {EDGE} FROM up_edges WHERE callee_name = (SELECT min(callee_name) FROM (SELECT callee_name FROM defs GROUP BY callee_name HAVING max(defs) = 1)) AND NOT ambiguous AND callee_file IS NOT NULL",
         "callees_resolved_only": f"SELECT {EDGE} FROM down_edges WHERE caller_name = 'red_widget' AND NOT ambiguous AND callee_file IS NOT NULL ORDER BY {EDGE_ORDER} LIMIT 50",
         "resolved_pairs": "SELECT caller_name, callee_name FROM pairs",
         "located_edges": "SELECT * FROM located",
@@ -201,10 +201,10 @@ def bodies() -> dict[str, str]:
         "module_is_cyclic": f""", e AS (SELECT source AS a, target AS b FROM graph){reach} SELECT (SELECT count(*) FROM (SELECT a FROM e UNION SELECT b FROM e)) AS files, (SELECT count(*) FROM e) AS edges,
           EXISTS (SELECT 1 FROM reach WHERE a = b) AS cyclic,
           (SELECT count(*) FROM imports i JOIN resolved r ON r.file_path = i.file_path AND r.module = i.module WHERE target IS NULL) AS external""",
-        "callgraph_down": _walk("red_widget", 2, ("down",)),
-        "callgraph_up": _walk("red_widget", 2, ("up",)),
-        "callgraph_both": _walk("red_widget", 1, ("down", "up")),
-        "impact": _walk("blue_bolt", 2, ("up",)),
+        "callgraph_down": _walk("red_widget", 3, ("down",)),
+        "callgraph_up": _walk("red_widget", 3, ("up",)),
+        "callgraph_both": _walk("red_widget", 3, ("down", "up")),
+        "impact": _walk("blue_bolt", 3, ("up",)),
         "changed_symbols": f", {CHANGED} SELECT name, path, line, kind FROM changed",
         "changed_impact": f""", {CHANGED}, steps AS (SELECT DISTINCT name AS n, 0 AS d FROM changed UNION SELECT h.n, d + 1 FROM steps JOIN (SELECT DISTINCT caller_name AS n, callee_name AS o FROM edges) h ON h.o = steps.n WHERE d < 12),
           dist AS (SELECT n, min(d) AS d FROM steps GROUP BY n)

@@ -1,7 +1,8 @@
 """Fact tables: from a snapshot folder, or derived from the driver's tables.
 
 The derived tables hold no source code; their columns are formulas over documents, part, lineitem, orders and
-events, so that each operator meets ambiguity, externals, self calls, cycles and unresolved imports.
+events, every row of them, so that each operator meets ambiguity, externals, self calls, cycles, imports across layers and
+unresolved ones.
 """
 
 from __future__ import annotations
@@ -63,21 +64,27 @@ class Derived(Facts):
     def files(self) -> DataFrame:
         return self._files.select("path", "mtime_ns", "size", "language")
 
-    def _path_of(self, doc) -> DataFrame:
-        return self._files.select(F.col("doc_id").alias("_doc"), F.col("path").alias("file_path")).filter("_doc < 200")
+    @cached_property
+    def _spread(self) -> int:
+        """Over how many files the symbols lie: a fifth of them, 200 at least."""
+        return max(200, self.table("documents").count() // 5)
+
+    @property
+    def _paths(self) -> DataFrame:
+        return self._files.select(F.col("doc_id").alias("_doc"), F.col("path").alias("file_path"))
 
     @cached_property
     def _symbols(self) -> DataFrame:
-        part = self.table("part").withColumn("_doc", F.col("p_partkey") % 200)
+        part = self.table("part").withColumn("_doc", F.col("p_partkey") % self._spread)
         plain = F.replace("p_name", F.lit(" "), F.lit("_"))
         name = (
             F.when(F.col("p_partkey") % 500 == 1, "main").when(F.col("p_partkey") % 3 == 0, plain).otherwise(F.concat(plain, F.lit("_"), F.col("p_partkey").cast("string")))
         )
         size = F.col("p_size")
         kind = F.when(size % 8 == 0, "method").when(size % 8 == 1, "class").when(size % 8 == 2, "macro").when(size % 8 == 3, "key").when(size % 8 == 4, "section").otherwise("function")
-        start = ((F.col("p_partkey") - F.col("p_partkey") % 200) / 20).cast("long")
+        start = F.floor(F.col("p_partkey") / self._spread) * 10
         visibility = F.when(F.col("p_type") == "ECONOMY", "public").when(F.col("p_type") == "SMALL", "unknown").otherwise("private")
-        return part.join(self._path_of("_doc"), "_doc").select(
+        return part.join(self._paths, "_doc").select(
             F.col("p_partkey").alias("partkey"), "file_path", name.alias("name"), kind.alias("kind"), start.cast("int").alias("start_line"), F.lit(0).alias("start_column"),
             (start + size % 10).cast("int").alias("end_line"), size.cast("int").alias("end_column"), visibility.alias("visibility"),
         )
@@ -88,7 +95,7 @@ class Derived(Facts):
 
     @cached_property
     def calls(self) -> DataFrame:
-        sold = self.table("lineitem").filter("l_quantity <= 6").join(self.table("orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+        sold = self.table("lineitem").join(self.table("orders"), F.col("l_orderkey") == F.col("o_orderkey"))
         caller = self._symbols.filter(F.col("kind").isin("function", "method")).select(
             F.col("partkey").alias("_caller"), "file_path", F.col("name").alias("caller_name"), F.col("start_line").alias("caller_start_line")
         )
@@ -96,21 +103,22 @@ class Derived(Facts):
         rows = sold.join(caller, F.col("l_partkey") == F.col("_caller")).join(callee, F.col("o_custkey") == F.col("_callee"))
         outside = F.concat(F.lit("ext_"), F.col("l_suppkey").cast("string"))
         return rows.select(
-            "file_path", "caller_name", "caller_start_line", F.when(F.col("l_linenumber") == 7, outside).otherwise(F.col("_name")).alias("callee_name"),
+            "file_path", "caller_name", "caller_start_line", F.when((F.col("l_linenumber") == 7) | (F.col("l_quantity") > 6), outside).otherwise(F.col("_name")).alias("callee_name"),
             (F.col("caller_start_line") + F.col("l_linenumber")).cast("int").alias("site_line"), (F.col("l_suppkey") % 80).cast("int").alias("site_column"),
             F.lit("syntactic").alias("resolution"), (F.col("l_returnflag") == "R").alias("is_method"),
         )
 
     @cached_property
     def imports(self) -> DataFrame:
-        events = self.table("events").filter("event_id % 4 = 0").withColumn("_doc", F.col("user_id") % 200)
-        target = (F.floor(F.col("value") * 100).cast("long") % 200).cast("string")
-        kind, folder = F.col("event_type"), F.concat(F.lit("src"), (F.col("user_id") % 20).cast("string"), F.lit("/src/doc_"), target)
+        events = self.table("events").withColumn("_doc", F.col("user_id") % self._spread)
+        number = F.floor(F.col("value") * 100).cast("long") % self._spread
+        target, folder = number.cast("string"), F.concat(F.lit("src"), (number % 20).cast("string"), F.lit("/src/doc_"))
+        kind, outside = F.col("event_type"), F.concat(F.lit("pkg_"), (F.col("user_id") % 10).cast("string"))
         module = (
-            F.when(kind == "view", F.concat(F.lit("./doc_"), target)).when(kind == "click", F.concat(F.lit("../../"), folder)).when(kind == "purchase", F.concat(F.lit("@docs/"), folder))
-            .when(kind == "signup", F.concat(F.lit("crate::doc_"), target, F.lit("::item"))).otherwise(F.concat(F.lit("pkg_"), (F.col("user_id") % 10).cast("string")))
+            F.when(F.col("event_id") % 4 != 0, outside).when(kind == "view", F.concat(F.lit("./doc_"), target)).when(kind == "click", F.concat(F.lit("../../"), folder, target))
+            .when(kind == "purchase", F.concat(F.lit("@docs/"), folder, target)).when(kind == "signup", F.concat(F.lit("crate::doc_"), target, F.lit("::item"))).otherwise(outside)
         )
-        return events.join(self._path_of("_doc"), "_doc").select(
+        return events.join(self._paths, "_doc").select(
             "file_path", module.alias("module"), F.col("event_id").cast("int").alias("site_line"), F.lit(0).alias("site_column"), F.lit("syntactic").alias("resolution")
         )
 
