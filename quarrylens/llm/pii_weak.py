@@ -2,8 +2,8 @@
 
 Candidates are the base matches (email, ip, card, phone) and looser ones: written-out addresses, national phone
 numbers, card-like numbers without a valid check digit, and bank account numbers.  Labellers vote yes, no or nothing on each:
-the strict rule, a gazetteer (top-level domains, country codes, issuer prefixes, routable networks), the
-words around it, and its borders.  Expectation-maximisation over the counts of vote patterns estimates the
+a strict rule for the span's form (lengths of labels and groups, leading zeros, check digits of accounts), a gazetteer
+(top-level domains, calling codes, issuer prefixes, routable networks, countries of accounts), the words around it, and its borders.  Expectation-maximisation over the counts of vote patterns estimates the
 labellers' reliabilities; its posteriors train a logistic span classifier over the votes and the span's
 shape.  Both work on tables bounded by the number of patterns, whatever the corpus.  Base spans stay in any case; the
 classifier decides which loose candidates are added.
@@ -36,8 +36,16 @@ NATIONAL = "(?<![0-9+.)-])(?<![0-9][ -])(?:\\([0-9]{3}\\)\\x20?|[0-9]{3}[ .-])[0
 ACCOUNT = "(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\\x20?[A-Z0-9]{4}){3,7}(?:\\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"
 
 # Gazetteers and context words.
-DOMAINS = ("com", "org", "net", "edu", "gov", "info", "io", "de", "fr", "es", "uk", "it", "nl", "eu", "ch", "at", "us", "ca", "jp", "cn", "br", "in", "ru", "au")
-COUNTRY = ("1", "7", "20", "27", "30", "31", "32", "33", "34", "36", "39", "40", "41", "43", "44", "45", "46", "47", "48", "49", "52", "55", "61", "81", "82", "86", "91")
+DOMAINS = (
+    "com", "org", "net", "edu", "gov", "mil", "int", "info", "biz", "name", "pro", "app", "dev", "io", "ai", "co", "me", "tv", "cc", "eu", "us", "ca", "mx", "br", "ar", "cl", "uy", "pe", "ve", "ec", "bo", "cr", "cu",
+    "uk", "ie", "de", "fr", "es", "pt", "it", "nl", "be", "lu", "ch", "at", "dk", "se", "no", "fi", "is", "ee", "lv", "lt", "pl", "cz", "sk", "hu", "ro", "bg", "gr", "hr", "si", "rs", "ua", "by", "ru", "tr", "il",
+    "ae", "sa", "qa", "eg", "ma", "tn", "ng", "ke", "za", "in", "pk", "bd", "lk", "cn", "tw", "hk", "jp", "kr", "vn", "th", "my", "sg", "id", "ph", "au", "nz",
+)
+ACCOUNT_COUNTRIES = (
+    "AD", "AE", "AL", "AT", "AZ", "BA", "BE", "BG", "BH", "BR", "BY", "CH", "CR", "CY", "CZ", "DE", "DK", "DO", "EE", "EG", "ES", "FI", "FO", "FR", "GB", "GE", "GI", "GL", "GR", "GT", "HR", "HU", "IE", "IL", "IQ",
+    "IS", "IT", "JO", "KW", "KZ", "LB", "LI", "LT", "LU", "LV", "MC", "MD", "ME", "MK", "MR", "MT", "MU", "NL", "NO", "PK", "PL", "PS", "PT", "QA", "RO", "RS", "SA", "SE", "SI", "SK", "SM", "TN", "TR", "UA", "XK",
+)
+CALLING = "^(?:1|7|2[07]|2[1-689][0-9]|3[0-469]|3[578][0-9]|4[013-9]|42[0-9]|5[1-8]|5[09][0-9]|6[0-6]|6[7-9][0-9]|8[1246]|8[0578][0-9]|9[0-58]|9[679][0-9])"
 CONTEXT = {
     "email": "mail|contact|write|courriel|correo|kontakt", "ip": "\\bip\\b|address|host|server|adresse", "card": "card|visa|karte|carte|tarjeta|credit|payment",
     "phone": "phone|call|tel|mobile|fax|telefon|appel", "address": "mail|contact|write|courriel|correo|kontakt", "national": "phone|call|tel|mobile|fax|telefon|appel",
@@ -110,25 +118,55 @@ def _gazetteer(kind: str, hit: F.Column) -> F.Column:
     if kind in ("card", "number"):
         return F.when(_digits(hit).rlike("^(?:4|5[1-5]|34|37|6011|65|35)"), YES).otherwise(NO)
     if kind == "phone":
-        head = _digits(hit)
-        return F.when(F.substring(head, 1, 1).isin(*COUNTRY) | F.substring(head, 1, 2).isin(*COUNTRY), YES).otherwise(NO)
+        return F.when(_digits(hit).rlike(CALLING), YES).otherwise(NO)
     if kind == "address":
         return F.when(F.lower(F.regexp_extract(hit, "([A-Za-z0-9-]+)$", 1)).isin(*DOMAINS), YES).otherwise(NO)
     if kind == "account":
-        return F.when(F.substring(hit, 1, 2).isin(*(d.upper() for d in DOMAINS if len(d) == 2)), YES).otherwise(NO)
+        return F.when(F.substring(hit, 1, 2).isin(*ACCOUNT_COUNTRIES), YES).otherwise(NO)
     return F.lit(NONE)
 
 
+def mod97(hit: F.Column) -> F.Column:
+    """Whether an account number passes its check: the first four characters last, letters as 10 to 35, 1 modulo 97."""
+    solid = F.regexp_replace(hit, " ", "")
+    turned = F.concat(F.substring(solid, 5, 64), F.substring(solid, 1, 4))
+    value = lambda c: F.when(c.rlike("[0-9]"), c.try_cast("int")).otherwise(F.ascii(c) - 55)
+    add = lambda acc, c: ((acc * F.when(c.rlike("[0-9]"), 10).otherwise(100) + value(c)) % 97).cast("int")
+    return F.aggregate(F.filter(F.split(turned, ""), lambda c: c != ""), F.lit(0), add) == 1
+
+
+_LABEL = "[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?"
+
+
+def _rule(kind: str, hit: F.Column) -> F.Column:
+    """The vote of the strict rule of a kind on a span's form."""
+    passes = lambda good: F.when(good, YES).otherwise(NO)
+    if kind == "email":
+        return passes(hit.rlike(f"^(?=[^@]{{1,64}}@)[A-Za-z0-9_%+-]++(?:\\.[A-Za-z0-9_%+-]++)*+@(?:{_LABEL}\\.)+[A-Za-z]{{2,24}}$"))
+    if kind == "ip":
+        return passes(hit.rlike("^(?!0\\.)(?:(?:0|[1-9][0-9]{0,2})(?:\\.|$)){4}$"))
+    if kind == "card":
+        return passes(_digits(hit).rlike("^(?:4(?:[0-9]{12}|[0-9]{15}|[0-9]{18})|5[1-5][0-9]{14}|2[2-7][0-9]{14}|3[47][0-9]{13}|3[0689][0-9]{12}|6[0-9]{15}|35[0-9]{14})$") & ~hit.rlike("([0-9])\\1{7}"))
+    if kind == "phone":
+        return passes(hit.rlike("^\\+[1-9][0-9]{0,2}(?:[ .-]?\\(?[0-9]{1,5}\\)?)(?:[ .-]?[0-9]{2,5}){1,5}$"))
+    if kind == "address":
+        return passes(hit.rlike("[\\[(]dot[\\])]\\x20?[A-Za-z]{2,24}$"))
+    if kind == "national":
+        return passes(hit.rlike("^\\(?[2-9][0-9]{2}\\)?[ .-]*[2-9][0-9]{2}[ .-]"))
+    if kind == "account":
+        return passes(mod97(hit))
+    return F.lit(NO)  # number: its check digit is wrong
+
+
 def _judged(text: F.Column, kind: str, place: int, spans: F.Column) -> F.Column:
     """Spans with their votes and shape."""
 
     def one(s):
         before = F.substring(text, F.greatest(s["start"] - 39, F.lit(1)).cast("int"), F.least(s["start"], F.lit(40)).cast("int"))
         after = F.substring(text, (s["end"] + 1).cast("int"), F.lit(1))
-        rule = YES if kind in BASE else (NO if kind == "number" else NONE)
         context = F.when(F.lower(before).rlike(CONTEXT[kind]), YES).when(F.lower(before).rlike(AGAINST), NO).otherwise(NONE)
         border = F.when(before.rlike("[\\p{L}\\p{N}_]$") | after.rlike("^[\\p{L}\\p{N}_]"), NO).otherwise(YES)
-        vote = F.lit(rule) + 3 * _gazetteer(kind, s["hit"]) + 9 * context + 27 * border
+        vote = _rule(kind, s["hit"]) + 3 * _gazetteer(kind, s["hit"]) + 9 * context + 27 * border
         length = F.least(F.floor(F.length(s["hit"]) / 8), F.lit(5))
         broken = F.when(s["hit"].rlike("[ ()]"), 1).otherwise(0)
         return F.struct(
