@@ -14,7 +14,7 @@ from quarrylens.llm.pii_weak import pii_scan
 from quarrylens.llm.pivot_topk import pivot_topk
 from quarrylens.llm.quality_rules import quality_rules
 from quarrylens.llm.quality_weak import quality_classifier
-from quarrylens.llm.secret_ledger import secret_scan
+from quarrylens.llm.secret_ledger import named_ledger, secret_scan
 from quarrylens.llm.sentencepiece_nbest import encode_documents
 from quarrylens.llm.source_mix import source_mix
 from quarrylens.llm.suffix_dedup import suffix_dedup
@@ -41,7 +41,7 @@ def op4_pii_weak(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secret_scan(_table(spark, sf_dir, "documents"))
+    return secret_scan(_table(spark, sf_dir, "documents"), named_ledger(spark, f"{sf_dir}/documents.parquet"))
 
 
 def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,9 +3,13 @@
 Every version of every path is a blob, addressed by the SHA-256 of its text.  The ledger is a table of (blob,
 rule, findings), one row for each blob and rule version that was ever scanned.  A run scans only the blobs of which
 some rule version is not in the ledger, runs only those rules, appends the findings, and joins them
-back to all paths.  All of it is built-in functions; a blob that is a third of all rows is scanned once.
+back to all paths.  All of it is built-in functions; a blob that is a third of all rows is scanned once, and findings go
+back to paths by `spread_join`, so that its rows never meet in one task and texts without findings are not shuffled a second time
+while the findings are few.
 
-RULES are the rule versions.  Base kinds: assign, access, hex; further rules add spans and never change these.
+RULES are the rule versions.  A rule's key holds its version and a hash of its definition, so a changed rule is never taken for
+one that was run.  Base kinds: assign, access, hex; further rules add spans and never change these.
+`named_ledger` is the ledger of a table's path: a later run over the same path scans only what is new there.
 
 Defined results: null text is the empty text; repeated rows each get the blob's findings; very long texts are scanned
 whole; an empty table gives an empty result; extra columns are ignored or kept by `redact_secrets`.
@@ -13,13 +17,15 @@ whole; an empty table gives an empty result; extra columns are ignored or kept b
 
 from __future__ import annotations
 
+import hashlib
 import uuid
+import zlib
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarrylens.llm._common import shared_dir, written
+from quarrylens.llm._common import shared_dir, spread_join, written
 from quarrylens.llm._spans import listed, masked, matches_where
 
 
@@ -37,7 +43,8 @@ class Rule:
 
     @property
     def key(self) -> str:
-        return f"{self.kind}@{self.version}"
+        body = repr((self.pattern, self.guard, self.group, self.least)).encode()
+        return f"{self.kind}@{self.version}:{zlib.crc32(body):08x}"
 
 
 # The base patterns.  Repeats that cannot give back characters are possessive, and runs too short to count are
@@ -50,6 +57,8 @@ RULES: tuple[Rule, ...] = (
     Rule("bearer", 1, "(?i:bearer)\\x20++[A-Za-z0-9._~+/-]{20,}+=*+", "(?i:bearer)\\x20", None, 1),
     Rule("jwt", 1, "eyJ[A-Za-z0-9_-]{8,}+\\.[A-Za-z0-9_-]{8,}+\\.[A-Za-z0-9_-]{8,}+", "eyJ", None, 1),
 )
+#: Findings of so many blobs are broadcast to the paths.
+FEW = 100_000
 _KEEP = "array<struct<start:bigint,end:bigint>>"
 
 
@@ -93,6 +102,11 @@ def update_ledger(versions: DataFrame, ledger: str, rules=RULES) -> DataFrame:
     return spark.read.schema(schema).parquet(ledger).filter(F.col("rule").isin(wanted))
 
 
+def named_ledger(spark, path: str) -> str:
+    """The ledger's folder for the table at a path."""
+    return f"{shared_dir(spark).rstrip('/')}/quarry-op5-ledger-{hashlib.sha256(path.encode()).hexdigest()[:24]}"
+
+
 def secret_findings(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), ledger: str | None = None, rules=RULES) -> DataFrame:
     """The kept columns, the text as ``_text``, and ``_found``: all spans as (start, place, end, kind).
 
@@ -108,8 +122,8 @@ def secret_findings(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), ledger
     spans = F.transform("spans", lambda s: F.struct(s["start"].alias("start"), places[F.col("rule")].alias("place"), s["end"].alias("end"), kinds[F.col("rule")].alias("kind")))
     by_blob = found.select("blob", spans.alias("spans")).groupBy("blob").agg(F.flatten(F.collect_list("spans")).alias("_found"))
     none = F.array().cast("array<struct<start:bigint,place:int,end:bigint,kind:string>>")
-    by_blob = written(by_blob, "op5-findings")
-    return paths.join(by_blob, paths["_blob"] == by_blob["blob"], "left").select(*keep, "_text", F.coalesce("_found", none).alias("_found"))
+    by_blob = written(by_blob.withColumnRenamed("blob", "_blob"), "op5-findings")
+    return spread_join(paths, by_blob, ["_blob"], "left", most=FEW).select(*keep, "_text", F.coalesce("_found", none).alias("_found"))
 
 
 def secret_scan(docs: DataFrame, ledger: str | None = None, rules=RULES) -> DataFrame:

@@ -3,7 +3,7 @@ import random
 import re
 import uuid
 
-from quarrylens.llm.secret_ledger import RULES, redact_secrets, secret_scan
+from quarrylens.llm.secret_ledger import RULES, named_ledger, redact_secrets, secret_scan
 
 SCHEMA = "doc_id long, text string, spans string, blob int"
 BASE = (
@@ -71,3 +71,28 @@ def test_no_python_in_the_plan(spark):
 
 def test_empty_table(spark):
     assert secret_scan(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def test_ledger_of_a_path_is_used_again(spark):
+    name = uuid.uuid4().hex
+    ledger = named_ledger(spark, name)
+    df = lambda rows: spark.createDataFrame(rows, "doc_id long, text string")
+    rows = [(k, f"token=abcdef{k % 7}") for k in range(30)]
+    once = sorted(map(str, secret_scan(df(rows), ledger).collect()))
+    files = set(spark.read.parquet(ledger).inputFiles())
+    assert sorted(map(str, secret_scan(df(rows), named_ledger(spark, name)).collect())) == once
+    kept = spark.read.parquet(ledger)
+    assert files <= set(kept.inputFiles()) and kept.count() == 7 * len(RULES)
+    changed = (type(RULES[0])("access", 1, "AKIA[A-Z0-9]{30,}+", "AKIA", None, 34, True),)
+    assert changed[0].key not in {r.key for r in RULES}
+
+
+def test_hot_blob_and_clashing_names(spark, monkeypatch):
+    from quarrylens.llm import secret_ledger as sl
+
+    monkeypatch.setattr(sl, "FEW", 0)  # findings go to salts
+    rows = [(k, "api_key=abcdef1", "x") for k in range(400)] + [(400 + k, f"hex {k} " + "ab" * 12, None) for k in range(20)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _blob string").selectExpr("*", "doc_id as n_hex", "text as _text")
+    got = {r.doc_id: (r.n_assign, r.n_hex) for r in secret_scan(df).collect()}
+    assert got == {k: (1, 0) if k < 400 else (0, 1) for k in range(420)}
+    assert {r.text for r in redact_secrets(df).filter("doc_id < 400").collect()} == {"[SECRET]"}
