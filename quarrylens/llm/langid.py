@@ -7,8 +7,9 @@ further from its centroid than training documents are (their 0.1 percentile, les
 ``rejected``; its nearest language is still given.
 
 Training takes documents with a text and a lang whose crc32 of the decimal doc_id is not 2 modulo 4: for
-each language about SAMPLE of them, chosen by hash (a bounded sample; all if there are fewer; in all about TOTAL,
-shared evenly by many languages), and at most LANGUAGES languages, the most frequent ones.  lang, source and doc_id play no part in a prediction.
+each language SAMPLE of them, chosen by hash (a bounded sample; all if there are fewer; in all TOTAL at most,
+shared evenly by many languages, so that every language is learned as long as there are no more than TOTAL).  lang, source and
+doc_id play no part in a prediction.
 
 Defined results: null text, or no letter in it: `und`, score 0.0, rejected true; null doc_id: not held out, not
 trained on; whole texts are read, in slices where they are long; no training data: `und` for all; repeated rows: repeated
@@ -19,7 +20,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarrylens.llm._common import hashed_grams, lower_ascii, text_chunks
@@ -28,7 +29,6 @@ DIMS = 4096
 CENTROIDS = 4
 SAMPLE = 400
 TOTAL = 12_000
-LANGUAGES = 400
 UNKNOWN = "und"
 _PART = 1 << 22
 
@@ -120,19 +120,23 @@ class Model:
 def fit(labelled: DataFrame) -> Model | None:
     """A model from rows (doc_id, text, lang) already restricted to what may be learned from."""
     rows = labelled.filter("text is not null and lang is not null")
-    sizes = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
+    spark = labelled.sparkSession
+    sizes = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(TOTAL).collect()
     if not sizes:
         return None
-    space, each = 1 << 30, min(SAMPLE, TOTAL // len(sizes))
-    cut = F.create_map(*[F.lit(x) for r in sizes for x in (r["lang"], min(space, int(space * each / r["count"]) + 1))])
+    space, each = 1 << 30, max(1, min(SAMPLE, TOTAL // len(sizes)))
+    # the documents of the least draws of each language: so many that pass a first cut, of a small language all, and then exactly ``each``
+    cuts = [(r["lang"], min(space, int(space * (4 * each + 64) / r["count"]) + 1)) for r in sizes]
     draw = F.pmod(F.xxhash64("doc_id", "text", F.lit(17)), F.lit(space))
-    chosen = rows.filter(draw < F.element_at(cut, F.col("lang"))).select("lang", "text")
+    near = rows.withColumn("draw", draw).join(F.broadcast(spark.createDataFrame(cuts, "lang string, cut long")), "lang").filter("draw < cut")
+    chosen = near.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy("draw", "doc_id", "text"))).filter(F.col("place") <= each).select("lang", "text")
     table = chosen.mapInArrow(_samples, "lang string, tf binary").toArrow()
     if not table.num_rows:
         return None
     tf = np.frombuffer(b"".join(table["tf"].to_pylist()), np.float16).reshape(-1, DIMS).astype(np.float32)
-    order = sorted(range(len(tf)), key=lambda k: (table["lang"][k].as_py(), tf[k].tobytes()))
-    return Model([table["lang"][k].as_py() for k in order], tf[order])
+    names = table["lang"].to_pylist()
+    order = sorted(range(len(tf)), key=lambda k: (names[k], tf[k].tobytes()))
+    return Model([names[k] for k in order], tf[order])
 
 
 def _predict(shared):

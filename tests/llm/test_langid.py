@@ -1,3 +1,5 @@
+import math
+import operator
 import random
 import zlib
 
@@ -50,3 +52,54 @@ def test_no_training_data(spark):
     got = language_id(spark.createDataFrame([(1, "abc", None, None, None)], SCHEMA)).collect()
     assert got[0].lang_pred == "und"
     assert language_id(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def plain_vector(text, idf):
+    """TF-IDF of hashed byte 2-grams and 3-grams, one by one."""
+    low = "".join(c.lower() if c.isascii() or "À" <= c <= "Þ" and c != "×" else c for c in text).encode()
+    seen = bytearray()
+    for b in low:
+        if 97 <= b <= 122 or b >= 128:
+            seen.append(b)
+        elif seen and seen[-1] != 32:
+            seen.append(32)
+    tf = [0.0] * langid.DIMS
+    for k in (2, 3):
+        for at in range(len(seen) - k + 1):
+            gram = 0
+            for b in seen[at : at + k]:
+                gram = (gram * 257 + b) % 2**32
+            tf[gram * 0x9E3779B1 % 2**32 >> 32 - langid.DIMS.bit_length() + 1] += 1
+    v = [math.log1p(x) * i for x, i in zip(tf, idf)]
+    norm = math.sqrt(sum(x * x for x in v)) or 1.0
+    return [x / norm for x in v]
+
+
+def test_predictions_match_brute_force(spark):
+    rows = corpus()
+    df = spark.createDataFrame(rows, SCHEMA)
+    train = df.filter("crc32(cast(doc_id as string)) % 4 <> 2")
+    model = langid.fit(train)
+    idf = model.idf.tolist()
+    got = {r.doc_id: r for r in language_id(df).collect()}
+    for i, text, _, _, _ in rows[:60]:
+        v = plain_vector(text, idf)
+        cos = [sum(map(operator.mul, v, c)) for c in model.centres.tolist()]
+        best = max(cos)
+        assert abs(got[i].score - min(max(best, 0), 1)) < 1e-4
+        assert best - max([c for c, n in zip(cos, model.names) if n == got[i].lang_pred]) < 1e-4
+        assert got[i].rejected == (cos[cos.index(best)] < model.floors[cos.index(best)]) or abs(best - model.floors[cos.index(best)]) < 1e-4
+
+
+def test_every_language_is_learned(spark, monkeypatch):
+    monkeypatch.setattr(langid, "TOTAL", 600)
+    rng = random.Random(9)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    rows = []
+    for n in range(450):
+        bits = ["".join(rng.choice(letters) for _ in range(4)) for _ in range(4)]
+        rows += [(len(rows) + k, " ".join(rng.choice(bits) + rng.choice(bits) for _ in range(60)), f"l{n:03}", None, None) for k in range(4)]
+    model = langid.fit(spark.createDataFrame(rows, SCHEMA))
+    assert set(model.names) == {f"l{n:03}" for n in range(450)}
+    got = {r.doc_id: r.lang_pred for r in language_id(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert sum(got[r[0]] == r[2] for r in rows) > 0.95 * len(rows)
