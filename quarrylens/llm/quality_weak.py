@@ -195,23 +195,28 @@ def _score(shared):
     return run
 
 
+def fit(base: DataFrame) -> tuple[np.ndarray, float] | None:
+    """Weights and bias of the scorer, learned from base(doc_id, text); None where no document has a word."""
+    counted = base.select("text").mapInArrow(_patterns, "pattern long, n long").groupBy("pattern").agg(F.sum("n").alias("n"))
+    rows = sorted(counted.collect())  # 3**7 rows at most
+    if not rows:
+        return None
+    patterns, many = np.array([r.pattern for r in rows]), np.array([r.n for r in rows], float)
+    post, _, _ = em(patterns, many, len(LABELLERS))
+    space = 1 << 30
+    cut = min(space, int(space * SAMPLE / many.sum()) + 1)
+    chosen = base.filter(F.pmod(F.xxhash64("doc_id", "text", F.lit(23)), F.lit(space)) < cut).select("text").mapInArrow(_training, "pattern long, x binary").toArrow()
+    if not chosen.num_rows:
+        return None
+    x = np.frombuffer(b"".join(chosen["x"].to_pylist()), np.float16).reshape(-1, DIMS).astype(np.float32)
+    soft = dict(zip(patterns.tolist(), post.tolist()))
+    y = np.array([soft[p] for p in chosen["pattern"].to_pylist()])
+    order = np.lexsort((x[:, 0], x.sum(axis=1), y))
+    return train(x[order], y[order])
+
+
 def quality_classifier(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, score (probability of good), kept for each row of docs(doc_id, text)."""
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    counted = base.select("text").mapInArrow(_patterns, "pattern long, n long").groupBy("pattern").agg(F.sum("n").alias("n"))
-    rows = sorted(counted.collect())  # 3**7 rows at most
-    model = None
-    if rows:
-        patterns, many = np.array([r.pattern for r in rows]), np.array([r.n for r in rows], float)
-        post, _, _ = em(patterns, many, len(LABELLERS))
-        space = 1 << 30
-        cut = min(space, int(space * SAMPLE / many.sum()) + 1)
-        chosen = base.filter(F.pmod(F.xxhash64("doc_id", "text", F.lit(23)), F.lit(space)) < cut).select("text").mapInArrow(_training, "pattern long, x binary").toArrow()
-        if chosen.num_rows:
-            x = np.frombuffer(b"".join(chosen["x"].to_pylist()), np.float16).reshape(-1, DIMS).astype(np.float32)
-            soft = dict(zip(patterns.tolist(), post.tolist()))
-            y = np.array([soft[p] for p in chosen["pattern"].to_pylist()])
-            order = np.lexsort((x[:, 0], x.sum(axis=1), y))
-            model = train(x[order], y[order])
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast(fit(base))
     return base.mapInArrow(_score(shared), "doc_id long, n_words long, score double, kept boolean")
