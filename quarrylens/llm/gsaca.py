@@ -5,7 +5,8 @@ highest to the lowest.  Each suffix of a group finds its previous smaller suffix
 that are already known; the suffixes so pointed at leave their group and form new groups right above it,
 those hit more often further up.  In the end each group holds the suffixes of one Lyndon prefix.
 Phase two walks the order from the smallest suffix on and places each predecessor, and its chain of previous
-smaller suffixes, at the next free place of its group.  No renaming, no recursion.
+smaller suffixes, at the next free place of its group.  No renaming, no recursion, and no comparison sort: members of a
+group stay in order of place, as a later suffix never points before where an earlier one of its group points.
 """
 
 from __future__ import annotations
@@ -22,8 +23,12 @@ def suffix_array(symbols: np.ndarray) -> np.ndarray:
     if n == 0:
         return np.zeros(0, np.int64)
     # place 0 is the end mark; group id = first place of the group in the final order
+    symbols = np.asarray(symbols)
+    low = symbols.min()
+    if symbols.max() - low < 1 << 16:
+        symbols = (symbols - low).astype(np.uint16)  # a stable sort of such numbers goes digit by digit
     order = np.argsort(symbols, kind="stable")
-    ranked = np.asarray(symbols)[order]
+    ranked = symbols[order]
     fresh = np.ones(n, bool)
     fresh[1:] = ranked[1:] != ranked[:-1]
     first = np.flatnonzero(fresh)
@@ -69,7 +74,7 @@ def suffix_array(symbols: np.ndarray) -> np.ndarray:
                     members[end] = (p,)
             last = start - 1
             continue
-        held = sorted(i for i in held if group[i] == start)
+        held = [i for i in held if group[i] == start]  # by place, as all lists of members are: pointers never cross
         hits: dict[int, int] = {}
         for i in held:
             p = i - 1
@@ -82,7 +87,7 @@ def suffix_array(symbols: np.ndarray) -> np.ndarray:
             by_count: dict[int, dict[int, list[int]]] = {}
             for p, c in hits.items():
                 by_count.setdefault(c, {}).setdefault(group[p], []).append(p)
-            for c in sorted(by_count, reverse=True):
+            for c in sorted(by_count, reverse=True):  # a group of m has at most sqrt(2 m) different counts, so this is within m
                 for g, moved in by_count[c].items():
                     s, m = size[g], len(moved)
                     if m == s:

@@ -11,11 +11,12 @@ occurrence) are merged before any text moves; keys whose contexts still differ a
 (`gsaca`): the shared bytes become one symbol, so windows are equal exactly if neighbours in suffix order
 share ``length - key + 1`` symbols.  Keys with more than HOT contexts are cut finer: the same groups are made
 for ranges of STEP windows, and where these are still too many for every single window, where a group's strings are all
-equal and merge before the shuffle, so no task holds an unbounded group.
+equal and merge before the shuffle, so no task holds an unbounded group.  Texts are hashed in both passes on purpose: the anchors
+written out once would be as large as the text.
 
 Defined results: null or empty text: 0 bytes, nothing removed; repeated rows: each result row stands for one
 input row, and texts of ``length`` bytes or more that occur twice are removed whole; texts shorter than
-``length`` are kept; an empty table gives an empty result; columns besides doc_id and text are ignored.
+``length`` are kept; very long texts are taken whole, in blocks that hold every window once; an empty table gives an empty result; columns besides doc_id and text are ignored.
 """
 
 from __future__ import annotations

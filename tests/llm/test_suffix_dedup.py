@@ -1,5 +1,6 @@
 import hashlib
 import random
+import time
 
 import numpy as np
 import pytest
@@ -70,3 +71,34 @@ def test_matches_brute_force(spark, hot, again, monkeypatch):
 
 def test_empty_table(spark):
     assert sd.suffix_dedup(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def test_suffix_array_work_is_linear():
+    """Repeats, runs and few symbols: the place of the end mark aside, every suffix is placed once; sizes double, so does the work."""
+    rng = np.random.default_rng(2)
+    for make in (lambda n: np.ones(n, np.int64), lambda n: np.tile(rng.integers(1, 5, n // 8), 8), lambda n: np.arange(n) % 2 + 1):
+        took = []
+        for n in (40_000, 160_000):
+            text = make(n)
+            began = time.process_time()
+            sa = suffix_array(text)
+            took.append(time.process_time() - began)
+            assert np.array_equal(np.sort(sa), np.arange(n))
+        assert took[1] < 10 * took[0] + 0.2
+
+
+def test_a_text_beyond_one_block(spark):
+    block = 4 * sd.CHUNK_BYTES
+    rng = np.random.default_rng(5)
+    text = rng.integers(97, 123, block + 400_000).astype(np.uint8)
+    passage = rng.integers(97, 123, 300).astype(np.uint8)
+    for at in (block - 150, 1_000, block + 200_000):
+        text[at : at + 300] = passage
+    raw = text.tobytes()
+    parts = list(sd._blocks(text, np.array([0, len(text)]), 200))
+    assert [at for _, _, at in parts] == [0, block] and sum(len(p) - 199 for p, _, _ in parts) == len(text) - 199
+    rows = [(1, raw.decode(), None), (2, "x " + passage.tobytes().decode() + " y", None)]
+    got = {r.doc_id: r for r in sd.suffix_dedup(spark.createDataFrame(rows, SCHEMA)).collect()}
+    kept = raw.replace(passage.tobytes(), b"")
+    assert (got[1].n_bytes, got[1].n_removed, got[1].n_spans) == (len(raw), 900, 3) and got[2].n_removed == 300
+    assert got[1].kept_sha256 == hashlib.sha256(kept).hexdigest()
