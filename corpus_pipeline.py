@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from quarrylens.llm._common import Scratch, discard, written
 from quarrylens.llm.minhash_mih import near_dedup_filter
 from quarrylens.llm.quality_rules import quality_filter
-from quarrylens.llm.secret_ledger import redact_secrets
+from quarrylens.llm.secret_ledger import named_ledger, redact_secrets
 from quarrylens.llm.sentencepiece_nbest import encode_documents
 from quarrylens.llm.source_mix import mix_documents
 
@@ -37,7 +37,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets in the text give way to a mask; n_chars follows.  All rows stay; a null text stays null, with a null n_chars."""
     kind = docs.schema["n_chars"].dataType
-    return redact_secrets(docs).withColumn("n_chars", F.length("text").cast(kind))
+    ledger = named_ledger(spark, f"{sf_dir}/documents.parquet")  # texts that op5 has scanned are not scanned again
+    return redact_secrets(docs, ledger=ledger).withColumn("n_chars", F.length("text").cast(kind))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
