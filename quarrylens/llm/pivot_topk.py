@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarrylens.llm._common import discard, spread_join, written
+from quarrylens.llm._common import BROADCAST_ROWS, discard, spread_join, written
 
 K = 20
 PIVOTS = (16, 2048)
@@ -268,7 +268,7 @@ def _search_all(vectors: DataFrame, every: int, k: int) -> tuple[DataFrame, Data
     ringed = assigned.join(F.broadcast(by_pivot), "pivot").withColumn("ring", ring).drop("lo", "hi", "rings")
     rings = ringed.groupBy("pivot", "ring").agg(F.ceil(F.count(F.lit(1)) / CELL).cast("int").alias("salts"), F.min("dist").alias("lo"), F.max("dist").alias("hi"))
     rings = written(rings, "op3-rings")
-    many_rings = rings.count()
+    many_rings, many_cells = rings.agg(F.count(F.lit(1)), F.sum("salts")).first()
     salts = rings.select("pivot", "ring", "salts")
     cells = spread_join(ringed, salts, ["pivot", "ring"], rows=many_rings).withColumn("salt", F.pmod(F.xxhash64("point", F.lit(1)), F.col("salts")).cast("int")).drop("salts")
     cells = written(cells, "op3-cells")
@@ -276,22 +276,22 @@ def _search_all(vectors: DataFrame, every: int, k: int) -> tuple[DataFrame, Data
 
     # equal queries are asked once
     asked = own.groupBy(F.xxhash64("q").alias("asked"), "q").agg(F.count(F.lit(1)).alias("n"))
-    asked = _apart(written(asked.select("asked", "q", _norm(F.col("q")).alias("norm")), "op3-asked"), "asked")
-    asked = written(asked.mapInArrow(_assign(shared, False), f"asked {head}, pivot int, dist double"), "op3-asked")
+    asked = asked.select("asked", "q", _norm(F.col("q")).alias("norm")).mapInArrow(_assign(shared, False), f"asked {head}, pivot int, dist double")
+    asked = _apart(written(asked, "op3-asked"), "asked")
     cell = ["pivot", "ring", "salt"]
 
     def searched(sent: DataFrame) -> DataFrame:
         """sent(asked, pivot, ring, salt, dist, bound): every query against its cells."""
-        blocks = written(sent.groupBy(*cell).agg(F.ceil(F.count(F.lit(1)) / QUERIES).cast("int").alias("blocks")), "op3-blocks")
-        n = blocks.count()
-        index = spread_join(cells, blocks, cell, rows=n).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
-        right = spread_join(sent, blocks, cell, rows=n).withColumn("block", F.pmod(F.xxhash64("asked", F.lit(4)), F.col("blocks")).cast("int")).drop("blocks")
+        blocks = sent.groupBy(*cell).agg(F.ceil(F.count(F.lit(1)) / QUERIES).cast("int").alias("blocks"))
+        index = spread_join(cells, blocks, cell, rows=many_cells).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
+        right = spread_join(sent, blocks, cell, rows=many_cells).withColumn("block", F.pmod(F.xxhash64("asked", F.lit(4)), F.col("blocks")).cast("int")).drop("blocks")
         right = right.join(asked.select("asked", "q", "norm"), "asked")
         return index.groupBy(*cell, "block").cogroup(right.groupBy(*cell, "block")).applyInArrow(_search(shared, k + most), "asked long, point long, score long")
 
     # the first cell: the ring of the nearest pivot that lies nearest
     gap = F.greatest(F.col("lo") - F.col("dist"), F.col("dist") - F.col("hi"), F.lit(0.0))
-    first = spread_join(asked.select("asked", "pivot", "dist"), rings.groupBy("pivot").agg(F.collect_list(F.struct("ring", "salts", "lo", "hi")).alias("all")), ["pivot"])
+    by_rings = rings.groupBy("pivot").agg(F.collect_list(F.struct("ring", "salts", "lo", "hi")).alias("all"))
+    first = spread_join(asked.select("asked", "pivot", "dist"), by_rings, ["pivot"], rows=many_rings)
     nearest = first.select("asked", "pivot", "dist", F.explode("all").alias("x")).select("asked", "pivot", "dist", "x.*")
     nearest = nearest.groupBy("asked", "pivot", "dist").agg(F.min_by(F.struct("ring", "salts"), F.struct(gap, "ring")).alias("x"))
     nearest = nearest.select("asked", "pivot", "dist", "x.ring", F.pmod(F.xxhash64("asked", F.lit(2)), F.col("x.salts")).cast("int").alias("salt"), F.lit(float("nan")).alias("bound"))
@@ -303,8 +303,8 @@ def _search_all(vectors: DataFrame, every: int, k: int) -> tuple[DataFrame, Data
     bounds = counted.withColumn("upto", upto).filter(F.col("upto") >= k + most).groupBy("asked").agg(F.max("score").cast("double").alias("bound"))
     bounded = written(asked.select("asked", "q", "norm").join(bounds, "asked", "left").withColumn("bound", F.coalesce("bound", F.lit(float("nan")))), "op3-bounds")
 
-    routed = written(bounded.mapInArrow(_route(shared, spans), "asked long, pivot int, dist double, reach double"), "op3-routed")
-    sent = routed.join(F.broadcast(rings) if many_rings <= 2_000_000 else rings, "pivot").filter((F.col("lo") <= F.col("dist") + F.col("reach")) & (F.col("hi") >= F.col("dist") - F.col("reach")))
+    routed = bounded.mapInArrow(_route(shared, spans), "asked long, pivot int, dist double, reach double")
+    sent = routed.join(F.broadcast(rings) if many_rings <= BROADCAST_ROWS else rings, "pivot").filter((F.col("lo") <= F.col("dist") + F.col("reach")) & (F.col("hi") >= F.col("dist") - F.col("reach")))
     sent = sent.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).select("asked", *cell, "dist")
     sent = sent.join(nearest.select("asked", *cell), ["asked", *cell], "left_anti").join(bounded.select("asked", "bound"), "asked")
     sent = written(sent, "op3-sent")
@@ -314,9 +314,8 @@ def _search_all(vectors: DataFrame, every: int, k: int) -> tuple[DataFrame, Data
     ranked = hits.select("asked", "score", F.explode("ids").alias("vec_id"))
     ranked = ranked.withColumn("r", F.row_number().over(Window.partitionBy("asked").orderBy(F.desc("score"), "vec_id"))).filter(F.col("r") <= k + most)
     best = ranked.groupBy("asked").agg(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("minus"), "vec_id", "score"))).alias("best"))
-    best = written(asked.select("asked", "q").join(best, "asked"), "op3-best")
-    discard(cells, found)
-    out = spread_join(own.withColumn("hash", F.xxhash64("q")), best.withColumn("hash", F.xxhash64("q")), ["hash", "q"], most=WIDE_ROWS)
+    best = asked.select("asked", "q").join(best, "asked").withColumn("hash", F.xxhash64("q"))
+    out = spread_join(own.withColumn("hash", F.xxhash64("q")), best, ["hash", "q"], rows=asked.count(), most=WIDE_ROWS)
     others = F.slice(F.filter("best", lambda b: b["vec_id"] != F.col("query_id")), 1, k)
     out = out.select("query_id", F.posexplode(others).alias("place", "b"))
     return out.select("query_id", (F.col("place") + 1).cast("int").alias("rank"), "b.vec_id", "b.score"), sent
