@@ -2,14 +2,29 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; a local folder where that is unset, as in tests."""
-    return spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints"
+    """spark.checkpoint.dir of the session.
+
+    Where it is unset, a temporary folder serves a local master, as in tests; on a cluster that is an error.
+    """
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if path:
+        return path
+    current = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if current.isDefined():
+        return current.get()
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all nodes share")
+    path = tempfile.mkdtemp(prefix="quarry-")
+    spark.sparkContext.setCheckpointDir(path)
+    return path
 
 
 def cut(df: DataFrame, label: str) -> DataFrame:

@@ -6,7 +6,7 @@ functions, methods and macros.  Callees are resolved by name at query time.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarrylens import schema
@@ -40,21 +40,29 @@ def hotspots(t: Facts, limit: int = 15) -> DataFrame:
     return rows.limit(limit) if limit else rows
 
 
+def with_caller(t: Facts, calls: DataFrame) -> DataFrame:
+    """The calls with the place and kind of the definition they stand in."""
+    names = (("file_path", "file"), ("name", "sym"), ("kind", "kind"), ("start_line", "line"), ("end_line", "end_line"))
+    caller = t.symbols.select(*[F.col(x).alias(f"caller_{y}") for x, y in names])
+    return calls.join(caller, (caller.caller_file == calls.file_path) & (caller.caller_sym == calls.caller_name) & (caller.caller_line == calls.caller_start_line))
+
+
 def call_edges(t: Facts, calls: DataFrame, key: list[str] | None = None) -> DataFrame:
     """One row for each of the calls and candidate callee, with the ambiguity of the callee name within its result set.
 
-    key names the columns of a result set (none: all rows are one).
+    key names the columns of a result set (none: all rows are one).  Ambiguity comes from the least and greatest place of a
+    name's candidates, which merge before they shuffle.
     """
-    c = calls
-    caller = t.symbols.select(*[F.col(x).alias(f"caller_{y}") for x, y in (("file_path", "file"), ("name", "sym"), ("kind", "kind"), ("start_line", "line"), ("end_line", "end_line"))])
     callee = t.symbols.filter(F.col("kind").isin(*schema.FREE_CALLEE_KINDS)).select(
         *[F.col(x).alias(f"callee_{y}") for x, y in (("file_path", "file"), ("name", "sym"), ("kind", "kind"), ("start_line", "line"))]
     )
-    e = c.join(caller, (caller.caller_file == c.file_path) & (caller.caller_sym == c.caller_name) & (caller.caller_line == c.caller_start_line))
-    e = e.join(callee, (callee.callee_sym == c.callee_name) & callee_match(c.is_method, c.callee_name, callee.callee_kind), "left")
-    places = F.when(F.col("callee_file").isNotNull(), F.struct("callee_file", "callee_line"))
-    group = Window.partitionBy(*(key or []), "callee_name")
-    e = e.withColumn("ambiguous", F.coalesce(F.min(places).over(group) != F.max(places).over(group), F.lit(False)))
+    c = with_caller(t, calls)
+    match = lambda left: (callee.callee_sym == left.callee_name) & callee_match(left.is_method, left.callee_name, callee.callee_kind)
+    group = [*(key or []), "callee_name"]
+    forms = c.select(*group, "is_method").distinct()
+    place = F.struct("callee_file", "callee_line")
+    many = forms.join(callee, match(forms)).groupBy(*group).agg((F.min(place) != F.max(place)).alias("several")).filter("several")
+    e = c.join(callee, match(c), "left").join(many, group, "left").withColumn("ambiguous", F.coalesce("several", F.lit(False)))
     return e.select(
         "caller_name", "caller_kind", "caller_file", "caller_line", "caller_end_line", "callee_name", "callee_kind", "callee_file", "callee_line", "site_line", "site_column",
         "resolution", "is_method", "ambiguous",

@@ -40,6 +40,9 @@ def walk(t: Facts, name: str, depth: int = 3, direction: str = "down", resolved_
     direction: down, up or both.  Names that are external or ambiguous are walked too.  cap bounds the result, nearest edges first.
     """
     spark = t.calls.sparkSession
+    if depth < 1:
+        none = _level(t, spark.createDataFrame([], "name string"), "down", resolved_only).drop("next")
+        return none.withColumn("depth", F.lit(0)).limit(0)
     visited = spark.createDataFrame([(name,)], "name string")
     frontier, levels = visited, []
     for d in range(1, depth + 1):
@@ -260,10 +263,11 @@ def module_levels(edges: DataFrame) -> DataFrame:
     """(node, level) of an acyclic (source, target) table: the longest chain of dependencies below a node.
 
     With a cycle no node of it, nor any that depends on it, gets a level.  Sorted by level it is a dependency-first order.
+    Up to DRIVER_EDGES edges are peeled on the driver, more of them with joins.
     """
     rows = collected(edges, DRIVER_EDGES)
     if rows is None:
-        raise ValueError(f"more than {DRIVER_EDGES} edges")
+        return spread_levels(edges)
     waits: dict[str, int] = {}
     above: dict[str, list[str]] = {}
     for a, b in rows:
@@ -283,6 +287,26 @@ def module_levels(edges: DataFrame) -> DataFrame:
     return edges.sparkSession.createDataFrame(done, "node string, level int")
 
 
+def spread_levels(edges: DataFrame) -> DataFrame:
+    """module_levels with joins: each round takes the nodes that depend on none that is left."""
+    left = cut(edges.select(F.col(edges.columns[0]).alias("a"), F.col(edges.columns[1]).alias("b")).distinct(), "levels")
+    nodes = cut(left.select(F.col("a").alias("node")).unionByName(left.select(F.col("b").alias("node"))).distinct(), "levels")
+    done, level = None, 0
+    while True:
+        free = nodes.join(left.select(F.col("a").alias("node")).distinct(), "node", "left_anti")
+        one = cut(free.withColumn("level", F.lit(level)), "level")
+        if not one.limit(1).count():
+            break
+        done = one if done is None else done.unionByName(one)
+        if level % 16 == 15:  # keeps the plan of a deep order small
+            done = cut(done, "levels")
+        gone = one.select("node")
+        nodes = cut(nodes.join(gone, "node", "left_anti"), "levels")
+        left = cut(left.join(gone.withColumnRenamed("node", "b"), "b", "left_anti").select("a", "b"), "levels")
+        level += 1
+    return edges.sparkSession.createDataFrame([], "node string, level int") if done is None else done
+
+
 def modules(t: Facts) -> DataFrame:
     """One row: files that import or are imported, edges, external imports, whether there is a cycle."""
     g = cut(file_graph(t), "files")

@@ -49,13 +49,15 @@ def _rust_tried(importer: F.Column, spec: F.Column) -> F.Column:
     return F.flatten(F.transform(down, lambda k: F.array(F.concat(stem(k), F.lit(".rs")), F.concat(stem(k), F.lit("/mod.rs")))))
 
 
-def resolve(t: Facts) -> DataFrame:
+def resolve(t: Facts, imports: DataFrame | None = None) -> DataFrame:
     """(file_path, module, target): the file each specifier means, null where none does; one row for each pair.
 
+    imports: those to resolve, all where it is not given.
+
     `.` is relative to the importer; Rust importers resolve module paths; others go through the aliases in order.
     The first candidate that is a file wins; a file does not import itself.
     """
-    pairs = t.imports.select("file_path", "module").distinct()
+    pairs = (t.imports if imports is None else imports).select("file_path", "module").distinct()
     importer, spec = F.col("file_path"), F.col("module")
     folder = F.when(F.contains(importer, F.lit("/")), F.concat(F.regexp_replace(importer, "/[^/]*$", ""), F.lit("/"))).otherwise(F.lit(""))
     none = F.array().cast("array<string>")
@@ -91,7 +93,7 @@ def boundary(t: Facts, source: str, target: str) -> DataFrame:
     under = imports_under(t, source)
     raw = under.filter(contains_ci("module", target))
     known = raw.select("file_path", "module", "site_line").distinct()
-    means = resolve(t).filter(F.contains("target", F.lit(target)) & F.col("target").isNotNull())
+    means = resolve(t, under).filter(F.contains("target", F.lit(target)) & F.col("target").isNotNull())
     more = under.join(means, ["file_path", "module"], "left_semi").join(known, ["file_path", "module", "site_line"], "left_anti")
     more = more.groupBy("file_path", "module", "site_line").agg(F.min("site_column").alias("site_column"))
     return raw.unionByName(more).orderBy("file_path", "site_line")
@@ -99,5 +101,6 @@ def boundary(t: Facts, source: str, target: str) -> DataFrame:
 
 def boundary_unresolved(t: Facts, source: str) -> DataFrame:
     """How many imports of the layer are neither relative nor resolved."""
-    lost = imports_under(t, source).filter(~F.startswith("module", F.lit("."))).join(resolve(t).filter("target is not null"), ["file_path", "module"], "left_anti")
+    under = imports_under(t, source).filter(~F.startswith("module", F.lit(".")))
+    lost = under.join(resolve(t, under).filter("target is not null"), ["file_path", "module"], "left_anti")
     return lost.agg(F.count(F.lit(1)).alias("unresolved"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarrylens.functions.text import shortened
-from quarrylens.operators.edges import call_edges
+from quarrylens.operators.edges import call_edges, with_caller
 from quarrylens.operators.lookup import symbols
 from quarrylens.sources.facts import Facts
 
@@ -40,21 +40,20 @@ def search(t: Facts, pattern: str, lang: str | None = None, limit: int = 50) ->
     s = symbols(t, pattern, lang=lang, limit=limit)
     hits = text_hits(t, pattern, lang, limit)
     starts = s.select(F.col("file_path").alias("path"), F.col("start_line").alias("line")).distinct()
-    sites = call_edges(t, t.calls.filter(F.col("callee_name") == pattern)).select(F.col("caller_file").alias("path"), F.col("site_line").alias("line")).distinct()
+    sites = with_caller(t, t.calls.filter(F.col("callee_name") == pattern)).select(F.col("caller_file").alias("path"), F.col("site_line").alias("line")).distinct()
     rest = hits.join(starts, ["path", "line"], "left_anti").join(sites.withColumn("_ref", F.lit(True)), ["path", "line"], "left")
     text = rest.select(F.when(F.col("_ref"), "reference").otherwise("textual").alias("source"), "path", "line", F.lit(None).cast("string").alias("name"), F.lit(None).cast("string").alias("kind"), "text")
     found = s.select(F.lit("structural").alias("source"), F.col("file_path").alias("path"), F.col("start_line").alias("line"), "name", "kind", F.lit(None).cast("string").alias("text"))
     return found.unionByName(text)
 
 
-def _edges_of(t: Facts, names: DataFrame, near: str) -> DataFrame:
-    calls = t.calls.join(names.select(F.col("name").alias(near)), near, "left_semi")
-    return call_edges(t, calls, ["caller_name"] if near == "caller_name" else None)
+def _calls_of(t: Facts, names: DataFrame, near: str) -> DataFrame:
+    return t.calls.join(names.select(F.col("name").alias(near)), near, "left_semi")
 
 
 def callers_groups(t: Facts, names: DataFrame) -> DataFrame:
     """name and its distinct callers, SHOWN at most, in edge order."""
-    e = _edges_of(t, names, "callee_name")
+    e = with_caller(t, _calls_of(t, names, "callee_name"))
     ref = F.struct(F.col("caller_file").alias("path"), F.col("caller_line").alias("line"), F.col("caller_name").alias("name"), F.col("caller_kind").alias("kind"))
     order = F.min(F.struct("caller_file", "caller_line", "site_line", "site_column"))
     one = e.groupBy(F.col("callee_name").alias("name"), ref.alias("ref")).agg(order.alias("at"))
@@ -63,17 +62,43 @@ def callers_groups(t: Facts, names: DataFrame) -> DataFrame:
     return kept.groupBy("name").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "ref"))), lambda s: s["ref"]).alias("internal"))
 
 
+def _callees(t: Facts, names: DataFrame) -> DataFrame:
+    """name, callee, ref (null: external), ambiguous and first place: one row for each distinct callee of a name."""
+    e = call_edges(t, _calls_of(t, names, "caller_name"), ["caller_name"])
+    ref = F.struct(F.col("callee_file").alias("path"), F.col("callee_line").alias("line"), F.col("callee_name").alias("name"), F.col("callee_kind").alias("kind"))
+    at = F.min(F.struct("caller_file", "caller_line", "site_line", "site_column", "callee_file", "callee_line"))
+    known = F.when(F.col("callee_file").isNotNull(), ref)
+    return e.groupBy(F.col("caller_name").alias("name"), F.col("callee_name").alias("callee"), known.alias("ref"), "ambiguous").agg(at.alias("at"))
+
+
 def callees_groups(t: Facts, names: DataFrame) -> DataFrame:
     """name, number of distinct internal callees, of ambiguous names, of their candidates, and of external names."""
-    e = _edges_of(t, names, "caller_name")
-    ref = F.struct("callee_name", "callee_file", "callee_line", "callee_kind")
-    known, sure = F.col("callee_file").isNotNull(), ~F.col("ambiguous")
-    count = lambda cond, what: F.count_distinct(F.when(cond, what))
-    return e.groupBy(F.col("caller_name").alias("name")).agg(
-        count(known & sure, ref).alias("internal"), count(known & ~sure, F.col("callee_name")).alias("ambiguous_names"), count(known & ~sure, ref).alias("candidates"),
-        count(~known, F.col("callee_name")).alias("external"),
+    known, sure = F.col("ref").isNotNull(), ~F.col("ambiguous")
+    return _callees(t, names).groupBy("name").agg(
+        F.count_if(known & sure).alias("internal"), F.count_distinct(F.when(known & ~sure, F.col("callee"))).alias("ambiguous_names"), F.count_if(known & ~sure).alias("candidates"),
+        F.count_distinct(F.when(~known, F.col("callee"))).alias("external"),
     )
 
 
+def callees_listed(t: Facts, names: DataFrame, expand: bool = False) -> DataFrame:
+    """name; internal: its callees of one definition, SHOWN at most, in edge order; ambiguous: names of several with how many;
+    external_count.  expand adds the candidates of ambiguous names and the external names, sorted; else they are empty.
+    """
+    c = _callees(t, names)
+    known, sure = F.col("ref").isNotNull(), ~F.col("ambiguous")
+    place = F.row_number().over(Window.partitionBy("name").orderBy("at", "ref"))
+    internal = c.filter(known & sure).withColumn("n", place).filter(F.col("n") <= SHOWN)
+    internal = internal.groupBy("name").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "ref"))), lambda s: s["ref"]).alias("internal"))
+    ref = c.schema["ref"].dataType.simpleString()
+    candidates = F.transform(F.array_sort(F.collect_list(F.struct("at", "ref"))), lambda s: s["ref"]) if expand else F.array().cast(f"array<{ref}>")
+    each = c.filter(known & ~sure).groupBy("name", "callee").agg(F.count(F.lit(1)).alias("n"), candidates.alias("candidates"))
+    each = each.groupBy("name").agg(F.array_sort(F.collect_list(F.struct(F.col("callee").alias("name"), F.col("n").alias("count"), "candidates"))).alias("ambiguous"))
+    listed = F.array_sort(F.collect_list("callee")) if expand else F.array().cast("array<string>")
+    outside = c.filter(~known).select("name", "callee").distinct().groupBy("name").agg(F.count(F.lit(1)).alias("external_count"), listed.alias("external"))
+    out = c.select("name").distinct().join(internal, "name", "left").join(each, "name", "left").join(outside, "name", "left")
+    none = lambda column, df: F.coalesce(column, F.array().cast(df.schema[column].dataType)).alias(column)
+    return out.select("name", none("internal", internal), none("ambiguous", each), F.coalesce("external_count", F.lit(0)).alias("external_count"), none("external", outside))
+
+
 def candidate_paths(hits: DataFrame) -> DataFrame:
     return hits.select("path").distinct().orderBy("path")
