@@ -309,3 +309,9 @@ def imports_of(text: str, language: str) -> list[tuple]:
         group = "crate" if m.groupdict().get("crate") else "module"
         out.append((m.group(group).strip().strip("\"'<>`"), *places.of(m.start(group))))
     return out
+
+
+def facts_of(text: str, language: str, deep: bool = False) -> tuple[list[Symbol], list[tuple], list[tuple]]:
+    """symbols_of, calls_of and imports_of of one file."""
+    found = symbols_of(text, language, deep)
+    return found, calls_of(text, language, found), imports_of(text, language)

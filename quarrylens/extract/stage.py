@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarrylens.extract import facts as one
+from quarrylens.functions.tables import cut
 from quarrylens.operators.delta import is_minified
 
 _SCHEMA = (
@@ -22,11 +23,14 @@ def _extract(deep: bool):
     def run(batches):
         rows: list[tuple] = []
         for batch in batches:
-            for path, language, text in zip(*(batch.column(k).to_pylist() for k in range(3))):
-                found = one.symbols_of(text, language, deep)
+            for path, language, text, minified in zip(*(batch.column(k).to_pylist() for k in range(4))):
+                rows.append(("file", path, *[None] * 9))
+                if minified:
+                    continue
+                found, calls, imports = one.facts_of(text, language, deep)
                 rows += [("symbol", path, s.name, s.kind, *s.span, s.visibility, None, None) for s in found]
-                rows += [("call", path, c[2], None, c[3], c[4], c[1], None, None, c[0], c[5]) for c in one.calls_of(text, language, found)]
-                rows += [("import", path, m, None, line, column, None, None, None, None, None) for m, line, column in one.imports_of(text, language)]
+                rows += [("call", path, c[2], None, c[3], c[4], c[1], None, None, c[0], c[5]) for c in calls]
+                rows += [("import", path, m, None, line, column, None, None, None, None, None) for m, line, column in imports]
                 if len(rows) >= ROWS:
                     yield _batch(rows)
                     rows = []
@@ -40,12 +44,23 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _KINDS)], names=_NAMES)
 
 
-def extract(texts: DataFrame, deep: bool = False) -> dict[str, DataFrame]:
-    """symbols, calls and imports of texts(path, language, text); a minified file has none."""
-    plain = texts.filter(F.col("text").isNotNull() & ~is_minified(F.col("text")))
-    rows = plain.select("path", "language", "text").mapInArrow(_extract(deep), _SCHEMA)
+def extracted(texts: DataFrame, deep: bool = False) -> DataFrame:
+    """One row each file, symbol, call and import of texts(path, language, text), told apart by ``fact``; a minified file has only its own."""
+    plain = texts.filter(F.col("text").isNotNull())
+    return plain.select("path", "language", "text", is_minified(F.col("text"))).mapInArrow(_extract(deep), _SCHEMA)
+
+
+def extract(texts: DataFrame, deep: bool = False, held: bool = True) -> dict[str, DataFrame]:
+    """files (path), symbols, calls and imports of texts(path, language, text); a minified file has none.
+
+    held: what the files give is written once and all tables read that.
+    """
+    rows = extracted(texts, deep)
+    if held:
+        rows = cut(rows, "extracted")
     fixed = F.lit("syntactic").alias("resolution")
     return {
+        "files": rows.filter("fact = 'file'").select(F.col("file_path").alias("path")),
         "symbols": rows.filter("fact = 'symbol'").select("file_path", "name", "kind", "start_line", "start_column", "end_line", "end_column", "visibility"),
         "calls": rows.filter("fact = 'call'").select(
             "file_path", "caller_name", F.col("end_line").alias("caller_start_line"), F.col("name").alias("callee_name"), F.col("start_line").alias("site_line"), F.col("start_column").alias("site_column"), fixed, "is_method"

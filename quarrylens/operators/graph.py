@@ -147,6 +147,11 @@ def depth_first_cycles(pairs: list[tuple[str, str]]) -> list[tuple[str, ...]]:
     return sorted(out)
 
 
+def too_many_pairs(t: Facts) -> bool:
+    """Whether there are more than MAX_PAIRS resolved pairs, so that `call_cycles` lists none."""
+    return resolved_pairs(t).limit(MAX_PAIRS + 1).count() > MAX_PAIRS
+
+
 def call_cycles(t: Facts, limit: int = 0) -> DataFrame:
     """Call cycles; none where there are more than MAX_PAIRS resolved pairs.  limit 0: the cap of MAX_CYCLES."""
     spark = t.calls.sparkSession

@@ -32,7 +32,7 @@ class Result:
     def value(self) -> dict:
         if self.items is not None:
             return render.envelope(self.items, self.advisory)
-        out = {k: [render.plain(r) for r in v.collect()] if isinstance(v, DataFrame) else v for k, v in self.parts.items()}
+        out = {k: render.rows(v) if isinstance(v, DataFrame) else v for k, v in self.parts.items()}
         return out | ({"advisory": self.advisory} if self.advisory else {})
 
     def text(self, fmt: str = "toon") -> str:
@@ -87,7 +87,7 @@ class Session:
     def status(self, fast: bool = False) -> Result:
         t = self.store.facts()
         head = self.store.current()
-        parts = lookup.counts(t).first().asDict() | {"schema_version": head["schema_version"] if head else schema.SCHEMA_VERSION, "languages": lookup.files_per_language(t).orderBy("language")}
+        parts = lookup.counts(t).first().asDict() | {"schema_version": head["schema_version"] if head else schema.SCHEMA_VERSION, "languages": lookup.files_per_language(t).orderBy("language"), "store_bytes": self.store.size()}
         if not fast:
             parts["staleness"] = delta.status(disk_files(self.spark, self.root), t.files).first().asDict()
         return Result(parts=parts)
@@ -189,7 +189,9 @@ class Session:
 
     def cycles(self, limit: int = 0) -> Result:
         t = self.facts()
-        return self._done(Result(graph.call_cycles(t, limit)), "cycles", t, t.files.select("path").limit(0))
+        skipped = graph.too_many_pairs(t)
+        note = f"more than {graph.MAX_PAIRS} resolved pairs: cycles are not listed; see the components of cycle_nodes" if skipped else None
+        return self._done(Result(graph.call_cycles(t, limit), advisory=note), "cycles", t, t.files.select("path").limit(0))
 
     def import_cycles(self, limit: int = 0) -> Result:
         t = self.facts()
@@ -237,12 +239,12 @@ class Session:
     def languages(self) -> Result:
         return Result(parts={"languages": [{"language": s, "extensions": " ".join(e), "coverage": c, "calls": k, "imports": k} for s, e, c, k in schema.LANGUAGES]})
 
-    def search(self, pattern: str, lang: str | None = None, limit: int = 50) -> Result:
+    def search(self, pattern: str, lang: str | None = None, limit: int = 50, all_callees: bool = False) -> Result:
         t = self.facts()
         hits = search.search(t, pattern, lang, limit)
         names = hits.filter("source = 'structural'").select("name").distinct()
         cut = search.truncated(t, pattern, limit).first().truncated
-        parts = {"pattern": pattern, "results": hits, "callers": search.callers_groups(t, names), "callees": search.callees_groups(t, names), "truncated": cut}
+        parts = {"pattern": pattern, "results": hits, "callers": search.callers_groups(t, names), "callees": search.callees_listed(t, names, all_callees), "truncated": cut}
         return self._done(Result(parts=parts, advisory="more files match than are shown" if cut else None), "search", t, hits.select("path"), pattern)
 
     def gain(self, since: str | None = "30d", history: int | None = None) -> Result:
@@ -253,6 +255,11 @@ class Session:
         label = "all time" if since is None else render.window_label(render.duration_seconds(since))
         return Result(parts={"window": label, "totals": usage.totals(t, bound), "commands": usage.per_command(t, bound)})
 
+    def gain_text(self, since: str | None = "30d") -> str:
+        """The usage report: totals, a meter of the reduction, and a table of the commands by what they saved."""
+        value = self.gain(since).value()
+        return render.gain_report(value["window"], value["totals"][0], sorted(value["commands"], key=lambda r: (-r["saved"], r["command"])))
+
     def gain_top(self, by: str = "saved", since: str | None = "30d") -> Result:
         return Result(usage.top(self.store.facts(), by, None if since is None else _ago(since)))
 

@@ -16,12 +16,13 @@ from quarrylens import schema
 from quarrylens.operators.delta import with_language
 
 PRUNED = (".git", ".quarrylens")
+READ_BYTES = 8 << 20
 
 
-def _ignore_rules(folder: str) -> list[tuple[str, bool, bool]]:
-    """(pattern, negated, folders only) of a folder's .gitignore."""
+def _rules(path: str) -> list[tuple[str, bool, bool]]:
+    """(pattern, negated, folders only) of an ignore file."""
     try:
-        with open(os.path.join(folder, ".gitignore"), encoding="utf-8") as f:
+        with open(path, encoding="utf-8") as f:
             lines = f.read().split("\n")
     except (OSError, UnicodeDecodeError):
         return []
@@ -30,11 +31,21 @@ def _ignore_rules(folder: str) -> list[tuple[str, bool, bool]]:
         line = line.rstrip()
         if line and not line.startswith("#"):
             negated = line.startswith("!")
-            line = line[negated:]
+            line = line[negated:].removeprefix("\\")
             out.append((line.rstrip("/"), negated, line.endswith("/")))
     return out
 
 
+def _global_excludes() -> str:
+    """The file that Git reads ignore rules of all repositories from."""
+    try:
+        done = subprocess.run(["git", "config", "--global", "--path", "core.excludesFile"], capture_output=True, text=True, check=False)
+        named = done.stdout.strip()
+    except OSError:
+        named = ""
+    return named or os.path.join(os.environ.get("XDG_CONFIG_HOME") or os.path.expanduser("~/.config"), "git", "ignore")
+
+
 def _ignored(rel: str, is_dir: bool, rules: list[tuple[str, str, bool, bool]]) -> bool:
     """The last rule that matches decides; a pattern with a slash is anchored at its own folder."""
     verdict = False
@@ -54,20 +65,26 @@ def _ignored(rel: str, is_dir: bool, rules: list[tuple[str, str, bool, bool]]) -
 
 
 def _glob(path: str, pattern: str) -> bool:
-    parts = re.split(r"(\*\*/|\*\*|\*|\?)", pattern)
-    made = "".join({"**/": "(?:.*/)?", "**": ".*", "*": "[^/]*", "?": "[^/]"}.get(p, re.escape(p)) for p in parts)
+    parts = re.split(r"(\*\*/|\*\*|\*|\?|\[!?\]?[^\]]*\])", pattern)
+    made = "".join({"**/": "(?:.*/)?", "**": ".*", "*": "[^/]*", "?": "[^/]"}.get(p) or (f"(?!/)[{'^' if p[1] == '!' else ''}{p[1 + (p[1] == '!') : -1]}]" if p[:1] == "[" and p[-1:] == "]" else re.escape(p)) for p in parts)
     return re.fullmatch(made, path) is not None
 
 
 def walk(root: str) -> list[tuple[str, int, int]]:
-    """(path, mtime_ns, size) of the files below a folder, by path: hidden ones too, ignored ones and links not."""
+    """(path, mtime_ns, size) of the files below a folder, by path: hidden ones too, ignored ones and links not.
+
+    Rules come from Git's global file, the repository's own exclude file, and each folder's `.gitignore` and `.ignore`; later ones
+    count more, and those of `.ignore` more than all others.
+    """
     found: list[tuple[str, int, int]] = []
-    work = [("", [])]
-    exclude = [("", p, n, d) for p, n, d in _read_rules(os.path.join(root, ".git", "info", "exclude"))]
+    first = [("", *r) for at in (_global_excludes(), os.path.join(root, ".git", "info", "exclude")) for r in _rules(at)]
+    work: list[tuple[str, list, list]] = [("", first, [])]
     while work:
-        rel, rules = work.pop()
+        rel, weak, strong = work.pop()
         folder = os.path.join(root, rel) if rel else root
-        rules = (rules or exclude) + [(rel, p, n, d) for p, n, d in _ignore_rules(folder)]
+        weak = weak + [(rel, *r) for r in _rules(os.path.join(folder, ".gitignore"))]
+        strong = strong + [(rel, *r) for r in _rules(os.path.join(folder, ".ignore"))]
+        rules = weak + strong
         with os.scandir(folder) as entries:
             for e in entries:
                 path = f"{rel}/{e.name}" if rel else e.name
@@ -76,55 +93,55 @@ def walk(root: str) -> list[tuple[str, int, int]]:
                 if _ignored(path, e.is_dir(), rules):
                     continue
                 if e.is_dir():
-                    work.append((path, rules))
+                    work.append((path, weak, strong))
                 elif e.is_file():
                     st = e.stat()
                     found.append((path, st.st_mtime_ns, st.st_size))
     return sorted(found)
 
 
-def _read_rules(path: str) -> list[tuple[str, bool, bool]]:
-    try:
-        with open(path, encoding="utf-8") as f:
-            lines = [x.rstrip() for x in f.read().split("\n")]
-    except (OSError, UnicodeDecodeError):
-        return []
-    return [(x.lstrip("!").rstrip("/"), x.startswith("!"), x.endswith("/")) for x in lines if x and not x.startswith("#")]
-
-
-def disk_files(spark: SparkSession, root: str) -> DataFrame:
-    """path, mtime_ns, size, language of the tree's files in known languages under the size cap."""
+def disk_files(spark: SparkSession, root: str, every: bool = False) -> DataFrame:
+    """path, mtime_ns, size, language of the tree's files in known languages under the size cap; every: of all files, whatever their language."""
     rows = [r for r in walk(root) if r[2] <= schema.MAX_FILE_BYTES]
-    return with_language(spark.createDataFrame(rows, "path string, mtime_ns long, size long"))
+    files = spark.createDataFrame(rows, "path string, mtime_ns long, size long")
+    return files.withColumn("language", F.lit("")) if every else with_language(files)
 
 
 def _open_files(root: str):
     def run(batches):
         for batch in batches:
-            content = []
-            for path in batch.column(0).to_pylist():
+            paths, languages, content, size = [], [], [], 0
+            for path, language in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 try:
                     with open(os.path.join(root, path), "rb") as f:
-                        content.append(f.read())
+                        raw = f.read()
                 except OSError:
-                    content.append(None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(content, pa.binary())], names=["path", "language", "content"])
+                    continue
+                paths.append(path)
+                languages.append(language)
+                content.append(raw)
+                size += len(raw)
+                if size > READ_BYTES:
+                    yield _contents(paths, languages, content)
+                    paths, languages, content, size = [], [], [], 0
+            yield _contents(paths, languages, content)
 
     return run
 
 
+def _contents(paths, languages, content) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(languages, pa.string()), pa.array(content, pa.binary())], names=["path", "language", "content"])
+
+
 def read_texts(spark: SparkSession, root: str, paths: DataFrame) -> DataFrame:
-    """path, language, text of some files of the tree; those that are not UTF-8 are left out.
+    """path, language, text of some files of the tree; those that are not UTF-8 or hold a zero byte are left out.
 
-    Spark's file source passes over names that begin with a dot or an underscore; those are opened by the tasks.
+    Tasks open the wanted paths and no others, so the root must be a folder that all nodes see.
     """
     root = os.path.abspath(root).rstrip("/")
-    passed = F.col("path").rlike("(?:^|/)[._]")
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(f"file://{root}").select("path", "content")
-    rel = F.expr(f"substring(url_decode(replace(path, '+', '%2B')), length('file:{root}/') + 1)")
-    seen = raw.select(rel.alias("path"), "content").join(paths.filter(~passed).select("path", "language"), "path").select("path", "language", "content")
-    opened = paths.filter(passed).select("path", "language").mapInArrow(_open_files(root), "path string, language string, content binary")
-    return seen.unionByName(opened).filter(F.col("content").isNotNull() & F.is_valid_utf8("content")).select("path", "language", F.col("content").cast("string").alias("text"))
+    opened = paths.select("path", "language").repartition("path").mapInArrow(_open_files(root), "path string, language string, content binary")
+    text = F.col("content").cast("string")
+    return opened.filter(F.is_valid_utf8("content")).select("path", "language", text.alias("text")).filter(~F.contains("text", F.lit("\0")))
 
 
 def parse_diff(text: str) -> list[tuple[str, int, int]]:

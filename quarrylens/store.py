@@ -10,16 +10,19 @@ import json
 import time
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarrylens import schema
 from quarrylens.extract.stage import extract
+from quarrylens.functions.tables import cut
 from quarrylens.operators import delta
 from quarrylens.sources.facts import Snapshot
 from quarrylens.sources.tree import disk_files, read_aliases, read_texts
 
 FACTS = ("files", "symbols", "calls", "imports")
+RETRIES = 20
 
 
 class NewerStore(RuntimeError):
@@ -35,13 +38,26 @@ class Store:
         self._Path = jvm.Path
         self.fs = jvm.Path(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
-    # pointer
+    # pointers: numbered files, of which the greatest counts; a new one appears by a rename to a name that was not there
+    def _pointers(self, name: str) -> list[str]:
+        stem, _, kind = name.rpartition(".")
+        found = self.fs.globStatus(self._Path(f"{self.path}/{stem}.*.{kind}"))
+        return sorted(f.getPath().toString() for f in found) if found is not None else []
+
     def _read(self, name: str) -> dict | None:
-        at = self._Path(f"{self.path}/{name}")
-        if not self.fs.exists(at):
-            return None
-        rows = self.spark.read.text(f"{self.path}/{name}", wholetext=True).collect()
-        return json.loads(rows[0][0])
+        for _ in range(RETRIES):
+            known = self._pointers(name)
+            if not known:
+                return None
+            at = self._Path(known[-1])
+            try:
+                stream = self.fs.open(at)
+            except Py4JJavaError:  # a later pointer came and this one went
+                continue
+            text = self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+            stream.close()
+            return json.loads(text)
+        raise RuntimeError(f"{name} moves faster than it can be read")
 
     def _write(self, name: str, value: dict) -> None:
         self.fs.mkdirs(self._Path(self.path))
@@ -49,9 +65,13 @@ class Store:
         out = self.fs.create(part, True)
         out.write(bytearray(json.dumps(value).encode()))
         out.close()
-        to = self._Path(f"{self.path}/{name}")
-        self.fs.delete(to, False)
-        self.fs.rename(part, to)
+        stem, _, kind = name.rpartition(".")
+        before = self._pointers(name)
+        number = max(time.time_ns(), int(before[-1].rsplit(".", 2)[1]) + 1 if before else 0)
+        if not self.fs.rename(part, self._Path(f"{self.path}/{stem}.{number:020}.{kind}")):
+            raise RuntimeError(f"cannot move {name}")
+        for old in before[:-1]:  # the last one stays for readers that have just listed it
+            self.fs.delete(self._Path(old), False)
 
     def current(self) -> dict | None:
         head = self._read("current.json")
@@ -82,11 +102,11 @@ class Store:
         deep = self.settings().get("index.nested_keys", "false").lower() == "true"
         done = delta.summary(disk, old["files"], force).first().asDict()
         if done["indexed"] or done["removed"] or self.current() is None:
-            dirty = delta.dirty(disk, old["files"], force)
+            dirty = cut(delta.dirty(disk, old["files"], force), "dirty")
             gone = delta.reconcile(disk, old["files"]).filter("state = 'deleted'").select("path")
-            texts = read_texts(self.spark, root, disk.join(dirty, "path", "left_semi"))
-            fresh = extract(texts, deep)
-            fresh["files"] = disk.join(texts.select("path").distinct(), "path", "left_semi")
+            # every dirty file is read and parsed once; all tables come from what that wrote
+            fresh = extract(read_texts(self.spark, root, disk.join(dirty, "path", "left_semi")), deep)
+            fresh["files"] = disk.join(fresh["files"], "path", "left_semi")
             replaced = dirty.unionByName(gone)
             new = {n: delta.replace_files(old[n], replaced, fresh[n].select(*old[n].columns), "path" if n == "files" else "file_path") for n in FACTS}
             self.publish(new)
@@ -97,10 +117,15 @@ class Store:
         tables = self.tables()
         tables["usage"] = self.usage()
         if root is not None:
-            texts = read_texts(self.spark, root, tables["files"])
+            texts = read_texts(self.spark, root, disk_files(self.spark, root, every=True))
             tables["lines"] = texts.select("path", F.posexplode(F.split("text", "\n")).alias("line_no", "text"))
         return Snapshot(tables, read_aliases(root) if root is not None else [])
 
+    def size(self) -> int:
+        """Bytes of the store, old versions included."""
+        at = self._Path(self.path)
+        return int(self.fs.getContentSummary(at).getLength()) if self.fs.exists(at) else 0
+
     # usage
     def usage(self) -> DataFrame:
         at = f"{self.path}/usage"
