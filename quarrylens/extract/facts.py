@@ -10,10 +10,11 @@ from __future__ import annotations
 import ast
 import re
 from dataclasses import dataclass
+from functools import lru_cache
 
 from quarrylens import schema
 from quarrylens.extract import rules
-from quarrylens.extract.lexer import Places, block_ends, mask
+from quarrylens.extract.lexer import Blocks, Places, block_ends, mask
 
 
 @dataclass(frozen=True)
@@ -61,19 +62,27 @@ def _visibility(language: str, name: str, text: str, start: int) -> str:
     return "unknown"
 
 
-def _braced(text: str, language: str) -> list[Symbol]:
+@dataclass(frozen=True)
+class Scan:
+    """What a file with braces holds: its text with comments and strings blanked, its symbols, and where their names stand."""
+
+    masked: str
+    places: Places
+    symbols: list[Symbol]
+    names: frozenset[int]
+
+
+@lru_cache(maxsize=2)
+def _scan(text: str, language: str) -> Scan:
     masked = mask(text, language)
     places, ends = Places(text), block_ends(masked)
-    opens = sorted(ends)
-    types = []
+    blocks = Blocks(ends)
+    types = {}
     if language in rules.TYPES:
         for m in re.finditer(rules.TYPES[language], masked):
-            types.append((m.end() - 1, ends[m.end() - 1], re.match(r"trait|interface|protocol", m.group()) is not None))
-
-    def holder(at: int):
-        """The innermost block around a place, if it is a type's."""
-        around = [o for o in opens if o < at < ends[o]]
-        return next((t for t in types if around and t[0] == around[-1]), None)
+            types[m.end() - 1] = re.match(r"trait|interface|protocol", m.group()) is not None
+    before = re.compile(f"(?:{rules.MODIFIERS[language]})+$") if language in rules.MODIFIERS else None
+    headed = ("defined", "qualified", "typed", "member")
 
     found: list[tuple[int, int, Symbol]] = []
     taken: set[int] = set()
@@ -82,45 +91,63 @@ def _braced(text: str, language: str) -> list[Symbol]:
             name, at = m.group("name"), m.start("name")
             if name in rules.RESERVED and kind not in ("class", "interface", "module") or at in taken:
                 continue
+            value = kind in ("assigned", "pair") or re.match(r"(?:const|let|var)\s", m.group().lstrip()) is not None
             start = m.start() + len(m.group()) - len(m.group().lstrip())
             block, stop = masked.find("{", at), masked.find(";", at)
-            if kind in ("defined", "qualified", "typed", "member"):
+            if kind in headed:
                 block = m.end() - 1 if m.group()[-1] == "{" else -1
                 stop = m.end() - 1
-            if language == "go" and kind == "type" and re.match(r"\s*\w+\s+(?:struct|interface)\b", masked[at:]) is None:
-                block, stop = -1, masked.find("\n", at)
-            has_body = block >= 0 and (stop < 0 or block < stop or kind in ("defined", "qualified", "typed", "member")) and block in ends
-            if kind in ("function", "assigned", "pair") and not has_body:
-                stop = min(x for x in (masked.find(c, m.end()) for c in "\n;") if x >= 0) if re.search("[\n;]", masked[m.end() :]) else len(masked)
+            elif block >= 0 and language in ("kotlin", "swift") and re.search(rules.NEXT, masked[m.end() : block]):
+                block, stop = -1, masked.find("\n", at) - 1
+            if language == "go" and kind == "type":
+                start = at
+                if re.match(r"\s*\w+\s+(?:struct|interface)\b", masked[at:]) is None:
+                    block, stop = -1, masked.find("\n", at)
+            has_body = block >= 0 and (stop < 0 or block < stop or kind in headed) and block in ends
+            if (kind in ("function", "assigned", "pair") or value) and not has_body:
+                stop = min((x for x in (masked.find(c, m.end()) for c in "\n;") if x >= 0), default=len(masked))
+                stop -= value and stop < len(masked)  # a value ends before its semicolon
             end = ends[block] if has_body else (stop + 1 if stop >= 0 else len(masked))
-            inside = holder(at)
+            inside = blocks.around(at)
+            inside = inside if inside in types else None
             if kind == "callable":
                 if not has_body:
                     continue
-                kind_now = "method" if inside else "function"
+                kind_now = "method" if inside is not None else "function"
             elif kind == "qualified":
                 kind_now = "method"
             elif kind == "defined":
-                kind_now = "method" if inside else "function"
+                kind_now = "method" if inside is not None else "function"
             elif kind in ("typed", "member"):
-                if not inside or (language in ("javascript",) and not has_body) or (language == "csharp" and not has_body and masked[stop] == ";" and not inside[2]):
+                if inside is None or (language == "javascript" and not has_body) or (language == "csharp" and not has_body and masked[stop] == ";" and not types[inside]):
                     continue
-                if kind == "typed" and re.search(r"\b(?:new|return|else|throw)\s*$", masked[: m.start("name")]):
+                if kind == "typed" and re.search(r"\b(?:new|return|else|throw)\s*$", masked[max(0, m.start("name") - 16) : m.start("name")]):
                     continue
                 kind_now = "method"
             elif kind in ("assigned", "pair"):
                 kind_now = "function"
             else:
                 kind_now = kind
-            if kind in ("typed", "defined", "qualified", "member"):
+            if kind in headed:
                 line = masked.rfind("\n", 0, at) + 1
                 start = max(line + len(masked[line:at]) - len(masked[line:at].lstrip()), max((x + 1 for x in (masked.rfind(c, line, at) for c in ";{}") if x >= 0), default=0))
                 start += len(masked[start:at]) - len(masked[start:at].lstrip())
+            seen = _visibility(language, name, text, start)
+            if value and kind == "function":
+                start = at  # of `const f = ...` the part from the name on
+            elif before is not None and kind not in ("assigned", "pair"):
+                # words on lines before, too: annotations often have a line of their own
+                low = max(0, start - 400)
+                start -= len(m.group()) if (m := before.search(masked[low:start])) else 0
             taken.add(at)
             first, last = places.of(start), places.of(end)
-            found.append((start, at, Symbol(name, kind_now, *first, *last, _visibility(language, name, text, start))))
+            found.append((start, at, Symbol(name, kind_now, *first, *last, seen)))
     found.sort(key=lambda f: (f[0], f[1]))
-    return [s for _, _, s in found]
+    return Scan(masked, places, [s for _, _, s in found], frozenset(taken))
+
+
+def _braced(text: str, language: str) -> list[Symbol]:
+    return _scan(text, language).symbols
 
 
 def _python(text: str):
@@ -187,45 +214,83 @@ def _markdown(text: str) -> list[Symbol]:
             continue
         m = re.match(r"\s{0,3}#{1,6}\s+(.*?)\s*#*\s*$", line)
         if m and m.group(1):
-            out.append(Symbol(m.group(1), "section", k, 0, k, len(line.encode())))
+            out.append(Symbol(m.group(1), "section", k, 0, *_line_end(lines, k)))
         elif k and re.match(r"\s{0,3}(=+|-+)\s*$", line) and lines[k - 1].strip() and not re.match(r"\s{0,3}([#>*+-]\s|```|\d+\.)", lines[k - 1]):
-            out.append(Symbol(lines[k - 1].strip(), "section", k - 1, 0, k, len(line.encode())))
+            out.append(Symbol(lines[k - 1].strip(), "section", k - 1, 0, *_line_end(lines, k)))
     return out
 
 
+def _line_end(lines: list[str], k: int) -> tuple[int, int]:
+    """A heading takes its line break along."""
+    return (k + 1, 0) if k + 1 < len(lines) else (k, len(lines[k].encode()))
+
+
 def _json(text: str, deep: bool) -> list[Symbol]:
-    places, out, stack = Places(text), [], []
-    for m in re.finditer(r"\"((?:\\.|[^\"\\])*)\"|[{}\[\]]", text):
-        if m.group() in "{[":
-            stack.append(m.group())
-        elif m.group() in "}]":
-            del stack[-1:]
-        elif re.match(r"\s*:", text[m.end() :]) and stack and stack[-1] == "{" and (deep or len(stack) == 1):
-            out.append(Symbol(m.group(1), "key", *places.of(m.start()), *places.of(m.end())))
-    return out
+    """A key's range is its whole pair."""
+    places, found = Places(text), []
+    stack: list[list] = []  # opening bracket, and the pair that is open in it
+    last, before = 0, None
+    for m in re.finditer(r"\"(?:\\.|[^\"\\])*\"|[{}\[\],:]|[^\s,:{}\[\]\"]+", text):
+        token = m.group()
+        if token in ("{", "["):
+            stack.append([token, None])
+        elif token in (",", "}", "]"):
+            if stack and stack[-1][1] is not None:
+                start, name = stack[-1][1]
+                found.append((start, Symbol(name, "key", *places.of(start), *places.of(last))))
+                stack[-1][1] = None
+            if token != ",":
+                del stack[-1:]
+        elif token == ":" and stack and stack[-1][0] == "{" and before is not None and before.group()[0] == '"' and (deep or len(stack) == 1):
+            stack[-1][1] = (before.start(), before.group()[1:-1])
+        if token != ",":
+            last = m.end()
+        before = m
+    return [s for _, s in sorted(found, key=lambda f: f[0])]
 
 
 def _yaml(text: str, deep: bool) -> list[Symbol]:
-    out = []
-    for k, line in enumerate(mask(text, "yaml", False).split("\n")):
+    """A key's range reaches to the end of its value, which is indented below it."""
+    lines = mask(text, "yaml", False).split("\n")
+    found = []
+    for k, line in enumerate(lines):
         m = re.match(r"(\s*(?:-\s+)*)(?P<q>[\"']?)([^\s\"'#:\-\[\]{},][^\"'#:]*)(?P=q)\s*:(?:\s|$)", line)
         if m and (deep or not m.group(1)):
-            out.append(Symbol(m.group(3).strip(), "key", k, len(m.group(1).encode()), k, len(line.rstrip().encode())))
-    return out
+            found.append((k, len(m.group(1)), m.group(3).strip()))
+    # a line belongs to all keys that are indented less, or, as a list, as much
+    ends, opened = [f[0] for f in found], []
+    at = {k: n for n, (k, _, _) in enumerate(found)}
+    for k, line in enumerate(lines):
+        if not line.strip():
+            continue
+        depth = len(line) - len(line.lstrip())
+        if line.startswith(("---", "...")):
+            opened = []
+        opened = [n for n in opened if found[n][1] < depth or found[n][1] == depth and line[depth:].startswith("- ")]
+        for n in opened:
+            ends[n] = k
+        if k in at:
+            opened.append(at[k])
+    return [Symbol(name, "key", k, len(lines[k][:column].encode()), end, len(lines[end].rstrip().encode())) for (k, column, name), end in zip(found, ends)]
 
 
 def _toml(text: str, deep: bool) -> list[Symbol]:
-    out, top = [], True
-    for k, line in enumerate(mask(text, "toml", False).split("\n")):
-        table, pair = re.match(r"\s*\[\[?\s*([^\]]+?)\s*\]", line), re.match(r"\s*([\w\"'.-]+)\s*=", line)
-        if table:
-            top = False
-            name = table.group(1).strip("\"'")
-            if deep or "." not in name:
-                out.append(Symbol(name, "key", k, 0, k, len(line.rstrip().encode())))
+    """A table's range reaches to the next table, or to the end."""
+    out, table, top = [], None, True
+    lines = mask(text, "toml", False).split("\n")
+    for k, line in enumerate(lines):
+        head, pair = re.match(r"\s*\[\[?\s*([^\]]+?)\s*\]", line), re.match(r"\s*([\w\"'.-]+)\s*=", line)
+        column = len(line) - len(line.lstrip())
+        if head:
+            if table is not None:
+                out.append(Symbol(*table, k, 0))
+            name, top = head.group(1).strip("\"'"), False
+            table = (name, "key", k, column) if deep or "." not in name else None
         elif pair and (top or deep):
-            out.append(Symbol(pair.group(1).strip("\"'"), "key", k, len(line) - len(line.lstrip()), k, len(line.rstrip().encode())))
-    return out
+            out.append(Symbol(pair.group(1).strip("\"'"), "key", k, column, k, len(line.rstrip().encode())))
+    if table is not None:
+        out.append(Symbol(*table, len(lines) - 1, len(lines[-1].encode())))
+    return sorted(out, key=lambda s: s.span[:2])
 
 
 def symbols_of(text: str, language: str, deep: bool = False) -> list[Symbol]:
@@ -257,37 +322,28 @@ def calls_of(text: str, language: str, symbols: list[Symbol]) -> list[tuple]:
             return _python(text)[1]
         except (SyntaxError, ValueError, RecursionError):
             return []
-    masked = mask(text, language)
-    places = Places(text)
-    bodies = [s for s in symbols if s.kind in ("function", "method")]
-    named = {(s.start_line, s.name) for s in bodies}
-    out = []
+    scan = _scan(text, language)
+    masked, places = scan.masked, scan.places
+    bodies = sorted((s for s in symbols if s.kind in ("function", "method")), key=lambda s: (s.span[:2], (-s.end_line, -s.end_column)))
+    sites = []
     for pattern in (rules.CALL, rules.MACRO) if language == "rust" else (rules.CALL,):
         for m in re.finditer(pattern, masked):
-            name = m.group("name")
-            head = masked[max(0, m.start("name") - 12) : m.start("name")]
+            name, at = m.group("name"), m.start("name")
+            head = masked[max(0, at - 12) : at]
             if name in rules.RESERVED or name in rules.RESERVED_IN.get(language, ()) or re.search(r"\b(?:new|fn|func|function|class|macro_rules!)\s*\*?$", head.rstrip()):
                 continue
-            line, column = places.of(m.start("name"))
-            at = (line, column)
-            around = [s for s in bodies if s.span[:2] <= at < s.span[2:]]
-            if (line, name) in named and any(s.name == name and s.start_line == line and re.search(r"\{|=>|;", masked[m.end() :][:400]) and masked.find(name, 0) >= 0 and _declares(masked, m) for s in bodies):
-                continue
-            if not around:
-                continue
-            inner = max(around, key=lambda s: s.span[:2])
-            before = m.groupdict().get("before")
-            out.append((inner.name, inner.start_line, name, line, column, before in (".", "?.", "->")))
-    return sorted(out, key=lambda c: c[3:5])
-
-
-def _declares(masked: str, m) -> bool:
-    """Whether a match that looks like a call is the head of a definition: its argument list is followed by a body."""
-    depth, k = 1, m.end()
-    while k < len(masked) and depth:
-        depth += (masked[k] == "(") - (masked[k] == ")")
-        k += 1
-    return re.match(r"\s*(?:const|noexcept|override|throws\s+[\w.,\s]+|:[^;{}=]+|->[^;{}]+|[\w.*\[\]]+|\([^()]*\))*\s*\{", masked[k:]) is not None
+            if at not in scan.names:
+                sites.append((*places.of(at), name, m.groupdict().get("before") in (".", "?.", "->")))
+    out, opened, k = [], [], 0
+    for line, column, name, method in sorted(sites):
+        while k < len(bodies) and bodies[k].span[:2] <= (line, column):
+            opened.append(bodies[k])
+            k += 1
+        while opened and opened[-1].span[2:] <= (line, column):
+            opened.pop()
+        if opened:
+            out.append((opened[-1].name, opened[-1].start_line, name, line, column, method))
+    return out
 
 
 def imports_of(text: str, language: str) -> list[tuple]:

@@ -56,3 +56,25 @@ def block_ends(masked: str) -> dict[int, int]:
     for at in stack:
         out[at] = len(masked)
     return out
+
+
+class Blocks:
+    """Which block of braces a place lies in."""
+
+    def __init__(self, ends: dict[int, int]):
+        self.ends, self.opens = ends, sorted(ends)
+        self.parent: dict[int, int | None] = {}
+        stack: list[int] = []
+        for at in self.opens:
+            while stack and ends[stack[-1]] <= at:
+                stack.pop()
+            self.parent[at] = stack[-1] if stack else None
+            stack.append(at)
+
+    def around(self, at: int) -> int | None:
+        """The opening brace of the innermost block that holds a place."""
+        k = bisect.bisect_left(self.opens, at) - 1
+        found = self.opens[k] if k >= 0 else None
+        while found is not None and self.ends[found] <= at:
+            found = self.parent[found]
+        return found

@@ -42,7 +42,7 @@ RESERVED = frozenset(
 RESERVED_IN = {"go": frozenset("go defer select range chan map make".split())}
 
 TYPES = {
-    "rust": r"\b(?:impl|trait)\b[^{;]*\{", "cpp": r"\b(?:class|struct)\s+\w+[^;{}()]*\{", "java": r"\b(?:class|interface|enum|record)\s+\w+[^;{}]*\{", "csharp": r"\b(?:class|interface|struct|record)\s+\w+[^;{}]*\{",
+    "rust": r"\b(?:impl|trait|mod)\b[^{;]*\{", "cpp": r"\b(?:class|struct)\s+\w+[^;{}()]*\{", "java": r"\b(?:class|interface|enum|record)\s+\w+[^;{}]*\{", "csharp": r"\b(?:class|interface|struct|record)\s+\w+[^;{}]*\{",
     "php": r"\b(?:class|interface|trait)\s+\w+[^;{}]*\{", "swift": r"\b(?:struct|class|enum|actor|protocol|extension)\s+\w+[^;{}]*\{",
     "javascript": r"\bclass\b[^;{}()]*\{", "typescript": r"\b(?:class|interface)\b[^;{}()]*\{", "tsx": r"\b(?:class|interface)\b[^;{}()]*\{",
 }
@@ -58,3 +58,17 @@ IMPORTS = {
 }
 IMPORTS["typescript"] = IMPORTS["tsx"] = IMPORTS["javascript"]
 IMPORTS["cpp"] = IMPORTS["c"]
+
+# Words before a declaration that belong to it.
+_NOTE = r"@[\w.]+(?:\([^()]*\))?"
+MODIFIERS = {
+    "rust": r"(?:pub(?:\s*\([^)]*\))?|async|const|unsafe|extern|default)\s+",
+    "java": rf"(?:{_NOTE}|public|private|protected|static|final|abstract|synchronized|native|strictfp|default|sealed|non-sealed)\s+",
+    "csharp": r"(?:\[[^\[\]]*\]\s*|(?:public|private|protected|internal|static|sealed|abstract|partial|readonly|unsafe|new|virtual|override|async|extern|ref)\s+)",
+    "php": r"(?:public|private|protected|static|final|abstract|readonly)\s+",
+    "kotlin": rf"(?:{_NOTE}|public|private|internal|protected|open|abstract|final|sealed|data|enum|annotation|inner|value|companion|override|suspend|inline|operator|infix|tailrec|external|const|expect|actual)\s+",
+    "swift": rf"(?:{_NOTE}|public|private|fileprivate|internal|open|static|final|override|mutating|nonmutating|required|convenience|indirect)\s+",
+    "typescript": r"(?:abstract|async|declare)\s+", "tsx": r"(?:abstract|async|declare)\s+", "javascript": r"async\s+",
+}
+# What ends the head of a declaration that has no body, in languages without semicolons.
+NEXT = r"\n\s*(?:[\w@]+\s+)*(?:fun|class|object|interface|val|var|let|struct|func|enum|protocol|extension|actor|import|package|typealias)\b"
