@@ -178,13 +178,16 @@ def mix_documents(docs: DataFrame, weights=WEIGHTS, total: float = TOTAL, cap: f
     last = written(_last(_aimed(drawn, goals)).select("source", "doc_id", "key", "tie", "many", "hits"), "op6-last")
 
     sized = held.withColumn("size", word_count(F.col("text"))).withColumn("key", _draws(F.col("doc_id"), F.col("text"), F.col("size")))
-    sized = sized.select("row", "doc_id", "source", "size", "key", "tie", _bin(F.col("key")).alias("bin"))
-    aimed = _aimed(sized, goals)
-    blank = F.col("size") == 0
-    settled = aimed.filter(F.col("more").isNotNull() | blank)
-    settled = settled.select("row", F.when(blank, F.lit(1)).otherwise(F.col("epochs") + F.col("more")).cast("long").alias("n"))
-    groups = aimed.filter(F.col("more").isNull() & ~blank).groupBy("source", "doc_id", "key", "tie", "epochs").agg(F.first("row").alias("row"))
-    keys = ["source", "doc_id", "key", "tie"]
-    on = [groups[c].eqNullSafe(last[c]) for c in keys]
-    ended = groups.join(last, on).select("row", (F.col("many") * F.col("epochs") + F.col("hits")).alias("n"))
-    return _repeated(settled.filter("n > 0").unionByName(ended), "n").select("row.*")
+    aimed = _aimed(sized.select("row", "doc_id", "source", "size", "key", "tie", _bin(F.col("key")).alias("bin")), goals)
+    # one pass over the texts; only rows that are equal and share what their group takes are gathered in another
+    same = {"_a": F.col("source").isNull(), "_b": F.coalesce("source", F.lit("")), "_c": F.col("doc_id").isNull(), "_d": F.coalesce("doc_id", F.lit(0)), "_e": F.col("key"), "_f": F.col("tie")}
+    ended = last.withColumns(same).select(*same, "many", "hits")
+    known = spread_join(aimed.withColumns(same).drop("doc_id", "source", "key", "tie"), ended, list(same), "left")
+    once = F.when(F.col("size") == 0, 1).when(F.col("more").isNotNull(), F.col("epochs") + F.col("more")).when(F.col("hits") == 0, F.col("epochs")).when(F.col("hits") == F.col("many"), F.col("epochs") + 1)
+    known = known.withColumn("n", once.cast("int"))
+    out = known.filter("n > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("n")))).select("row.*")
+    if last.filter("hits > 0 and hits < many").limit(1).count():
+        torn = known.filter("n is null").groupBy(*same, "epochs", "many", "hits").agg(F.first("row").alias("row"))
+        torn = torn.select("row", (F.col("many") * F.col("epochs") + F.col("hits")).alias("n"))
+        out = out.unionByName(_repeated(torn, "n").select("row.*"))
+    return out
