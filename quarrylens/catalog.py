@@ -7,8 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarrylens.extract.stage import extract
+from quarrylens.functions import text
 from quarrylens.operators import clusters, delta, edges, graph, imports, lookup, overview, search, usage
 from quarrylens.plans.oracle import oracle_sql
+from quarrylens.sources import sample_code, tree
 from quarrylens.sources.facts import Derived
 
 SINCE = 1705276800000000000  # 2024-01-15
@@ -129,6 +132,91 @@ _QUERIES: dict[str, Callable[[Derived], DataFrame]] = {
 }
 
 
+def _extracted(t: Derived, table: str) -> DataFrame:
+    found = extract(sample_code.source_texts(t.spark, t.sf_dir), held=False)[table]
+    return found.drop("resolution")
+
+
+def _deep_keys(t: Derived) -> DataFrame:
+    texts = sample_code.json_texts(t.spark, t.sf_dir)
+    each = [extract(texts, deep, held=False)["symbols"].select("file_path", "name", "start_line", "start_column", "end_line", "end_column", F.lit(deep).alias("deep")) for deep in (False, True)]
+    return each[0].unionByName(each[1])
+
+
+def _readable(t: Derived) -> DataFrame:
+    """One in seven suppliers' files is not UTF-8, another holds a zero byte."""
+    key = F.col("s_suppkey")
+    tail = F.when(key % 7 == 3, F.unhex(F.lit("FF"))).when(key % 7 == 5, F.unhex(F.lit("00"))).otherwise(F.unhex(F.lit("C3A9")))
+    files = t.table("supplier").select(F.concat(F.lit("s"), key.cast("string")).alias("path"), F.concat(F.encode(F.col("s_name"), "UTF-8"), tail).alias("content"))
+    return tree.readable(files).select("path", "text")
+
+
+def _formats(t: Derived) -> DataFrame:
+    e = t.table("events")
+    span = F.concat((F.col("user_id") % 90 + 1).cast("string"), F.element_at(F.array(*map(F.lit, "dhms")), (F.col("event_id") % 4 + 1).cast("int")))
+    n, flag = F.col("event_id") * F.col("event_id") * (F.col("user_id") - 3), F.element_at(F.array(F.lit(" True"), F.lit("false "), F.lit("yes")), (F.col("event_id") % 3 + 1).cast("int"))
+    word = F.concat("event_type", F.when(F.col("event_id") % 2 == 0, "/a.b").otherwise("'s x"))
+    out = e.select("event_id", span.alias("span"), n.alias("n"), flag.alias("flag"), word.alias("word"), (F.col("event_id") % 101).cast("double").alias("pct"))
+    return out.select(
+        "event_id", text.duration_seconds("span").alias("seconds"), text.window_label(text.duration_seconds("span")).alias("label"), text.thousands("n").alias("thousands"), text.abbreviated("n").alias("short"),
+        text.meter("pct").alias("meter"), text.shell_quote("word").alias("quoted"), text.setting_flag("flag").alias("flag"),
+    )
+
+
+def _rotated(t: Derived) -> DataFrame:
+    o = t.table("orders")
+    cycle = F.transform(F.array("o_orderkey", "o_custkey", F.col("o_orderkey") * 7 % 1000), lambda x: F.concat(F.lit("n"), x.cast("string")))
+    return o.select("o_orderkey", F.array_join(text.rotate_to_min(F.array_distinct(cycle)), ",").alias("cycle"))
+
+
+def _replaced(t: Derived, table: str) -> DataFrame:
+    """calls or imports after an index run: of new and changed files, rows marked as fresh."""
+    paths = delta.dirty(_disk(t), _indexed(t))
+    old = getattr(t, table)
+    fresh = old.join(paths.withColumnRenamed("path", "file_path"), "file_path", "left_semi").withColumn("resolution", F.lit("fresh")).select(*old.columns)
+    return delta.replace_files(old, paths, fresh)
+
+
+def _appended(t: Derived) -> DataFrame:
+    new = t.files.select(
+        F.col("mtime_ns").alias("ts_unix_ns"), F.lit("outline").alias("command"), F.lit(1).alias("candidate_files"), F.col("size").alias("candidate_bytes"), text.token_estimate("size").alias("estimated_baseline_tokens"),
+        F.lit(10).cast("long").alias("returned_tokens"), F.lit("json").alias("output_format"), F.lit(None).cast("string").alias("query"), F.lit(0).cast("long").alias("seq"),
+    )
+    return t.usage.unionByName(new).groupBy("command").agg(F.count(F.lit(1)).alias("invocations"), F.sum("candidate_bytes").alias("bytes"), F.sum("estimated_baseline_tokens").alias("baseline"))
+
+
+def _stale(t: Derived) -> DataFrame:
+    state = delta.reconcile(_disk(t), t.files.select("path", "mtime_ns", "size")).filter(F.col("state").isin("changed", "deleted"))
+    flagged = t.symbols.join(state.select(F.col("path").alias("file_path"), F.lit(True).alias("stale")), "file_path", "left")
+    return flagged.select("file_path", "name", "start_line", F.coalesce("stale", F.lit(False)).alias("stale"))
+
+
+_QUERIES |= {
+    "extract_symbols": lambda t: _extracted(t, "symbols"),
+    "extract_calls": lambda t: _extracted(t, "calls"),
+    "extract_imports": lambda t: _extracted(t, "imports"),
+    "extract_deep_keys": _deep_keys,
+    "utf8_filter": _readable,
+    "diff_hunks": lambda t: tree.hunks_of(sample_code.diff_texts(t.spark, t.sf_dir)),
+    "path_aliases": lambda t: tree.alias_table(sample_code.config_texts(t.spark, t.sf_dir)),
+    "usage_formats": _formats,
+    "rotate_cycle": _rotated,
+    "replace_calls": lambda t: _replaced(t, "calls"),
+    "replace_imports": lambda t: _replaced(t, "imports"),
+    "append_usage": _appended,
+    "stale_symbols": _stale,
+    "search_paths": lambda t: search.candidate_paths(search.search(t, "ing")),
+    "import_cycles": lambda t: _joined(graph.import_cycles(t), "members"),
+    "callees_listed": lambda t: search.callees_listed(t, t.symbols.select("name").distinct()).select(
+        "name", F.array_join(F.transform("internal", lambda r: F.concat(r["name"], F.lit("@"), r["path"], F.lit(":"), r["line"].cast("string"))), ",").alias("internal"),
+        F.array_join(F.transform("ambiguous", lambda a: F.concat(a["name"], F.lit("="), a["count"].cast("string"))), ",").alias("ambiguous"), "external_count",
+    ),
+    "entry_points_first": lambda t: overview.entry_points(t).orderBy(F.when(F.col("kind") == "entry", 1).otherwise(0), "path", "line", "name").limit(15),
+    "prime_languages": lambda t: lookup.files_per_language(t).orderBy(F.desc("files"), "language").limit(6),
+    "louvain_placement": clusters.placement_check,
+}
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: (lambda spark, sf_dir, f=f: f(Derived(spark, sf_dir))) for name, f in _QUERIES.items()}
 

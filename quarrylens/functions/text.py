@@ -86,3 +86,54 @@ def rotate_to_min(cycle) -> F.Column:
     c = _col(cycle)
     at = F.array_position(c, F.array_min(c)).cast("int")
     return F.concat(F.slice(c, at, F.size(c)), F.slice(c, F.lit(1), at - 1))
+
+
+def duration_seconds(text) -> F.Column:
+    """Seconds of `7d`, `2h`, `30m`, `120s`; null for anything else."""
+    t = F.trim(_col(text))
+    unit = F.create_map(*[F.lit(x) for x in ("d", 86400, "h", 3600, "m", 60, "s", 1)])
+    good = t.rlike("^[0-9]+[dhms]$")
+    return F.when(good, F.regexp_extract(t, "^([0-9]+)", 1).try_cast("long") * F.element_at(unit, F.right(t, F.lit(1)))).cast("long")
+
+
+def window_label(seconds) -> F.Column:
+    """`last 7 days`: the largest unit that divides the seconds."""
+    s = _col(seconds)
+    many = lambda n, name: F.concat(F.lit("last "), n.cast("string"), F.lit(" " + name), F.when(n == 1, "").otherwise("s"))
+    out = many(s, "second")
+    for size, name in ((60, "minute"), (3600, "hour"), (86400, "day")):
+        out = F.when((s >= size) & (s % size == 0), many(F.floor(s / size), name)).otherwise(out)
+    return out
+
+
+def thousands(n) -> F.Column:
+    return F.format_number(_col(n), 0)
+
+
+def abbreviated(n) -> F.Column:
+    """`805`, `12.4K`, `1.5M`, `2.1G`."""
+    v = _col(n)
+    size, sign = F.abs(v), F.when(v < 0, "-").otherwise("")
+    out = F.concat(sign, size.cast("string"))
+    for unit, name in ((1_000, "K"), (1_000_000, "M"), (1_000_000_000, "G")):
+        # tenths from whole numbers; of a tie the even one
+        low, rest = F.floor(size * 10 / unit), (size * 10) % unit
+        tenth = low + F.when((rest * 2 > unit) | ((rest * 2 == unit) & (low % 2 == 1)), 1).otherwise(0)
+        out = F.when(size >= unit, F.concat(sign, F.floor(tenth / 10).cast("string"), F.lit("."), (tenth % 10).cast("string"), F.lit(name))).otherwise(out)
+    return out
+
+
+def meter(percent, width: int = 20) -> F.Column:
+    full = F.floor(F.greatest(F.least(_col(percent), F.lit(100.0)), F.lit(0.0)) / 100 * width + 0.5).cast("int")
+    return F.concat(F.repeat(F.lit("█"), full), F.repeat(F.lit("░"), F.lit(width) - full))
+
+
+def shell_quote(text) -> F.Column:
+    t = _col(text)
+    return F.when(t.rlike("^[\\w./@%+=:,-]+$"), t).otherwise(F.concat(F.lit("'"), F.replace(t, F.lit("'"), F.lit("'\\''")), F.lit("'")))
+
+
+def setting_flag(text) -> F.Column:
+    """true or false in any case of letters, spaces around them ignored; null for anything else."""
+    t = F.lower(F.trim(_col(text)))
+    return F.when(t == "true", True).when(t == "false", False)

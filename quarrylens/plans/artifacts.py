@@ -31,7 +31,7 @@ def report(t: Facts, min_size: int = clusters.MIN_SIZE) -> str:
     god = clusters.god_nodes(t, REPORT["god_nodes"]).collect()
     found = clusters.communities(t, min_size, REPORT["communities"], REPORT["members"]).collect()
     crossing = clusters.bridges(t, REPORT["bridges"]).collect()
-    entry = overview.entry_points(t).orderBy(F.when(F.col("kind") == "entry", 1).otherwise(0), "path").limit(REPORT["entry_points"]).collect()
+    entry = overview.entry_points(t).orderBy(F.when(F.col("kind") == "entry", 1).otherwise(0), "path", "line", "name").limit(REPORT["entry_points"]).collect()
     return "\n".join(
         [
             f"# Architecture\n\n{n.files} files, {n.symbols} symbols\n",
@@ -51,7 +51,7 @@ def prime(t: Facts, min_size: int = clusters.MIN_SIZE) -> str:
     langs = lookup.files_per_language(t).orderBy(F.desc("files"), "language").limit(PRIME["languages"]).collect()
     god = clusters.god_nodes(t, PRIME["god_nodes"]).collect()
     found = clusters.communities(t, min_size, PRIME["communities"], PRIME["members"]).collect()
-    entry = overview.entry_points(t).orderBy(F.when(F.col("kind") == "entry", 1).otherwise(0), "path").limit(PRIME["entry_points"]).collect()
+    entry = overview.entry_points(t).orderBy(F.when(F.col("kind") == "entry", 1).otherwise(0), "path", "line", "name").limit(PRIME["entry_points"]).collect()
     hot = edges.hotspots(t, PRIME["god_nodes"]).collect()
     return "\n".join(
         [

@@ -255,5 +255,75 @@ def bodies() -> dict[str, str]:
     }
 
 
+#: Facts of the sample sources, counted by hand: language, values, lines from the end of the empty lines on.
+SAMPLE_SYMBOLS = """('rust', 'S{k}', 'class', 1, 0, 1, 'pub struct S{k};', 'public'), ('rust', '{n}', 'method', 3, 4, 6, '    }', 'private'), ('go', 'T{k}', 'type', 2, 5, 3, '}', 'public'),
+  ('go', 'F{k}', 'function', 4, 0, 7, '}', 'public'), ('python', 'C{k}', 'class', 1, 0, 4, '        self.{n}_x()', 'unknown'), ('python', '{n}', 'function', 2, 4, 4, '        self.{n}_x()', 'unknown'),
+  ('typescript', 'C{k}', 'class', 1, 7, 6, '}', 'public'), ('typescript', '{n}', 'method', 2, 2, 5, '  }', 'private'), ('java', 'C{k}', 'class', 1, 0, 7, '}', 'unknown'), ('java', '{n}', 'method', 3, 2, 6, '  }', 'unknown')"""
+SAMPLE_CALLS = """('rust', '{n}', 3, 'helper_{k}', 4, 8, FALSE), ('rust', '{n}', 3, '{n}_x', 5, 13, TRUE), ('go', 'F{k}', 4, 'helper_{k}', 5, 1, FALSE), ('go', 'F{k}', 4, '{n}', 6, 3, TRUE),
+  ('python', '{n}', 2, 'helper_{k}', 3, 13, FALSE), ('python', '{n}', 2, '{n}_x', 4, 13, TRUE), ('typescript', '{n}', 2, 'helper_{k}', 3, 4, FALSE), ('typescript', '{n}', 2, '{n}_x', 4, 9, TRUE),
+  ('java', '{n}', 3, 'helper_{k}', 4, 4, FALSE), ('java', '{n}', 3, '{n}_x', 5, 9, TRUE)"""
+SAMPLE_IMPORTS = """('rust', 'crate::dep_{k}', 0, 4), ('go', 'dep/{n}', 1, 7), ('python', 'dep_{k}', 0, 7), ('typescript', './dep_{k}', 0, 19), ('java', 'dep.D{k}', 0, 7)"""
+SAMPLE = """, code AS (
+  SELECT 'part/f' || p_partkey || '.' || (['rs', 'go', 'py', 'ts', 'java'])[p_partkey % 5 + 1] AS file_path, (['rust', 'go', 'python', 'typescript', 'java'])[p_partkey % 5 + 1] AS lang, CAST(p_size % 7 AS INTEGER) AS lead,
+    CAST(p_partkey AS VARCHAR) AS k, replace(p_name, ' ', '_') || '_' || p_partkey AS n FROM part
+)"""
+
+
+def _named(text: str) -> str:
+    return f"replace(replace({text}, '{{k}}', k), '{{n}}', n)"
+
+
+def more_bodies() -> dict[str, str]:
+    unit = "(['d', 'h', 'm', 's'])[event_id % 4 + 1]"
+    state = STATE.replace(KNOWN, "(SELECT path, mtime_ns, size FROM files_)")
+    hit = f""", shown AS (SELECT DISTINCT path FROM lines WHERE contains(text, 'ing') ORDER BY path LIMIT 40),
+      st AS (SELECT file_path FROM symbols WHERE contains({low('name')}, 'ing') ORDER BY {low('name')}, file_path, start_line, start_column, name, kind LIMIT 50)"""
+    scc = bodies()["import_scc"]
+    cut = scc.index("SELECT r.a AS node")
+    filled = "CAST(floor(p / 5.0 + 0.5) AS INTEGER)"
+    tenths = lambda unit: f"printf('%.1f', round_even(abs(n) * 10.0 / {unit}, 0) / 10)"
+    return {
+        "extract_symbols": f"""{SAMPLE} SELECT file_path, {_named('f.name')} AS name, kind, CAST(lead + sl AS INTEGER) AS start_line, sc AS start_column, CAST(lead + el AS INTEGER) AS end_line,
+          CAST(strlen({_named('last')}) AS INTEGER) AS end_column, visibility FROM code JOIN (VALUES {SAMPLE_SYMBOLS}) f(lang, name, kind, sl, sc, el, last, visibility) USING (lang)""",
+        "extract_calls": f"""{SAMPLE} SELECT file_path, {_named('caller')} AS caller_name, CAST(lead + cl AS INTEGER) AS caller_start_line, {_named('callee')} AS callee_name, CAST(lead + sl AS INTEGER) AS site_line, sc AS site_column, is_method
+          FROM code JOIN (VALUES {SAMPLE_CALLS}) f(lang, caller, cl, callee, sl, sc, is_method) USING (lang)""",
+        "extract_imports": f"{SAMPLE} SELECT file_path, {_named('m')} AS module, CAST(lead + sl AS INTEGER) AS site_line, sc AS site_column FROM code JOIN (VALUES {SAMPLE_IMPORTS}) f(lang, m, sl, sc) USING (lang)",
+        "extract_deep_keys": """SELECT 's' || s_suppkey || '.json' AS file_path, name, line AS start_line, CAST(c AS INTEGER) AS start_column, line AS end_line, CAST(e AS INTEGER) AS end_column, deep FROM (
+          SELECT s_suppkey, 's' || s_suppkey AS name, 1 AS line, 2 AS c, 20 + 3 * strlen(CAST(s_suppkey AS VARCHAR)) AS e, unnest([FALSE, TRUE]) AS deep FROM supplier
+          UNION ALL SELECT s_suppkey, 'inner' || s_suppkey, 1, 8 + strlen(CAST(s_suppkey AS VARCHAR)), 19 + 3 * strlen(CAST(s_suppkey AS VARCHAR)), TRUE FROM supplier
+          UNION ALL SELECT s_suppkey, 'plain', 2, 2, 16, unnest([FALSE, TRUE]) FROM supplier)""",
+        "utf8_filter": "SELECT 's' || s_suppkey AS path, s_name || 'é' AS text FROM supplier WHERE s_suppkey % 7 NOT IN (3, 5)",
+        "diff_hunks": "SELECT 'c' || c_custkey || '.rs' AS path, CAST(c_custkey % 90 + 1 AS INTEGER) AS start, CAST(c_custkey % 90 + c_custkey % 4 AS INTEGER) AS \"end\" FROM customer WHERE c_custkey % 4 > 0",
+        "path_aliases": """SELECT 'tsconfig.' || s_suppkey || '.json' AS path, '@s' || s_suppkey || '/' AS key, 'b' || s_suppkey || '/src' || s_suppkey || '/' AS replacement, TRUE AS wildcard FROM supplier
+          UNION ALL SELECT 'tsconfig.' || s_suppkey || '.json', 'one', 'b' || s_suppkey || '/// no comment', FALSE FROM supplier""",
+        "usage_formats": f"""SELECT event_id, seconds, 'last ' || q || ' ' || u || CASE WHEN q = 1 THEN '' ELSE 's' END AS label, format('{{:,}}', n) AS thousands,
+            CASE WHEN n < 0 THEN '-' ELSE '' END || CASE WHEN abs(n) >= 1000000000 THEN {tenths(1000000000)} || 'G' WHEN abs(n) >= 1000000 THEN {tenths(1000000)} || 'M' WHEN abs(n) >= 1000 THEN {tenths(1000)} || 'K' ELSE CAST(abs(n) AS VARCHAR) END AS short,
+            repeat('█', {filled}) || repeat('░', 20 - {filled}) AS meter, CASE WHEN event_id % 2 = 0 THEN event_type || '/a.b' ELSE '''' || event_type || '''\\''''s x''' END AS quoted,
+            CASE event_id % 3 WHEN 0 THEN TRUE WHEN 1 THEN FALSE END AS flag
+          FROM (SELECT *, CASE WHEN seconds % 86400 = 0 THEN seconds // 86400 WHEN seconds % 3600 = 0 THEN seconds // 3600 WHEN seconds % 60 = 0 THEN seconds // 60 ELSE seconds END AS q,
+            CASE WHEN seconds % 86400 = 0 THEN 'day' WHEN seconds % 3600 = 0 THEN 'hour' WHEN seconds % 60 = 0 THEN 'minute' ELSE 'second' END AS u FROM (
+            SELECT *, (user_id % 90 + 1) * CASE {unit} WHEN 'd' THEN 86400 WHEN 'h' THEN 3600 WHEN 'm' THEN 60 ELSE 1 END AS seconds, event_id * event_id * (user_id - 3) AS n, event_id % 101 AS p FROM events))""",
+        "rotate_cycle": """SELECT o_orderkey, CASE least(a, b, c) WHEN a THEN array_to_string(list_filter([a, CASE WHEN b <> a THEN b END, CASE WHEN c <> a AND c <> b THEN c END], lambda x: x IS NOT NULL), ',')
+            WHEN b THEN array_to_string(list_filter([b, CASE WHEN c <> a AND c <> b THEN c END, a], lambda x: x IS NOT NULL), ',') ELSE array_to_string(list_filter([c, a, CASE WHEN b <> a THEN b END], lambda x: x IS NOT NULL), ',') END AS cycle
+          FROM (SELECT o_orderkey, 'n' || o_orderkey AS a, 'n' || o_custkey AS b, 'n' || (o_orderkey * 7 % 1000) AS c FROM orders)""",
+        "replace_calls": f", {STATE} SELECT * REPLACE (CASE WHEN file_path IN (SELECT path FROM state WHERE state IN ('new', 'changed')) THEN 'fresh' ELSE resolution END AS resolution) FROM calls",
+        "replace_imports": f", {STATE} SELECT *, CASE WHEN file_path IN (SELECT path FROM state WHERE state IN ('new', 'changed')) THEN 'fresh' ELSE 'syntactic' END AS resolution FROM imports",
+        "append_usage": """SELECT command, count(*) AS invocations, CAST(sum(b) AS BIGINT) AS bytes, CAST(sum(e) AS BIGINT) AS baseline FROM (
+          SELECT command, candidate_bytes AS b, estimated_baseline_tokens AS e FROM usage UNION ALL SELECT 'outline', size, size // 4 FROM files) GROUP BY command""",
+        "stale_symbols": f", {state} SELECT file_path, name, start_line, file_path IN (SELECT path FROM state WHERE state IN ('changed', 'deleted')) AS stale FROM symbols",
+        "search_paths": f"{hit} SELECT path FROM shown UNION SELECT file_path FROM st",
+        "import_cycles": f"{scc[:cut]}, cyc AS ({scc[cut:]}) SELECT string_agg(node, ',' ORDER BY node) AS members FROM cyc GROUP BY component",
+        "callees_listed": """, c AS (SELECT caller_name AS name, callee_name AS callee, callee_file AS f, callee_line AS l, callee_kind AS kd, ambiguous, min(struct_pack(a := caller_file, b := caller_line, c := site_line, d := site_column, e := callee_file, f := callee_line)) AS spot
+            FROM down_edges GROUP BY 1, 2, 3, 4, 5, 6),
+          inside AS (SELECT name, string_agg(callee || '@' || f || ':' || l, ',' ORDER BY n) AS internal FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY spot, f, l, callee, kd) AS n FROM c WHERE f IS NOT NULL AND NOT ambiguous) WHERE n <= 50 GROUP BY name),
+          several AS (SELECT name, string_agg(callee || '=' || m, ',' ORDER BY callee) AS ambiguous FROM (SELECT name, callee, count(*) AS m FROM c WHERE f IS NOT NULL AND ambiguous GROUP BY 1, 2) GROUP BY name),
+          outside AS (SELECT name, count(DISTINCT callee) AS x FROM c WHERE f IS NULL GROUP BY name)
+          SELECT name, coalesce(internal, '') AS internal, coalesce(ambiguous, '') AS ambiguous, coalesce(x, 0) AS external_count FROM (SELECT DISTINCT name FROM c) LEFT JOIN inside USING (name) LEFT JOIN several USING (name) LEFT JOIN outside USING (name)""",
+        "entry_points_first": f"SELECT * FROM ({bodies()['entry_points']}) ORDER BY CASE kind WHEN 'entry' THEN 1 ELSE 0 END, path, line, name LIMIT 15",
+        "prime_languages": "SELECT language, count(*) AS files FROM files GROUP BY 1 ORDER BY files DESC, language LIMIT 6",
+        "louvain_placement": "SELECT (SELECT count(*) FROM nodes_) AS nodes, (SELECT count(*) FROM nodes_) AS in_communities, CAST(0 AS BIGINT) AS would_move",
+    }
+
+
 def oracle_sql() -> dict[str, str]:
-    return {name: BASE + body for name, body in bodies().items()}
+    return {name: BASE + body for name, body in (bodies() | more_bodies()).items()}

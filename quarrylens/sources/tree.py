@@ -140,8 +140,13 @@ def read_texts(spark: SparkSession, root: str, paths: DataFrame) -> DataFrame:
     """
     root = os.path.abspath(root).rstrip("/")
     opened = paths.select("path", "language").repartition("path").mapInArrow(_open_files(root), "path string, language string, content binary")
+    return readable(opened).select("path", "language", "text")
+
+
+def readable(files: DataFrame) -> DataFrame:
+    """The files whose content is UTF-8 without a zero byte, with it as ``text``."""
     text = F.col("content").cast("string")
-    return opened.filter(F.is_valid_utf8("content")).select("path", "language", text.alias("text")).filter(~F.contains("text", F.lit("\0")))
+    return files.filter(F.is_valid_utf8("content")).withColumn("text", text).filter(~F.contains("text", F.lit("\0")))
 
 
 def parse_diff(text: str) -> list[tuple[str, int, int]]:
@@ -159,6 +164,18 @@ def parse_diff(text: str) -> list[tuple[str, int, int]]:
     return out
 
 
+def hunks_of(diffs: DataFrame) -> DataFrame:
+    """path, start, end of the hunks of diffs(text)."""
+
+    def run(batches):
+        for batch in batches:
+            found = [h for text in batch.column(0).to_pylist() for h in parse_diff(text or "")]
+            cols = list(zip(*found)) or [(), (), ()]
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.int32())], names=["path", "start", "end"])
+
+    return diffs.select("text").mapInArrow(run, "path string, start int, end int")
+
+
 def git_hunks(spark: SparkSession, root: str, since: str = "HEAD") -> DataFrame:
     """Changed lines of the working tree against a commit."""
     if since.startswith("-"):
@@ -174,22 +191,44 @@ def loads_jsonc(text: str) -> dict:
     return json.loads(plain)
 
 
+def aliases_of(text: str) -> list[tuple[str, str, bool]]:
+    """(key, replacement, wildcard) of the path mappings of one configuration; first targets only, none where it cannot be read."""
+    try:
+        options = loads_jsonc(text).get("compilerOptions") or {}
+    except (ValueError, AttributeError):
+        return []
+    out = []
+    base = str(options.get("baseUrl") or "").strip("/").removeprefix("./").removeprefix(".")
+    for key, targets in (options.get("paths") or {}).items():
+        if not targets or not isinstance(targets[0], str):
+            continue
+        target = targets[0].removeprefix("./")
+        wild = key.endswith("*") and target.endswith("*")
+        joined = f"{base}/{target}" if base else target
+        out.append((key[:-1], joined[:-1], True) if wild else (key, joined, False))
+    return out
+
+
+def alias_table(configs: DataFrame) -> DataFrame:
+    """path, key, replacement, wildcard of configs(path, text)."""
+
+    def run(batches):
+        for batch in batches:
+            found = [(path, *a) for path, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for a in aliases_of(text or "")]
+            cols = list(zip(*found)) or [(), (), (), ()]
+            kinds = (pa.string(), pa.string(), pa.string(), pa.bool_())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["path", "key", "replacement", "wildcard"])
+
+    return configs.select("path", "text").mapInArrow(run, "path string, key string, replacement string, wildcard boolean")
+
+
 def read_aliases(root: str) -> list[tuple[str, str, bool]]:
-    """(key, replacement, wildcard) of the path mappings in the root's tsconfig*.json and jsconfig.json, by file name; first targets only."""
+    """aliases_of the root's tsconfig*.json and jsconfig.json, by file name."""
     out = []
-    names = sorted(n for n in os.listdir(root) if re.fullmatch(r"tsconfig.*\.json|jsconfig\.json", n))
-    for name in names:
+    for name in sorted(n for n in os.listdir(root) if re.fullmatch(r"tsconfig.*\.json|jsconfig\.json", n)):
         try:
             with open(os.path.join(root, name), encoding="utf-8") as f:
-                options = loads_jsonc(f.read()).get("compilerOptions") or {}
-        except (OSError, ValueError, AttributeError):
+                out += aliases_of(f.read())
+        except (OSError, UnicodeDecodeError):
             continue
-        base = str(options.get("baseUrl") or "").strip("/").removeprefix("./").removeprefix(".")
-        for key, targets in (options.get("paths") or {}).items():
-            if not targets or not isinstance(targets[0], str):
-                continue
-            target = targets[0].removeprefix("./")
-            wild = key.endswith("*") and target.endswith("*")
-            joined = f"{base}/{target}" if base else target
-            out.append((key[:-1], joined[:-1], True) if wild else (key, joined, False))
     return out

@@ -84,3 +84,23 @@ def test_usage_stream(spark, tmp_path):
     append_rollup(read_usage(spark, f"{tmp_path}/usage"), f"{tmp_path}/out", f"{tmp_path}/check", late="1 hour").awaitTermination()
     got = spark.read.parquet(f"{tmp_path}/out")
     assert got.count() >= 190 and {r.invocations for r in got.collect()} == {2}
+
+
+def test_search_reads_every_file_and_lists_callees(spark, tmp_path):
+    root = tmp_path / "r"
+    root.mkdir()
+    (root / "a.rs").write_text("fn top() {\n  low();\n  twin();\n  println();\n}\nfn low() {}\nfn twin() {}\n")
+    (root / "b.rs").write_text("fn twin() {}\n")
+    (root / "notes.txt").write_text("the top of it\n")
+    (root / "data.bin").write_bytes(b"top\x00top")
+    s = Session(spark, str(root), f"{tmp_path}/s", record=False)
+    found = s.search("top").value()
+    assert {(r["source"], r["path"]) for r in found["results"]} == {("structural", "a.rs"), ("textual", "notes.txt")}
+    got = found["callees"][0]
+    assert [r["name"] for r in got["internal"]] == ["low"] and got["external_count"] == 1 and got["external"] == []
+    assert [(a["name"], a["count"], a["candidates"]) for a in got["ambiguous"]] == [("twin", 2, [])]
+    more = s.search("top", all_callees=True).value()["callees"][0]
+    assert more["external"] == ["println"] and {c["path"] for c in more["ambiguous"][0]["candidates"]} == {"a.rs", "b.rs"}
+    assert items(s.callgraph("top", depth=0)) == []
+    status = s.status().value()
+    assert status["store_bytes"] > 0 and status["staleness"] == {"changed": 0, "new": 0, "deleted": 0}

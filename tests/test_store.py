@@ -85,3 +85,49 @@ def test_render():
     assert render.to_toon({"a": [], "o": {"n": [{"x": [1]}]}}) == "a[0]:\no:\n  n[1]:\n    - x[1]: 1"
     assert render.duration_seconds("7d") == 604800 and render.window_label(7200) == "last 2 hours" and render.abbreviated(1500) == "1.5K"
     assert render.shell_quote("it's") == "'it'\\''s'"
+
+
+def test_pointers_move_in_one_step(spark, tmp_path):
+    store = Store(spark, f"{tmp_path}/store")
+    assert store.current() is None
+    store._write("current.json", {"version": "a", "schema_version": 1})
+    listed = store._pointers("current.json")
+    for v in "bcd":
+        store._write("current.json", {"version": v, "schema_version": 1})
+        assert store.current()["version"] == v
+        assert 1 <= len(store._pointers("current.json")) <= 2
+    assert not set(listed) & set(store._pointers("current.json"))
+    assert not [f for f in os.listdir(f"{tmp_path}/store") if f.startswith(".current") and not f.endswith(".crc")]
+
+
+def test_ignore_files(tmp_path, monkeypatch):
+    home = tmp_path / "home"
+    (home / ".config" / "git").mkdir(parents=True)
+    (home / ".config" / "git" / "ignore").write_text("*.swp\n")
+    monkeypatch.setenv("HOME", str(home))
+    monkeypatch.delenv("XDG_CONFIG_HOME", raising=False)
+    monkeypatch.setenv("GIT_CONFIG_GLOBAL", str(home / "none"))
+    root = tmp_path / "tree"
+    files = ["a.swp", "keep.rs", "logs/x.log", "logs/keep.log", "gen/a1.rs", "gen/b2.rs", "gen/deep/c3.rs", "no/y.rs", "yes/y.rs", "odd#.rs"]
+    for f in files:
+        (root / f).parent.mkdir(parents=True, exist_ok=True)
+        (root / f).write_text("x")
+    (root / ".gitignore").write_text("*.log\n!keep.log\ngen/[ab][0-9].rs\nyes/\n\\#none\n")
+    (root / ".ignore").write_text("no/\n!yes/\n")
+    found = [p for p, _, _ in tree.walk(str(root)) if not p.startswith(".")]
+    assert found == ["gen/deep/c3.rs", "keep.rs", "logs/keep.log", "odd#.rs", "yes/y.rs"]
+
+
+def test_usage_report():
+    totals = {"invocations": 1234, "estimated_baseline_tokens": 2_000_000, "returned_tokens": 500_000, "saved": 1_500_000, "reduction": 75.0}
+    commands = [{"command": "symbols", "invocations": 1200, "saved": 1_400_000, "reduction": 80.0}, {"command": "x" * 40, "invocations": 34, "saved": 100_000, "reduction": 33.3}]
+    text = render.gain_report("last 30 days", totals, commands).split("\n")
+    assert "1,234" in text[1] and "1,500,000" in text[4] and "75.0%" in text[4] and text[4].count("█") == 15
+    assert text[8].split() == ["1", "symbols", "1,200", "1.4M", "80.0%", "█" * 10] and "…" in text[9] and text[9].endswith("█" + "░" * 9)
+
+
+def test_large_results_are_not_rendered(spark, monkeypatch):
+    monkeypatch.setattr(render, "MOST", 5)
+    assert len(render.rows(spark.range(5))) == 5
+    with pytest.raises(ValueError):
+        render.rows(spark.range(6))
