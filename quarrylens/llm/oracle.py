@@ -7,6 +7,21 @@ from quarrylens.llm.quality_rules import MAX_REPEAT_PERCENT, MIN_WORDS, RULES, S
 WORD = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
+#: Windows of 200 bytes of the texts' hexadecimal form, taken from blocks of 1,000 bytes so that no long string is cut a million times.
+OP1 = """
+WITH t AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+b AS (SELECT r, k, substr(h, 2000 * k + 1, 2398) AS part FROM (SELECT r, h, unnest(range(0, (length(h) // 2 - 200) // 1000 + 1)) AS k FROM t WHERE length(h) >= 400)),
+w AS (SELECT r, 1000 * k + q AS p, md5(substr(part, 2 * q + 1, 400)) AS m FROM (SELECT r, k, part, unnest(range(0, length(part) // 2 - 199)) AS q FROM b)),
+c AS (SELECT r, p FROM w WHERE m IN (SELECT m FROM w GROUP BY m HAVING count(*) > 1)),
+g AS (SELECT r, p, sum(fresh) OVER (PARTITION BY r ORDER BY p) AS g FROM (SELECT r, p, CASE WHEN p <= lag(p) OVER (PARTITION BY r ORDER BY p) + 200 THEN 0 ELSE 1 END AS fresh FROM c)),
+s AS (SELECT r, min(p) AS x, max(p) + 200 AS y FROM g GROUP BY r, g),
+gone AS (SELECT r, CAST(sum(y - x) AS BIGINT) AS n_removed, count(*) AS n_spans FROM s GROUP BY r),
+rest AS (SELECT r, coalesce(lag(y) OVER (PARTITION BY r ORDER BY x), 0) AS x, x AS y FROM s UNION ALL SELECT r, max(y), NULL FROM s GROUP BY r),
+kept AS (SELECT t.r, string_agg(substr(h, 2 * x + 1, 2 * (coalesce(y, length(h) // 2) - x)), '' ORDER BY x) AS kh FROM rest JOIN t ON t.r = rest.r GROUP BY t.r)
+SELECT doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kh, h))) AS kept_sha256
+FROM t LEFT JOIN gone ON gone.r = t.r LEFT JOIN kept ON kept.r = t.r
+"""
+
 OP3 = """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: floor(64 * CAST(x AS DOUBLE))) AS q FROM embeddings
@@ -104,4 +119,4 @@ FROM t LEFT JOIN a ON a.doc_id = t.doc_id
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_pivot_topk": OP3, "op5_secret_ledger": op5(), "op7_minhash_near_dedup": OP7, "op8_quality_rules": op8()}
+    return {"op1_suffix_dedup": OP1, "op3_pivot_topk": OP3, "op5_secret_ledger": op5(), "op7_minhash_near_dedup": OP7, "op8_quality_rules": op8()}
