@@ -118,5 +118,44 @@ FROM t LEFT JOIN a ON a.doc_id = t.doc_id
 """
 
 
+def op11(rounds: int = 4) -> str:
+    """Each round: assign by (distance, index), then the floor of the mean of each entry's parts; unused entries stay."""
+    steps = ""
+    for r in range(rounds + 1):
+        steps += f"""
+d{r} AS MATERIALIZED (SELECT p.r, p.k, arg_min(e, 1000 * (xx - 2 * list_inner_product(x, c) + list_inner_product(c, c)) + e) AS e, min(xx - 2 * list_inner_product(x, c) + list_inner_product(c, c)) AS d FROM p JOIN b{r} b ON b.k = p.k GROUP BY p.r, p.k),"""
+        if r < rounds:
+            steps += f"""
+s{r} AS MATERIALIZED (SELECT k, e, i, floor(sum(y) / count(*)) AS y FROM (SELECT p.k, d.e, unnest(x) AS y, unnest(range(len(x))) AS i FROM p JOIN d{r} d ON d.r = p.r AND d.k = p.k) GROUP BY k, e, i),
+b{r + 1} AS MATERIALIZED (SELECT b.k, b.e, coalesce(n.c, b.c) AS c FROM b{r} b LEFT JOIN (SELECT k, e, list(y ORDER BY i) AS c FROM s{r} GROUP BY k, e) n ON n.k = b.k AND n.e = b.e),"""
+    return f"""
+WITH v AS (
+  SELECT row_number() OVER (ORDER BY vec_id) AS r, vec_id, label, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS q FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+),
+p AS MATERIALIZED (SELECT *, list_inner_product(x, x) AS xx FROM (SELECT r, k, q[k * len(q) // 4 + 1:(k + 1) * len(q) // 4] AS x FROM v, (SELECT unnest(range(4)) AS k))),
+b0 AS MATERIALIZED (SELECT k, r - 1 AS e, x AS c FROM p WHERE r <= 256),{steps}
+o AS (SELECT r, string_agg(printf('%02x', CAST(e AS INTEGER)), '' ORDER BY k) AS code, CAST(sum(d) AS BIGINT) AS error FROM d{rounds} GROUP BY r),
+h AS (SELECT sha256(string_agg(CAST(CAST(y AS BIGINT) AS VARCHAR), ',' ORDER BY k, e, i)) AS sha FROM (SELECT k, e, unnest(c) AS y, unnest(range(len(c))) AS i FROM b{rounds}))
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, sha AS codebooks_sha256 FROM o JOIN v ON v.r = o.r, h
+"""
+
+
+TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+
+OP12 = f"""
+WITH t AS (SELECT row_number() OVER () AS r, doc_id, unnest(regexp_extract_all(translate(text, '{UPPER}', '{LOWER}'), '{TERM}')) AS t FROM documents),
+c AS (SELECT r, doc_id, t, count(*) AS tf FROM t GROUP BY r, doc_id, t),
+d AS (SELECT r, CAST(sum(tf) AS BIGINT) AS n FROM c GROUP BY r),
+s AS (SELECT count(*) AS nn, CAST(sum(n) AS BIGINT) AS l FROM d),
+w AS (SELECT t, CAST(floor(1000 * ln((2 * nn + 2) / (2 * df + 1))) AS BIGINT) AS w FROM (SELECT t, count(*) AS df FROM c GROUP BY t), s),
+q AS (SELECT DISTINCT item_id, t FROM (SELECT item_id, unnest(regexp_extract_all(translate(text, '{UPPER}', '{LOWER}'), '{TERM}')) AS t FROM benchmark)),
+m AS (SELECT r, 10 + 90 * n * nn // l AS m FROM d, s),
+x AS (SELECT item_id, c.r, doc_id, CAST(sum(w * (1000000000 * tf // (1000 * tf + 8 * m))) AS BIGINT) AS score FROM q JOIN c ON c.t = q.t JOIN w ON w.t = c.t JOIN m ON m.r = c.r GROUP BY item_id, c.r, doc_id)
+SELECT item_id, CAST(place AS INTEGER) AS rank, doc_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS place FROM x WHERE score > 0 AND doc_id IS NOT NULL) WHERE place <= 10
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_suffix_dedup": OP1, "op3_pivot_topk": OP3, "op5_secret_ledger": op5(), "op7_minhash_near_dedup": OP7, "op8_quality_rules": op8()}
+    return {"op1_suffix_dedup": OP1, "op3_pivot_topk": OP3, "op5_secret_ledger": op5(), "op7_minhash_near_dedup": OP7, "op8_quality_rules": op8(), "op11_vector_codes": op11(), "op12_lexical_search": OP12}

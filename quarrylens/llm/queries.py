@@ -10,7 +10,9 @@ import corpus_pipeline
 from quarrylens.llm import oracle
 from quarrylens.llm.byte_bpe import bpe_digests
 from quarrylens.llm.langid import language_id
+from quarrylens.llm.lexical_bisect import lexical_search
 from quarrylens.llm.minhash_mih import minhash_near_dedup
+from quarrylens.llm.norm_pq import vector_codes
 from quarrylens.llm.pii_weak import pii_scan
 from quarrylens.llm.pivot_topk import pivot_topk
 from quarrylens.llm.quality_rules import quality_rules
@@ -65,6 +67,14 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id(_table(spark, sf_dir, "documents"))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes(_table(spark, sf_dir, "embeddings"))
+
+
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_digests(_table(spark, sf_dir, "documents"))
 
@@ -81,6 +91,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_quality_rules": op8_quality_rules,
         "op9_quality_classifier": op9_quality_classifier,
         "op10_language_id": op10_language_id,
+        "op11_vector_codes": op11_vector_codes,
+        "op12_lexical_search": op12_lexical_search,
         "op13_byte_bpe": op13_byte_bpe,
         "pipeline": corpus_pipeline.run,
     }
