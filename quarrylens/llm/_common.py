@@ -96,6 +96,16 @@ def spread_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "
     return dealt.join(right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), [*keys, "_salt"], how).drop("_salt")
 
 
+def named(column: str) -> F.Column:
+    """A column of any name."""
+    return F.col("`" + column.replace("`", "``") + "`")
+
+
+def whole_row(docs: DataFrame) -> F.Column:
+    """All columns as one struct, whatever their names; ``select("<struct>.*")`` gives them back."""
+    return F.struct(*map(named, docs.columns))
+
+
 def row_key() -> F.Column:
     """Identity of a document row by content; repeated identical rows share it."""
     return F.xxhash64(F.col("doc_id"), F.col("text"))

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from quarrylens.llm._common import BROADCAST_ROWS, PrefixHash, Scratch, discard, lower_ascii, mix64, parts, spread_join, text_chunks, word_bounds, written
+from quarrylens.llm._common import BROADCAST_ROWS, PrefixHash, Scratch, discard, lower_ascii, mix64, parts, spread_join, text_chunks, whole_row, word_bounds, written
 from quarrylens.llm.components import components
 
 WORDS = 5
@@ -449,11 +449,11 @@ def _named(base: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
 
 
 def _with_cid(batches):
-    """The rows with the id of their text's shingle set at the end."""
+    """The rows with the id of their text's shingle set in place of the text."""
     for batch in batches:
         for row, buf, offs in text_chunks(pa.RecordBatch.from_arrays([batch.column(batch.num_columns - 1)], names=["text"])):
             cid = set_ids(*shingle_sets(buf, offs)).view(np.int64)
-            yield pa.RecordBatch.from_arrays([*(c.slice(row, len(cid)) for c in batch.columns[:-1]), pa.array(cid)], names=[*batch.schema.names[:-1], "_cid"])
+            yield pa.RecordBatch.from_arrays([*(c.slice(row, len(cid)) for c in batch.columns[:-1]), pa.array(cid)], names=[*batch.schema.names[:-1], "cid"])
 
 
 def near_dedup_filter(docs: DataFrame, percent: int = 85) -> DataFrame:
@@ -469,13 +469,12 @@ def near_dedup_filter(docs: DataFrame, percent: int = 85) -> DataFrame:
     some = torn.limit(1).count() > 0
     if some:
         kept = kept.join(torn, F.col("_keep") == torn.doc_id, "left_anti")
-    out = docs.join(kept, docs.doc_id.cast("long") == kept["_keep"], "left_semi").dropDuplicates(["doc_id"])
+    held = docs.select(whole_row(docs).alias("row"), F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
+    out = held.join(kept, F.col("id") == F.col("_keep"), "left_semi").dropDuplicates(["id"]).select("row")
     if some:
         own = found.filter("kept").join(torn, "doc_id", "left_semi")
-        own = own.groupBy("doc_id", F.coalesce("root", "cid").alias("root")).agg(F.min("cid").alias("cid")).select(F.col("doc_id").alias("_keep"), F.col("cid").alias("_set"))
-        rows = docs.join(torn.select(F.col("doc_id").alias("_torn")), docs.doc_id.cast("long") == F.col("_torn"), "left_semi")
-        schema = StructType([*docs.schema.fields, StructField("_cid", LongType())])
-        rows = rows.select("*", F.col("text").cast("string").alias("_text")).mapInArrow(_with_cid, schema)
-        rows = rows.join(own, (F.col("doc_id").cast("long") == F.col("_keep")) & (F.col("_cid") == F.col("_set")), "left_semi")
-        out = out.unionByName(rows.dropDuplicates(["doc_id", "_cid"]).drop("_cid"))
-    return out.unionByName(docs.filter("doc_id is null"))
+        own = own.groupBy("doc_id", F.coalesce("root", "cid").alias("root")).agg(F.min("cid").alias("cid")).select(F.col("doc_id").alias("id"), "cid")
+        rows = held.join(torn.select(F.col("doc_id").alias("id")), "id", "left_semi").select("row", "id", "text")
+        rows = rows.mapInArrow(_with_cid, StructType([*rows.schema.fields[:2], StructField("cid", LongType())]))
+        out = out.unionByName(rows.join(own, ["id", "cid"], "left_semi").dropDuplicates(["id", "cid"]).select("row"))
+    return out.unionByName(held.filter("id is null").select("row")).select("row.*")

@@ -17,6 +17,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarrylens.llm._common import whole_row
+
 SPACE = "[ \\x09-\\x0D]+"
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS = 50
@@ -119,6 +121,5 @@ def quality_rules(docs: DataFrame, rules=RULES, keep: tuple[str, ...] = ("doc_id
 
 def quality_filter(docs: DataFrame, rules=RULES) -> DataFrame:
     """The rows of docs that are kept."""
-    names = docs.columns
-    whole = docs.select(F.struct(*names).alias("_row"), "text")
+    whole = docs.select(whole_row(docs).alias("_row"), "text")
     return quality_rules(whole, rules, ("_row",)).filter("kept").select("_row.*")

@@ -25,7 +25,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarrylens.llm._common import shared_dir, spread_join, written
+from quarrylens.llm._common import shared_dir, spread_join, whole_row, written
 from quarrylens.llm._spans import listed, masked, matches_where
 
 
@@ -138,7 +138,6 @@ def secret_scan(docs: DataFrame, ledger: str | None = None, rules=RULES) -> Data
 
 def redact_secrets(docs: DataFrame, mask: str = "[SECRET]", ledger: str | None = None, rules=RULES) -> DataFrame:
     """docs with every secret in text replaced by the mask; null texts stay null."""
-    names = docs.columns
-    rows = secret_findings(docs.select(F.struct(*names).alias("_row"), "text"), ("_row",), ledger, rules)
+    rows = secret_findings(docs.select(whole_row(docs).alias("_row"), "text"), ("_row",), ledger, rules)
     text = F.when(F.col("_row.text").isNotNull(), masked(F.col("_text"), F.col("_found"), mask))
-    return rows.select(*[text.alias("text") if c == "text" else F.col(f"_row.`{c}`").alias(c) for c in names])
+    return rows.select(F.col("_row").withField("text", text).alias("_row")).select("_row.*")

@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarrylens.llm._common import parts, spread_join, written
+from quarrylens.llm._common import named, parts, spread_join, whole_row, written
 
 WEIGHTS = (3.0, 1.0, 2.0)
 TOTAL = 1.5
@@ -163,7 +163,7 @@ def _row_hash(docs: DataFrame) -> F.Column:
     """A hash of the whole row; columns that cannot be hashed enter as JSON."""
     plain = [c.name for c in docs.schema.fields if "map<" not in c.dataType.simpleString() and c.dataType.typeName() != "variant"]
     rest = [c for c in docs.columns if c not in plain]
-    return F.xxhash64(*[F.col(f"`{c}`") for c in plain], *([F.to_json(F.struct(*[F.col(f"`{c}`") for c in rest]))] if rest else []))
+    return F.xxhash64(*map(named, plain), *([F.to_json(F.struct(*map(named, rest)))] if rest else []))
 
 
 def mix_documents(docs: DataFrame, weights=WEIGHTS, total: float = TOTAL, cap: float = CAP) -> DataFrame:
@@ -171,8 +171,7 @@ def mix_documents(docs: DataFrame, weights=WEIGHTS, total: float = TOTAL, cap: f
 
     Whether a row is taken once more is known from its bin, so texts are not shuffled but for those of the bins that budgets end in.
     """
-    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    held = docs.select(row.alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("source").cast("string").alias("source"), _row_hash(docs).alias("tie"))
+    held = docs.select(whole_row(docs).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("source").cast("string").alias("source"), _row_hash(docs).alias("tie"))
     drawn = written(_drawn(held.drop("row"), F.col("tie")), "op6-drawn")
     goals = _goals(drawn, weights, total, cap)
     last = written(_last(_aimed(drawn, goals)).select("source", "doc_id", "key", "tie", "many", "hits"), "op6-last")

@@ -4,6 +4,9 @@ import random
 import re
 from collections import Counter
 
+import pytest
+from pyspark.sql import functions as F
+
 import corpus_pipeline as cp
 from tests.llm.test_minhash_mih import brute as near_brute
 from tests.llm.test_quality_rules import brute as quality_brute
@@ -90,3 +93,26 @@ def test_near_dedup_links_from_a_similarity_of_80(spark):
     docs = spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t, _ in rows], SCHEMA)
     got = sorted(r.doc_id for r in cp.near_dedup(spark, docs, "").collect())
     assert got == sorted(r[0] for r in near_brute(rows, 80) if r[3]) == list(range(0, 80, 2))
+
+
+ODD = ("a.b", "_cid", "_text", "_row", "row", "id", "cid", "size", "key", "tie", "kept", "b`q", "n_tokens", "_value", "component_id", "_keep")
+
+
+@pytest.mark.parametrize("shared", [False, True])
+def test_stages_take_extra_columns_of_any_name(spark, shared):
+    rows = corpus()
+    if shared:  # rows that share a doc_id, with equal and with other texts
+        rows += [(0, rows[1][1] + " more words of another text", "en", "a", 1), (3, rows[3][1], "en", "b", 2), (None, rows[7][1], "en", "a", 3), (None, rows[7][1], "en", "a", 3)]
+    plain = spark.createDataFrame(rows, SCHEMA)
+    docs = plain.select("*", *[F.col("doc_id").cast("string").alias(c) for c in ODD])
+    for _, stage in cp.STAGES[:-1]:
+        want = Counter((r.doc_id, r.text) for r in stage(spark, plain, "").collect())
+        out = stage(spark, docs, "")
+        assert out.columns == docs.columns
+        got = out.collect()
+        at = {c: k for k, c in enumerate(out.columns)}
+        assert all(r[at[c]] == (None if r[at["doc_id"]] is None else str(r[at["doc_id"]])) for r in got for c in ODD)
+        assert Counter((r[at["doc_id"]], r[at["text"]]) for r in got) == want
+        docs = spark.createDataFrame(got, out.schema)
+        plain = docs.select(*[F.col(c) for c in plain.columns])
+    assert cp.STAGES[-1][1](spark, docs, "").count() == docs.count()
