@@ -11,7 +11,7 @@ from quarrylens.extract.stage import extract
 from quarrylens.functions import text
 from quarrylens.operators import clusters, delta, edges, graph, imports, lookup, overview, search, usage
 from quarrylens.plans.oracle import oracle_sql
-from quarrylens.sources import sample_code, tree
+from quarrylens.sources import nested_code, sample_code, tree
 from quarrylens.sources.facts import Derived
 
 SINCE = 1705276800000000000  # 2024-01-15
@@ -132,13 +132,12 @@ _QUERIES: dict[str, Callable[[Derived], DataFrame]] = {
 }
 
 
-def _extracted(t: Derived, table: str) -> DataFrame:
-    found = extract(sample_code.source_texts(t.spark, t.sf_dir), held=False)[table]
-    return found.drop("resolution")
+def _extracted(t: Derived, table: str, texts=sample_code.source_texts) -> DataFrame:
+    return extract(texts(t.spark, t.sf_dir), held=False)[table].drop("resolution")
 
 
-def _deep_keys(t: Derived) -> DataFrame:
-    texts = sample_code.json_texts(t.spark, t.sf_dir)
+def _deep_keys(t: Derived, texts=sample_code.json_texts) -> DataFrame:
+    texts = texts(t.spark, t.sf_dir)
     each = [extract(texts, deep, held=False)["symbols"].select("file_path", "name", "start_line", "start_column", "end_line", "end_column", F.lit(deep).alias("deep")) for deep in (False, True)]
     return each[0].unionByName(each[1])
 
@@ -196,6 +195,9 @@ _QUERIES |= {
     "extract_calls": lambda t: _extracted(t, "calls"),
     "extract_imports": lambda t: _extracted(t, "imports"),
     "extract_deep_keys": _deep_keys,
+    "extract_nested_symbols": lambda t: _extracted(t, "symbols", nested_code.nested_texts),
+    "extract_nested_calls": lambda t: _extracted(t, "calls", nested_code.nested_texts),
+    "extract_data_keys": lambda t: _deep_keys(t, nested_code.data_texts),
     "utf8_filter": _readable,
     "diff_hunks": lambda t: tree.hunks_of(sample_code.diff_texts(t.spark, t.sf_dir)),
     "path_aliases": lambda t: tree.alias_table(sample_code.config_texts(t.spark, t.sf_dir)),

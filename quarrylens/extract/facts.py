@@ -1,8 +1,9 @@
 """Facts of one file.  Lines and columns count from 0; columns are UTF-8 bytes.
 
-Languages with braces: comments and strings are blanked, declarations found by pattern, their ends by matching
-braces.  Python goes through its own parser; Ruby and Lua through indentation of `end`; data and Markdown files line by line.
-Ends of unusual constructs can differ from a full parser's.  A file that cannot be read gives no facts.
+Languages with brackets or `end` go through a token stream and the scopes in it (`tokens`, `declare`), YAML and TOML through readers of their
+own (`data_keys`).  Python goes through its own parser, and files that it refuses through their indentation; Markdown goes line by line.
+C and C++ functions span their whole definition; operators and calls with type arguments count; the arguments of Rust macros are tokens, so
+they hold no calls.  A file that cannot be read gives no facts.
 """
 
 from __future__ import annotations
@@ -13,8 +14,9 @@ from dataclasses import dataclass
 from functools import lru_cache
 
 from quarrylens import schema
-from quarrylens.extract import rules
-from quarrylens.extract.lexer import Blocks, Places, block_ends, mask
+from quarrylens.extract import declare, rules
+from quarrylens.extract.data_keys import toml_keys, yaml_keys
+from quarrylens.extract.lexer import Places, mask
 
 
 @dataclass(frozen=True)
@@ -42,116 +44,69 @@ def dedupe(symbols: list[Symbol]) -> list[Symbol]:
     return list(best.values())
 
 
-def _visibility(language: str, name: str, text: str, start: int) -> str:
-    if language == "go":
-        return "public" if name[:1].isupper() else "private"
-    line = text.rfind("\n", 0, start) + 1
-    head = text[line:start]
-    if language == "rust":
-        if re.search(r"\b(?:pub(?:\([^)]*\))?|extern(?:\s*\"[^\"]*\")?)\s+(?:(?:async|const|unsafe|extern(?:\s*\"[^\"]*\")?)\s+)*$", head):
-            return "public"
-        above = text[:line].rstrip().split("\n")[-8:]
-        for row in reversed(above):
-            if not re.match(r"\s*(?:#!?\[|//)", row):
-                break
-            if re.search(r"no_mangle|export_name", row):
-                return "public"
-        return "private"
-    if language in ("javascript", "typescript", "tsx"):
-        return "public" if re.search(r"\bexport\s+(?:default\s+)?(?:async\s+|abstract\s+|declare\s+)*$", head) else "private"
-    return "unknown"
-
-
 @dataclass(frozen=True)
 class Scan:
-    """What a file with braces holds: its text with comments and strings blanked, its symbols, and where their names stand."""
+    """What a file with braces holds: its symbols, and its calls as (line, column, name, whether a receiver stands before it)."""
 
-    masked: str
-    places: Places
     symbols: list[Symbol]
-    names: frozenset[int]
+    calls: list[tuple]
 
 
 @lru_cache(maxsize=2)
 def _scan(text: str, language: str) -> Scan:
-    masked = mask(text, language)
-    places, ends = Places(text), block_ends(masked)
-    blocks = Blocks(ends)
-    types = {}
-    if language in rules.TYPES:
-        for m in re.finditer(rules.TYPES[language], masked):
-            types[m.end() - 1] = re.match(r"trait|interface|protocol", m.group()) is not None
-    before = re.compile(f"(?:{rules.MODIFIERS[language]})+$") if language in rules.MODIFIERS else None
-    headed = ("defined", "qualified", "typed", "member")
-
-    found: list[tuple[int, int, Symbol]] = []
-    taken: set[int] = set()
-    for kind, pattern in rules.DECLARATIONS[language]:
-        for m in re.finditer(pattern, masked, re.M):
-            name, at = m.group("name"), m.start("name")
-            if name in rules.RESERVED and kind not in ("class", "interface", "module") or at in taken:
-                continue
-            value = kind in ("assigned", "pair") or re.match(r"(?:const|let|var)\s", m.group().lstrip()) is not None
-            start = m.start() + len(m.group()) - len(m.group().lstrip())
-            block, stop = masked.find("{", at), masked.find(";", at)
-            if kind in headed:
-                block = m.end() - 1 if m.group()[-1] == "{" else -1
-                stop = m.end() - 1
-            elif block >= 0 and language in ("kotlin", "swift") and re.search(rules.NEXT, masked[m.end() : block]):
-                block, stop = -1, masked.find("\n", at) - 1
-            if language == "go" and kind == "type":
-                start = at
-                if re.match(r"\s*\w+\s+(?:struct|interface)\b", masked[at:]) is None:
-                    block, stop = -1, masked.find("\n", at)
-            has_body = block >= 0 and (stop < 0 or block < stop or kind in headed) and block in ends
-            if (kind in ("function", "assigned", "pair") or value) and not has_body:
-                stop = min((x for x in (masked.find(c, m.end()) for c in "\n;") if x >= 0), default=len(masked))
-                stop -= value and stop < len(masked)  # a value ends before its semicolon
-            end = ends[block] if has_body else (stop + 1 if stop >= 0 else len(masked))
-            inside = blocks.around(at)
-            inside = inside if inside in types else None
-            if kind == "callable":
-                if not has_body:
-                    continue
-                kind_now = "method" if inside is not None else "function"
-            elif kind == "qualified":
-                kind_now = "method"
-            elif kind == "defined":
-                kind_now = "method" if inside is not None else "function"
-            elif kind in ("typed", "member"):
-                if inside is None or (language == "javascript" and not has_body) or (language == "csharp" and not has_body and masked[stop] == ";" and not types[inside]):
-                    continue
-                if kind == "typed" and re.search(r"\b(?:new|return|else|throw)\s*$", masked[max(0, m.start("name") - 16) : m.start("name")]):
-                    continue
-                kind_now = "method"
-            elif kind in ("assigned", "pair"):
-                kind_now = "function"
-            else:
-                kind_now = kind
-            if kind in headed:
-                line = masked.rfind("\n", 0, at) + 1
-                start = max(line + len(masked[line:at]) - len(masked[line:at].lstrip()), max((x + 1 for x in (masked.rfind(c, line, at) for c in ";{}") if x >= 0), default=0))
-                start += len(masked[start:at]) - len(masked[start:at].lstrip())
-            seen = _visibility(language, name, text, start)
-            if value and kind == "function":
-                start = at  # of `const f = ...` the part from the name on
-            elif before is not None and kind not in ("assigned", "pair"):
-                # words on lines before, too: annotations often have a line of their own
-                low = max(0, start - 400)
-                start -= len(m.group()) if (m := before.search(masked[low:start])) else 0
-            taken.add(at)
-            first, last = places.of(start), places.of(end)
-            found.append((start, at, Symbol(name, kind_now, *first, *last, seen)))
-    found.sort(key=lambda f: (f[0], f[1]))
-    return Scan(masked, places, [s for _, _, s in found], frozenset(taken))
+    found, places = declare.find(text, language), Places(text)
+    stream = found.stream
+    order = sorted(found.declared, key=lambda d: (stream.at[d.first], stream.at[d.at]))
+    symbols = [Symbol(d.name.removeprefix("r#") if language == "rust" else d.name, d.kind, *places.of(stream.at[d.first]), *places.of(d.end), d.visibility) for d in order]
+    sites = declare.calls(found) if language in schema.CALL_LANGUAGES else []
+    return Scan(symbols, [(*places.of(stream.at[k]), stream.tok[k], method) for k, method in sites])
 
 
 def _braced(text: str, language: str) -> list[Symbol]:
     return _scan(text, language).symbols
 
 
+#: Words of Python that stand before a parenthesis and call nothing.
+_PYTHON_WORDS = frozenset("and as assert async await class def del elif else except exec for from if import in is lambda not or raise return try while with yield print".split())
+
+
+def _unparsed(text: str):
+    """What a Python file shows that its parser refuses, such as one of an older version: declarations by indentation, calls and imports by their look."""
+    masked, places = mask(text, "python"), Places(text)
+    lines = masked.split("\n")
+    symbols, calls, imports = [], [], []
+    for m in re.finditer(r"^(?P<in>[ \t]*)(?P<head>(?:async[ \t]+)?(?P<word>def|class)[ \t]+(?P<name>[^\W\d]\w*)[ \t]*)(?P<rest>\((?:[^()]|\((?:[^()]|\([^()]*\))*\))*\)[^:\n]*:|:)", masked, re.M):
+        if m.group("word") == "def" and m.group("rest") == ":":
+            continue
+        at, depth = m.start("head"), len(m.group("in").expandtabs())
+        first, last = places.line(at), places.line(m.end() - 1)
+        for k in range(last + 1, len(lines)):
+            if lines[k].strip():
+                if len(lines[k].expandtabs()) - len(lines[k].expandtabs().lstrip()) <= depth:
+                    break
+                last = k
+        symbols.append(Symbol(m.group("name"), "class" if m.group("word") == "class" else "function", *places.of(at), last, len(text.split("\n")[last].rstrip().encode())))
+    bodies = [s for s in symbols if s.kind == "function"]
+    for m in re.finditer(r"(?P<before>\w*)(?P<dot>\.)?\s*\b(?P<name>[^\W\d]\w*)[ \t]*\(", masked):
+        line, column = places.of(m.start("name"))
+        inside = [s for s in bodies if s.start_line < line <= s.end_line]
+        head = masked[max(0, m.start("name") - 8) : m.start("name")]
+        if inside and m.group("name") not in _PYTHON_WORDS and not re.search(r"\b(?:def|class)\s+$", head):
+            caller = max(inside, key=lambda s: s.start_line)
+            calls.append((caller.name, caller.start_line, m.group("name"), line, column, m.group("dot") is not None))
+    for m in re.finditer(r"^[ \t]*(?:from[ \t]+(?P<module>[.\w]+)[ \t]+import\b|import[ \t]+(?P<names>[^\n;]+))", masked, re.M):
+        if m.group("module"):
+            imports.append((m.group("module"), *places.of(m.start("module"))))
+        else:
+            imports += [(n.group(), *places.of(m.start("names") + n.start())) for n in re.finditer(r"[.\w]+", re.sub(r"[ \t]+as[ \t]+\w+", lambda x: " " * len(x.group()), m.group("names")))]
+    return symbols, sorted(calls, key=lambda c: c[3:5]), imports
+
+
 def _python(text: str):
-    tree = ast.parse(text)
+    try:
+        tree = ast.parse(text)
+    except (SyntaxError, ValueError):
+        return _unparsed(text)
     symbols, calls, imports = [], [], []
 
     def visit(node, inside_class: bool, caller):
@@ -180,29 +135,9 @@ def _python(text: str):
 
 
 def _ended(text: str, language: str) -> list[Symbol]:
-    """Ruby and Lua: a declaration ends at the `end` of its own indentation."""
-    masked = mask(text, language)
-    lines = masked.split("\n")
-    pattern = {
-        "ruby": r"^(?P<in>\s*)(?P<word>class|module|def)\s+(?:self\.)?(?P<name>[A-Za-z_][\w:]*[?!=]?)",
-        "lua": r"^(?P<in>\s*)(?P<word>(?:local\s+)?function)\s+(?P<name>[\w.:]+)",
-    }[language]
-    out = []
-    for k, line in enumerate(lines):
-        m = re.match(pattern, line)
-        if not m:
-            continue
-        kind = {"class": "class", "module": "module", "def": "method"}.get(m.group("word"), "function")
-        name = re.split(r"::|[.:]", m.group("name"))[-1]
-        if language == "lua" and ":" in m.group("name"):
-            kind = "method"
-        if re.search(r"\bend\s*$", line):
-            last = k
-        else:
-            last = next((j for j in range(k + 1, len(lines)) if re.match(rf"{m.group('in')}end\b", lines[j])), len(lines) - 1)
-        column = len(m.group("in"))
-        out.append(Symbol(name, kind, k, column, last, len(lines[last].rstrip().encode())))
-    return out
+    """Ruby and Lua: a declaration ends at its own `end`."""
+    places = Places(text)
+    return [Symbol(name, kind, *places.of(a), *places.of(b)) for name, kind, a, b in (declare.ruby if language == "ruby" else declare.lua)(text)]
 
 
 def _markdown(text: str) -> list[Symbol]:
@@ -249,48 +184,18 @@ def _json(text: str, deep: bool) -> list[Symbol]:
     return [s for _, s in sorted(found, key=lambda f: f[0])]
 
 
+def _keys(found: list[tuple[str, int, int, bool]], text: str, deep: bool) -> list[Symbol]:
+    """A key's range is its whole pair, a table's its whole table."""
+    places = Places(text)
+    return [Symbol(name, "key", *places.of(a), *places.of(b)) for name, a, b, top in found if deep or top]
+
+
 def _yaml(text: str, deep: bool) -> list[Symbol]:
-    """A key's range reaches to the end of its value, which is indented below it."""
-    lines = mask(text, "yaml", False).split("\n")
-    found = []
-    for k, line in enumerate(lines):
-        m = re.match(r"(\s*(?:-\s+)*)(?P<q>[\"']?)([^\s\"'#:\-\[\]{},][^\"'#:]*)(?P=q)\s*:(?:\s|$)", line)
-        if m and (deep or not m.group(1)):
-            found.append((k, len(m.group(1)), m.group(3).strip()))
-    # a line belongs to all keys that are indented less, or, as a list, as much
-    ends, opened = [f[0] for f in found], []
-    at = {k: n for n, (k, _, _) in enumerate(found)}
-    for k, line in enumerate(lines):
-        if not line.strip():
-            continue
-        depth = len(line) - len(line.lstrip())
-        if line.startswith(("---", "...")):
-            opened = []
-        opened = [n for n in opened if found[n][1] < depth or found[n][1] == depth and line[depth:].startswith("- ")]
-        for n in opened:
-            ends[n] = k
-        if k in at:
-            opened.append(at[k])
-    return [Symbol(name, "key", k, len(lines[k][:column].encode()), end, len(lines[end].rstrip().encode())) for (k, column, name), end in zip(found, ends)]
+    return _keys(yaml_keys(text), text, deep)
 
 
 def _toml(text: str, deep: bool) -> list[Symbol]:
-    """A table's range reaches to the next table, or to the end."""
-    out, table, top = [], None, True
-    lines = mask(text, "toml", False).split("\n")
-    for k, line in enumerate(lines):
-        head, pair = re.match(r"\s*\[\[?\s*([^\]]+?)\s*\]", line), re.match(r"\s*([\w\"'.-]+)\s*=", line)
-        column = len(line) - len(line.lstrip())
-        if head:
-            if table is not None:
-                out.append(Symbol(*table, k, 0))
-            name, top = head.group(1).strip("\"'"), False
-            table = (name, "key", k, column) if deep or "." not in name else None
-        elif pair and (top or deep):
-            out.append(Symbol(pair.group(1).strip("\"'"), "key", k, column, k, len(line.rstrip().encode())))
-    if table is not None:
-        out.append(Symbol(*table, len(lines) - 1, len(lines[-1].encode())))
-    return sorted(out, key=lambda s: s.span[:2])
+    return _keys(toml_keys(text), text, deep)
 
 
 def symbols_of(text: str, language: str, deep: bool = False) -> list[Symbol]:
@@ -304,7 +209,7 @@ def symbols_of(text: str, language: str, deep: bool = False) -> list[Symbol]:
             got = _markdown(text)
         elif language in ("json", "yaml", "toml"):
             got = {"json": _json, "yaml": _yaml, "toml": _toml}[language](text, deep)
-        elif language in rules.DECLARATIONS:
+        elif language in declare.LANGUAGES:
             got = _braced(text, language)
         else:
             got = []
@@ -322,18 +227,8 @@ def calls_of(text: str, language: str, symbols: list[Symbol]) -> list[tuple]:
             return _python(text)[1]
         except (SyntaxError, ValueError, RecursionError):
             return []
-    scan = _scan(text, language)
-    masked, places = scan.masked, scan.places
+    sites = _scan(text, language).calls
     bodies = sorted((s for s in symbols if s.kind in ("function", "method")), key=lambda s: (s.span[:2], (-s.end_line, -s.end_column)))
-    sites = []
-    for pattern in (rules.CALL, rules.MACRO) if language == "rust" else (rules.CALL,):
-        for m in re.finditer(pattern, masked):
-            name, at = m.group("name"), m.start("name")
-            head = masked[max(0, at - 12) : at]
-            if name in rules.RESERVED or name in rules.RESERVED_IN.get(language, ()) or re.search(r"\b(?:new|fn|func|function|class|macro_rules!)\s*\*?$", head.rstrip()):
-                continue
-            if at not in scan.names:
-                sites.append((*places.of(at), name, m.groupdict().get("before") in (".", "?.", "->")))
     out, opened, k = [], [], 0
     for line, column, name, method in sorted(sites):
         while k < len(bodies) and bodies[k].span[:2] <= (line, column):

@@ -1,4 +1,4 @@
-"""Masking of comments and strings, and scopes, for languages with braces."""
+"""Masking of comments and strings, and places in lines."""
 
 from __future__ import annotations
 
@@ -12,6 +12,7 @@ COMMENTS = {
     "python": r"#[^\n]*", "ruby": r"#[^\n]*", "bash": r"(?<![^\s;])#[^\n]*", "lua": r"--\[\[.*?(?:\]\]|\Z)|--[^\n]*", "php": _C_LIKE + r"|#[^\n]*", "yaml": r"(?<![^\s])#[^\n]*", "toml": r"#[^\n]*",
 }
 STRINGS = {
+    "python": r"\"\"\".*?(?:\"\"\"|\Z)|'''.*?(?:'''|\Z)|" + _STRINGS,
     "rust": r"r(?P<hashes>#*)\".*?\"(?P=hashes)|b?\"(?:\\.|[^\"\\])*\"?|b?'(?:\\(?:u\{[0-9a-fA-F]+\}|x..|.)|[^'\\\n])'", "go": r"`[^`]*`?|" + _STRINGS,
     "typescript": r"`(?:\\.|[^`\\])*`?|" + _STRINGS, "tsx": r"`(?:\\.|[^`\\])*`?|" + _STRINGS, "javascript": r"`(?:\\.|[^`\\])*`?|" + _STRINGS,
     "java": r"\"\"\".*?(?:\"\"\"|\Z)|" + _STRINGS, "kotlin": r"\"\"\".*?(?:\"\"\"|\Z)|" + _STRINGS, "swift": r"\"\"\".*?(?:\"\"\"|\Z)|\"(?:\\.|[^\"\\\n])*\"?",
@@ -43,38 +44,3 @@ class Places:
     def of(self, at: int) -> tuple[int, int]:
         line = self.line(at)
         return line, len(self.text[self.starts[line] : at].encode())
-
-
-def block_ends(masked: str) -> dict[int, int]:
-    """Place of each opening brace to the place after its closing one; unclosed ones end with the text."""
-    out, stack = {}, []
-    for m in re.finditer("[{}]", masked):
-        if m.group() == "{":
-            stack.append(m.start())
-        elif stack:
-            out[stack.pop()] = m.end()
-    for at in stack:
-        out[at] = len(masked)
-    return out
-
-
-class Blocks:
-    """Which block of braces a place lies in."""
-
-    def __init__(self, ends: dict[int, int]):
-        self.ends, self.opens = ends, sorted(ends)
-        self.parent: dict[int, int | None] = {}
-        stack: list[int] = []
-        for at in self.opens:
-            while stack and ends[stack[-1]] <= at:
-                stack.pop()
-            self.parent[at] = stack[-1] if stack else None
-            stack.append(at)
-
-    def around(self, at: int) -> int | None:
-        """The opening brace of the innermost block that holds a place."""
-        k = bisect.bisect_left(self.opens, at) - 1
-        found = self.opens[k] if k >= 0 else None
-        while found is not None and self.ends[found] <= at:
-            found = self.parent[found]
-        return found

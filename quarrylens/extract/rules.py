@@ -1,55 +1,7 @@
-"""What a declaration looks like in each language with braces, and how calls and imports look."""
+"""How imports look in languages whose imports are read."""
 
 from __future__ import annotations
 
-NAME = r"(?P<name>[^\W\d][\w$]*)"
-ARGS = r"\((?:[^(){};]|\([^()]*\))*\)"
-
-# Kind and pattern of each declaration.  Kind `callable` is a method inside a type's braces and a function elsewhere.
-DECLARATIONS: dict[str, tuple[tuple[str, str], ...]] = {
-    "rust": (
-        ("class", rf"\b(?:struct|enum|union|type)\s+{NAME}"), ("interface", rf"\btrait\s+{NAME}"), ("module", rf"\bmod\s+{NAME}"), ("macro", rf"\bmacro_rules!\s*{NAME}"), ("callable", rf"\bfn\s+{NAME}"),
-    ),
-    "go": (("method", rf"\bfunc\s*\([^)]*\)\s*{NAME}"), ("function", rf"\bfunc\s+{NAME}"), ("type", rf"\btype\s+{NAME}\s+[^\s=(]")),
-    "c": (("class", rf"\b(?:struct|union)\s+{NAME}\s*\{{"), ("type", rf"\benum\s+{NAME}\s*\{{"), ("type", rf"\btypedef\b[^;{{}}]*\b{NAME}\s*;"), ("defined", rf"\b{NAME}\s*{ARGS}\s*\{{")),
-    "cpp": (
-        ("class", rf"\b(?:class|struct|union)\s+{NAME}(?:\s+final)?\s*(?::[^;{{}}]*)?\{{"), ("type", rf"\benum\s+(?:class\s+)?{NAME}[^;{{}}]*\{{"),
-        ("qualified", rf"\b[\w~]+::{NAME}\s*{ARGS}[\w\s&]*\{{"), ("defined", rf"(?<!::)\b{NAME}\s*{ARGS}\s*(?:const|noexcept|override|final|\s)*(?::[^;{{}}]*)?\{{"),
-    ),
-    "java": (("class", rf"\bclass\s+{NAME}"), ("interface", rf"\binterface\s+{NAME}"), ("typed", rf"[\w>\]]\s+{NAME}\s*{ARGS}\s*(?:throws\s+[\w.,\s]+)?[{{;]")),
-    "csharp": (("class", rf"\b(?:class|struct|record)\s+{NAME}"), ("interface", rf"\binterface\s+{NAME}"), ("module", rf"\bnamespace\s+{NAME}"), ("typed", rf"[\w>\]?]\s+{NAME}\s*(?:<[^<>]*>)?\s*{ARGS}\s*(?:where[^{{;]*)?(?:\{{|=>|;)")),
-    "php": (("class", rf"\b(?:class|trait)\s+{NAME}"), ("interface", rf"\binterface\s+{NAME}"), ("module", rf"\bnamespace\s+{NAME}"), ("callable", rf"\bfunction\s+&?{NAME}")),
-    "kotlin": (("class", rf"\b(?:class|object)\s+{NAME}"), ("interface", rf"\binterface\s+{NAME}"), ("function", rf"\bfun\s+(?:<[^<>]*>\s*)?(?:[\w.<>?]+\.)?{NAME}\s*\(")),
-    "swift": (("class", rf"\b(?:struct|class|enum|actor)\s+(?!func\b|var\b|let\b){NAME}"), ("interface", rf"\bprotocol\s+{NAME}"), ("callable", rf"\bfunc\s+{NAME}")),
-    "bash": (("function", r"(?:^|(?<=[;\s]))function\s+(?P<name>[\w.:-]+)"), ("function", r"(?:^|(?<=[;\s]))(?P<name>[A-Za-z_][\w.:-]*)\s*\(\s*\)\s*\{")),
-}
-_VALUE = rf"(?:async\s+)?(?:function\b|(?:{ARGS}|[\w$]+)\s*(?::[^=;{{}}]+?)?=>)"
-_SCRIPT = (
-    ("class", rf"\bclass\s+{NAME}"), ("function", rf"\bfunction\s*\*?\s+{NAME}"), ("function", rf"\b(?:const|let|var)\s+{NAME}\s*(?::[^=;]+?)?=\s*{_VALUE}"),
-    ("assigned", rf"(?<![\w$])(?:[\w$]+\.)*{NAME}\s*=\s*{_VALUE}"), ("pair", rf"(?<![\w$.?]){NAME}\s*:\s*{_VALUE}"),
-    ("member", rf"(?:^|(?<=[;{{}}\n]))[^\S\n]*(?:(?:public|private|protected|static|async|override|readonly|abstract|get|set)\s+)*[*#]?{NAME}\s*(?:<[^<>]*>)?\s*{ARGS}\s*(?::[^;{{}}=]+)?\s*[{{;]"),
-)
-DECLARATIONS["javascript"] = _SCRIPT
-DECLARATIONS["typescript"] = DECLARATIONS["tsx"] = (*_SCRIPT, ("interface", rf"\binterface\s+{NAME}"), ("type", rf"\btype\s+{NAME}\s*(?:<[^=]*>)?\s*="), ("enum", rf"\benum\s+{NAME}"), ("module", rf"\b(?:namespace|module)\s+{NAME}"))
-
-# Words that look like a call or a definition and are none.
-RESERVED = frozenset(
-    "if for while switch return sizeof catch do else new delete throw typeof function await yield in of case match loop unsafe move async fn let mut ref where as impl dyn "
-    "func interface struct super this self synchronized try using lock foreach nameof print echo elif then fi done with assert lambda not and or is import from class def del pass raise "
-    "static_cast dynamic_cast const_cast reinterpret_cast decltype alignof noexcept template operator".split()
-)
-
-RESERVED_IN = {"go": frozenset("go defer select range chan map make".split())}
-
-TYPES = {
-    "rust": r"\b(?:impl|trait|mod)\b[^{;]*\{", "cpp": r"\b(?:class|struct)\s+\w+[^;{}()]*\{", "java": r"\b(?:class|interface|enum|record)\s+\w+[^;{}]*\{", "csharp": r"\b(?:class|interface|struct|record)\s+\w+[^;{}]*\{",
-    "php": r"\b(?:class|interface|trait)\s+\w+[^;{}]*\{", "swift": r"\b(?:struct|class|enum|actor|protocol|extension)\s+\w+[^;{}]*\{",
-    "javascript": r"\bclass\b[^;{}()]*\{", "typescript": r"\b(?:class|interface)\b[^;{}()]*\{", "tsx": r"\b(?:class|interface)\b[^;{}()]*\{",
-}
-
-CALL = r"(?P<before>\.|\?\.|->|::)?\s*(?<![\w$])(?P<name>[^\W\d][\w$]*)\s*(?:::<[^<>()]*>|<[\w\s,.:&']*>)?\s*\("
-MACRO = r"(?<![\w$])(?P<name>[^\W\d]\w*)!\s*[(\[{]"
-
 # What names a module, in texts whose comments are blanked.
 IMPORTS = {
     "javascript": r"(?:^|[;\n}])\s*(?:import|export)\b(?:[^;'\"`]*?\bfrom\b)?\s*(?P<q>['\"])(?P<module>[^'\"\n]+)(?P=q)",
@@ -58,17 +10,3 @@ IMPORTS = {
 }
 IMPORTS["typescript"] = IMPORTS["tsx"] = IMPORTS["javascript"]
 IMPORTS["cpp"] = IMPORTS["c"]
-
-# Words before a declaration that belong to it.
-_NOTE = r"@[\w.]+(?:\([^()]*\))?"
-MODIFIERS = {
-    "rust": r"(?:pub(?:\s*\([^)]*\))?|async|const|unsafe|extern|default)\s+",
-    "java": rf"(?:{_NOTE}|public|private|protected|static|final|abstract|synchronized|native|strictfp|default|sealed|non-sealed)\s+",
-    "csharp": r"(?:\[[^\[\]]*\]\s*|(?:public|private|protected|internal|static|sealed|abstract|partial|readonly|unsafe|new|virtual|override|async|extern|ref)\s+)",
-    "php": r"(?:public|private|protected|static|final|abstract|readonly)\s+",
-    "kotlin": rf"(?:{_NOTE}|public|private|internal|protected|open|abstract|final|sealed|data|enum|annotation|inner|value|companion|override|suspend|inline|operator|infix|tailrec|external|const|expect|actual)\s+",
-    "swift": rf"(?:{_NOTE}|public|private|fileprivate|internal|open|static|final|override|mutating|nonmutating|required|convenience|indirect)\s+",
-    "typescript": r"(?:abstract|async|declare)\s+", "tsx": r"(?:abstract|async|declare)\s+", "javascript": r"async\s+",
-}
-# What ends the head of a declaration that has no body, in languages without semicolons.
-NEXT = r"\n\s*(?:[\w@]+\s+)*(?:fun|class|object|interface|val|var|let|struct|func|enum|protocol|extension|actor|import|package|typealias)\b"

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from quarrylens import schema
 from quarrylens.functions.text import LOWER, UPPER
+from quarrylens.plans.oracle_nested import nested_sql
 
 BUILTIN = ", ".join(f"'{m}'" for m in schema.BUILTIN_METHODS)
 SUFFIXES = ", ".join(f"'{e}'" for e in (*schema.IMPORT_SUFFIXES, *(f"/index{e}" for e in schema.IMPORT_SUFFIXES)))
@@ -326,4 +327,4 @@ def more_bodies() -> dict[str, str]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: BASE + body for name, body in (bodies() | more_bodies()).items()}
+    return {name: BASE + body for name, body in (bodies() | more_bodies()).items()} | nested_sql()
