@@ -942,7 +942,7 @@ def ruby(text: str) -> list[tuple[str, str, int, int]]:
             for mark in waiting:
                 close = re.compile(rf"^[ \t]*{mark}\b[^\n]*\n?", re.M).search(text, p)
                 p = close.end() if close else len(text)
-            waiting, begins, operand, loop = [], not _ruby_goes_on(text, p), False, 0
+            waiting, begins, operand, loop = [], True, False, 0
         elif m.group("heredoc"):
             waiting.append(m.group("mark"))
             begins, operand = False, True
@@ -989,10 +989,6 @@ def ruby(text: str) -> list[tuple[str, str, int, int]]:
     return sorted(out, key=lambda x: (x[2], -x[3]))
 
 
-def _ruby_goes_on(text: str, p: int) -> bool:
-    return re.compile(r"\s*(?:\.[^.]|&\.)").match(text, p) is not None
-
-
 def _ruby_line(text: str, p: int) -> int:
     """The end of an expression that begins at p: its line, and further ones while a bracket is open."""
     depth = 0

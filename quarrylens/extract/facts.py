@@ -251,7 +251,7 @@ def imports_of(text: str, language: str) -> list[tuple]:
     plain = mask(text, language, False) if language in schema.CALL_LANGUAGES else ""
     places, out = Places(text), []
     if language == "go":
-        for block in re.finditer(r"(?:^|\n)\s*import\s*(\([^)]*\)|(?:[\w.]+\s+)?\"[^\"\n]+\")", plain):
+        for block in re.finditer(r"^[^\S\n]*import\s*(\([^)]*\)|(?:[\w.]+\s+)?\"[^\"\n]+\")", plain, re.M):
             out += [(m.group(1), *places.of(block.start(1) + m.start())) for m in re.finditer(r"[\"`]([^\"`\n]+)[\"`]", block.group(1))]
         return out
     if language not in rules.IMPORTS:

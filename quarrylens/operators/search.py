@@ -13,32 +13,48 @@ from quarrylens.sources.facts import Facts
 PER_FILE, FILES, SHOWN = 8, 40, 50
 
 
+def files_shown(limit: int) -> int:
+    return min(limit, FILES) if limit else FILES
+
+
+def matching(t: Facts, pattern: str, files: int, lang: str | None = None) -> DataFrame:
+    """path and hits (line, text) of the first files by path that have a line which matches a regular expression, case-sensitive; hits are the first PER_FILE of a file.
+
+    One pass over the texts: a file is left alone once it has its hits, a task keeps the first files by path, and those are merged once.
+    """
+    none = F.array().cast("array<struct<line:int,text:string>>")
+    line = lambda a, x: F.array(F.struct(a["n"].alias("line"), shortened(F.trim(x)).alias("text")))
+    more = lambda a, x: F.when((F.size(a["hits"]) < PER_FILE) & x.rlike(pattern), F.concat(a["hits"], line(a, x))).otherwise(a["hits"])
+    step = lambda a, x: F.struct((a["n"] + 1).alias("n"), more(a, x).alias("hits"))
+    hits = F.aggregate(F.split("text", "\n"), F.struct(F.lit(0).alias("n"), none.alias("hits")), step, lambda a: a["hits"])
+    # as the row of a generator, so that the filter does not compute it again
+    found = t.texts(lang).select("path", F.explode(F.array(hits)).alias("hits")).filter(F.size("hits") > 0)
+    return found.orderBy("path").limit(files)
+
+
+def listed(found: DataFrame) -> DataFrame:
+    """path, line, text of what `matching` found."""
+    return found.select("path", F.inline("hits"))
+
+
 def text_hits(t: Facts, pattern: str, lang: str | None = None, limit: int = 50) -> DataFrame:
     """Lines that match a regular expression, case-sensitive: 8 a file at most, in the first 40 files (fewer for a lower limit) by path."""
-    hit = t.lines.filter(F.col("text").rlike(pattern))
-    if lang is not None:
-        hit = hit.join(t.files.filter(F.col("language") == lang).select("path"), "path", "left_semi")
-    cap = min(limit, FILES) if limit else FILES
-    first = hit.select("path").distinct().orderBy("path").limit(cap)
-    kept = hit.join(first, "path", "left_semi").withColumn("_n", F.row_number().over(Window.partitionBy("path").orderBy("line_no")))
-    return kept.filter(F.col("_n") <= PER_FILE).select("path", F.col("line_no").alias("line"), shortened(F.trim("text")).alias("text"))
+    return listed(matching(t, pattern, files_shown(limit), lang))
 
 
-def truncated(t: Facts, pattern: str, limit: int = 50) -> DataFrame:
+def truncated(t: Facts, pattern: str, limit: int = 50, lang: str | None = None) -> DataFrame:
     """Whether more files match than are shown."""
-    cap = min(limit, FILES) if limit else FILES
-    n = t.lines.filter(F.col("text").rlike(pattern)).select("path").distinct().limit(cap + 1)
-    return n.agg((F.count(F.lit(1)) > cap).alias("truncated"))
+    return matching(t, pattern, files_shown(limit) + 1, lang).agg((F.count(F.lit(1)) > files_shown(limit)).alias("truncated"))
 
 
-def search(t: Facts, pattern: str, lang: str | None = None, limit: int = 50) -> DataFrame:
+def search(t: Facts, pattern: str, lang: str | None = None, limit: int = 50, hits: DataFrame | None = None) -> DataFrame:
     """source (structural, reference, textual), path, line, name, kind, text, in that order of sources.
 
     Structural hits are symbols whose name contains the pattern literally; a text line where a symbol starts is left out, one that
-    calls exactly the pattern is a reference.
+    calls exactly the pattern is a reference.  hits: the text hits, where they are known.
     """
     s = symbols(t, pattern, lang=lang, limit=limit)
-    hits = text_hits(t, pattern, lang, limit)
+    hits = text_hits(t, pattern, lang, limit) if hits is None else hits
     starts = s.select(F.col("file_path").alias("path"), F.col("start_line").alias("line")).distinct()
     sites = with_caller(t, t.calls.filter(F.col("callee_name") == pattern)).select(F.col("caller_file").alias("path"), F.col("site_line").alias("line")).distinct()
     rest = hits.join(starts, ["path", "line"], "left_anti").join(sites.withColumn("_ref", F.lit(True)), ["path", "line"], "left")

@@ -6,9 +6,12 @@ that are rendered are small by their own limits.
 
 from __future__ import annotations
 
+import json
 import os
 import time
 from dataclasses import dataclass, field
+from functools import cached_property
+from typing import IO
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,22 +25,36 @@ from quarrylens.store import Store
 
 @dataclass
 class Result:
-    """Items with an advisory, or a document of named parts."""
+    """Items with an advisory, or a document of named parts; run once, however often it is asked."""
 
     items: DataFrame | None = None
     parts: dict = field(default_factory=dict)
     advisory: str | None = None
     failed: bool = False
 
-    def value(self) -> dict:
+    @cached_property
+    def _value(self) -> dict:
         if self.items is not None:
             return render.envelope(self.items, self.advisory)
         out = {k: render.rows(v) if isinstance(v, DataFrame) else v for k, v in self.parts.items()}
         return out | ({"advisory": self.advisory} if self.advisory else {})
 
+    def value(self) -> dict:
+        return self._value
+
     def text(self, fmt: str = "toon") -> str:
         return render.render(self.value(), fmt)
 
+    def write(self, out: IO[str]) -> None:
+        """The JSON of text("json") to a file, of any number of items: the driver holds one partition of them at a time."""
+        if self.items is None:
+            out.write(self.text("json"))
+            return
+        out.write(f'{{"count":{self.items.count()},"items":[')
+        for k, row in enumerate(self.items.toLocalIterator()):
+            out.write(("," if k else "") + render.to_json(render.plain(row)).rstrip("\n"))
+        out.write("]" + (f',"advisory":{json.dumps(self.advisory, ensure_ascii=False)}' if self.advisory else "") + "}\n")
+
 
 class OutsideRepository(ValueError):
     """A path beyond the repository's root."""
@@ -103,7 +120,9 @@ class Session:
         if self.recording and self.setting("gain.record")[0].lower() == "true":
             base = usage.baseline(t, paths).first()
             keep = self.record_query or self.setting("gain.record_query")[0].lower() == "true"
-            self.store.record(command, base.files, base.bytes, len(render.to_json(result.value()).encode()) // 4, self.setting("output.format")[0], query if keep else None)
+            out = _Length()
+            result.write(out)
+            self.store.record(command, base.files, base.bytes, out.bytes // 4, self.setting("output.format")[0], query if keep else None)
         return result
 
     def _partial(self, t, lang: str | None, empty: bool) -> str | None:
@@ -115,12 +134,12 @@ class Session:
 
     def symbols(self, query: str, kind: str | None = None, lang: str | None = None, limit: int = 50) -> Result:
         t = self.facts()
-        rows = lookup.symbols(t, query, kind, lang, limit)
+        rows = render.held(lookup.symbols(t, query, kind, lang, limit))
         return self._done(Result(rows, advisory=self._partial(t, lang, not rows.limit(1).count())), "symbols", t, rows.select(F.col("file_path").alias("path")), query)
 
     def definition(self, name: str, lang: str | None = None, limit: int = 50) -> Result:
         t = self.facts()
-        rows = lookup.definition(t, name, lang, limit)
+        rows = render.held(lookup.definition(t, name, lang, limit))
         note = None
         if not rows.limit(1).count():
             near = [r.name for r in lookup.near_misses(t, name).collect()]
@@ -131,7 +150,7 @@ class Session:
         t, path = self.facts(), self.path(file)
         if not lookup.file_stat(t, path).count():
             raise FileNotFoundError(path)
-        rows = lookup.outline(t, path)
+        rows = render.held(lookup.outline(t, path))
         lang = lookup.file_stat(t, path).first().language
         return self._done(Result(rows, advisory=self._partial(t, lang, False)), "outline", t, self.spark.createDataFrame([(path,)], "path string"), path)
 
@@ -139,10 +158,11 @@ class Session:
         t = self.facts()
         rows = lookup.context(t, symbol, around, limit)
         stale = delta.reconcile(disk_files(self.spark, self.root), t.files).filter("state = 'changed' or state = 'deleted'").select(F.col("path").alias("file_path"), F.lit(True).alias("stale"))
-        rows = rows.join(stale, "file_path", "left").withColumn("stale", F.coalesce("stale", F.lit(False)))
+        rows = render.held(rows.join(stale, "file_path", "left").withColumn("stale", F.coalesce("stale", F.lit(False))))
         return self._done(Result(rows), "context", t, rows.select(F.col("file_path").alias("path")), symbol)
 
     def _edges(self, command: str, t, rows: DataFrame, name: str) -> Result:
+        rows = render.held(rows)
         state = rows.agg(F.count(F.lit(1)).alias("n"), F.count_if("ambiguous").alias("many")).first()
         note = "no edges; calls through values or other languages are not seen" if not state.n else (f"{state.many} edges are ambiguous" if state.many else None)
         paths = rows.select(F.col("caller_file").alias("path")).unionByName(rows.filter("callee_file is not null").select(F.col("callee_file").alias("path")))
@@ -166,17 +186,17 @@ class Session:
 
     def deps(self, file: str) -> Result:
         t, path = self.facts(), self.path(file)
-        return self._done(Result(imports.deps(t, path)), "deps", t, self.spark.createDataFrame([(path,)], "path string"), path)
+        return self._done(Result(render.held(imports.deps(t, path))), "deps", t, self.spark.createDataFrame([(path,)], "path string"), path)
 
     def rdeps(self, module: str) -> Result:
         t = self.facts()
-        rows = imports.rdeps(t, module)
+        rows = render.held(imports.rdeps(t, module))
         return self._done(Result(rows), "rdeps", t, rows.select(F.col("file_path").alias("path")), module)
 
     def boundary(self, source: str, target: str, forbid: bool = False) -> Result:
         """failed: crossings were found and are forbidden."""
         t = self.facts()
-        rows = imports.boundary(t, source, target)
+        rows = render.held(imports.boundary(t, source, target))
         any_row = bool(rows.limit(1).count())
         lost = imports.boundary_unresolved(t, source).first().unresolved
         note = f"{lost} imports mean no file here and were not followed" if not any_row and lost else None
@@ -184,7 +204,7 @@ class Session:
 
     def deadcode(self, lang: str | None = None, limit: int = 50) -> Result:
         t = self.facts()
-        rows = edges.dead_code(t, lang, limit)
+        rows = render.held(edges.dead_code(t, lang, limit))
         return self._done(Result(rows, advisory="candidates by name: dynamic and outside calls are not seen"), "deadcode", t, rows.select(F.col("file_path").alias("path")))
 
     def cycles(self, limit: int = 0) -> Result:
@@ -241,9 +261,11 @@ class Session:
 
     def search(self, pattern: str, lang: str | None = None, limit: int = 50, all_callees: bool = False) -> Result:
         t = self.facts()
-        hits = search.search(t, pattern, lang, limit)
+        shown = search.files_shown(limit)
+        found = render.held(search.matching(t, pattern, shown + 1, lang))  # the only pass over the texts; a bounded number of files
+        cut = found.count() > shown
+        hits = render.held(search.search(t, pattern, lang, limit, search.listed(found.orderBy("path").limit(shown))))
         names = hits.filter("source = 'structural'").select("name").distinct()
-        cut = search.truncated(t, pattern, limit).first().truncated
         parts = {"pattern": pattern, "results": hits, "callers": search.callers_groups(t, names), "callees": search.callees_listed(t, names, all_callees), "truncated": cut}
         return self._done(Result(parts=parts, advisory="more files match than are shown" if cut else None), "search", t, hits.select("path"), pattern)
 
@@ -264,5 +286,14 @@ class Session:
         return Result(usage.top(self.store.facts(), by, None if since is None else _ago(since)))
 
 
+class _Length:
+    """A file that only counts its bytes."""
+
+    bytes = 0
+
+    def write(self, text: str) -> None:
+        self.bytes += len(text.encode())
+
+
 def _ago(text: str) -> int:
     return time.time_ns() - render.duration_seconds(text) * 1_000_000_000

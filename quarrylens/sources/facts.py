@@ -12,6 +12,10 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarrylens.sources.tree import disk_files, read_texts, read_windows
+
+#: Spans are broadcast up to so many.
+SPANS = 100_000
 
 
 class Facts:
@@ -22,16 +26,37 @@ class Facts:
     calls: DataFrame
     imports: DataFrame
     usage: DataFrame
-    lines: DataFrame
     aliases: list[tuple[str, str, bool]]
 
+    def texts(self, lang: str | None = None) -> DataFrame:
+        """path and text of every file that can be read, or of those in one language."""
+        raise NotImplementedError
+
+    def windows(self, spans: DataFrame) -> DataFrame:
+        """path, line_no, text of the lines first to last, both from 0, of spans(path, first, last)."""
+        lines = F.split("text", "\n")
+        near = self.texts().join(F.broadcast(spans), "path") if spans.limit(SPANS + 1).count() <= SPANS else self.texts().join(spans, "path")
+        places = F.filter(F.sequence(F.greatest("first", F.lit(0)), F.greatest(F.least(F.col("last"), F.size(lines) - 1), F.lit(0))), lambda k: (k >= F.col("first")) & (k <= F.col("last")) & (k < F.size(lines)))
+        one = near.select("path", lines.alias("lines"), F.explode(places).alias("line_no")).dropDuplicates(["path", "line_no"])
+        return one.select("path", "line_no", F.get("lines", F.col("line_no")).alias("text"))
+
 
 class Snapshot(Facts):
-    """Facts of a snapshot that the store holds."""
+    """Facts of a snapshot that the store holds; with the root of its tree, files are opened in tasks."""
 
-    def __init__(self, tables: dict[str, DataFrame], aliases: list[tuple[str, str, bool]] = ()):
+    def __init__(self, tables: dict[str, DataFrame], aliases: list[tuple[str, str, bool]] = (), root: str | None = None):
         self.__dict__.update(tables)
-        self.aliases = list(aliases)
+        self.aliases, self.root = list(aliases), root
+
+    def texts(self, lang: str | None = None) -> DataFrame:
+        spark = self.files.sparkSession
+        paths = disk_files(spark, self.root, every=True)
+        if lang is not None:
+            paths = paths.join(self.files.filter(F.col("language") == lang).select("path"), "path", "left_semi")
+        return read_texts(spark, self.root, paths).select("path", "text")
+
+    def windows(self, spans: DataFrame) -> DataFrame:
+        return read_windows(self.files.sparkSession, self.root, spans)
 
 
 class Derived(Facts):
@@ -131,9 +156,6 @@ class Derived(Facts):
             F.lit("json").alias("output_format"), F.lit(None).cast("string").alias("query"), F.col("event_id").alias("seq"),
         )
 
-    @cached_property
-    def lines(self) -> DataFrame:
-        docs = self.table("documents").select("doc_id", "text").join(self._files.select("doc_id", "path"), "doc_id")
-        return docs.select("path", F.posexplode(F.split("text", "\n")).alias("line_no", "text"))
-
-
+    def texts(self, lang: str | None = None) -> DataFrame:
+        files = self._files if lang is None else self._files.filter(F.col("language") == lang)
+        return self.table("documents").select("doc_id", "text").join(files.select("doc_id", "path"), "doc_id").select("path", "text")

@@ -108,39 +108,80 @@ def disk_files(spark: SparkSession, root: str, every: bool = False) -> DataFrame
 
 
 def _open_files(root: str):
+    """Rows that begin with a path: the same with the file's content at the end; files that cannot be opened are left out."""
+
     def run(batches):
         for batch in batches:
-            paths, languages, content, size = [], [], [], 0
-            for path, language in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            rows, content, size = [], [], 0
+            for row, path in enumerate(batch.column(0).to_pylist()):
                 try:
                     with open(os.path.join(root, path), "rb") as f:
                         raw = f.read()
                 except OSError:
                     continue
-                paths.append(path)
-                languages.append(language)
+                rows.append(row)
                 content.append(raw)
                 size += len(raw)
                 if size > READ_BYTES:
-                    yield _contents(paths, languages, content)
-                    paths, languages, content, size = [], [], [], 0
-            yield _contents(paths, languages, content)
+                    yield _contents(batch, rows, content)
+                    rows, content, size = [], [], 0
+            yield _contents(batch, rows, content)
 
     return run
 
 
-def _contents(paths, languages, content) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(languages, pa.string()), pa.array(content, pa.binary())], names=["path", "language", "content"])
+def _contents(batch: pa.RecordBatch, rows: list[int], content: list[bytes]) -> pa.RecordBatch:
+    kept = batch.take(pa.array(rows, pa.int32()))
+    return pa.RecordBatch.from_arrays([*kept.columns, pa.array(content, pa.binary())], names=[*batch.schema.names, "content"])
 
 
-def read_texts(spark: SparkSession, root: str, paths: DataFrame) -> DataFrame:
-    """path, language, text of some files of the tree; those that are not UTF-8 or hold a zero byte are left out.
+def read_texts(spark: SparkSession, root: str, paths: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """path, language, text and what is to be kept of some files of the tree; those that are not UTF-8 or hold a zero byte are left out.
 
     Tasks open the wanted paths and no others, so the root must be a folder that all nodes see.
     """
     root = os.path.abspath(root).rstrip("/")
-    opened = paths.select("path", "language").repartition("path").mapInArrow(_open_files(root), "path string, language string, content binary")
-    return readable(opened).select("path", "language", "text")
+    wanted = paths.select("path", "language", *keep).repartition("path")
+    head = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in wanted.schema.fields)
+    return readable(wanted.mapInArrow(_open_files(root), f"{head}, content binary")).select("path", "language", "text", *keep)
+
+
+def _open_windows(root: str):
+    """(path, spans) to (path, line_no, text) of the lines in the spans; a file is read up to the last of them."""
+
+    def run(batches):
+        for batch in batches:
+            rows: list[tuple] = []
+            for path, spans in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                wanted, last = sorted((s["first"], s["last"]) for s in spans), max(s["last"] for s in spans)
+                try:
+                    with open(os.path.join(root, path), encoding="utf-8", newline="") as f:
+                        text = "".join(line for _, line in zip(range(last + 1), _lines(f), strict=False))
+                except (OSError, UnicodeDecodeError):
+                    continue
+                lines = text.split("\n")
+                if len(lines) > last + 1:
+                    lines = lines[: last + 1]
+                rows += [(path, k, line) for k, line in enumerate(lines) if any(a <= k <= b for a, b in wanted)]
+            cols = list(zip(*rows, strict=True)) or [(), (), ()]
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.string())], names=["path", "line_no", "text"])
+
+    return run
+
+
+def _lines(f):
+    """Lines with their break, which is a line feed and nothing else."""
+    held = ""
+    while part := f.read(1 << 16):
+        *whole, held = (held + part).split("\n")
+        yield from (line + "\n" for line in whole)
+    yield held
+
+
+def read_windows(spark: SparkSession, root: str, spans: DataFrame) -> DataFrame:
+    """path, line_no, text of the lines first to last, both from 0, of spans(path, first, last); only their files are opened, none further than needed."""
+    by_file = spans.groupBy("path").agg(F.collect_set(F.struct("first", "last")).alias("spans"))
+    return by_file.mapInArrow(_open_windows(os.path.abspath(root).rstrip("/")), "path string, line_no int, text string")
 
 
 def readable(files: DataFrame) -> DataFrame:

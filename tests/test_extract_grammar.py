@@ -502,3 +502,18 @@ def test_python_that_its_parser_refuses():
     assert [(s.name, s.kind, *s.span) for s in found] == [("A", "class", 2, 0, 10, 22), ("m", "function", 4, 4, 10, 22), ("inner", "function", 8, 8, 10, 22), ("last", "function", 11, 0, 11, 16)]
     assert [(a, c, m) for a, _, c, _, _, m in calls_of(src, "python", found)] == [("m", "g", False), ("m", "k", True), ("m", "l", True), ("inner", "n", False)]
     assert [(m, line, column) for m, line, column in imports_of(src, "python")] == [("os", 0, 7), ("a.b", 0, 11), (".x", 1, 5)]
+
+
+@pytest.mark.parametrize("lang", ["rust", "go", "typescript", "tsx", "javascript", "c", "cpp", "java", "php", "kotlin", "swift", "bash", "ruby", "lua", "python"])
+def test_long_comments_and_blank_lines_take_time_in_proportion(lang):
+    import time
+
+    from quarrylens.extract.facts import facts_of
+
+    mark = {"python": "#", "ruby": "#", "bash": "#", "lua": "--"}.get(lang, "//")
+    took = []
+    for n in (3000, 12000):
+        began = time.process_time()
+        facts_of(("<?php\n" if lang == "php" else "") + f"{mark} more words here\n" * n + "\n" * n + "x = 1\n" * n, lang)
+        took.append(time.process_time() - began)
+    assert took[1] < 8 * took[0] + 0.2
