@@ -42,6 +42,8 @@ QUERIES = 4096
 RING = 256
 #: Rows with a vector and its results are broadcast up to so many.
 WIDE_ROWS = 10_000
+#: Queries that are routed at once, and numbers of their differences to pivots that are held at once.
+ROUTED, HELD = 512, 1 << 21
 EXACT = 2.0**52
 SLACK = 1e-9
 MOST = (1 << 63) - 1
@@ -130,22 +132,29 @@ def _route(shared, spans):
         pivots, top, width = shared.value
         alive, lo, hi = spans
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            norm = batch.column(2).to_numpy(zero_copy_only=False)
-            bound = batch.column(3).to_numpy(zero_copy_only=False)
-            full = _stretched(_matrix(batch.column(1), width), norm, top)
-            dist = _distances(full, pivots[alive])
-            bound = bound - SLACK * np.abs(bound) - 1  # of scores beyond the exact doubles
-            reach = np.where(np.isnan(bound), np.inf, _reach(_stretch(norm, top), top, np.where(np.isnan(bound), 0, bound)))
-            room = reach[:, None] + 1e-6 * np.sqrt(top)  # of the matrix form
-            row, col = np.nonzero((lo <= dist + room) & (hi >= dist - room))
-            exact = np.sqrt(((full[row] - pivots[alive[col]]) ** 2).sum(1))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), pa.array(alive[col]), pa.array(exact), pa.array(reach[row])], names=["asked", "pivot", "dist", "reach"])
+            for at in range(0, batch.num_rows, ROUTED):
+                yield from _routed(batch.slice(at, ROUTED), pivots, top, width, alive, lo, hi)
 
     return run
 
 
+def _routed(batch: pa.RecordBatch, pivots: np.ndarray, top: float, width: int, alive: np.ndarray, lo: np.ndarray, hi: np.ndarray):
+    """The rows of _route, one batch for each block of (query, pivot) pairs, so that what is held does not grow with the pivots."""
+    norm = batch.column(2).to_numpy(zero_copy_only=False)
+    bound = batch.column(3).to_numpy(zero_copy_only=False)
+    full = _stretched(_matrix(batch.column(1), width), norm, top)
+    dist = _distances(full, pivots[alive])
+    bound = bound - SLACK * np.abs(bound) - 1  # of scores beyond the exact doubles
+    reach = np.where(np.isnan(bound), np.inf, _reach(_stretch(norm, top), top, np.where(np.isnan(bound), 0, bound)))
+    room = reach[:, None] + 1e-6 * np.sqrt(top)  # of the matrix form
+    rows, cols = np.nonzero((lo <= dist + room) & (hi >= dist - room))
+    step = max(1, HELD // (width + 1))
+    for begin in range(0, len(rows), step):
+        row, col = rows[begin : begin + step], cols[begin : begin + step]
+        exact = np.sqrt(((full[row] - pivots[alive[col]]) ** 2).sum(1))
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), pa.array(alive[col]), pa.array(exact), pa.array(reach[row])], names=["asked", "pivot", "dist", "reach"])
+
+
 def _search(shared, k: int):
     """One cell's vectors and a block of the queries sent to it (cogrouped): the points of each query that reach its k-th score."""
 

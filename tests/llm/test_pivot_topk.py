@@ -87,3 +87,24 @@ def test_searched_cells_grow_below_the_square(spark, monkeypatch):
         assert sorted(tuple(r) for r in out.collect()) == brute(rows, 5)
         pairs.append(sent.count())
     assert pairs[1] < 12 * pairs[0]  # the square would be 16 times
+
+
+def test_routing_holds_little_however_many_pivots():
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+
+    from quarrylens.llm import pivot_topk
+
+    width, many, n = 64, 2048, 3000
+    rng = np.random.default_rng(3)
+    q = rng.integers(-60, 60, (n, width))
+    pivots = rng.normal(size=(many, width + 1)) * 60
+    batch = pa.RecordBatch.from_arrays([pa.array(np.arange(n)), pa.array(list(q), pa.list_(pa.int64())), pa.array((q.astype(float) ** 2).sum(1)), pa.array(np.full(n, np.nan))], names=["asked", "q", "norm", "bound"])
+    shared = type("S", (), {"value": (pivots, 1e6, width)})
+    tracemalloc.start()
+    pairs = sum(b.num_rows for b in pivot_topk._route(shared, (np.arange(many, dtype=np.int32), np.zeros(many), np.full(many, 1e9)))([batch]))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert pairs == many * n and peak < 300 << 20
