@@ -252,6 +252,25 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.sparkSession.createDataFrame(sorted(strong_components(rows).items()), "node string, component string")
 
 
+def weak_components(edges: DataFrame) -> DataFrame:
+    """(node, root) of the connected components of edges(a, b), by stars: each node joins the least node that it or a neighbour knows, until only stars are left."""
+    a, b = F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")
+    e = cut(edges.filter("a <> b").select(a, b).distinct(), "weak")
+    while True:
+        # neighbours of a node that are greater go to its least neighbour, or to itself
+        both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
+        large = both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
+        # and the lesser ones, and the node itself, to the least of them
+        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        small = large.join(least, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
+        after = cut(small.distinct(), "weak")
+        stars = not after.groupBy("a").count().filter("count > 1").limit(1).count() and not after.join(after.select(F.col("b").alias("a")).distinct(), "a", "left_semi").limit(1).count()
+        if stars:
+            return after.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(after.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+        e = after
+
+
 def import_cycles(t: Facts, limit: int = 0) -> DataFrame:
     """Members of each import cycle, sorted.  limit 0: all."""
     c = components(file_graph(t)).groupBy("component").agg(F.sort_array(F.collect_list("node")).alias("members"))

@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import html
-import json
+import io
+from typing import IO
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarrylens.functions.tables import cut, numbered
 from quarrylens.operators import clusters, edges, lookup, overview
 from quarrylens.sources.facts import Facts
 
@@ -28,9 +31,10 @@ def questions(god: list, found: list, crossing: list) -> list[str]:
 
 def report(t: Facts, min_size: int = clusters.MIN_SIZE) -> str:
     n = lookup.counts(t).first()
-    god = clusters.god_nodes(t, REPORT["god_nodes"]).collect()
-    found = clusters.communities(t, min_size, REPORT["communities"], REPORT["members"]).collect()
-    crossing = clusters.bridges(t, REPORT["bridges"]).collect()
+    at = clusters.located(t)
+    god = clusters.god_nodes(t, REPORT["god_nodes"], at).collect()
+    found = clusters.communities(t, min_size, REPORT["communities"], REPORT["members"], at).collect()
+    crossing = clusters.bridges(t, REPORT["bridges"], at).collect()
     entry = overview.entry_points(t).orderBy(F.when(F.col("kind") == "entry", 1).otherwise(0), "path", "line", "name").limit(REPORT["entry_points"]).collect()
     return "\n".join(
         [
@@ -49,8 +53,9 @@ def prime(t: Facts, min_size: int = clusters.MIN_SIZE) -> str:
     if not n.files:
         return "Nothing is indexed yet.\n"
     langs = lookup.files_per_language(t).orderBy(F.desc("files"), "language").limit(PRIME["languages"]).collect()
-    god = clusters.god_nodes(t, PRIME["god_nodes"]).collect()
-    found = clusters.communities(t, min_size, PRIME["communities"], PRIME["members"]).collect()
+    at = clusters.located(t)
+    god = clusters.god_nodes(t, PRIME["god_nodes"], at).collect()
+    found = clusters.communities(t, min_size, PRIME["communities"], PRIME["members"], at).collect()
     entry = overview.entry_points(t).orderBy(F.when(F.col("kind") == "entry", 1).otherwise(0), "path", "line", "name").limit(PRIME["entry_points"]).collect()
     hot = edges.hotspots(t, PRIME["god_nodes"]).collect()
     return "\n".join(
@@ -88,11 +93,31 @@ g.nodes.forEach((n, i) => {{
 """
 
 
+def export_to(t: Facts, out: IO[str], min_size: int = clusters.MIN_SIZE) -> None:
+    """One page with the located call graph, written part by part: nodes are numbered by range, and the driver holds one partition of rows at a time."""
+    at = clusters.located(t)
+    nodes = cut(numbered(clusters.export_graph(t, min_size, at), ["key"], "place", "export-nodes"), "export")
+    place = nodes.select("key", "place")
+    ends = clusters.export_edges(t, at).join(place.select(F.col("key").alias("source"), F.col("place").alias("_s")), "source").join(place.select(F.col("key").alias("target"), F.col("place").alias("_t")), "target")
+    links = cut(ends.select(F.col("_s").alias("source"), F.col("_t").alias("target"), "ambiguous"), "export-edges")
+    lines = lambda df, *columns: df.select(F.replace(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}), F.lit("</"), F.lit("<\\/")).alias("line"))
+    many = nodes.filter("major").agg(F.count_distinct("community")).first()[0]
+    title = html.escape(f"{nodes.count()} nodes, {links.count()} edges, {many} subsystems")
+    head, tail = _PAGE.format(title=title, data="\0").split("\0")
+    out.write(head + '{"nodes": [')
+    _write(out, lines(nodes.orderBy("place"), "name", "file", "line", "degree", "community", "major"))
+    out.write('], "edges": [')
+    _write(out, lines(links, "source", "target", "ambiguous"))
+    out.write("]}" + tail)
+
+
+def _write(out: IO[str], lines: DataFrame) -> None:
+    for k, row in enumerate(lines.toLocalIterator()):
+        out.write((", " if k else "") + row.line)
+
+
 def export_html(t: Facts, min_size: int = clusters.MIN_SIZE) -> str:
-    """One page with the located call graph; the graph is bounded as communities are."""
-    nodes = clusters.export_graph(t, min_size).orderBy("key").collect()
-    place = {n.key: i for i, n in enumerate(nodes)}
-    links = [{"source": place[e.source], "target": place[e.target], "ambiguous": e.ambiguous} for e in clusters.export_edges(t).collect()]
-    many = len({n.community for n in nodes if n.major})
-    data = {"nodes": [{"name": n.name, "file": n.file, "line": n.line, "degree": n.degree, "community": n.community, "major": n.major} for n in nodes], "edges": links}
-    return _PAGE.format(title=html.escape(f"{len(nodes)} nodes, {len(links)} edges, {many} subsystems"), data=json.dumps(data).replace("</", "<\\/"))
+    """The page of export_to as text, for graphs that a page can show."""
+    out = io.StringIO()
+    export_to(t, out, min_size)
+    return out.getvalue()

@@ -238,13 +238,18 @@ class Session:
 
     def communities(self) -> Result:
         t = self.facts()
-        return self._done(Result(parts={"communities": clusters.communities(t, self._min_size()), "god_nodes": clusters.god_nodes(t)}), "communities", t, t.files.select("path"))
+        at = clusters.located(t)
+        return self._done(Result(parts={"communities": clusters.communities(t, self._min_size(), at=at), "god_nodes": clusters.god_nodes(t, at=at)}), "communities", t, t.files.select("path"))
 
     def report(self) -> str:
         return artifacts.report(self.facts(), self._min_size())
 
-    def export(self) -> str:
-        return artifacts.export_html(self.facts(), self._min_size())
+    def export(self, out: IO[str] | None = None) -> str:
+        """The page of the call graph, or nothing but the page in a file that is open for writing."""
+        if out is None:
+            return artifacts.export_html(self.facts(), self._min_size())
+        artifacts.export_to(self.facts(), out, self._min_size())
+        return ""
 
     def prime(self) -> str:
         """A digest of the facts as they are; nothing is indexed."""
