@@ -6,7 +6,7 @@ functions, methods and macros.  Callees are resolved by name at query time.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarrylens import schema
@@ -47,48 +47,112 @@ def with_caller(t: Facts, calls: DataFrame) -> DataFrame:
     return calls.join(caller, (caller.caller_file == calls.file_path) & (caller.caller_sym == calls.caller_name) & (caller.caller_line == calls.caller_start_line))
 
 
+def _candidates(t: Facts) -> DataFrame:
+    return t.symbols.filter(F.col("kind").isin(*schema.FREE_CALLEE_KINDS)).select(
+        *[F.col(x).alias(f"callee_{y}") for x, y in (("file_path", "file"), ("name", "sym"), ("kind", "kind"), ("start_line", "line"))]
+    )
+
+
+def _match(left: DataFrame, callee: DataFrame) -> F.Column:
+    return (callee.callee_sym == left.callee_name) & callee_match(left.is_method, left.callee_name, callee.callee_kind)
+
+
+def _places(t: Facts, calls: DataFrame) -> DataFrame:
+    """(callee_name, is_method, least, most): the least and the greatest place of the candidates of each called name and form; they merge before they shuffle."""
+    callee, forms = _candidates(t), calls.select("callee_name", "is_method").distinct()
+    place = F.struct("callee_file", "callee_line")
+    return forms.join(callee, _match(forms, callee)).groupBy("callee_name", "is_method").agg(F.min(place).alias("least"), F.max(place).alias("most"))
+
+
+def _several(calls: DataFrame, places: DataFrame, group: list[str]) -> DataFrame:
+    """group and whether its names have candidates in several places; groups without candidates are left out."""
+    known = calls.select(*group, "is_method").distinct().join(places, ["callee_name", "is_method"])
+    return known.groupBy(*group).agg((F.min("least") != F.max("most")).alias("several"))
+
+
+EDGE = [
+    "caller_name", "caller_kind", "caller_file", "caller_line", "caller_end_line", "callee_name", "callee_kind", "callee_file", "callee_line", "site_line", "site_column", "resolution", "is_method", "ambiguous",
+]
+
+
 def call_edges(t: Facts, calls: DataFrame, key: list[str] | None = None) -> DataFrame:
     """One row for each of the calls and candidate callee, with the ambiguity of the callee name within its result set.
 
     key names the columns of a result set (none: all rows are one).  Ambiguity comes from the least and greatest place of a
-    name's candidates, which merge before they shuffle.
+    name's candidates.
     """
-    callee = t.symbols.filter(F.col("kind").isin(*schema.FREE_CALLEE_KINDS)).select(
-        *[F.col(x).alias(f"callee_{y}") for x, y in (("file_path", "file"), ("name", "sym"), ("kind", "kind"), ("start_line", "line"))]
-    )
+    callee = _candidates(t)
     c = with_caller(t, calls)
-    match = lambda left: (callee.callee_sym == left.callee_name) & callee_match(left.is_method, left.callee_name, callee.callee_kind)
     group = [*(key or []), "callee_name"]
-    forms = c.select(*group, "is_method").distinct()
-    place = F.struct("callee_file", "callee_line")
-    many = forms.join(callee, match(forms)).groupBy(*group).agg((F.min(place) != F.max(place)).alias("several")).filter("several")
-    e = c.join(callee, match(c), "left").join(many, group, "left").withColumn("ambiguous", F.coalesce("several", F.lit(False)))
-    return e.select(
-        "caller_name", "caller_kind", "caller_file", "caller_line", "caller_end_line", "callee_name", "callee_kind", "callee_file", "callee_line", "site_line", "site_column",
-        "resolution", "is_method", "ambiguous",
-    )
+    many = _several(c, _places(t, c), group).filter("several")
+    e = c.join(callee, _match(c, callee), "left").join(many, group, "left").withColumn("ambiguous", F.coalesce("several", F.lit(False)))
+    return e.select(*EDGE)
 
 
 def is_resolved() -> F.Column:
     return ~F.col("ambiguous") & F.col("callee_file").isNotNull()
 
 
+_PLACE = ["caller_file", "caller_line", "site_line", "site_column"]
+
+
 def _listed(e: DataFrame, limit: int, resolved_only: bool) -> DataFrame:
     if resolved_only:
         e = e.filter(is_resolved())
-    order = [F.when(is_resolved(), 0).otherwise(1), "caller_file", "caller_line", "site_line", "site_column", F.col("callee_file").asc_nulls_first(), F.col("callee_line").asc_nulls_first(), "callee_name", "is_method"]
+    order = [F.when(is_resolved(), 0).otherwise(1), *_PLACE, F.col("callee_file").asc_nulls_first(), F.col("callee_line").asc_nulls_first(), "callee_name", "is_method"]
     e = e.orderBy(*order)
     return e.limit(limit) if limit else e
 
 
+def first_sites(t: Facts, calls: DataFrame, limit: int, resolved_only: bool = False) -> DataFrame:
+    """The calls that the first ``limit`` edges come from, with their caller and their ambiguity, before any candidate is joined.
+
+    Whether a call is resolved follows from its name and form alone, so calls can be put in order without their candidates; each has one edge at least.
+    """
+    c = with_caller(t, calls)
+    places = _places(t, c)
+    several = places.groupBy("callee_name").agg((F.min("least") != F.max("most")).alias("ambiguous"))
+    known = places.select("callee_name", "is_method", F.lit(True).alias("_found"))
+    c = c.join(known, ["callee_name", "is_method"], "left").join(several, "callee_name", "left").withColumn("ambiguous", F.coalesce("ambiguous", F.lit(False)))
+    sure = ~F.col("ambiguous") & F.coalesce("_found", F.lit(False))
+    if resolved_only:
+        c = c.filter(sure)
+    order = [F.when(sure, 0).otherwise(1), *_PLACE]
+    top = c.orderBy(*order).limit(limit).select(*_PLACE).distinct()
+    return c.join(F.broadcast(top), _PLACE, "left_semi")  # limit rows; calls at the same place come along
+
+
+def distinct_edges(t: Facts, calls: DataFrame) -> DataFrame:
+    """(caller_name, callee_name, callee_kind, callee_file, callee_line, ambiguous, at) for each caller name, callee name and form, at the first of its sites.
+
+    The sites of a name merge before its candidates are joined.
+    """
+    at = F.min(F.struct("caller_file", "caller_line", "site_line", "site_column")).alias("at")
+    c, callee = with_caller(t, calls).groupBy("caller_name", "callee_name", "is_method").agg(at), _candidates(t)
+    several = _several(c, _places(t, c), ["caller_name", "callee_name"])
+    e = c.join(callee, _match(c, callee), "left").join(several, ["caller_name", "callee_name"], "left")
+    return e.select("caller_name", "callee_name", "callee_kind", "callee_file", "callee_line", F.coalesce("several", F.lit(False)).alias("ambiguous"), "at")
+
+
+def first_edges(t: Facts, calls: DataFrame, limit: int, resolved_only: bool = False) -> DataFrame:
+    """The first edges of the calls, as `call_edges` in its order gives them; of a name's candidates only as many as are shown meet its calls."""
+    c, callee = first_sites(t, calls, limit, resolved_only), _candidates(t)
+    forms = c.select("callee_name", "is_method").distinct()
+    nth = F.row_number().over(Window.partitionBy("callee_name", "is_method").orderBy("callee_file", "callee_line"))
+    shown = forms.join(callee, _match(forms, callee)).withColumn("_n", nth).filter(F.col("_n") <= limit).drop("callee_sym", "_n")
+    return _listed(c.join(shown, ["callee_name", "is_method"], "left").select(*EDGE), limit, resolved_only)
+
+
 def callers(t: Facts, name: str, limit: int = 50, resolved_only: bool = False) -> DataFrame:
     """Who calls a name; resolved edges first.  limit 0: all."""
-    return _listed(call_edges(t, t.calls.filter(F.col("callee_name") == name)), limit, resolved_only)
+    calls = t.calls.filter(F.col("callee_name") == name)
+    return first_edges(t, calls, limit, resolved_only) if limit else _listed(call_edges(t, calls), 0, resolved_only)
 
 
 def callees(t: Facts, name: str, limit: int = 50, resolved_only: bool = False) -> DataFrame:
     """What the definitions of a name call; resolved edges first.  limit 0: all."""
-    return _listed(call_edges(t, t.calls.filter(F.col("caller_name") == name)), limit, resolved_only)
+    calls = t.calls.filter(F.col("caller_name") == name)
+    return first_edges(t, calls, limit, resolved_only) if limit else _listed(call_edges(t, calls), 0, resolved_only)
 
 
 def resolved_pairs(t: Facts) -> DataFrame:

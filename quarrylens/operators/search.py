@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarrylens.functions.text import shortened
-from quarrylens.operators.edges import call_edges, with_caller
+from quarrylens.operators.edges import distinct_edges, with_caller
 from quarrylens.operators.lookup import symbols
 from quarrylens.sources.facts import Facts
 
@@ -80,9 +80,9 @@ def callers_groups(t: Facts, names: DataFrame) -> DataFrame:
 
 def _callees(t: Facts, names: DataFrame) -> DataFrame:
     """name, callee, ref (null: external), ambiguous and first place: one row for each distinct callee of a name."""
-    e = call_edges(t, _calls_of(t, names, "caller_name"), ["caller_name"])
+    e = distinct_edges(t, _calls_of(t, names, "caller_name"))
     ref = F.struct(F.col("callee_file").alias("path"), F.col("callee_line").alias("line"), F.col("callee_name").alias("name"), F.col("callee_kind").alias("kind"))
-    at = F.min(F.struct("caller_file", "caller_line", "site_line", "site_column", "callee_file", "callee_line"))
+    at = F.min(F.struct("at.*", "callee_file", "callee_line"))
     known = F.when(F.col("callee_file").isNotNull(), ref)
     return e.groupBy(F.col("caller_name").alias("name"), F.col("callee_name").alias("callee"), known.alias("ref"), "ambiguous").agg(at.alias("at"))
 
