@@ -6,6 +6,7 @@ import json
 import os
 import re
 import subprocess
+from collections import deque
 from fnmatch import fnmatchcase
 
 import pyarrow as pa
@@ -13,10 +14,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarrylens import schema
+from quarrylens.functions.tables import cut
 from quarrylens.operators.delta import with_language
 
 PRUNED = (".git", ".quarrylens")
 READ_BYTES = 8 << 20
+#: Folders that the driver lists before tasks take over.
+DRIVER_FOLDERS = 2000
 
 
 def _rules(path: str) -> list[tuple[str, bool, bool]]:
@@ -70,40 +74,97 @@ def _glob(path: str, pattern: str) -> bool:
     return re.fullmatch(made, path) is not None
 
 
+def _listed(root: str, rel: str, weak: list, strong: list) -> tuple[list[tuple], list[tuple[str, int, int]]]:
+    """The folders below one, with the rules that hold in them, and its files."""
+    folder = os.path.join(root, rel) if rel else root
+    weak = weak + [(rel, *r) for r in _rules(os.path.join(folder, ".gitignore"))]
+    strong = strong + [(rel, *r) for r in _rules(os.path.join(folder, ".ignore"))]
+    rules, folders, files = weak + strong, [], []
+    with os.scandir(folder) as entries:
+        for e in entries:
+            path = f"{rel}/{e.name}" if rel else e.name
+            if e.is_symlink() or e.name in PRUNED or _ignored(path, e.is_dir(), rules):
+                continue
+            if e.is_dir():
+                folders.append((path, weak, strong))
+            elif e.is_file():
+                st = e.stat()
+                files.append((path, st.st_mtime_ns, st.st_size))
+    return folders, files
+
+
+def _walked(root: str, most: int | None) -> tuple[list[tuple], list[tuple[str, int, int]]]:
+    """What is left to list after ``most`` folders, and the files found."""
+    first = [("", *r) for at in (_global_excludes(), os.path.join(root, ".git", "info", "exclude")) for r in _rules(at)]
+    work = deque([("", first, [])])
+    found: list[tuple[str, int, int]] = []
+    listed = 0
+    while work and (most is None or listed < most):
+        folders, files = _listed(root, *work.popleft())
+        work += folders
+        found += files
+        listed += 1
+    return list(work), found
+
+
 def walk(root: str) -> list[tuple[str, int, int]]:
     """(path, mtime_ns, size) of the files below a folder, by path: hidden ones too, ignored ones and links not.
 
     Rules come from Git's global file, the repository's own exclude file, and each folder's `.gitignore` and `.ignore`; later ones
     count more, and those of `.ignore` more than all others.
     """
-    found: list[tuple[str, int, int]] = []
-    first = [("", *r) for at in (_global_excludes(), os.path.join(root, ".git", "info", "exclude")) for r in _rules(at)]
-    work: list[tuple[str, list, list]] = [("", first, [])]
-    while work:
-        rel, weak, strong = work.pop()
-        folder = os.path.join(root, rel) if rel else root
-        weak = weak + [(rel, *r) for r in _rules(os.path.join(folder, ".gitignore"))]
-        strong = strong + [(rel, *r) for r in _rules(os.path.join(folder, ".ignore"))]
-        rules = weak + strong
-        with os.scandir(folder) as entries:
-            for e in entries:
-                path = f"{rel}/{e.name}" if rel else e.name
-                if e.is_symlink() or e.name in PRUNED:
-                    continue
-                if _ignored(path, e.is_dir(), rules):
+    return sorted(_walked(root, None)[1])
+
+
+_RULES = "array<struct<base:string,pattern:string,negated:boolean,folders:boolean>>"
+_ENTRY = f"path string, mtime_ns long, size long, weak {_RULES}, strong {_RULES}"
+_RULE_LIST = pa.list_(pa.struct([("base", pa.string()), ("pattern", pa.string()), ("negated", pa.bool_()), ("folders", pa.bool_())]))
+
+
+def _list_folders(root: str):
+    """Folders with their rules to the entries in them; a folder has no size."""
+    keys = ("base", "pattern", "negated", "folders")
+    as_rows = lambda rules: [dict(zip(keys, r, strict=True)) for r in rules]
+
+    def run(batches):
+        for batch in batches:
+            rows = []
+            for path, weak, strong in zip(*(batch.column(c).to_pylist() for c in ("path", "weak", "strong")), strict=True):
+                try:
+                    folders, files = _listed(root, path, [tuple(r[k] for k in keys) for r in weak], [tuple(r[k] for k in keys) for r in strong])
+                except OSError:  # it went in the meantime
                     continue
-                if e.is_dir():
-                    work.append((path, weak, strong))
-                elif e.is_file():
-                    st = e.stat()
-                    found.append((path, st.st_mtime_ns, st.st_size))
-    return sorted(found)
+                rows += [(p, None, None, as_rows(w), as_rows(s)) for p, w, s in folders] + [(*f, None, None) for f in files]
+            cols = list(zip(*rows, strict=True)) or [()] * 5
+            kinds = (pa.string(), pa.int64(), pa.int64(), _RULE_LIST, _RULE_LIST)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["path", "mtime_ns", "size", "weak", "strong"])
+
+    return run
+
+
+def tree_files(spark: SparkSession, root: str, most: int | None = None) -> DataFrame:
+    """path, mtime_ns, size of what `walk` finds.
+
+    The driver lists the first folders; those that are left then are listed by tasks, a level at a time, with the rules that they inherit as rows.
+    """
+    root = os.path.abspath(root).rstrip("/") or "/"
+    left, found = _walked(root, DRIVER_FOLDERS if most is None else most)
+    columns = ["path", "mtime_ns", "size"]
+    files = spark.createDataFrame(sorted(found), "path string, mtime_ns long, size long")
+    if not left:
+        return files
+    frontier = spark.createDataFrame([(p, None, None, w, s) for p, w, s in left], _ENTRY)
+    while True:
+        level = cut(frontier.repartition("path").mapInArrow(_list_folders(root), _ENTRY), "tree")
+        files = files.unionByName(level.filter("size is not null").select(*columns))
+        frontier = level.filter("size is null")
+        if not frontier.limit(1).count():
+            return files
 
 
 def disk_files(spark: SparkSession, root: str, every: bool = False) -> DataFrame:
     """path, mtime_ns, size, language of the tree's files in known languages under the size cap; every: of all files, whatever their language."""
-    rows = [r for r in walk(root) if r[2] <= schema.MAX_FILE_BYTES]
-    files = spark.createDataFrame(rows, "path string, mtime_ns long, size long")
+    files = tree_files(spark, root).filter(F.col("size") <= schema.MAX_FILE_BYTES)
     return files.withColumn("language", F.lit("")) if every else with_language(files)
 
 

@@ -27,6 +27,8 @@ RETRIES = 40
 #: Files of a bucket when the number of buckets is chosen; it is chosen anew once four times as many would be.
 BUCKET_FILES = 512
 MOST_BUCKETS = 4096
+#: Usage files that are merged, and merged ones that are merged once more.
+LOOSE, MERGED = 64, 8
 #: A version that no pointer ever named, as a lost writer leaves it, is removed after so many seconds.
 GRACE_S = 24 * 3600
 
@@ -269,16 +271,43 @@ class Store:
         at = self._Path(self.path)
         return int(self.fs.getContentSummary(at).getLength()) if self.fs.exists(at) else 0
 
-    # usage
+    # usage: a small file a command, which are merged now and then; a pointer says what was merged and where it is
+    def _loose(self, head: dict) -> list[str]:
+        gone = set(head["gone"])
+        found = [f.getPath() for f in self.fs.globStatus(self._Path(f"{self.path}/usage/*.parquet")) or []]
+        return sorted(at.toString() for at in found if at.getName() not in gone)
+
     def usage(self) -> DataFrame:
-        at = f"{self.path}/usage"
-        if not self.fs.exists(self._Path(at)):
-            return self.spark.createDataFrame([], schema.USAGE)
-        return self.spark.read.schema(schema.USAGE).parquet(at)
+        head = self._read("usage.json") or {"base": [], "gone": []}
+        paths = self._loose(head) + [f"{self.path}/{b}" for b in head["base"]]
+        return self.spark.read.schema(schema.USAGE).parquet(*paths) if paths else self.spark.createDataFrame([], schema.USAGE)
 
     def record(self, command: str, files: int, n_bytes: int, returned: int, fmt: str, query: str | None = None) -> None:
         row = (time.time_ns(), command, files, n_bytes, n_bytes // 4, returned, fmt, query)
         self.spark.createDataFrame([row], schema.USAGE).coalesce(1).write.mode("append").parquet(f"{self.path}/usage")
+        self.compact_usage(LOOSE)
+
+    def compact_usage(self, least: int = 1) -> bool:
+        """Merge the small files if there are at least so many; whether it did.  Of two at once one does.
+
+        Merged files stay until the next time, for readers that have just listed them.
+        """
+        head, number = self._head("usage.json")
+        head = head or {"base": [], "gone": []}
+        loose = self._loose(head)
+        if len(loose) < least:
+            return False
+        merged = head["base"] if len(head["base"]) >= MERGED else []
+        name = f"usage-{time.time_ns()}-{uuid.uuid4().hex[:8]}"
+        rows = self.spark.read.schema(schema.USAGE).parquet(*loose, *[f"{self.path}/{b}" for b in merged])
+        rows.coalesce(1).write.parquet(f"{self.path}/{name}")
+        after = {"base": [b for b in head["base"] if b not in merged] + [name], "gone": [at.rsplit("/", 1)[1] for at in loose], "old": merged}
+        if not self._write("usage.json", after, number):
+            self.fs.delete(self._Path(f"{self.path}/{name}"), True)
+            return False
+        for at in [f"usage/{f}" for f in head["gone"]] + head.get("old", []):
+            self.fs.delete(self._Path(f"{self.path}/{at}"), True)
+        return True
 
     # settings
     def settings(self) -> dict[str, str]:

@@ -191,3 +191,65 @@ def test_outline_depth_of_a_large_file(spark):
     began = time.process_time()
     depth = lookup._depths(table)["depth"].to_pylist()
     assert time.process_time() - began < 20 and max(depth) >= 99
+
+
+def test_usage_files_are_merged(spark, tmp_path, monkeypatch):
+    from quarrylens.operators import usage
+
+    monkeypatch.setattr(store_module, "LOOSE", 4)
+    monkeypatch.setattr(store_module, "MERGED", 2)
+    store = Store(spark, f"{tmp_path}/store")
+    for k in range(14):
+        store.record("symbols" if k % 2 else "outline", 1, 400 * k, 10, "json", f"q{k}")
+        assert store.usage().count() == k + 1
+    assert len(glob.glob(f"{store.path}/usage/*.parquet")) <= 8 and len(glob.glob(f"{store.path}/usage-*")) <= 4
+    totals = usage.totals(store.facts()).first()
+    assert (totals.invocations, totals.candidate_bytes, totals.returned_tokens) == (14, 400 * sum(range(14)), 140)
+    assert sorted(r.query for r in store.usage().collect()) == sorted(f"q{k}" for k in range(14))
+    number = store._head("usage.json")[1]
+    assert store.compact_usage() and store._head("usage.json")[1] == number + 1 and store.usage().count() == 14
+
+
+def test_spread_walk_equals_the_walk(spark, tmp_path):
+    from quarrylens.sources import tree as trees
+
+    rng = random.Random(8)
+    rules = ["*.log", "!keep.log", "build/", "/top.rs", "a*/x?.rs", "**/deep/*.md", "#c", "", "!*.md", "src"]
+    for _ in range(60):
+        at = tmp_path / "/".join(rng.choice(["a", "b", "src", "build", "deep", ".h"]) for _ in range(rng.randint(0, 5)))
+        at.mkdir(parents=True, exist_ok=True)
+        for name in rng.sample(["x1.rs", "top.rs", "k.log", "keep.log", "n.md", "é.py"], 3):
+            (at / name).write_text("x")
+        if rng.random() < 0.4:
+            (at / rng.choice([".gitignore", ".ignore"])).write_text("\n".join(rng.sample(rules, 3)))
+    want = trees.walk(str(tmp_path))
+    for most in (0, 1, 5, None):
+        assert sorted(tuple(r) for r in trees.tree_files(spark, str(tmp_path), most).collect()) == want
+
+
+def test_the_program_and_its_exit_codes(spark, tmp_path, capsys):
+    import io
+    import json
+
+    from quarrylens.__main__ import main
+
+    root = tmp_path / "r"
+    (root / "ui").mkdir(parents=True)
+    (root / "core").mkdir()
+    (root / "ui" / "a.ts").write_text("import { c } from '../core/c';\nexport function a() { c(); }\n")
+    (root / "core" / "c.ts").write_text("export function c() {}\n")
+
+    def call(*argv):
+        out = io.StringIO()
+        code = main(["--repo", str(root), "--store", f"{tmp_path}/s", "--no-record", *argv], spark, out)
+        return code, out.getvalue()
+
+    code, text = call("--json", "symbols", "C", "--limit", "0")
+    assert code == 0 and [i["name"] for i in json.loads(text)["items"]] == ["c"]
+    assert call("--toon", "callers", "c")[1].startswith("count: 1")
+    assert call("boundary", "--source", "ui/", "--target", "core/", "--forbid")[0] == 1
+    assert call("boundary", "--source", "core/", "--target", "ui/", "--forbid")[0] == 0
+    assert call("outline", "../x")[0] == 2 and call("outline", "no.ts")[0] == 2 and call("nonsense")[0] == 2 and call("config", "--key", "nope", "--value", "1")[0] == 2
+    assert "error" in capsys.readouterr().err
+    assert main(["--repo", str(root), "--store", f"{tmp_path}/s", "--no-record", "--output", f"{tmp_path}/page.html", "export"], spark) == 0
+    assert "<canvas" in (tmp_path / "page.html").read_text()
