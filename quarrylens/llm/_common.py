@@ -166,21 +166,30 @@ class PrefixHash:
             have = (np.multiply.accumulate(up), np.multiply.accumulate(down))
             if size <= 4 * CHUNK_BYTES:
                 self._pow[seed] = have
-        self.inv = have[1]
+        self.base, self.inv = base, have[1]
         self.sums = np.zeros(n, np.uint64)
         np.cumsum(table[buf] * have[0][: n - 1], out=self.sums[1:])
 
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         return mix64((self.sums[end] - self.sums[start]) * self.inv[start])
 
+    @classmethod
+    def whole(cls, buf: np.ndarray, seed: int) -> np.ndarray:
+        """Of all of a long buffer, piece by piece: the same as of(0, its length)."""
+        total = 0
+        for at in range(0, len(buf), CHUNK_BYTES):
+            piece = cls(buf[at : at + CHUNK_BYTES], seed)
+            total = (total + int(piece.sums[-1]) * pow(piece.base, at, 1 << 64)) % (1 << 64)
+        return mix64(np.array([total], np.uint64))
+
     def fixed(self, k: int) -> np.ndarray:
         """Of the k bytes from each position on."""
         n = len(self.sums) - k
         return mix64((self.sums[k:] - self.sums[:n]) * self.inv[:n]) if n > 0 else np.zeros(0, np.uint64)
 
 
-_SPACE = np.zeros(256, bool)
-_SPACE[[9, 10, 11, 12, 13, 32]] = True
+SPACE = np.zeros(256, bool)
+SPACE[[9, 10, 11, 12, 13, 32]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
@@ -191,7 +200,7 @@ def lower_ascii(buf: np.ndarray) -> np.ndarray:
 
 def word_bounds(buf: np.ndarray, offs: np.ndarray):
     """Start and end of each word ``[^\\x20\\x09-\\x0D]+`` and how many words each document has."""
-    inside = ~_SPACE[buf]
+    inside = ~SPACE[buf]
     prev = np.zeros(len(buf), bool)
     prev[1:] = inside[:-1]
     edges = offs[:-1][offs[:-1] < len(buf)]

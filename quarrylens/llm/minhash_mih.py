@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from quarrylens.llm._common import BROADCAST_ROWS, PrefixHash, Scratch, discard, lower_ascii, mix64, parts, spread_join, text_chunks, whole_row, word_bounds, written
+from quarrylens.llm._common import BROADCAST_ROWS, SPACE, PrefixHash, Scratch, discard, lower_ascii, mix64, parts, spread_join, text_chunks, whole_row, word_bounds, written
 from quarrylens.llm.components import components
 
 WORDS = 5
@@ -42,6 +42,8 @@ BLOCK = 1 << 16
 OPEN_BLOCK = 2048
 HOT_BUCKET = 1 << 15
 HUB = 256
+#: A text of more bytes goes block by block.
+LONG = 1 << 21
 _KEPT = [list(c) for c in itertools.combinations(range(CHUNK), CHUNK - ERRORS)]
 _rng = np.random.default_rng(7)
 _MUL = _rng.integers(0, 2**62, COMPONENTS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -49,8 +51,19 @@ _ADD = _rng.integers(0, 2**63, COMPONENTS, dtype=np.uint64)
 _SALT = mix64(np.arange(1, CHUNKS * len(_KEPT) + 1, dtype=np.uint64))
 
 
+def _shingles(word: np.ndarray, at: np.ndarray, size: np.ndarray, words: int) -> np.ndarray:
+    """Hashes of the shingles of ``size`` words from the words at ``at`` on."""
+    got = np.zeros(len(at), np.uint64)
+    padded = np.append(word, np.zeros(words, np.uint64))
+    for k in range(words):
+        got = np.where(k < size, mix64(got * np.uint64(0x9E3779B97F4A7C15) + padded[at + k] + np.uint64(k + 1)), got)
+    return got
+
+
 def shingle_sets(buf: np.ndarray, offs: np.ndarray, words: int = WORDS):
     """Sorted distinct shingle hashes of each document, one after another, and how many each has."""
+    if len(offs) == 2 and len(buf) > LONG:
+        return _long_set(buf, words)
     starts, ends, counts = word_bounds(buf, offs)
     word = PrefixHash(lower_ascii(buf), 43).of(starts, ends)
     doc = np.repeat(np.arange(len(counts)), counts)
@@ -58,11 +71,7 @@ def shingle_sets(buf: np.ndarray, offs: np.ndarray, words: int = WORDS):
     place = np.arange(len(word)) - np.repeat(first, counts)
     many = np.maximum(counts - words + 1, (counts > 0).astype(np.int64))
     at = np.flatnonzero(place < many[doc])
-    size = np.minimum(counts, words)[doc[at]]
-    got = np.zeros(len(at), np.uint64)
-    padded = np.append(word, np.zeros(words, np.uint64))
-    for k in range(words):
-        got = np.where(k < size, mix64(got * np.uint64(0x9E3779B97F4A7C15) + padded[at + k] + np.uint64(k + 1)), got)
+    got = _shingles(word, at, np.minimum(counts, words)[doc[at]], words)
     owner = doc[at]
     order = np.lexsort((got, owner))
     got, owner = got[order], owner[order]
@@ -70,6 +79,54 @@ def shingle_sets(buf: np.ndarray, offs: np.ndarray, words: int = WORDS):
     return got[new], np.bincount(owner[new], minlength=len(counts)).astype(np.int64)
 
 
+def _word_hashes(buf: np.ndarray):
+    """Hashes of the words of a long text, block by block; a word beyond a block is hashed piece by piece."""
+    at = 0
+    while at < len(buf):
+        end = at + LONG
+        if end < len(buf):
+            space = _gap(buf, end)
+            if space > end + LONG:  # the word around the end is a very long one
+                before = np.flatnonzero(SPACE[buf[at:end]])
+                begin = at + int(before[-1]) + 1 if len(before) else at
+                if begin > at:
+                    starts, ends, _ = word_bounds(buf[at:begin], np.array([0, begin - at]))
+                    yield PrefixHash(lower_ascii(buf[at:begin]), 43).of(starts, ends)
+                yield PrefixHash.whole(lower_ascii(buf[begin:space]), 43)
+                at = space
+                continue
+            end = space
+        part = buf[at:end]
+        starts, ends, _ = word_bounds(part, np.array([0, len(part)]))
+        yield PrefixHash(lower_ascii(part), 43).of(starts, ends)
+        at = end
+
+
+def _gap(buf: np.ndarray, at: int) -> int:
+    """The first white space from a place on, or the end."""
+    while at < len(buf):
+        found = np.flatnonzero(SPACE[buf[at : at + LONG]])
+        if len(found):
+            return at + int(found[0])
+        at += LONG
+    return len(buf)
+
+
+def _long_set(buf: np.ndarray, words: int):
+    """shingle_sets of one long text; what is held at a time is a block, and eight bytes a shingle."""
+    kept, last = [], np.zeros(0, np.uint64)
+    for word in _word_hashes(buf):
+        word = np.concatenate([last, word])
+        many = len(word) - words + 1
+        if many > 0:
+            kept.append(np.unique(_shingles(word, np.arange(many), np.full(many, words), words)))
+        last = word[-(words - 1) :]
+    if not kept and len(last):
+        kept.append(_shingles(last, np.zeros(1, np.int64), np.full(1, len(last)), words))
+    got = np.unique(np.concatenate(kept)) if kept else np.zeros(0, np.uint64)
+    return got, np.array([len(got)], np.int64)
+
+
 def _reduce(op, values, sizes, filled):
     out = np.zeros(len(sizes), np.uint64)
     begins = (np.cumsum(sizes) - sizes)[filled]

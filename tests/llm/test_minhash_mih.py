@@ -127,3 +127,29 @@ def test_filter_with_texts_that_share_a_doc_id(spark):
         got = mm.near_dedup_filter(spark.createDataFrame(turn, SCHEMA)).collect()
         sets = sorted((str(r.doc_id), {a: "a", b: "b", c: "c", d: "d", near: "d", "": ""}[r.text]) for r in got)
         assert sets == [("3", "a"), ("5", "b"), ("7", "c"), ("7", "d"), ("9", ""), ("None", "a")]
+
+
+def test_long_texts_go_block_by_block(monkeypatch):
+    import tracemalloc
+
+    import numpy as np
+
+    from quarrylens.llm import minhash_mih
+
+    rng = random.Random(21)
+    texts = ["".join(rng.choice(["ab", "É", "Cd", "x" * 40]) + rng.choice([" ", "  ", "\n", ""]) for _ in range(rng.randint(0, 400))) for _ in range(60)] + ["y" * 900, " " * 500, "a b c", "z" * 300 + " " + "w" * 700 + " a b c d e f"]
+    whole = lambda text: minhash_mih.shingle_sets(np.frombuffer(text.encode(), np.uint8), np.array([0, len(text.encode())]))
+    want = [whole(t) for t in texts]
+    monkeypatch.setattr(minhash_mih, "LONG", 64)
+    for text, (sets, sizes) in zip(texts, want, strict=True):
+        got = whole(text)
+        assert (got[0] == sets).all() and (got[1] == sizes).all()
+    monkeypatch.setattr(minhash_mih, "LONG", 1 << 21)
+    size = 48 << 20
+    for text in ((b"word%d other " * (size // 13))[:size], b"q" * size):
+        buf = np.frombuffer(text, np.uint8)
+        tracemalloc.start()
+        minhash_mih.shingle_sets(buf, np.array([0, len(buf)]))
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < 14 * size
