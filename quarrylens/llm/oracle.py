@@ -157,5 +157,42 @@ FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc
 """
 
 
+PII = (("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"), ("card", r"[0-9]([\x20-]?[0-9])+"), ("phone", r"\+[0-9][\x20().0-9-]+[0-9]"))
+
+
+def pii_base() -> str:
+    """Base spans: matches of each kind, by place; those that fail its test are dropped, not retried."""
+    each = " UNION ALL ".join(f"SELECT doc_id, {k} AS place, '{kind}' AS kind, regexp_extract_all(t, '{pattern}') AS hits, string_split_regex(t, '{pattern}') AS gaps FROM t" for k, (kind, pattern) in enumerate(PII))
+    text = "kind || ':' || s || ':' || e"
+    luhn = "list_sum(list_transform(range(1, length(d) + 1), lambda i: CASE WHEN i % 2 = 1 THEN CAST(substr(d, length(d) - i + 1, 1) AS INTEGER) ELSE (2 * CAST(substr(d, length(d) - i + 1, 1) AS INTEGER)) // 10 + (2 * CAST(substr(d, length(d) - i + 1, 1) AS INTEGER)) % 10 END)) % 10 = 0"
+    return f"""
+WITH t AS (SELECT row_number() OVER () AS r, doc_id AS id, coalesce(text, '') AS text FROM documents),
+m AS ({each.replace("doc_id", "r").replace("(t,", "(text,")}),
+i AS (SELECT *, unnest(range(1, len(hits) + 1)) AS i FROM m WHERE len(hits) > 0),
+p AS (
+  SELECT r, place, kind, hits[i] AS h, regexp_replace(hits[i], '[^0-9]', '', 'g') AS d, CAST(list_sum(list_transform(gaps[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(hits[1:i - 1], lambda x: length(x))), 0) AS BIGINT) AS s FROM i
+), f AS (
+  SELECT r, place, kind, s, s + length(h) AS e FROM p WHERE kind = 'email' OR kind = 'phone' AND length(d) BETWEEN 9 AND 15
+    OR kind = 'ip' AND len(list_filter(string_split(h, '.'), lambda x: length(ltrim(x, '0')) > 3 OR CAST(right('000' || x, 3) AS INTEGER) > 255)) = 0
+    OR kind = 'card' AND length(d) BETWEEN 12 AND 19 AND {luhn}
+), a AS (
+  SELECT r, count(*) FILTER (kind = 'email') AS n_email, count(*) FILTER (kind = 'ip') AS n_ip, count(*) FILTER (kind = 'card') AS n_card, count(*) FILTER (kind = 'phone') AS n_phone,
+    string_agg({text}, ',' ORDER BY s, place) AS base FROM f GROUP BY r
+)
+SELECT id AS doc_id, coalesce(n_email, 0) AS n_email, coalesce(n_ip, 0) AS n_ip, coalesce(n_card, 0) AS n_card, coalesce(n_phone, 0) AS n_phone, sha256(coalesce(base, '')) AS base_sha256 FROM t LEFT JOIN a ON a.r = t.r
+"""
+
+
+#: The level at which water stands: with the sources in the order of limit / weight, the first at which those before it are full and it is not.
+MIX_SOURCES = f"""
+WITH s AS (SELECT source, CAST(sum(len(regexp_extract_all(coalesce(text, ''), '{WORD}'))) AS BIGINT) AS source_size FROM documents GROUP BY source),
+w AS (SELECT *, [3.0, 1.0, 2.0][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1]::DOUBLE AS weight, 2.0::DOUBLE * source_size AS lim FROM s),
+o AS (SELECT *, row_number() OVER (ORDER BY lim / weight, source NULLS LAST) AS j FROM w),
+l AS (SELECT j, lim / weight AS r, (1.5::DOUBLE * sum(source_size) OVER () - coalesce(sum(lim) OVER (ORDER BY j ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(weight) OVER (ORDER BY j ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM o),
+x AS (SELECT coalesce(min_by(level, j) FILTER (level < r), 'infinity'::DOUBLE) AS level FROM l)
+SELECT source, source_size, CASE WHEN source_size = 0 THEN 0.0::DOUBLE ELSE least(lim, level * weight) END AS target FROM w, x
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_suffix_dedup": OP1, "op3_pivot_topk": OP3, "op5_secret_ledger": op5(), "op7_minhash_near_dedup": OP7, "op8_quality_rules": op8(), "op11_vector_codes": op11(), "op12_lexical_search": OP12}
+    return {"op1_suffix_dedup": OP1, "op3_pivot_topk": OP3, "op5_secret_ledger": op5(), "op7_minhash_near_dedup": OP7, "op8_quality_rules": op8(), "op11_vector_codes": op11(), "op12_lexical_search": OP12, "pii_base": pii_base(), "mix_sources": MIX_SOURCES}

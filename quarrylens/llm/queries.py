@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from quarrylens.llm import oracle
@@ -19,7 +20,7 @@ from quarrylens.llm.quality_rules import quality_rules
 from quarrylens.llm.quality_weak import quality_classifier
 from quarrylens.llm.secret_ledger import named_ledger, secret_scan
 from quarrylens.llm.sentencepiece_nbest import encode_documents
-from quarrylens.llm.source_mix import source_mix
+from quarrylens.llm.source_mix import source_mix, source_targets, word_count
 from quarrylens.llm.suffix_dedup import suffix_dedup
 
 
@@ -79,6 +80,17 @@ def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_digests(_table(spark, sf_dir, "documents"))
 
 
+def pii_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The base columns of op4, which SQL can express."""
+    return op4_pii_weak(spark, sf_dir).drop("spans")
+
+
+def mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sizes and targets of op6's sources, which SQL can express."""
+    docs = _table(spark, sf_dir, "documents")
+    return source_targets(docs.select(F.col("source").cast("string").alias("source"), word_count(F.col("text").cast("string")).alias("size")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_suffix_dedup": op1_suffix_dedup,
@@ -94,6 +106,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op11_vector_codes": op11_vector_codes,
         "op12_lexical_search": op12_lexical_search,
         "op13_byte_bpe": op13_byte_bpe,
+        "pii_base": pii_base,
+        "mix_sources": mix_sources,
         "pipeline": corpus_pipeline.run,
     }
 
