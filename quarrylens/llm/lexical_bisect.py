@@ -52,6 +52,8 @@ FIRST, GROWTH = 2, 8
 #: Blocks visited between two looks at the bound.
 STRIDE = 4
 TEXT_BYTES = 1 << 20
+#: Documents whose counts leave a task together.
+COUNTED = 512
 
 _TERM, _GAP = re.compile(rb"[0-9A-Za-z\x80-\xff]+"), re.compile(rb"[^0-9A-Za-z\x80-\xff]")
 
@@ -85,7 +87,7 @@ def _count(shared):
 
     def run(batches):
         number = shared.value
-        for batch in batches:
+        for batch in (b.slice(at, COUNTED) for b in batches for at in range(0, b.num_rows, COUNTED)):
             n, terms, tfs = [], [], []
             for raw in _raw(batch.column(1)):
                 counts = term_counts(raw)
