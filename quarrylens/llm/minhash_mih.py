@@ -43,7 +43,7 @@ OPEN_BLOCK = 2048
 HOT_BUCKET = 1 << 15
 HUB = 256
 #: A text of more bytes goes block by block.
-LONG = 1 << 21
+LONG = 1 << 20
 _KEPT = [list(c) for c in itertools.combinations(range(CHUNK), CHUNK - ERRORS)]
 _rng = np.random.default_rng(7)
 _MUL = _rng.integers(0, 2**62, COMPONENTS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)

@@ -144,7 +144,7 @@ def test_long_texts_go_block_by_block(monkeypatch):
     for text, (sets, sizes) in zip(texts, want, strict=True):
         got = whole(text)
         assert (got[0] == sets).all() and (got[1] == sizes).all()
-    monkeypatch.setattr(minhash_mih, "LONG", 1 << 21)
+    monkeypatch.setattr(minhash_mih, "LONG", 1 << 20)
     size = 48 << 20
     for text in ((b"word%d other " * (size // 13))[:size], b"q" * size):
         buf = np.frombuffer(text, np.uint8)
