@@ -131,3 +131,11 @@ def test_usage_of_nothing(spark):
     t = facts(spark)
     assert usage.totals(t).first().asDict() == {"invocations": 0, "candidate_bytes": 0, "estimated_baseline_tokens": 0, "returned_tokens": 0, "saved": 0, "reduction": 0.0}
     assert usage.per_command(t).collect() == []
+
+
+def test_abbreviated_near_the_end_of_64_bits(spark):
+    df = spark.createDataFrame([(9_223_372_036_854_775_807,), (-3_240_000_050_000_000_000,), (1_125_612_931_650_000_016,), (12_350,), (1_250,), (999,)], "n long")
+    want = ["9223372036.9G", "-3240000050.0G", "1125612931.6G", "12.4K", "1.2K", "999"]
+    assert [r[0] for r in df.select(text.abbreviated("n")).collect()] == want
+    wide = df.withColumn("n", F.col("n").cast("decimal(38,0)") * 1000)
+    assert wide.select(text.abbreviated("n"), text.thousands("n")).first()[:] == ("9223372036854.8G", "9,223,372,036,854,775,807,000")
